@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding, token_files
+from . import decontamination, packing, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_packing": packing.op4_packing,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op8_token_files": token_files.op8_token_files,
     "op10_sharding": sharding.op10_sharding,

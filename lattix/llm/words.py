@@ -29,7 +29,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, SEED).to_bytes(8, "little")
+        found = self[word] = xxhash.xxh64_digest(word, SEED)
         return found
 
     def array(self, words: list[bytes]) -> np.ndarray:
