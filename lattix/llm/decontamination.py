@@ -7,7 +7,7 @@ which holds an item of the class whole wherever it lies. Inside a window contain
 (0.25 at t = 0.8), and one equal MinHash value among ``HASHES`` makes a candidate. Every candidate pair is verified: the share of the item's distinct shingles that the document holds.
 
 How it scales: documents are read once and not shuffled. Items are the query set; their MinHash values and texts are
-broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (both proven by running sums), and
+broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (both counted first), and
 each block takes one more pass over the documents, so a benchmark of any size works. Windows live only inside a task.
 
 Words are lower-cased, with ASCII punctuation taken as white space. An item of fewer than five words is one shingle of
@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
@@ -112,6 +112,20 @@ class Items:
                 yield d, i, shared, len(own)
 
 
+def _found(items: Items, cache: WordHashes, texts: pa.Array):
+    """(row, item, shared, of) for a batch of texts, ``STREAM`` words at a time."""
+    first, words, ends, total = 0, [], [], 0
+    for i in range(len(texts)):
+        own = plain_words(texts[i].as_py())
+        words.append(b"".join(map(cache.__getitem__, own)))
+        ends.append(total := total + len(own))
+        if total >= STREAM or i == len(texts) - 1:
+            h = np.frombuffer(b"".join(words), dtype="<u8")
+            for d, m, shared, of in items.matches(h, np.array(ends)):
+                yield first + d, m, shared, of
+            first, words, ends, total = i + 1, [], [], 0
+
+
 def _search(block):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", pa.int64()), ("of", pa.int64())])
 
@@ -119,45 +133,54 @@ def _search(block):
         cache = WordHashes()
         items = Items(block.value, cache)
         for batch in batches:
-            ids, texts, out = batch.column(0).to_pylist(), batch.column(1), []
-            names, words, ends, total = [], [], [], 0
-            for i, doc_id in enumerate(ids):
-                own = plain_words(texts[i].as_py())
-                names.append(doc_id)
-                words.append(b"".join(map(cache.__getitem__, own)))
-                ends.append(total := total + len(own))
-                if total >= STREAM or i == len(ids) - 1:
-                    h = np.frombuffer(b"".join(words), dtype="<u8")
-                    out += [(names[d], items.ids[m], shared, of) for d, m, shared, of in items.matches(h, np.array(ends))]
-                    names, words, ends, total = [], [], [], 0
+            ids = batch.column(0).to_pylist()
+            out = [(ids[d], items.ids[m], shared, of) for d, m, shared, of in _found(items, cache, batch.column(1))]
             cols = list(zip(*out)) or [[]] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     return run
 
 
+def _without(block, text_col: str):
+    def run(batches):
+        cache = WordHashes()
+        items = Items(block.value, cache)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[d for d, *_ in _found(items, cache, batch.column(batch.schema.get_field_index(text_col)))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks_of(items: DataFrame, item_col: str, text_col: str) -> list:
+    """The items as broadcasts, each within both bounds (twice them at most, as blocks are dealt by hash)."""
+    queries = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    n, chars = queries.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    if blocks > 1:
+        queries = stage(queries.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "items")
+        largest = queries.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n"), F.max("chars")).first()
+        if largest[0] > 2 * BLOCK_ITEMS or largest[1] > 2 * BLOCK_CHARS:
+            raise ValueError("a block of items is too large: raise BLOCK_ITEMS or BLOCK_CHARS, or shorten the items")
+    else:
+        queries = queries.withColumn("block", F.lit(0))
+    send = items.sparkSession.sparkContext.broadcast
+    return [send([tuple(r) for r in queries.where(F.col("block") == k).select("id", "text").collect()]) for k in range(blocks)]
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, shared, of: documents that hold ``CONTAINMENT`` of an item's distinct shingles or more."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    queries = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("text is not null")
-    # Blocks by hash: as many as keep each within both bounds, checked below.
-    n, chars = queries.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-2 * n // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS)) if n > BLOCK_ITEMS or chars > BLOCK_CHARS else 1
-    queries = stage(queries.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "items") if blocks > 1 else queries.withColumn("block", F.lit(0))
-    found = []
-    for k in range(blocks):
-        part = [tuple(r) for r in queries.where(F.col("block") == k).select("id", "text").collect()]  # bounded as above
-        if len(part) > 2 * BLOCK_ITEMS or sum(len(t) for _, t in part) > 2 * BLOCK_CHARS:
-            raise ValueError("a block of items is too large: raise BLOCK_ITEMS or BLOCK_CHARS, or shorten the items")
-        found.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(part)), "doc_id long, item_id long, shared long, of long"))
+    found = [rows.mapInArrow(_search(b), "doc_id long, item_id long, shared long, of long") for b in _blocks_of(items, item_col, item_text_col)]
     return reduce(DataFrame.unionAll, found)
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    bad = stage(leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns; nothing is shuffled."""
+    for block in _blocks_of(items, item_col, item_text_col):
+        docs = docs.mapInArrow(_without(block, text_col), docs.schema)
+    return docs
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ rows of their own; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,20 +108,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns. Rows that share an id are measured one by one.
+def _passing(text_col: str):
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            words = [text.encode("utf-8").split() if text else [] for text in texts]
+            yield batch.filter(pa.array([len(w) >= MIN_WORDS and 100 * repeated_words(cache.array(w)) <= MAX_REPEATED * len(w) for w in words], pa.bool_()))
 
-    The measures are joined on the id, the host and the text's hash, so equal ids with other texts keep their own verdict.
-    """
-    tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    measured = measures(tagged.select(F.col("__hash").alias("h"), host_col, text_col), "h", host_col, text_col)
-    judged = stage(measured.select("host", F.col("doc_id").alias("h"), "base_failed"), "quality")
-    bad = stage(host_rates(judged).where("rejected").select(F.col("host").alias("bad_host")), "hosts")
-    few = bad.count() <= BROADCAST_HOSTS
-    failing = judged.where("base_failed").select("h").distinct()
-    passed = tagged.join(failing, tagged["__hash"] == failing["h"], "left_anti")
-    bad = F.broadcast(bad) if few else bad
-    return passed.join(bad, F.col(host_col).eqNullSafe(F.col("bad_host")), "left_anti").drop("__hash")
+    return run
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that pass, with all their columns. Texts are read twice rather than shuffled or stored."""
+    rates = host_rates(measures(docs, id_col, host_col, text_col).select("host", "base_failed"))
+    bad = stage(rates.where("rejected").select(F.col("host").alias("__bad")), "hosts")
+    n = bad.count()
+    passed = docs.mapInArrow(_passing(text_col), docs.schema)
+    if n == 0:
+        return passed
+    return passed.join(F.broadcast(bad) if n <= BROADCAST_HOSTS else bad, F.col(host_col).eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, sharding, simhash, token_files
+from . import decontamination, packing, quality, sharding, simhash, substrings, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op8_token_files": token_files.op8_token_files,
+    "op9_substrings": substrings.op9_substrings,
     "op10_sharding": sharding.op10_sharding,
 }
 #: DuckDB SQL for those that SQL can express.

@@ -39,7 +39,7 @@ def _spread(*cols: str | Column) -> Column:
 
 def _buckets(rows: int) -> int:
     """Buckets for running sums: about 50,000 rows each, and few enough for one task to add up their sums."""
-    return max(16, min(16_384, rows // 50_000))
+    return max(256, min(16_384, rows // 50_000))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
