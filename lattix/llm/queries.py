@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, sharding, simhash, substrings, token_files
+from . import decontamination, html, packing, quality, sharding, simhash, substrings, token_counts, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op4_packing": packing.op4_packing,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
+    "op7_html": html.op7_html,
     "op8_token_files": token_files.op8_token_files,
     "op9_substrings": substrings.op9_substrings,
     "op10_sharding": sharding.op10_sharding,
