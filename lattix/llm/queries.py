@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, packing, quality, sharding, simhash, substrings, token_counts, token_files
+from . import decontamination, html, language_model, packing, quality, sharding, simhash, substrings, token_counts, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_language_model": language_model.op3_language_model,
     "op4_packing": packing.op4_packing,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
