@@ -21,7 +21,10 @@ def facet_counts(df: DataFrame, limits: dict[str, int] = LIMITS, ord_col: str =
 
     have = set(df.columns)
     lists = [F.array(*[entry(c, F.col(c)) for c in SINGLE if c in have], entry("total", F.lit("total")), *([entry("subsystem", F.col("subsystem"), F.col("domain"))] if "subsystem" in have else []))]
-    lists += [F.transform(array_or_empty(F.array_distinct(F.col(c))), lambda x, d=d: entry(d, x)) for d, c in ARRAYS.items() if c in have]
+    def entries(dim: str, c: str):
+        return F.transform(array_or_empty(F.array_distinct(F.col(c))), lambda x: entry(dim, x))
+
+    lists += [entries(d, c) for d, c in ARRAYS.items() if c in have]
     tall = df.select(F.col(ord_col).alias("__ord"), F.inline(F.concat(*lists))).where("name is not null")
     counts = tall.groupBy("dimension", "name", "parent").agg(F.count("*").alias("count"), F.min("__ord").alias("first"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), "first", "name"))

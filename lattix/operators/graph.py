@@ -29,7 +29,11 @@ def evidence(df: DataFrame, ord_col: str = "ord") -> DataFrame:
 
 def features(ev: DataFrame) -> DataFrame:
     """ord, feature: values by which candidates are found."""
-    lists = [F.transform(F.col(g), lambda x, p=g[0]: F.concat(F.lit(f"{p}:"), x)) for g in ("topics", "primitives", "compatibility")]
+
+    def marked(group: str) -> Column:
+        return F.transform(F.col(group), lambda x: F.concat(F.lit(f"{group[0]}:"), x))
+
+    lists = [marked(g) for g in ("topics", "primitives", "compatibility")]
     single = F.array(
         F.when((F.col("subsystem") != "") & ~_general(F.col("subsystem")), F.concat(F.lit("s:"), "subsystem")),
         F.when(~F.col("language").isin("", "Other"), F.concat(F.lit("l:"), "language")),

@@ -29,7 +29,11 @@ def _fields(df: DataFrame) -> list[tuple[int, Column]]:
 
 def occurrences(df: DataFrame, id_col: str = "ord") -> DataFrame:
     """id, token, tf (capped), field_mask of every token of every row."""
-    parts = [F.transform(tokens(c), lambda t, b=bit: F.struct(t.alias("token"), F.lit(1 << b).alias("bit"))) for bit, c in _fields(df)]
+
+    def marked(bit: int, c: Column) -> Column:
+        return F.transform(tokens(c), lambda t: F.struct(t.alias("token"), F.lit(1 << bit).alias("bit")))
+
+    parts = [marked(bit, c) for bit, c in _fields(df)]
     tall = df.select(F.col(id_col), F.inline(F.flatten(F.array(*parts))))
     return tall.groupBy(id_col, "token").agg(F.least(F.count("*"), F.lit(MAX_TF)).cast("int").alias("tf"), F.bit_or("bit").alias("field_mask"))
 

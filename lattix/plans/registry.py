@@ -21,4 +21,6 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load() -> dict[str, Query]:
     """Import the modules that register queries, once."""
+    from . import queries_core, queries_tables  # noqa: F401
+
     return QUERIES

@@ -85,10 +85,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_snapshots(rows: DataFrame, path: str) -> None:
+    """Stars by snapshot_date; days that are there already are replaced, no others."""
+    rows.select("full_name", "stars", "snapshot_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str, day: str) -> None:
-    """Stars of a day; a second run replaces the day and no other."""
-    rows = df.select("full_name", "stars", F.lit(day).alias("snapshot_date"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+    write_snapshots(df.withColumn("snapshot_date", F.lit(day)), path)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
