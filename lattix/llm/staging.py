@@ -28,3 +28,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Empty a staged table that no later step reads, so that its space is free before the job ends."""
+    files = df.inputFiles()
+    if files:
+        folder = files[0].rsplit("/", 1)[0]
+        df.sparkSession.range(0).write.mode("overwrite").parquet(folder)

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Fixed value: seed of every XXH64 here.
@@ -56,7 +57,28 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+#: Bytes of text and rows that a worker handles at a time.
+SMALL_BYTES = 3_000_000
+SMALL_ROWS = 2_000
+
+
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold little text (or one long row), so that what a worker makes of one stays small."""
+    for batch in batches:
+        size = np.ones(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows or batch.num_rows == 0 and at == 0:
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + SMALL_BYTES, "right")))
+            upto = min(upto, at + SMALL_ROWS)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """(ids, texts) of batches whose first two columns are an id and a text."""
-    for batch in batches:
+    for batch in small(batches):
         yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
