@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import classify, graph, merge, quality, recommend, score, search, sql, trend
 from ..sources import catalog as files
+from ..sources.shared import settled
 from .queries_core import RULES, C, _domain_sql, cat
 from .registry import register
 from .views import oracle, table, view
@@ -201,8 +202,8 @@ MAX_DF = 255
 
 
 def edges(spark, d):
-    n = _nodes(spark, d)
-    return n, graph.window_fill(graph.knn_edges(n, max_df=MAX_DF), n)
+    n = settled(_nodes(spark, d), "nodes")
+    return n, settled(graph.window_fill(settled(graph.knn_edges(n, max_df=MAX_DF), "knn"), n), "edges")
 
 
 _TYPED = lambda df: df.withColumn("rank", F.col("rank").cast("int"))
@@ -211,8 +212,8 @@ register("op_74_knn_edges", lambda s, d: _TYPED(graph.knn_edges(_nodes(s, d), ma
 
 def thin_edges(spark, d):
     """Rows with few neighbours: candidates by rare values only."""
-    n = _nodes(spark, d)
-    return _TYPED(graph.window_fill(graph.knn_edges(n, max_df=235), n))
+    n = settled(_nodes(spark, d), "nodes")
+    return _TYPED(graph.window_fill(settled(graph.knn_edges(n, max_df=235), "knn"), n))
 
 
 register("op_75_window_fill", thin_edges, oracle(_EDGES.replace("BETWEEN 2 AND 255", "BETWEEN 2 AND 235") + " SELECT src, dst, CAST(weight AS DOUBLE) AS weight, rank, is_fallback FROM ed"))
@@ -235,7 +236,7 @@ register("op_79_sample_graph", lambda s, d: graph.sample_graph(*edges(s, d), lim
 
 
 def hops(spark, d):
-    links = graph.sample_graph(*edges(spark, d), limit=400)
+    links = settled(graph.sample_graph(*edges(spark, d), limit=400), "links")
     return graph.k_hop(links, links.where("src % 40 = 0").select(F.col("src").alias("start")).distinct(), 2).select("start", "node", F.col("hop").cast("int").alias("hop"))
 
 
