@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .words import SEED, WordHashes, mix, windows
+from .words import SEED, WordHashes, small, windows
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -132,7 +132,7 @@ def _search(block):
     def run(batches):
         cache = WordHashes()
         items = Items(block.value, cache)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_pylist()
             out = [(ids[d], items.ids[m], shared, of) for d, m, shared, of in _found(items, cache, batch.column(1))]
             cols = list(zip(*out)) or [[]] * 4
@@ -145,7 +145,7 @@ def _without(block, text_col: str):
     def run(batches):
         cache = WordHashes()
         items = Items(block.value, cache)
-        for batch in batches:
+        for batch in small(batches):
             clean = np.ones(batch.num_rows, dtype=bool)
             clean[[d for d, *_ in _found(items, cache, batch.column(batch.schema.get_field_index(text_col)))]] = False
             yield batch.filter(pa.array(clean))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import END_ID, VOCABULARY, encoder, vocabulary
+from .words import small
 
 LENGTH = 4096
 SEGMENTS = 256
@@ -149,7 +150,7 @@ def _pack_texts(vocab, end_id: int, length: int, segments: int):
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _PIECES)], schema=_PIECES)
 
         packer = Packer(emit, length, segments, length, cut=True)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 ids = encode(texts[i].as_py())
@@ -179,7 +180,7 @@ def _pack_examples(length: int, segments: int, loss: int):
             out.clear()
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 key, tokens, bearing = row, row[1] or 0, row[2] or 0
                 if tokens > length or bearing > loss or tokens == 0:

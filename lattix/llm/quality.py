@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .words import WordHashes, windows
+from .words import WordHashes, small, windows
 
 MIN_WORDS = 20
 #: Largest share, in hundredths, of words inside windows found twice or more.
@@ -66,9 +66,10 @@ def duplicate_lines(text: str) -> int:
 
 def _measure(batches):
     cache = WordHashes()
-    for batch in batches:
+    for batch in small(batches):
         out = []
-        for text in batch.column(2).to_pylist():
+        texts = batch.column(2)
+        for text in (texts[i].as_py() for i in range(len(texts))):
             raw = text.encode("utf-8") if text else b""
             words = raw.split()
             solid = raw.translate(None, _BLANKS)
@@ -108,13 +109,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def passes(text: str | None, cache: WordHashes) -> bool:
+    """The rules of a text's own."""
+    words = text.encode("utf-8").split() if text else []
+    return len(words) >= MIN_WORDS and 100 * repeated_words(cache.array(words)) <= MAX_REPEATED * len(words)
+
+
 def _passing(text_col: str):
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            words = [text.encode("utf-8").split() if text else [] for text in texts]
-            yield batch.filter(pa.array([len(w) >= MIN_WORDS and 100 * repeated_words(cache.array(w)) <= MAX_REPEATED * len(w) for w in words], pa.bool_()))
+        for batch in small(batches):
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([passes(texts[i].as_py(), cache) for i in range(len(texts))], pa.bool_()))
 
     return run
 

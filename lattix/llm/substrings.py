@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .words import WordHashes, windows
+from .words import WordHashes, small, windows
 
 #: Least words of a run that counts as repeated.
 SPAN = 24
@@ -86,7 +86,7 @@ def _runs(least: int):
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             texts, names, places, hashes = batch.column(2), [], [], []
             for i, (doc_id, nth) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 text = texts[i].as_py()
@@ -127,7 +127,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _cut(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
     cache = WordHashes()
-    for batch in batches:
+    for batch in small(batches):
         out = []
         texts = batch.column(2)
         for i, ranges in enumerate(batch.column(3).to_pylist()):

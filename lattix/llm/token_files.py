@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .staging import shared_dir, stage
 from .tokens import END_ID, VOCABULARY, encoder, vocabulary
+from .words import small
 
 #: Longest code in bits; a decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 16
@@ -121,7 +122,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULAR
 
     def run(batches):
         ids = encoder(vocab.value, end_id).ids
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1)
             short = [np.frombuffer(ids(texts[i].as_py()), dtype="<u4").astype("<u2").tobytes() for i in range(len(texts))]
             yield pa.record_batch([batch.column(0), pa.array(short, pa.binary())], schema=schema)
@@ -131,11 +132,8 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULAR
 
 def _count(batches):
     total = np.zeros(1 << 16, dtype=np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            total += np.bincount(np.frombuffer(ids.as_py(), dtype="<u2"), minlength=1 << 16) if len(ids.as_py()) > 65_536 else 0
-        small = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 65_536)
-        total += np.bincount(np.frombuffer(small, dtype="<u2"), minlength=1 << 16)
+    for batch in small(batches):
+        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=1 << 16)
     used = np.flatnonzero(total)
     yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -157,7 +155,7 @@ def _write_blocks(bits: np.ndarray):
             block, first, names, held, size = block + 1, first + len(ids), [], [], 0
             return row
 
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 ids = column[i].as_py()
@@ -195,7 +193,7 @@ def read(spark, folder: str) -> DataFrame:
 
     def run(batches):
         symbols, widths = table(bits)
-        for batch in batches:
+        for batch in small(batches):
             for part, first, doc_ids, tokens, payload, checkpoints in zip(*(batch.column(k) for k in range(6))):
                 sizes = np.array(tokens.as_py(), dtype=np.int64)
                 ends = np.cumsum(sizes)
