@@ -9,7 +9,7 @@ Scores: the public vocabulary lists its pieces by rank, and a piece of rank r sc
 that no piece covers costs its UTF-8 bytes, each as a piece of the last rank.
 
 How it scales: one pass without a shuffle. Each Python worker keeps one trie of at most ``NODES`` nodes and starts anew
-beyond it; the pieces travel as one broadcast whose size is that of the vocabulary file (0.5 MB).
+beyond it, keeping the last one's counts; the pieces travel as one broadcast whose size is that of the vocabulary file (0.5 MB).
 
 Results for odd inputs: a null or blank text has no pre-tokens and score 0; very long words are cut like others (work
 grows with their length times that of the longest piece); repeated rows, null ids and extra columns are no matter; an
@@ -18,6 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import public_tokenizers
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 NODES = 400_000
@@ -42,55 +45,71 @@ def piece_scores(path: str = PIECES) -> dict[str, float]:
     return out
 
 
+def endings(scores: dict[str, float]) -> dict:
+    """A trie of the pieces read backwards: char -> node; a node has its piece's score at "". """
+    root: dict = {}
+    for piece, score in scores.items():
+        node = root
+        for char in reversed(piece):
+            node = node.setdefault(char, {})
+        node[""] = score
+    return root
+
+
 class Trie:
     """Forward scores of prefixes. A node is [children, best score, pieces of the best segmentation]."""
 
     def __init__(self, scores: dict[str, float], nodes: int = NODES):
-        self.scores, self.limit = scores, nodes
-        self.longest = max(map(len, scores), default=1)
+        self.limit, self.endings = nodes, endings(scores)
         self.floor = -math.log(len(scores) + 2)
-        self.known: dict[str, tuple[float, int]] = {}
-        self.size = 0
-        self.root: list = [{}, 0.0, 0]
-
-    def insert(self, word: str) -> tuple[float, int]:
-        if self.size > self.limit:
-            self.known, self.size, self.root = {}, 0, [{}, 0.0, 0]
-        token = MARK + word
-        path, node = [self.root], self.root
-        get, longest = self.scores.get, self.longest
-        for end, char in enumerate(token, 1):
+        self.tokens: dict[str, int] = {}
+        self.values: dict[str, float] = {}
+        self._renew()
+
+    def _renew(self) -> None:
+        """A new trie; what the words of the last one came to is kept for one more generation."""
+        self.old = self.tokens, self.values
+        self.tokens, self.values = {}, {}
+        self.size, self.root = 0, [{}, 0.0, 0]
+
+    def insert(self, word: str) -> None:
+        token, node = MARK + word, self.root
+        path = [node]
+        for end, char in enumerate(token):
             child = node[0].get(char)
             if child is None:
-                last = path[-1]
                 n_bytes = len(char.encode("utf-8"))
-                best, pieces = last[1] + n_bytes * self.floor, last[2] + n_bytes
-                for start in range(max(0, end - longest), end):
-                    score = get(token[start:end])
-                    if score is not None:
+                best, pieces = node[1] + n_bytes * self.floor, node[2] + n_bytes
+                ending, start = self.endings.get(char), end
+                while ending is not None:
+                    if "" in ending:
                         before = path[start]
-                        total, count = before[1] + score, before[2] + 1
+                        total, count = before[1] + ending[""], before[2] + 1
                         if total > best or total == best and count < pieces:
                             best, pieces = total, count
+                    if start == 0:
+                        break
+                    start -= 1
+                    ending = ending.get(token[start])
                 child = node[0][char] = [{}, best, pieces]
                 self.size += 1
             path.append(child)
             node = child
-        found = self.known[word] = node[1], node[2]
-        return found
+        self.values[word], self.tokens[word] = node[1], node[2]
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Pre-tokens, tokens and score of a text."""
         words = text.split() if text else []
-        known, tokens, score = self.known, 0, 0.0
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = self.insert(word)
-                known = self.known
-            score += found[0]
-            tokens += found[1]
-        return len(words), tokens, score
+        if self.size > self.limit:
+            self._renew()
+        known, (tokens, values) = self.tokens, self.old
+        for word in set(words):
+            if word not in known:
+                if word in tokens:
+                    known[word], self.values[word] = tokens[word], values[word]
+                else:
+                    self.insert(word)
+        return len(words), sum(map(self.tokens.__getitem__, words)), math.fsum(map(self.values.__getitem__, words))
 
 
 _TRIES: dict[int, Trie] = {}
@@ -107,9 +126,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             _TRIES.clear()
             _TRIES[key] = Trie(scores.value)
         trie = _TRIES[key]
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1)
-            cols = list(zip(*(trie.count(texts[i].as_py()) for i in range(len(texts))))) or [[]] * 3
+            gc.disable()  # a trie has no cycles, and looking for some walks all its nodes
+            try:
+                cols = list(zip(*(trie.count(texts[i].as_py()) for i in range(len(texts))))) or [[]] * 3
+            finally:
+                gc.enable()
             yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")

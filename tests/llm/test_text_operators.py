@@ -125,14 +125,14 @@ def test_near_duplicates_by_similarity(spark, sf, odd):
 
 def test_token_counts(spark, odd, empty):
     scores = token_counts.piece_scores()
-    trie = token_counts.Trie(scores)
+    trie, longest = token_counts.Trie(scores), max(map(len, scores))
 
     def brute(word):
         token, best = token_counts.MARK + word, [(0.0, 0)]
         for end in range(1, len(token) + 1):
             size = len(token[end - 1].encode())
             options = [(best[-1][0] + size * trie.floor, -best[-1][1] - size)]
-            options += [(best[s][0] + scores[token[s:end]], -best[s][1] - 1) for s in range(max(0, end - trie.longest), end) if token[s:end] in scores]
+            options += [(best[s][0] + scores[token[s:end]], -best[s][1] - 1) for s in range(max(0, end - longest), end) if token[s:end] in scores]
             top = max(options)
             best.append((top[0], -top[1]))
         return best[-1]
