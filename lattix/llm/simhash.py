@@ -12,8 +12,8 @@ fingerprints share such a point exactly if they differ in 2 bits or fewer, so li
 smallest of them loses nothing. Components are found on fingerprints and joined back to the rows.
 
 ``near_duplicates`` is for texts alike in ``similarity`` of their shingles, which whole-text fingerprints at 2 bits can't
-reach (at 0.8 about 10 of 64 bits differ). It adds fingerprints of sampled pieces of a text, cut where the content says,
-as a second candidate search, and verifies every candidate by its exact shingles.
+reach (at 0.8 about 10 of 64 bits differ). Its candidates share a key of MinHashes over all 5-word shingles, and every
+candidate is verified by its exact shingles.
 
 Results for odd inputs: a null or blank text has fingerprint zero and links as any other; fewer words than a shingle has
 make one shingle; repeated rows share their class; a null id gets the class of its text; an empty table gives an empty
@@ -130,35 +130,39 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 #: Words of a shingle and least similarity, unless a contract says otherwise.
 WORDS = 5
 SIMILARITY = 0.8
-#: Pieces of a text that are indexed, those with the smallest fingerprints' hashes; about PIECE words each.
-PIECES = 8
-PIECE = 24
+#: A text's least shingles under BANDS x ROWS hashes, ROWS at a time, are its keys. Two texts alike in 0.8 share no key
+#: with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million, whatever their length.
+BANDS, ROWS = 24, 4
+_ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
+_SALT = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))[:, None]
 
 
-def pieces(words: list[bytes], cache: WordHashes) -> list[list[bytes]]:
-    """Cut after words whose pair with the word before has a hash divisible by ``PIECE``; the last piece may be short."""
-    if len(words) <= PIECE:
-        return [words] if words else []
-    pairs = windows(cache.array(words), 2)
-    cuts = [0, *(np.flatnonzero(pairs % np.uint64(PIECE) == 0) + 2).tolist(), len(words)]
-    return [words[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+def shingle_hashes(words: list[bytes], cache: WordHashes, width: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``width`` words; a shorter text is one run."""
+    return np.unique(windows(cache.array(words), min(width, len(words)))) if words else np.zeros(1, dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a text from its distinct shingles."""
+    least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(shingles), 4096):
+        least = np.minimum(least, (mix(shingles[k : k + 4096] ^ _SALT[:1]) * _ODD ^ _SALT).min(1, keepdims=True))
+    rows = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
+    return keys.view(np.int64)
 
 
 def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("fp", pa.int64()), ("pieces", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
         for ids, texts in rows(batches):
-            out = []
-            for text in texts:
-                words = fold(text)
-                found = {majority(shingle_digests(p, width)) for p in pieces(words, cache) if len(p) >= min(width, len(words))}
-                kept = sorted(found, key=lambda v: int(mix(np.array([v], dtype=np.int64).view(np.uint64))[0]))[:PIECES]
-                digests = shingle_digests(words, width)
-                out.append((len(set(digests.view(">u8").ravel().tolist())), majority(digests), kept))
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+            found = [shingle_hashes(fold(t), cache, width) for t in texts]
+            keys = pa.array([band_keys(s) for s in found], schema.field("keys").type)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), keys], schema=schema)
 
     return run
 
@@ -186,53 +190,78 @@ def _alike(width: int, similarity: float):
     return run
 
 
+def _verified(found: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The candidates a, b whose shingles are alike."""
+    # Texts move once by id; then only those of candidates move, to meet their partners.
+    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    ends = stage(ends.join(base, "doc_id"), "near-texts")
+    left = ends.where("doc_id = a").select("a", "b", F.col("text").alias("left"))
+    right = ends.where("doc_id = b").select("a", "b", F.col("text").alias("right"))
+    both = left.join(right, ["a", "b"]).select("a", "b", "left", "right")
+    return stage(both.mapInArrow(_alike(width, similarity), "a long, b long"), "near-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: classes of rows with equal texts or linked by ``similarity`` of their shingles or more.
 
-    Candidates: fingerprints of whole texts within 2 bits, or an equal fingerprint of a piece. Copies count once, with
-    their number. A piece of up to ``SMALL`` texts yields their pairs; of a commoner one each text is held against the
-    two texts with most copies and against one picked by a hash of the piece, so a family of variants meets its origin,
-    and work stays in proportion to the rows. Ids are taken to be unique; rows with a null id are left out.
+    Candidates: texts that share a key (``BANDS``). Copies count once, with their number. A key of up to ``SMALL`` texts
+    yields their pairs. The texts of a commoner one are first held against two of them: the one whose keys are shared
+    most, as those of a family's origin are, and one picked by a hash. Whatever is not linked by then is held against all
+    texts of its key: only the texts of the key's largest class need not meet each other. So every two texts that share a
+    key meet or are known to be of one class. Ids are taken to be unique; rows with a null id are left out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     keyed = stage(base.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same")), "near-keys")
     same = stage(keyed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-copies")
-    sketch = base.mapInArrow(_sketch(width), "doc_id long, shingles long, fp long, pieces array<long>")
-    sketch = stage(sketch.join(same.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"), "near-sketch")
-
-    whole = stage(sketch.groupBy("fp").agg(F.min("doc_id").alias("first")), "near-whole")
-    close = links(whole.select("fp"))
-    close = close.join(whole.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    equal = sketch.join(whole, "fp").where("first <> doc_id").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-
-    tall = sketch.select("doc_id", "shingles", "copies", F.explode("pieces").alias("piece"))
-    me = F.struct(F.col("copies"), (-F.col("doc_id")).alias("id"), F.col("shingles"))
-    dice = F.struct(F.xxhash64("doc_id", "piece").alias("h"), (-F.col("doc_id")).alias("id"), F.col("shingles"))
-    held = tall.groupBy("piece").agg(F.count("*").alias("n"), F.max(me).alias("top"), F.max(dice).alias("any")).where("n > 1")
-    held = stage(held, "near-pieces")
-    met = stage(tall.join(held, "piece"), "near-met")
-    small = met.where(F.col("n") <= SMALL).select("piece", "doc_id", "shingles")
-    x, y = small.toDF("piece", "x", "sx"), small.toDF("piece", "y", "sy")
-    alike = (F.least("sx", "sy") >= similarity * F.greatest("sx", "sy"))
-    pairs = x.join(y, "piece").where("x < y").where(alike).select("x", "y")
-    large = met.where(F.col("n") > SMALL)
-    stars = large.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), F.explode(F.array(F.struct(F.col("top.id").alias("id"), F.col("top.shingles").alias("s")), F.struct(F.col("any.id").alias("id"), F.col("any.shingles").alias("s")))).alias("o"))
+    sketch = base.mapInArrow(_sketch(width), "doc_id long, shingles long, keys array<long>")
+    sketch = stage(sketch.join(same.select(F.col("rep").alias("doc_id")), "doc_id"), "near-sketch")
+
+    tall = sketch.select("doc_id", "shingles", F.explode("keys").alias("key"))
+    held = stage(tall.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-held")
+    met = stage(tall.join(held, "key"), "near-met")
+    alike = F.least("sx", "sy") >= similarity * F.greatest("sx", "sy")
+    small = met.where(F.col("n") <= SMALL).select("key", "doc_id", "shingles")
+    pairs = small.toDF("key", "x", "sx").join(small.toDF("key", "y", "sy"), "key").where("x < y").where(alike).select("x", "y")
+    large = met.where(F.col("n") > SMALL).select("key", "doc_id", "shingles", "n")
+    shared = large.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    large = stage(large.drop("n").join(shared, "doc_id"), "near-large")
+    me = F.struct("shared", (-F.col("doc_id")).alias("id"), "shingles")
+    dice = F.struct(F.xxhash64("doc_id", "key").alias("h"), (-F.col("doc_id")).alias("id"), "shingles")
+    hubs = stage(large.groupBy("key").agg(F.max(me).alias("top"), F.max(dice).alias("any")), "near-hubs")
+    hub = F.explode(F.array(*[F.struct(F.col(h)["id"].alias("id"), F.col(h)["shingles"].alias("s")) for h in ("top", "any")]))
+    stars = large.join(hubs, "key").select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), hub.alias("o"))
     stars = stars.select((-F.col("o.id")).alias("x"), F.col("o.s").alias("sx"), "y", "sy").where("x <> y").where(alike).select("x", "y")
-    found = close.select("x", "y").unionByName(equal).unionByName(pairs).unionByName(stars)
-    found = stage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-candidates")
-
-    # Texts move once by id; then only those of candidates move, to meet their partners.
-    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    ends = stage(ends.join(base, "doc_id"), "near-texts")
-    left = ends.where("doc_id = a").select("a", "b", F.col("text").alias("left"))
-    right = ends.where("doc_id = b").select("a", "b", F.col("text").alias("right"))
-    both = left.join(right, ["a", "b"]).select("a", "b", "left", "right")
-    sure = stage(both.mapInArrow(_alike(width, similarity), "a long, b long"), "near-links")
+    found = pairs.unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = stage(found, "near-candidates")
+    sure = _verified(found, base, width, similarity)
+
+    rest = _apart(large, sure, alike)
+    if rest is not None:
+        rest = stage(rest.join(found, ["a", "b"], "left_anti"), "near-candidates")
+        sure = sure.unionByName(_verified(rest, base, width, similarity))
     linked = components(sure).select(F.col("node").alias("rep"), "component")
     classed = stage(same.join(linked, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id")), "near-classes")
     return keyed.join(classed, "same").select("doc_id", "component_id")
 
 
+def _apart(large: DataFrame, sure: DataFrame, alike) -> DataFrame | None:
+    """a, b: pairs that share a key of ``large`` and that the links so far leave in two classes; None without any."""
+    if large.isEmpty():
+        return None
+    linked = components(sure).select(F.col("node").alias("doc_id"), "component")
+    named = large.join(linked, "doc_id", "left").select("key", "doc_id", "shingles", F.coalesce("component", "doc_id").alias("class"))
+    named = stage(named, "near-named")
+    counts = named.groupBy("key", "class").agg(F.count("*").alias("k"))
+    most = counts.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class"))["class"].alias("most")).where("classes > 1")
+    open_ = stage(named.join(stage(most, "near-open"), "key"), "near-apart")
+    if open_.isEmpty():
+        return None
+    x = open_.where("class <> most").select("key", F.col("doc_id").alias("x"), F.col("shingles").alias("sx"), F.col("class").alias("cx"))
+    y = open_.select("key", F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), F.col("class").alias("cy"))
+    pairs = x.join(y, "key").where("cx <> cy").where(alike)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates of a smaller id; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)

@@ -120,6 +120,36 @@ def test_near_duplicates_by_similarity(spark, sf, odd):
     assert {5, 8} <= kept and not {6, 7, 9} & kept
 
 
+def test_family_whose_origin_is_in_the_middle(spark):
+    rng = np.random.default_rng(6)
+    origin = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    texts = {}
+    for i in range(300):
+        words = list(origin)
+        for at in rng.choice(np.arange(10, 190, 10), 3, replace=False):
+            words[at] = f"new{i}x{at}"
+        texts[i if i < 150 else i + 1] = " ".join(words)
+    texts[150] = " ".join(origin)
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == 301 and {r.component_id for r in got} == {0}
+
+
+def test_crowd_without_an_origin_loses_no_pair(spark):
+    rng = np.random.default_rng(7)
+    origin = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    texts, n = {}, 0
+    for _ in range(40):  # pairs alike, apart from all others
+        words = list(origin)
+        for at in rng.choice(np.arange(10, 190, 6), 4, replace=False):
+            words[at] = f"new{n}x{at}"
+        for k in range(2):
+            texts[n], n = " ".join([*words[:-1], f"last{k}"]), n + 1
+    grams = {i: five(t) for i, t in texts.items()}
+    near = [(a, b) for a, b in itertools.combinations(texts, 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes_of(sorted(texts), near)
+
+
 # 2
 
 
