@@ -150,6 +150,22 @@ def test_crowd_without_an_origin_loses_no_pair(spark):
     assert {r.doc_id: r.component_id for r in got} == classes_of(sorted(texts), near)
 
 
+@pytest.mark.parametrize("size", [10, 22, 30, 40, 60, 100, 200])
+def test_pairs_of_every_length_share_a_key(size):
+    rng = np.random.default_rng(size)
+    cache = WordHashes()
+    missed = 0
+    for _ in range(300):
+        words = [b"%d" % x for x in rng.integers(0, 10**6, size)]
+        other = [*words[:-1], b"changed"]
+        if size > 50:
+            other[int(rng.integers(5, size - 5))] = b"too"
+        x, y = (simhash.shingle_hashes(w, cache, 5) for w in (words, other))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            missed += not (simhash.band_keys(x) == simhash.band_keys(y)).any()
+    assert missed == 0
+
+
 # 2
 
 
