@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after . ! ? … with white space behind, at line ends, and inside long runs of words where
-the words themselves say so, so that a copied passage is cut the same way wherever it stands. Every shortest run of
-consecutive sentences with ``SPAN`` words or more is hashed, from each sentence on and up to each sentence. A run that
-occurs more than once in the corpus keeps its first occurrence, by (doc_id, place); sentences covered by any other are
-removed. So a passage of about 2 x SPAN words or more that repeats goes wherever it isn't first, while single common
-sentences stay.
+A text is cut into pieces: after . ! ? … with white space behind, at line ends, and everywhere where the words themselves
+say so: of any ``REACH`` pairs of words in a row, the one with the least hash makes a cut. So a copied passage is cut the
+same way wherever it stands, but for its first and last ``REACH`` words. Every shortest run of consecutive pieces with
+``SPAN`` words or more is hashed, from each piece on and up to each piece. A run that occurs more than once in the corpus
+keeps its first occurrence, by (doc_id, place); pieces covered by any other are removed. A passage of 50 words has a cut
+common to all copies after 10 words or fewer, and the first cut SPAN words or more behind that is at most 8 words further
+and still common to them: so one of 50 words or more that repeats always goes wherever it isn't first, but for up to 10
+words at its ends, while single common sentences stay.
 
 How it scales: one row per run goes through two shuffles by hash: the first sums up per task before it is shuffled, so
 a passage that a third of all rows hold is one partial row per task; the second is a plain join of staged tables that
@@ -22,6 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,55 +33,82 @@ from .words import WordHashes, small, windows
 
 #: Least words of a run that counts as repeated.
 SPAN = 24
-#: Runs of words without a sentence end are cut where a hash of two words is divisible by this.
-LONG = 12
+#: Of so many pairs of words in a row, the one with the least hash makes a cut, so pieces have at most as many words.
+REACH = 9
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|\n")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def sentences(text: str, cache: WordHashes) -> tuple[list[int], list[list[bytes]]]:
-    """Ends (exclusive, in characters) and words of the sentences; only pieces with words count, together they span the text."""
+def _parts(text: str) -> tuple[list[int], list[list[bytes]]]:
+    """Ends (exclusive, in characters) and words of the sentences as punctuation and line ends cut them."""
     ends, words, last = [], [], 0
     for cut in (*(m.end() for m in _END.finditer(text)), len(text)):
-        part = text[last:cut]
-        own = part.encode("utf-8").lower().split()
-        if not own:
-            continue
-        if len(own) > 2 * LONG:
-            marks = (np.flatnonzero(windows(cache.array(own), 2) % np.uint64(LONG) == 0) + 2).tolist()
-            marks = [m for m in marks if m < len(own)]
-            if marks:
-                places = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", part)]
-                for a, b in zip([0, *marks], marks):
-                    ends.append(last + places[b - 1])
-                    words.append(own[a:b])
-                own = own[marks[-1] :]
-        ends.append(cut)
-        words.append(own)
-        last = cut
+        own = text[last:cut].encode("utf-8").lower().split()
+        if own:
+            ends.append(cut)
+            words.append(own)
+            last = cut
     if ends:
         ends[-1] = len(text)
     return ends, words
 
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    """Cuts (words before them) that the words themselves make: after the last least pair of any ``REACH`` in a row."""
+    pairs = windows(h, 2)
+    if len(pairs) < REACH:
+        return np.empty(0, dtype=np.int64)
+    least = REACH - 1 - sliding_window_view(pairs, REACH)[:, ::-1].argmin(1)
+    chosen = np.zeros(len(h) + 1, dtype=bool)
+    chosen[np.arange(len(least)) + least + 2] = True
+    return np.flatnonzero(chosen[:-1])
+
+
+def _cuts(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the words before each cut, from 0 to their number."""
+    h = cache.array([w for s in words for w in s])
+    chosen = np.zeros(len(h) + 1, dtype=bool)
+    chosen[[0, *accumulate(map(len, words))]] = True
+    chosen[_marks(h)] = True
+    return h, np.flatnonzero(chosen)
+
+
+def sentences(text: str, cache: WordHashes) -> tuple[list[int], list[list[bytes]]]:
+    """Ends (exclusive, in characters) and words of all pieces; only pieces with words count, together they span the text."""
+    own, parts = _parts(text)
+    if not own:
+        return [], []
+    at = _cuts(parts, cache)[1].tolist()
+    ends, words, k, done, last = [], [], 1, 0, 0
+    for end, part in zip(own, parts):
+        places, begin = None, 0
+        while begin < len(part):
+            upto = at[k] - done
+            if upto < len(part):
+                places = places or [m.end() for m in _WORD.finditer(text[last:end])]
+                ends.append(last + places[upto - 1])
+            else:
+                ends.append(end)
+            words.append(part[begin:upto])
+            begin, k = upto, k + 1
+        done, last = done + len(part), end
+    return ends, words
+
+
+def _spans(sums: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """first and last of the shortest runs with ``least`` words, from and up to each piece, from the words before each cut."""
+    n = len(sums) - 1
+    after = np.searchsorted(sums, sums[:-1] + least, "left")
+    first = np.flatnonzero(after <= n)
+    before = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    last = np.flatnonzero(before >= 0)
+    key = np.unique(np.concatenate([first * (n + 1) + after[first] - 1, before[last] * (n + 1) + last]))
+    return key // (n + 1), key % (n + 1)
+
+
 def spans(counts: list[int], least: int = SPAN) -> set[tuple[int, int]]:
-    """(first, last) of the shortest runs of sentences with ``least`` words, from and up to each sentence."""
-    sums = [0, *accumulate(counts)]
-    out, last = set(), 0
-    for first in range(len(counts)):
-        while last < len(counts) and sums[last] - sums[first] < least:
-            last += 1
-        if sums[last] - sums[first] < least:
-            break
-        out.add((first, last - 1))
-    first = len(counts)
-    for last in range(len(counts), 0, -1):
-        first = min(first, last)
-        while first > 0 and sums[last] - sums[first] < least:
-            first -= 1
-        if sums[last] - sums[first] < least:
-            break
-        out.add((first, last - 1))
-    return out
+    """(first, last) of the shortest runs of pieces with ``least`` words, from and up to each piece."""
+    return set(zip(*(k.tolist() for k in _spans(np.array([0, *accumulate(counts)]), least))))
 
 
 def _runs(least: int):
@@ -92,19 +122,15 @@ def _runs(least: int):
                 text = texts[i].as_py()
                 if not text:
                     continue
-                _, words = sentences(text, cache)
-                counts = [len(w) for w in words]
-                found = sorted(spans(counts, least))
-                if not found:
+                h, at = _cuts(_parts(text)[1], cache)
+                a, b = _spans(at, least)
+                if not len(a):
                     continue
-                h = cache.array([w for s in words for w in s])
-                at = np.array([0, *accumulate(counts)])
-                a, b = np.array(found).T
                 # a polynomial of the words in a run, from prefix sums
                 powers, inverse = _powers(len(h))
                 prefix = np.concatenate([[np.uint64(0)], np.cumsum((h ^ (h >> np.uint64(31))) * powers)])
                 hashes.append((prefix[at[b + 1]] - prefix[at[a]]) * inverse[at[a]])
-                names += [doc_id] * len(found)
+                names += [doc_id] * len(a)
                 places.append((nth << 40) + (a << 16) + b - a)
             joined = np.concatenate(hashes or [np.empty(0, dtype=np.uint64)]).view(np.int64)
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(np.concatenate(places or [np.empty(0, dtype=np.int64)])), pa.array(joined)], schema=schema)
@@ -132,9 +158,12 @@ def _cut(batches):
         texts = batch.column(2)
         for i, ranges in enumerate(batch.column(3).to_pylist()):
             text = texts[i].as_py()
-            ends, _ = sentences(text, cache) if text else ([], [])
+            if not ranges:
+                out.append((len(_cuts(_parts(text)[1], cache)[1]) - 1 if text else 0, 0, text))
+                continue
+            ends, _ = sentences(text, cache)
             gone = np.zeros(len(ends) + 1, dtype=np.int64)
-            for r in ranges or ():
+            for r in ranges:
                 gone[r["first"]] += 1
                 gone[r["last"] + 1] -= 1
             gone = np.cumsum(gone[:-1]) > 0

@@ -489,6 +489,22 @@ def test_passages_go_and_the_rest_stays(spark):
             assert set(a.split()) | set(b.split()) <= set(got[i].split()) and len(left) < 0.4 * len(m.split())
 
 
+@pytest.mark.parametrize("size", [50, 51, 55, 60])
+def test_short_passages_in_mid_sentence(spark, size):
+    rng = np.random.default_rng(size)
+
+    def words(n):
+        return " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+
+    planted = [words(size) for _ in range(150)]
+    rows = [(2 * i + k, f"{words(40)} {p} {words(33)}") for i, p in enumerate(planted) for k in range(2)]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        own, p = t.split(), planted[i // 2].split()
+        left = set(got[i].split())
+        assert set(own) - set(p) <= left and (len(left & set(p)) <= size - 24 if i % 2 else got[i] == t)
+
+
 def test_substrings_odd(odd, empty, spark):
     got = {r.doc_id: r for r in substrings.dedup(odd).collect()}
     assert len(got) == len(ODD) and got[1].text is None and got[8].text == LONG and got[9].text == "" and got[8].n_removed == 0
