@@ -101,6 +101,13 @@ def test_long_chain_is_one_component(spark):
     assert components.components(chain.limit(0)).count() == 0
 
 
+def test_chain_in_any_order_is_one_component(spark):
+    ids = np.random.default_rng(1).permutation(1000).tolist()
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    got = {r.node: r.component for r in components.components(chain).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+
+
 def test_simhash_odd(odd, empty):
     got = {r.doc_id: r for r in simhash.classes(odd).collect()}
     assert got[1].component_id == got[2].component_id == got[3].component_id == 1 and got[1].fp == 0
