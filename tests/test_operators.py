@@ -302,3 +302,11 @@ def test_facets_break_ties_by_first_row(spark):
 def test_lexicons_keep_order(spark):
     found = one(spark, text.lexicon_tags(F.col("x"), lexicons.PRIMITIVES), x="cuda with raft, simd, zero-copy and wasm")
     assert found == ["Zero-Copy", "SIMD / Vectorized", "WASM / WASI", "Raft Consensus"]
+
+
+def test_range_windows_hold_keys_of_any_size(spark, tmp_path):
+    from lattix.plans.queries_tables import windows
+
+    keys = [-3, 5, 20_000, 20_001, 40_003, 150_000]
+    spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert windows(spark, str(tmp_path)).first().rows == len(keys)
