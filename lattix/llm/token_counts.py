@@ -2,17 +2,20 @@
 
 A pre-token is a word with the vocabulary's word mark in front. Its best segmentation is the one with the largest sum of
 piece scores; ties go to fewer pieces. The best score of a prefix depends on the prefix alone, so distinct pre-tokens
-are put in a trie, the forward score of each node is computed once however many pre-tokens share it, and the node where
-a pre-token ends stores its count.
+are put in a trie, and the forward score of each node is computed once however many pre-tokens share it. Every node stores
+its score and how many pieces it takes; the node where a pre-token ends is kept under that word, with the number of times
+that the text has it.
 
 Scores: the public vocabulary lists its pieces by rank, and a piece of rank r scores -ln(r + 1) (Zipf's law). A character
 that no piece covers costs its UTF-8 bytes, each as a piece of the last rank.
 
-How it scales: one pass without a shuffle. Each Python worker keeps one trie of at most ``NODES`` nodes and starts anew
-beyond it, keeping the last one's counts; the pieces travel as one broadcast whose size is that of the vocabulary file (0.5 MB).
+How it scales: one pass without a shuffle. Each Python worker keeps one trie of at most ``NODES`` nodes, looked at after
+every pre-token, and starts anew beyond it, keeping the last one's results by word (fewer than its nodes); pre-tokens of
+more than ``LONG`` characters are scored by the same recurrence without being kept. The pieces travel as one broadcast
+whose size is that of the vocabulary file (0.5 MB).
 
 Results for odd inputs: a null or blank text has no pre-tokens and score 0; very long words are cut like others (work
-grows with their length times that of the longest piece); repeated rows, null ids and extra columns are no matter; an
+grows with their length times that of the longest piece, memory with that of the longest piece); repeated rows, null ids and extra columns are no matter; an
 empty table gives an empty result.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import math
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -31,6 +35,8 @@ from .words import small
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 NODES = 400_000
+#: Characters of pre-tokens that are kept in the trie.
+LONG = 1000
 
 
 def piece_scores(path: str = PIECES) -> dict[str, float]:
@@ -61,55 +67,81 @@ class Trie:
 
     def __init__(self, scores: dict[str, float], nodes: int = NODES):
         self.limit, self.endings = nodes, endings(scores)
+        self.longest = max(map(len, scores), default=1)
         self.floor = -math.log(len(scores) + 2)
-        self.tokens: dict[str, int] = {}
-        self.values: dict[str, float] = {}
+        self.known: dict[str, list] = {}
         self._renew()
 
     def _renew(self) -> None:
         """A new trie; what the words of the last one came to is kept for one more generation."""
-        self.old = self.tokens, self.values
-        self.tokens, self.values = {}, {}
-        self.size, self.root = 0, [{}, 0.0, 0]
-
-    def insert(self, word: str) -> None:
+        self.old = {word: node[1:] for word, node in self.known.items()}
+        self.known, self.size, self.root = {}, 0, [{}, 0.0, 0]
+
+    def _step(self, token: str, end: int, path: list, shift: int = 0) -> list:
+        """The node after character ``end``, from those before it (``path[0]`` is the one at character ``shift``)."""
+        char = token[end]
+        n_bytes = len(char.encode("utf-8"))
+        before = path[end - shift]
+        best, pieces = before[1] + n_bytes * self.floor, before[2] + n_bytes
+        ending, start = self.endings.get(char), end
+        while ending is not None:
+            if "" in ending:
+                before = path[start - shift]
+                total, count = before[1] + ending[""], before[2] + 1
+                if total > best or total == best and count < pieces:
+                    best, pieces = total, count
+            if start == shift:
+                break
+            start -= 1
+            ending = ending.get(token[start])
+        return [{}, best, pieces]
+
+    def insert(self, word: str) -> list:
         token, node = MARK + word, self.root
         path = [node]
         for end, char in enumerate(token):
             child = node[0].get(char)
             if child is None:
-                n_bytes = len(char.encode("utf-8"))
-                best, pieces = node[1] + n_bytes * self.floor, node[2] + n_bytes
-                ending, start = self.endings.get(char), end
-                while ending is not None:
-                    if "" in ending:
-                        before = path[start]
-                        total, count = before[1] + ending[""], before[2] + 1
-                        if total > best or total == best and count < pieces:
-                            best, pieces = total, count
-                    if start == 0:
-                        break
-                    start -= 1
-                    ending = ending.get(token[start])
-                child = node[0][char] = [{}, best, pieces]
+                child = node[0][char] = self._step(token, end, path)
                 self.size += 1
             path.append(child)
             node = child
-        self.values[word], self.tokens[word] = node[1], node[2]
+        return node
+
+    def long(self, word: str) -> list:
+        """The last node of a word that is not kept: only nodes within the reach of a piece are held."""
+        token, path, shift = MARK + word, [self.root], 0
+        for end in range(len(token)):
+            path.append(self._step(token, end, path, shift))
+            if len(path) > 4 * self.longest + 1000:
+                drop = len(path) - 1 - self.longest
+                del path[:drop]
+                shift += drop
+        return path[-1]
+
+    def find(self, word: str) -> list:
+        """[..., score, pieces] of a word."""
+        found = self.known.get(word) or self.old.get(word)
+        if found is None:
+            if len(word) > LONG:
+                return self.long(word)
+            found = self.insert(word)
+        if len(found) == 2:
+            found = [None, *found]
+        self.known[word] = found
+        if self.size > self.limit or len(self.known) > self.limit:
+            self._renew()
+        return found
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Pre-tokens, tokens and score of a text."""
         words = text.split() if text else []
-        if self.size > self.limit:
-            self._renew()
-        known, (tokens, values) = self.tokens, self.old
-        for word in set(words):
-            if word not in known:
-                if word in tokens:
-                    known[word], self.values[word] = tokens[word], values[word]
-                else:
-                    self.insert(word)
-        return len(words), sum(map(self.tokens.__getitem__, words)), math.fsum(map(self.values.__getitem__, words))
+        tokens, values = 0, []
+        for word, times in Counter(words).items():
+            node = self.known.get(word) or self.find(word)
+            tokens += times * node[2]
+            values.append(times * node[1])
+        return len(words), tokens, math.fsum(values)
 
 
 _TRIES: dict[int, Trie] = {}
