@@ -7,8 +7,8 @@ waiting). Plain documents may be cut: then stretches of a whole sequence go out
 is closed with the beginning of the longest one, and the last, part-filled sequences of a task are cut to powers of two,
 so that they need no padding either.
 
-How it scales: one pass without a shuffle. Each task packs its own rows from a pool of at most ``POOL`` examples, so
-memory is bounded by the pool and a hot source is spread as the input files are. A task that is run again packs the same
+How it scales: one pass without a shuffle. Each task packs its own rows from a pool of at most ``POOL`` examples; of a
+document only the ids that still wait for a place are held (less than a sequence's length), so memory is bounded by the pool and a hot source is spread as the input files are. A task that is run again packs the same
 rows to the same sequences.
 
 Results for odd inputs: a null or empty text is its end id alone; repeated rows are packed each for itself; an example
@@ -38,10 +38,13 @@ GAP = 24
 
 
 class Packer:
-    """Fills sequences. ``emit`` gets (key, start, length, sequence, offset) for each piece."""
+    """Fills sequences. ``emit`` gets (key, start, length, sequence, offset) for each piece.
 
-    def __init__(self, emit: Callable, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH, cut: bool = False, pool: int = POOL):
-        self.emit, self.cut, self.pool = emit, cut, pool
+    ``rest(key, start)`` gives the key under which the tokens from ``start`` on wait.
+    """
+
+    def __init__(self, emit: Callable, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH, cut: bool = False, pool: int = POOL, rest: Callable | None = None):
+        self.emit, self.cut, self.pool, self.rest = emit, cut, pool, rest
         self.limits = np.array([length, segments, loss], dtype=np.float64)
         self.length, self.sequences = length, 0
         self.keys: list = []
@@ -66,7 +69,7 @@ class Packer:
             self._fill()
 
     def _wait(self, key, start: int, tokens: int, loss: int) -> None:
-        self.keys.append(key)
+        self.keys.append(self.rest(key, start) if self.rest else key)
         self.starts.append(start)
         self.need[self.n] = tokens, 1, loss
         self.n += 1
@@ -140,21 +143,28 @@ def _pack_texts(vocab, end_id: int, length: int, segments: int):
     def run(batches):
         encode, base, out = encoder(vocab.value, end_id).ids, _sequence_base(), []
 
+        # a key is (doc_id, ids, place of the first of them in the document, ids of the document)
         def emit(key, start, tokens, sequence, offset):
-            doc_id, ids = key
-            out.append((doc_id, start, tokens, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + tokens)]), len(ids) // 4, base + sequence, offset))
+            doc_id, ids, at, whole = key
+            crc = zlib.crc32(memoryview(ids)[4 * (start - at) : 4 * (start - at + tokens)])
+            out.append((doc_id, start, tokens, crc, whole, base + sequence, offset))
+
+        def rest(key, start):
+            doc_id, ids, at, whole = key
+            return doc_id, ids[4 * (start - at) :], start, whole
 
         def flush():
             cols = list(zip(*out)) or [[]] * 7
             out.clear()
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _PIECES)], schema=_PIECES)
 
-        packer = Packer(emit, length, segments, length, cut=True)
+        packer = Packer(emit, length, segments, length, cut=True, rest=rest)
         for batch in small(batches):
             texts = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 ids = encode(texts[i].as_py())
-                packer.add((doc_id, ids), len(ids) // 4, len(ids) // 4)
+                n = len(ids) // 4
+                packer.add((doc_id, ids, 0, n), n, n)
             yield flush()
         packer.close()
         yield flush()
