@@ -2,7 +2,8 @@
 
 Each text is measured and held against two rules (too few words; too many words inside repeated windows). Failures are
 summed per host, the failure rate of a host is shrunk towards the rate of all hosts by a beta prior fitted to the hosts
-themselves (method of moments), and a host whose shrunk rate is above ``REJECT`` loses all its documents.
+themselves (method of moments), and a host loses all its documents if its shrunk rate is above ``TIMES`` the mean of all
+hosts, or above ``MOST`` where that is less. Below ``LEAST`` no host goes.
 
 How it scales: one pass over the texts in Arrow batches, one map-side summed aggregate by host (a host with a third of
 all rows sends one partial row per task), one-row statistics for the prior, and a join of verdicts. Only rejected hosts
@@ -26,8 +27,8 @@ MIN_WORDS = 20
 #: Largest share, in hundredths, of words inside windows found twice or more.
 MAX_REPEATED = 30
 WINDOW = 8
-#: A host is rejected if its shrunk failure rate is above this.
-REJECT = 0.5
+#: A host is rejected if its shrunk failure rate is above so many times the mean, held between LEAST and MOST.
+TIMES, LEAST, MOST = 3.0, 0.2, 0.5
 #: Rejected hosts that are broadcast; more of them are joined by a shuffle.
 BROADCAST_HOSTS = 10_000
 
@@ -96,7 +97,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
     prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))  # one row
     strength = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.when(F.col("v") > 0, F.col("v")) - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
     shrunk = (F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))
-    return hosts.crossJoin(F.broadcast(prior.withColumn("s", strength))).select("host", "n", "failed", shrunk.alias("rate"), (shrunk > REJECT).alias("rejected"))
+    bar = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.lit(TIMES) * F.col("m")))
+    return hosts.crossJoin(F.broadcast(prior.withColumn("s", strength))).select("host", "n", "failed", shrunk.alias("rate"), (shrunk > bar).alias("rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -160,7 +162,7 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} *
 h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed FROM f GROUP BY source),
 b AS (SELECT sum(failed) / sum(n) AS mu, var_pop(failed / n) AS v FROM h),
 s AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM b),
-x AS (SELECT source, (failed + s * mu) / (n + s) > {REJECT} AS rejected FROM h, s)
+x AS (SELECT source, (failed + s * mu) / (n + s) > least({MOST}, greatest({LEAST}, {TIMES} * mu)) AS rejected FROM h, s)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM f JOIN x ON f.source IS NOT DISTINCT FROM x.source"""
 
