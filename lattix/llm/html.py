@@ -6,7 +6,9 @@ is discounted by its link density. The best container is kept together with thos
 or are plain paragraphs with few links; menus, forms, adverts, notices, comments of readers and other furniture are
 taken out by tag, role and class words before and inside the container.
 
-How it scales: pages are independent; one pass, no shuffle, Arrow batches. The tree of one page is all that is held.
+How it scales: pages are independent; one pass, no shuffle, Arrow batches. The tree of one page is all that is held. Work
+grows with a page's length, whatever its markup: no pattern tries a place twice, elements nested deeper than ``DEPTH`` become
+siblings (as in browsers; their text stays), and sums go up the tree once.
 
 Results for odd inputs: a null or empty page, or one without text, gives the empty string; broken markup is repaired
 as browsers do where it matters here (unclosed paragraphs, stray end tags, cut files); pages of any length are read
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,33 +39,43 @@ BLOCK = frozenset(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that never belong to the text.
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video form button input select textarea label fieldset nav aside footer menu dialog search title xmp noembed noframes datalist".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg audio video form button input select textarea nav aside footer menu dialog search title noembed noframes datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status".split())
-#: Words in class or id that mark furniture, and those that mark content.
+#: Words in class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and readers' comments.
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|comment-?list|discuss\w*|disqus|respond|repl(?:y|ies)|reader-?comments?|cookies?|consent|gdpr|notice|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|more-?stories|sidebar|side-?bar|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"pager|pagination|toolbar|footer|masthead|site-?header|page-?header|tags|tag-?cloud|skip-?link|alert|disclaimer|copyright|legal|hidden|visually-hidden|sr-only)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|toolbar|skip-?link|masthead|site-?header|page-?header|footer|sidebar|side-?bar|widget\w*|"
+    r"cookies?|consent|gdpr|notice|banner|popup|modal|overlay|alert|ads?|adbox|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscribe|signup|login|"
+    r"comments?|comment-?list|discuss\w*|disqus|respond|repl(?:y|ies)|reader-?comments?|visually-hidden|sr-only)(?:$|[\s_-])", re.I
 )
 _CONTENT = re.compile(r"article|body|content|entry|main|post|story|text|prose|blog", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*\Z|</?[a-zA-Z][^<>]*>?", re.S)
+#: A tag ends at > outside quotes; one that meets another < before it is broken, and ends there.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>?", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _COMMAS = re.compile("[,،、，;；]")
 #: A paragraph needs this many characters to earn points.
 LEAST = 25
+#: Elements nested deeper become siblings.
+DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "attributes", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "attributes", "score", "chars", "linked", "depth", "out")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.items: list = []  # nodes and strings, in order
         self.score, self.chars, self.linked = 0.0, 0, 0
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.out: bool | None = None
 
     def furniture(self) -> bool:
+        if self.out is None:
+            self.out = self._furniture()
+        return self.out
+
+    def _furniture(self) -> bool:
         if self.tag in DROPPED:
             return True
         a = self.attributes
@@ -74,9 +87,24 @@ class Node:
         return bool(_FURNITURE.search(names)) and self.tag not in ("body", "html", "article", "main") and not (self.tag != "section" and re.search(r"(?:^|[\s_-])(?:article|main|entry|post)-?(?:body|content|text)(?:$|[\s_-])", names, re.I))
 
 
-def parse(page: str) -> Node:
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The tree, and its nodes in page order."""
     root = Node("html", None, {})
-    at, last, raw = root, 0, ""
+    nodes = [root]
+    at, last = root, 0
+    deep: list[str] = []  # tags that are open beyond DEPTH
+    opened: Counter = Counter()  # open elements by tag
+    ends: dict[str, re.Pattern] = {}
+
+    def closed(upto: Node) -> Node:
+        """Leave the open elements below ``upto``."""
+        here = at
+        while here is not upto:
+            opened[here.tag] -= 1
+            here = here.parent
+        deep.clear()
+        return upto
+
     for m in _TOKEN.finditer(page):
         if m.start() < last:
             continue
@@ -88,14 +116,18 @@ def parse(page: str) -> Node:
             continue
         tag = named[1].lower()
         if token[1] == "/":
-            up = at
+            if tag in deep[-DEPTH:]:
+                while deep.pop() != tag:
+                    pass
+                continue
+            up = at if opened[tag] else None
             while up is not None and up.tag != tag:
                 if tag not in BLOCK and up.tag in BLOCK:
                     up = None  # an inline end tag doesn't close blocks
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = closed(up.parent)
             elif tag == "br":
                 at.items.append(Node("br", at, {}))
             continue
@@ -110,25 +142,32 @@ def parse(page: str) -> Node:
             while up is not None and up.tag not in BLOCK:
                 up = up.parent
             if up is not None and up.tag == "p" and up.parent is not None:
-                at = up.parent  # a block ends an open paragraph
+                at = closed(up.parent)  # a block ends an open paragraph
         if tag in _ENDS:
             up = at
             while up is not None and up.tag not in _SCOPE[tag]:
                 if up.tag in _ENDS[tag] and up.parent is not None:
-                    at = up.parent
+                    at = closed(up.parent)
                 up = up.parent
         node = Node(tag, at, attributes)
+        nodes.append(node)
         at.items.append(node)
         if tag in RAW and not token.endswith("/>"):
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, last)
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{tag}(?=[\s/>])", re.I)
+            end = ends[tag].search(page, last)
             last = len(page) if end is None else end.start()
             close = page.find(">", last)
             last = len(page) if end is None or close < 0 else close + 1
         elif tag not in VOID and not (token.endswith("/>") and tag not in BLOCK):
-            at = node
+            if node.depth < DEPTH:
+                at = node
+                opened[tag] += 1
+            else:
+                deep.append(tag)
     if last < len(page):
         at.items.append(page[last:])
-    return root
+    return root, nodes
 
 
 def blocks(node: Node, wanted=None) -> Iterator[tuple[Node, str, int]]:
@@ -176,16 +215,13 @@ def _points(text: str) -> float:
     return 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3) if len(text) >= LEAST else 0.0
 
 
-def score(root: Node) -> list[Node]:
+def score(root: Node, nodes: list[Node]) -> list[Node]:
     """Pass every paragraph's points up; the containers that got some, in page order."""
     seen: dict[int, Node] = {}
     for owner, text, linked in blocks(root):
         points = _points(text)
-        up = owner
-        while up is not None:
-            up.chars += len(text)
-            up.linked += min(linked, len(text))
-            up = up.parent
+        owner.chars += len(text)
+        owner.linked += min(linked, len(text))
         if not points:
             continue
         holder = owner.parent if owner.parent is not None and owner.tag in ("p", "pre", "blockquote", "li", "dd", "td") else owner
@@ -197,6 +233,10 @@ def score(root: Node) -> list[Node]:
                 holder.score += (10 if holder.tag in ("article", "main") else 0) + (10 if _CONTENT.search(names) else 0)
             holder.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
             holder, level = holder.parent, level + 1
+    for node in reversed(nodes):  # children before their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     for holder in seen.values():
         holder.score *= 1 - holder.linked / max(1, holder.chars)
     return list(seen.values())
@@ -205,8 +245,8 @@ def score(root: Node) -> list[Node]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    holders = score(root)
+    root, nodes = parse(page)
+    holders = score(root, nodes)
     if not holders:
         # no paragraph is long enough to earn points: what an article or main element holds, else all that is no furniture
         stack, best = [root], root
