@@ -6,7 +6,7 @@ offset, so a reader can start there. ``read`` decodes each block for itself: all
 table together. A folder holds ``code`` (id, bits: canonical codes follow from the lengths) and ``blocks`` (part, block,
 first_id, doc_ids, doc_tokens, payload, checkpoints), both Parquet, so any store that Spark reaches will do.
 
-How it scales: ids are made once and staged as 2-byte values; counts are summed per task before they are shuffled (at
+How it scales: ids are made once and staged as 2-byte values (4 bytes where the vocabulary has larger ids); counts are summed per task before they are shuffled (at
 most one row per id and task); the driver only sees one count per id of the vocabulary, a fixed bound. Range
 partitioning on doc_id keeps the global order; the position of a block's first id is kept within its part, and the parts'
 totals (one row per part) are added up when reading.
@@ -30,8 +30,9 @@ from .staging import shared_dir, stage
 from .tokens import END_ID, VOCABULARY, encoder, vocabulary
 from .words import small
 
-#: Longest code in bits; a decoding table has 2 ** MAX_BITS entries.
+#: Longest code in bits, or one more than the used ids need to be told apart; a decoding table has 2 ** bits entries.
 MAX_BITS = 16
+WIDEST = 24
 BLOCK = 262_144
 LANE = 128
 
@@ -44,8 +45,9 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
         bits[used] = 1
     if len(used) < 2:
         return bits
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} symbols need codes of more than {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length() + 1) if len(used) > 1 << limit else limit
+    if limit > WIDEST:
+        raise ValueError(f"a vocabulary of {len(used)} ids is beyond codes of {WIDEST} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.float64)
     levels, packages = [], np.empty(0)
@@ -75,8 +77,9 @@ def canonical(bits: np.ndarray) -> np.ndarray:
     return codes
 
 
-def table(bits: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, bits) for each value of the next ``limit`` bits."""
+def table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, bits) for each value of as many next bits as the longest code has, or ``MAX_BITS``."""
+    limit = max(MAX_BITS, int(bits.max(initial=0)))
     order = np.lexsort((np.arange(len(bits)), bits))
     order = order[np.count_nonzero(bits == 0) :]
     spans = 1 << (limit - bits[order].astype(np.int64))
@@ -104,54 +107,68 @@ def encode(ids: np.ndarray, bits: np.ndarray, codes: np.ndarray) -> tuple[bytes,
 
 
 def decode(payload: bytes, checkpoints: bytes, n: int, symbols: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(payload + bytes(LANE * MAX_BITS // 8 + 3), dtype=np.uint8).astype(np.uint32)
-    next24 = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    limit = len(symbols).bit_length() - 1
+    raw = np.frombuffer(payload + bytes(LANE * limit // 8 + 4), dtype=np.uint8).astype(np.uint32)
+    next32 = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     at = np.frombuffer(checkpoints, dtype="<u8").astype(np.int64)
     out = np.empty((LANE, len(at)), dtype=np.uint32)
     for k in range(LANE):
-        seen = (next24[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        seen = (next32[at >> 3] >> (32 - limit - (at & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
         out[k] = symbols[seen]
         at += widths[seen]
     return out.T.reshape(-1)[:n]
 
 
-def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16-bit) of every text with the end id."""
-    vocab = vocabulary(docs.sparkSession, path)
+def id_width(vocab, end_id: int) -> str:
+    """The least of 2 and 4 bytes that hold every id of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    largest = max([end_id, *Tokenizer.from_str(vocab.value).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
+def token_ids(docs: DataFrame, id_col: str, text_col: str, vocab, width: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids (little-endian, unsigned, of the given width) of every text with the end id."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         ids = encoder(vocab.value, end_id).ids
         for batch in small(batches):
             texts = batch.column(1)
-            short = [np.frombuffer(ids(texts[i].as_py()), dtype="<u4").astype("<u2").tobytes() for i in range(len(texts))]
-            yield pa.record_batch([batch.column(0), pa.array(short, pa.binary())], schema=schema)
+            packed = [np.frombuffer(ids(texts[i].as_py()), dtype="<u4").astype(width).tobytes() for i in range(len(texts))]
+            yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _count(batches):
-    total = np.zeros(1 << 16, dtype=np.int64)
-    for batch in small(batches):
-        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=1 << 16)
-    used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
+def _count(width: str):
+    def run(batches):
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in small(batches):
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=width))
+            if len(n) > len(total):
+                n, total = total, n
+            total[: len(n)] += n
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    return run
 
 
 _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary()), ("checkpoints", pa.binary())])
 BLOCKS = "part int, block int, first_id long, doc_ids array<long>, doc_tokens array<long>, payload binary, checkpoints binary"
 
 
-def _write_blocks(bits: np.ndarray):
+def _write_blocks(bits: np.ndarray, width: str):
     def run(batches):
         codes, part, block, first = canonical(bits), TaskContext.get().partitionId(), 0, 0
-        names, held, size = [], [], 0
+        names, held, size, size_of = [], [], 0, np.dtype(width).itemsize
 
         def flush():
             nonlocal block, first, names, held, size
-            ids = np.frombuffer(b"".join(held), dtype="<u2")
+            ids = np.frombuffer(b"".join(held), dtype=width)
             payload, checkpoints = encode(ids, bits, codes)
-            row = pa.record_batch([pa.array([v], f.type) for v, f in zip((part, block, first, names, [len(x) // 2 for x in held], payload, checkpoints), _BLOCKS)], schema=_BLOCKS)
+            row = pa.record_batch([pa.array([v], f.type) for v, f in zip((part, block, first, names, [len(x) // size_of for x in held], payload, checkpoints), _BLOCKS)], schema=_BLOCKS)
             block, first, names, held, size = block + 1, first + len(ids), [], [], 0
             return row
 
@@ -161,7 +178,7 @@ def _write_blocks(bits: np.ndarray):
                 ids = column[i].as_py()
                 names.append(doc_id)
                 held.append(ids)
-                size += len(ids) // 2
+                size += len(ids) // size_of
                 if size >= BLOCK:
                     yield flush()
         if names:
@@ -172,22 +189,25 @@ def _write_blocks(bits: np.ndarray):
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, end_id: int = END_ID) -> None:
     spark = docs.sparkSession
-    ids = stage(token_ids(docs, id_col, text_col, path, end_id), "token-ids")
-    counted = ids.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << 16, dtype=np.int64)
-    for id_, n in counted.collect():  # one row per id of the vocabulary at most
+    vocab = vocabulary(spark, path)
+    width = id_width(vocab, end_id)
+    ids = stage(token_ids(docs, id_col, text_col, vocab, width, end_id), "token-ids")
+    counted = ids.select("ids").mapInArrow(_count(width), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max([0, *(r[0] for r in counted)]) + 1, dtype=np.int64)
+    for id_, n in counted:  # one row per id of the vocabulary at most
         counts[id_] = n
     bits = code_lengths(counts)
     used = np.flatnonzero(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{folder}/code")
     ordered = ids.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
-    ordered.mapInArrow(_write_blocks(bits), BLOCKS).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(_write_blocks(bits, width), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def read(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document of a folder."""
-    bits = np.zeros(1 << 16, dtype=np.uint8)
-    for id_, width in spark.read.parquet(f"{folder}/code").collect():  # as bounded as the vocabulary
+    code = spark.read.parquet(f"{folder}/code").collect()  # as bounded as the vocabulary
+    bits = np.zeros(max([0, *(r[0] for r in code)]) + 1, dtype=np.uint8)
+    for id_, width in code:
         bits[id_] = width
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
