@@ -2,8 +2,9 @@
 
 Every row has a size and may share links (hyperedges, here: equal texts) with others. Rows start on hashed shards.
 In each round the links count their rows by shard, every linked row wishes to move to the shard that holds most of
-its neighbours, and a wish is granted while the target's quota lasts. A row that has no link fills what the linked
-rows leave free, so all shards end within one row of the same number of bytes.
+its neighbours (a link too large for one shard: to one of the few that its bytes need), and a wish is granted while the
+target's quota lasts. Targets are picked anew each round among the shards that have room, until no row wishes to move.
+A row that has no link fills what the linked rows leave free, so all shards end within one row of the same number of bytes.
 
 How it scales: links are joined on a 128-bit key and counted with map-side sums, so a link that holds a third of all
 rows costs one partial row per task and shard. Quotas are decided on a table of at most ``shards`` x ``BANDS`` sums
@@ -24,7 +25,8 @@ from .staging import stage
 LAW = "bytes"
 #: Acceptance bands of a quota: a wish falls into one of these by hash, so that a quota can be cut between two bands.
 BANDS = 512
-ROUNDS = 4
+#: Rounds at most; most corpora need two or three.
+ROUNDS = 8
 #: Rows without links above a shard's share divided by this are placed before the others.
 LARGE = 200
 #: Share of a shard that linked rows may fill while they move; the rest is left to rows without links.
@@ -60,11 +62,14 @@ def _tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of label propagation over (doc_id, row, size, link, label).
-
-    A wish goes to the shard with most rows of the same link among those that still have room (the row's own shard
-    counts as well); ties go to the smaller number of a hash of link and shard. Wishes for a shard are granted by bands
-    of a hash until their sum reaches the room that is left, so loads never pass ``capacity`` by more than one band.
+    """Rounds of label propagation over (doc_id, row, size, text_crc32, link, label), until no row wishes to move.
+
+    A link of G bytes needs k = ceil(G / capacity) shards. Its targets are the k shards with most of its rows among those
+    that have room for its share there (G / k); ties go to the larger hash of link and shard. Where too few of the
+    shards that it lies on have that room, those of all shards that have it follow, and last those without. Rows on a
+    target stay; the others wish for one of the targets, picked by a hash of the row. Wishes for a shard are granted by
+    bands of a hash until their sum reaches the room that is left at the beginning of the round, so loads never pass
+    ``capacity`` by wishes. Links that need one shard fall into one band, so that their rows move together.
     """
     spark = linked.sparkSession
     for step in range(rounds):
@@ -75,23 +80,32 @@ def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROU
             .join(F.broadcast(loads), "label", "left")
             .select("label", F.greatest(F.lit(0.0), F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("room"))
         )
+        room = stage(room, "shard-room")
+        rooms = room.agg(F.sort_array(F.collect_list(F.struct("room", "label")), asc=False).alias("rooms"))  # one row
         # at most `shards` rows for each link, whatever its number of members
         held = linked.groupBy("link", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-        best = (
-            held.join(F.broadcast(room), "label")
-            .groupBy("link")
-            .agg(
-                F.max(F.when(F.col("room") > 0, F.struct("n", _spread("link", "label").alias("tie"), "label"))).alias("best"),
-                F.max(F.struct("n", _spread("link", "label").alias("tie"), "label")).alias("home"),
-            )
-            # a link whose largest part is on a full shard stays there with that part; the others go where there is room
-            .select("link", F.col("home.label").alias("home"), F.coalesce("best.label", "home.label").alias("target"))
+        held = held.join(F.broadcast(room), "label")
+        mine = F.struct("n", _spread("link", "label").alias("tie"), "label", "room", "bytes")
+        per = held.groupBy("link").agg(F.sum("bytes").alias("g"), F.sort_array(F.collect_list(mine), asc=False).alias("held"))
+        k = F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(F.col("g") / F.lit(capacity)))).cast("int")
+        per = per.withColumn("k", k).withColumn("part", F.col("g") / F.col("k")).crossJoin(F.broadcast(rooms))
+        fit = F.transform(F.filter("held", lambda x: x["room"] + x["bytes"] >= F.col("part")), lambda x: x["label"])
+        free = F.transform(F.filter("rooms", lambda x: x["room"] >= F.col("part")), lambda x: x["label"])
+        # which of the free shards comes first goes by the link, so that links don't all ask for the emptiest
+        turn = F.pmod(_spread("link", F.lit(step)), F.greatest(F.size("free"), F.lit(1)).cast("long")).cast("int")
+        turned = F.concat(F.slice("free", turn + 1, F.greatest(F.size("free"), F.lit(1))), F.slice("free", 1, turn))
+        rest = F.transform("held", lambda x: x["label"])
+        per = per.withColumns({"fit": fit, "free": free})
+        targets = F.slice(F.array_distinct(F.concat(F.col("fit"), turned, rest)), 1, F.col("k"))
+        best = stage(per.select("link", "k", targets.alias("targets")), "shard-targets")
+        wish = F.when(F.array_contains("targets", F.col("label")), F.col("label")).otherwise(
+            F.element_at("targets", (F.pmod(_spread("row", F.lit(step)), F.size("targets").cast("long")) + 1).cast("int"))
         )
-        wishes = linked.join(stage(best, "shard-wishes"), "link").withColumn(
-            "wish", F.when(F.col("label") == F.col("home"), F.col("label")).otherwise(F.col("target"))
-        ).withColumn("band", F.pmod(_spread("row", F.lit(step)), F.lit(BANDS)).cast("int"))
-        wishes = stage(wishes, "shard-moves")
-        asked = wishes.where("wish <> label").groupBy("wish", "band").agg(F.sum("size").alias("asked"))
+        band = F.pmod(F.when(F.col("k") == 1, _spread("link", F.lit(step), F.lit("band"))).otherwise(_spread("row", F.lit(step), F.lit("band"))), F.lit(BANDS))
+        wishes = stage(linked.join(best, "link").withColumns({"wish": wish, "band": band.cast("int")}).drop("targets", "k"), "shard-moves")
+        asked = stage(wishes.where("wish <> label").groupBy("wish", "band").agg(F.sum("size").alias("asked")), "shard-asked")
+        if asked.isEmpty():
+            break
         running = F.sum("asked").over(Window.partitionBy("wish").orderBy("band"))
         granted = (
             asked.withColumn("upto", running)
