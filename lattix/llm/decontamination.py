@@ -6,26 +6,30 @@ each class the words of a task's documents are seen as overlapping windows of th
 which holds an item of the class whole wherever it lies. Inside a window containment t bounds the similarity from below
 (0.25 at t = 0.8), and one equal MinHash value among ``HASHES`` makes a candidate. Every candidate pair is verified: the share of the item's distinct shingles that the document holds.
 
-How it scales: documents are read once and not shuffled. Items are the query set; their MinHash values and texts are
-broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (both counted first), and
-each block takes one more pass over the documents, so a benchmark of any size works. Windows live only inside a task.
+How it scales: documents are read once and not shuffled. Items are the query set; their texts are broadcast in blocks of at
+most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (an item above that is a block of its own). The driver holds one
+block at a time: it reads the items as a stream, and each block's pass over the documents is done, and its result
+written, before the next is sent. So a benchmark of any size works, however its items repeat. Windows live only inside a task.
 
 Words are lower-cased, with ASCII punctuation taken as white space. An item of fewer than five words is one shingle of
 its own length. Results for odd inputs: items and documents that are null or have no words match nothing; repeated items
-and documents are rows of their own; empty tables give an empty result; other columns are not read.
+and documents are rows of their own; ids may be null; empty tables give an empty result; other columns are not read, or kept
+as they are (``clean``).
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, stage
 from .words import SEED, WordHashes, small, windows
 
 WORDS = 5
@@ -153,33 +157,56 @@ def _without(block, text_col: str):
     return run
 
 
-def _blocks_of(items: DataFrame, item_col: str, text_col: str) -> list:
-    """The items as broadcasts, each within both bounds (twice them at most, as blocks are dealt by hash)."""
-    queries = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    n, chars = queries.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    if blocks > 1:
-        queries = stage(queries.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "items")
-        largest = queries.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n"), F.max("chars")).first()
-        if largest[0] > 2 * BLOCK_ITEMS or largest[1] > 2 * BLOCK_CHARS:
-            raise ValueError("a block of items is too large: raise BLOCK_ITEMS or BLOCK_CHARS, or shorten the items")
-    else:
-        queries = queries.withColumn("block", F.lit(0))
-    send = items.sparkSession.sparkContext.broadcast
-    return [send([tuple(r) for r in queries.where(F.col("block") == k).select("id", "text").collect()]) for k in range(blocks)]
+def _blocks_of(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """Blocks of (id, text), each within both bounds; only one of them is held."""
+    queries = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
+    block, chars = [], 0
+    for row in queries.toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or chars + len(row[1]) > BLOCK_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append(tuple(row))
+        chars += len(row[1])
+    yield block
+
+
+def _each(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The blocks one by one as broadcasts, and whether another follows."""
+    blocks = _blocks_of(items, item_col, text_col)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        yield items.sparkSession.sparkContext.broadcast(block), following is not None
+        block = following
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, shared, of: documents that hold ``CONTAINMENT`` of an item's distinct shingles or more."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    found = [rows.mapInArrow(_search(b), "doc_id long, item_id long, shared long, of long") for b in _blocks_of(items, item_col, item_text_col)]
+    found = []
+    for block, more in _each(items, item_col, item_text_col):
+        part = rows.mapInArrow(_search(block), "doc_id long, item_id long, shared long, of long")
+        if more or found:
+            part = stage(part, "leaks")
+            block.destroy()
+        found.append(part)
     return reduce(DataFrame.unionAll, found)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns; nothing is shuffled."""
-    for block in _blocks_of(items, item_col, item_text_col):
+    """The documents that hold no item, with all their columns; nothing is shuffled.
+
+    With more than one block, what each leaves is written for the next.
+    """
+    last = None
+    for block, more in _each(items, item_col, item_text_col):
         docs = docs.mapInArrow(_without(block, text_col), docs.schema)
+        if more:
+            docs = stage(docs, "clean")
+            block.destroy()
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
 
 
