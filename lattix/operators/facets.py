@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import array_or_empty
+from ..sources.shared import settled
+from .score import ranked_within
 
 SINGLE = ("domain", "artifact", "language", "license", "license_tier")
 ARRAYS = {"topic": "topics", "primitive": "primitives", "compatibility": "compatibility"}
@@ -20,16 +22,15 @@ def facet_counts(df: DataFrame, limits: dict[str, int] = LIMITS, ord_col: str =
         return F.struct(F.lit(dim).alias("dimension"), name.alias("name"), parent.alias("parent"))
 
     have = set(df.columns)
-    lists = [F.array(*[entry(c, F.col(c)) for c in SINGLE if c in have], entry("total", F.lit("total")), *([entry("subsystem", F.col("subsystem"), F.col("domain"))] if "subsystem" in have else []))]
+    lists = [F.array(*[entry(c, F.col(c)) for c in SINGLE if c in have], entry("total", F.lit("total")), *([entry("subsystem", F.col("subsystem"), F.col("domain") if "domain" in have else no)] if "subsystem" in have else []))]
     def entries(dim: str, c: str):
         return F.transform(array_or_empty(F.array_distinct(F.col(c))), lambda x: entry(dim, x))
 
     lists += [entries(d, c) for d, c in ARRAYS.items() if c in have]
     tall = df.select(F.col(ord_col).alias("__ord"), F.inline(F.concat(*lists))).where("name is not null")
     counts = tall.groupBy("dimension", "name", "parent").agg(F.count("*").alias("count"), F.min("__ord").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), "first", "name"))
     kept = [(F.col("dimension") != d) | (F.col("rank") <= k) for d, k in limits.items()]
-    out = counts.withColumn("rank", rank)
+    out = ranked_within(counts, "dimension", F.col("count").desc(), F.col("first"), F.col("name"), F.col("parent"))
     for cond in kept:
         out = out.where(cond)
     return out.drop("first")
@@ -47,9 +48,10 @@ def topics_by_domain(df: DataFrame, k: int = 20, ord_col: str = "ord") -> DataFr
 def major_values(df: DataFrame, col: str, min_count: int = 50) -> DataFrame:
     """value, count, major, tail_rank (by count, then value, among the others) and tail_rows, their rows in all."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count")).withColumn("major", F.col("count") >= min_count)
-    w = Window.partitionBy("major")
-    rank = F.when(~F.col("major"), F.row_number().over(w.orderBy(F.col("count").desc(), "value")))
-    return counts.withColumn("tail_rank", rank).withColumn("tail_rows", F.when(~F.col("major"), F.sum("count").over(w)))
+    ranked = settled(ranked_within(counts, "major", F.col("count").desc(), F.col("value"), name="tail_rank"), "tail")
+    rows = ranked.where("not major").agg(F.sum("count").alias("tail_rows"))  # one row
+    tail = ~F.col("major")
+    return ranked.crossJoin(F.broadcast(rows)).withColumns({"tail_rank": F.when(tail, F.col("tail_rank")), "tail_rows": F.when(tail, F.col("tail_rows"))})
 
 
 def facet_values(df: DataFrame, col: str, domain: str | None = None) -> DataFrame:

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY
 from ..functions.text import has_install
+from ..sources.shared import settled
 
 #: Weights of the signal's terms, scale of the decay in days, recency of rows without a date.
 WEIGHTS = {"stars_pct": 45.0, "push_recency": 25.0, "fork_ratio_pct": 20.0, "has_release": 10.0}
 DECAY_DAYS = 548.0
 UNKNOWN_RECENCY = 0.5
-#: Rows per partition of a global order.
-ORDER_ROWS = 1_000_000
+
+
+def _ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows in range partitions of the order, with the partition's number, written once.
+
+    Bounds are sampled and small partitions joined when the plan runs, so two runs don't agree on who is where; sizes and
+    rows are both taken from the written table.
+    """
+    return settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
 def global_ordinal(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
@@ -22,21 +30,28 @@ def global_ordinal(df: DataFrame, *order: Column, name: str = "ord") -> DataFram
     Rows are range-partitioned by the order and numbered inside each partition; the partitions' sizes (a row each, so
     the running sum over them is small) give the offsets.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = _ranged(df, *order)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # a row for each partition: a setting, not a count of rows
     return ranged.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__nth") - 1).cast("long")).drop("__part", "__nth", "__before")
 
 
+def ranked_within(df: DataFrame, by: str, *order: Column, name: str = "rank") -> DataFrame:
+    """Rank from 1 inside each value of ``by``, however many rows a value has: positions in the order of all, less the first."""
+    placed = settled(global_ordinal(df, F.col(by), *order, name="__at"), "ranked")
+    first = placed.groupBy(F.col(by).alias("__by")).agg(F.min("__at").alias("__first"))
+    return placed.join(first, F.col(by).eqNullSafe(F.col("__by"))).withColumn(name, (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__at", "__by", "__first")
+
+
 def percentile_rank_avg(df: DataFrame, value: Column, out: str) -> DataFrame:
     """Rank in (0, 1], ties sharing the mean rank: (mean rank from 0, plus 1) / N.
 
     Ranks are running sums over distinct values; those are ranged into partitions, so no task sees all of them.
     """
     df = df.withColumn("__v", value.cast("double"))
-    counts = df.groupBy("__v").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
+    ranged = _ranged(df.groupBy("__v").agg(F.count("*").alias("n")), F.col("__v"))
     sums = ranged.groupBy("__part").agg(F.sum("n").alias("s"))
     before = sums.select("__part", F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("s").over(Window.partitionBy()).alias("__all"))
     upto = F.sum("n").over(Window.partitionBy("__part").orderBy("__v"))
