@@ -21,8 +21,8 @@ from ..functions.text import array_or_empty, blank_to_null, has_keyword, keyword
 #: Fixed values of the domain rule: least score, least lead, cap of the margin, labels without a domain.
 LEAST, LEAD, MARGIN_CAP = 3, 2, 9
 NO_DOMAIN, NO_SUBSYSTEM = "Other / General", "General Components"
-#: Tokens of the longest keyword.
-PIECES = 4
+#: Rules of which a broadcast is thought; their keywords are counted then.
+MOST_RULES = 5_000
 
 
 def load_rules(path: str) -> list[dict]:
@@ -72,14 +72,20 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: s
     piece (its beginnings before a digit or the end, with and without a plural s), and the join is an equality.
     """
     longest = keywords.agg(F.coalesce(F.max(F.size("lead")), F.lit(0))).first()[0]
-    words = texts.select(F.col(id_col).alias("__id"), F.posexplode(tokens(F.col(text_col))).alias("__at", "__token"), tokens(F.col(text_col)).alias("__all"))
+    every = texts.select(F.col(id_col).alias("__id"), tokens(F.col(text_col)).alias("__all"))
+
+    def run(i: Column, k: int) -> Column:
+        return F.when(i >= k, F.array_join(F.slice("__all", F.greatest(F.lit(1), i - k + 1), F.lit(k)), " "))
+
+    # each token with the runs of up to `longest` tokens before it; the array itself isn't copied to its rows
+    marked = F.transform("__all", lambda t, i: F.struct(t.alias("__token"), F.array(*[run(i, k) for k in range(longest + 1)]).alias("__runs")))
+    words = every.select("__id", F.inline(marked))
     token = F.col("__token")
     ends = F.filter(F.sequence(F.lit(1), F.length(token)), lambda n: (n == F.length(token)) | F.substring(token, n + 1, F.lit(1)).rlike("[0-9]"))
     forms = F.transform(ends, lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n).alias("form"), F.lit(False).alias("cut")))
     plural = F.transform(F.filter(ends, lambda n: F.substring(F.col("__token"), n, F.lit(1)) == "s"), lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n - 1).alias("form"), F.lit(True).alias("cut")))
-    tall = words.select("__id", "__at", "__all", F.inline(F.concat(forms, plural))).where("form <> ''")
-    runs = F.array(*[F.when(F.col("__at") >= k, F.struct(F.array_join(F.slice("__all", F.greatest(F.lit(1), F.col("__at") - k + 1), F.lit(k)), " ").alias("before"), F.lit(k).alias("k"))) for k in range(longest + 1)])
-    tall = tall.select("__id", "form", "cut", F.inline(F.filter(runs, lambda x: x.isNotNull())))
+    tall = words.select("__id", "__runs", F.inline(F.concat(forms, plural))).where("form <> ''")
+    tall = tall.select("__id", "form", "cut", F.posexplode("__runs").alias("k", "before")).where("before is not null")
     keys = keywords.select("keyword", "plural", F.array_join("lead", " ").alias("before"), F.size("lead").alias("k"), F.col("final").alias("form")).distinct()
     # a rules table holds some hundreds of rows; a larger one is left to the optimizer
     keys = F.broadcast(keys) if keys.limit(20_001).count() <= 20_000 else keys
@@ -98,9 +104,11 @@ def domains(df: DataFrame, rules: list[dict], id_col: str = "id") -> DataFrame:
     body = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "description")], F.array_join(array_or_empty(F.col("topics")), " "), F.coalesce("language", F.lit(""))))
     base = df.select(F.col(id_col).alias("id"), F.array_join(tags, "\n").alias("tags"), body.alias("body"))
     words = table.select("keyword", "lead", "final", "plural").distinct()
+    labels = table.drop("lead", "final", "plural")
+    labels = F.broadcast(labels) if len(rules) <= MOST_RULES and labels.limit(20_001).count() <= 20_000 else labels
     in_tags = keyword_hits(base.where("tags <> ''"), words, "id", "tags").withColumn("t", F.lit(1))
     in_body = keyword_hits(base, words, "id", "body").withColumn("b", F.lit(1))
-    hits = in_tags.join(in_body, ["id", "keyword"], "full_outer").join(F.broadcast(table.drop("lead", "final", "plural")), "keyword")
+    hits = in_tags.join(in_body, ["id", "keyword"], "full_outer").join(labels, "keyword")
     d = hits.where("kind = 'd'").groupBy("id", "domain").agg(
         (6 * F.count_if(F.col("t").isNotNull() & F.col("strong")) + F.when(F.count_if(F.col("t").isNotNull() & ~F.col("strong")) > 0, 3).otherwise(0) + F.count_if(F.col("t").isNull())).alias("score"),
         F.count("t").alias("tag_hits"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_license
 from ..functions.text import array_or_empty, blank_to_null
+from ..sources.shared import settled
 
 DEEP = ("primitives", "compatibility", "usecases", "keywords", "quickstart_code", "maturity", "beginner_intel")
 SAFE_ID = (1 << 53) - 1
@@ -171,18 +174,25 @@ def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame) -> DataF
 def stable_ids(df: DataFrame) -> DataFrame:
     """Keep ids in (0, 2^53) of their first claimant in catalog order; give the others a hashed id from 2^40 on.
 
-    Collisions are moved on by one until none is left; only the few rows that collide take part in a round.
+    Collisions are moved on by one until none is left. Each round is written, so its plan stays as short as the first, and
+    only rows that still collide are held against the ids taken so far; every round settles at least one row of each id.
     """
     valid = (F.col("id") > 0) & (F.col("id") < SAFE_ID)
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("stars").desc(), "full_name"))
-    marked = df.withColumn("__keep", valid & (nth == 1))
+    # ids that can't be kept anyway are ranked by nothing, so that no window holds all rows without an id
+    sound = df.where(valid).withColumn("__keep", nth == 1)
+    marked = settled(sound.unionByName(df.where(~F.coalesce(valid, F.lit(False))).withColumn("__keep", F.lit(False))), "ids")
     kept = marked.where("__keep").drop("__keep").withColumn("rekeyed", F.lit(False))
-    losers = marked.where("not coalesce(__keep, false)").drop("__keep").withColumn("id", F.lit(SYNTHETIC_ID) + F.pmod(F.xxhash64(F.lower("full_name")), F.lit(SYNTHETIC_ID)))
-    while True:
+    losers = marked.where("not __keep").drop("__keep").withColumn("id", F.lit(SYNTHETIC_ID) + F.pmod(F.xxhash64(F.lower("full_name")), F.lit(SYNTHETIC_ID)))
+    taken, done = kept.select("id"), [kept]
+    while not losers.isEmpty():
         turn = F.row_number().over(Window.partitionBy("id").orderBy("full_name"))
-        taken = kept.select("id", F.lit(True).alias("__taken"))
-        probe = losers.join(taken, "id", "left").withColumn("__n", turn)
+        held = taken.select("id", F.lit(True).alias("__taken"))
+        probe = losers.withColumn("__n", turn).join(held, "id", "left")
         clash = F.coalesce("__taken", F.lit(False)) | (F.col("__n") > 1)
-        if probe.where(clash).isEmpty():
-            return kept.unionByName(losers.withColumn("rekeyed", F.lit(True)))
-        losers = probe.withColumn("id", F.when(clash, F.col("id") + 1).otherwise(F.col("id"))).drop("__taken", "__n")
+        probe = settled(probe.withColumn("__clash", clash).drop("__taken", "__n"), "ids-probed")
+        placed = probe.where("not __clash").drop("__clash")
+        done.append(placed.withColumn("rekeyed", F.lit(True)))
+        taken = taken.unionByName(placed.select("id"))
+        losers = probe.where("__clash").drop("__clash").withColumn("id", F.col("id") + 1)
+    return reduce(DataFrame.unionByName, done)

@@ -75,19 +75,23 @@ def pool_synergy(pair_scores: DataFrame, pools: DataFrame | None = None) -> Data
 def slot_candidates(df: DataFrame, slots: DataFrame, picks: DataFrame, k: int = 45, query: str = "") -> DataFrame:
     """slot, id, score, rank: the best ``k`` rows for each slot (slot, domain or null, subsystem or null).
 
-    ``picks`` (slot, id) are the choices upstream of a slot, of which there are a handful (at most ``MOST_PICKS`` are
-    accepted). A slot with picks ranks by harmony with them plus twice log10 of the stars; one without takes its
-    subsystem's rows first, then catalog order.
+    ``picks`` (slot, id) are the choices upstream of a slot. A slot with picks ranks by harmony with them plus twice
+    log10 of the stars; one without takes its subsystem's rows first, then catalog order. Slots of a domain meet its rows
+    by an equality; up to ``MOST_PICKS`` slots and picks, as a plan has, are broadcast.
     """
-    if slots.limit(MOST_PICKS + 1).count() > MOST_PICKS or picks.limit(MOST_PICKS + 1).count() > MOST_PICKS:
-        raise ValueError(f"more than {MOST_PICKS} slots or picks")
+    small = slots.limit(MOST_PICKS + 1).count() <= MOST_PICKS and picks.limit(MOST_PICKS + 1).count() <= MOST_PICKS
     if query:
         q = query.strip().lower()
         df = df.where(F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("owner"), F.lit(q)))
     chosen = picks.join(df.select("id", F.lower("language").alias("up_language"), array_or_empty(F.col("primitives")).alias("up_primitives")), "id").drop("id")
     chosen = chosen.groupBy("slot").agg(F.collect_list(F.struct("up_language", "up_primitives")).alias("ups"))
-    plan = F.broadcast(slots.select("slot", F.col("domain").alias("want_domain"), F.col("subsystem").alias("want_subsystem")).join(chosen, "slot", "left"))
-    base = df.join(plan, F.col("want_domain").isNull() | (F.col("want_domain") == F.col("domain")))
+    plan = slots.select("slot", F.col("domain").alias("want_domain"), F.col("subsystem").alias("want_subsystem")).join(chosen, "slot", "left")
+    plan = F.broadcast(plan) if small else plan
+    # a slot without a domain takes all rows, so those slots are joined to each of the domains there are
+    domains = df.select(F.col("domain").alias("__domain")).distinct()
+    every = plan.where("want_domain is null").join(domains, F.lit(True))
+    plan = plan.where("want_domain is not null").withColumn("__domain", F.col("want_domain")).unionByName(every)
+    base = df.join(F.broadcast(plan) if small else plan, F.col("domain").eqNullSafe(F.col("__domain"))).drop("__domain")
     lang = F.lower(F.coalesce("language", F.lit("")))
 
     def points(total: Column, up: Column) -> Column:
@@ -114,8 +118,10 @@ def role_categories(df: DataFrame, categories: dict[str, Column]) -> DataFrame:
 def choose_blueprints(blueprints: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (request, seed, goal): the blueprint at the first draw among those of the goal, or of all.
 
-    ``blueprints`` (blueprint_id, goal, pos) are a library of a few, so each goal's list is an array.
+    ``blueprints`` (blueprint_id, goal, pos) are a library of at most ``MOST_PICKS``, so each goal's list is an array.
     """
+    if blueprints.limit(MOST_PICKS + 1).count() > MOST_PICKS:
+        raise ValueError(f"a library of more than {MOST_PICKS} blueprints")
     of_goal = blueprints.groupBy("goal").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "blueprint_id"))), lambda x: x["blueprint_id"]).alias("own"))
     every = blueprints.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "blueprint_id"))), lambda x: x["blueprint_id"]).alias("every"))
     r = requests.join(F.broadcast(of_goal), "goal", "left").crossJoin(F.broadcast(every)).withColumn("pool", F.coalesce("own", "every"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import array_or_empty, blank_to_null, tokens
+from ..sources.shared import settled
 
 #: Fields in the order of their bits, their weights, the cap on occurrences, characters of the body.
 FIELDS = ("name", "owner", "subsystem", "domain", "topics", "primitives", "compatibility", "hook", "language", "license")
@@ -74,9 +75,20 @@ def search(postings: DataFrame, terms: DataFrame, n: int, queries: DataFrame, st
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def export_postings(postings: DataFrame, id_col: str = "ord") -> DataFrame:
-    """token, and its (gap, code) pairs in order: the first gap is the position itself, code = tf * 1024 + field_mask."""
-    gap = F.col(id_col) - F.coalesce(F.lag(id_col).over(Window.partitionBy("token").orderBy(id_col)), F.lit(0))
-    coded = postings.select("token", F.col(id_col).alias("at"), gap.alias("gap"), (F.col("tf") * 1024 + F.col("field_mask")).alias("code"))
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("at", "gap", "code"))), lambda x: F.struct(x["gap"].alias("gap"), x["code"].alias("code")))
-    return coded.groupBy("token").agg(pairs.alias("postings"))
+#: Positions that one row of exported postings may span.
+SPAN = 1 << 20
+
+
+def export_postings(postings: DataFrame, id_col: str = "ord", span: int = SPAN) -> DataFrame:
+    """token, block, and the token's (gap, code) pairs in order: a gap is the distance from the token's position before,
+    the first one the position itself; code = tf * 1024 + field_mask.
+
+    A common token has a row for each ``span`` positions, so no row grows with the catalog; its blocks one after another
+    are the token's list.
+    """
+    entry = F.struct(F.col(id_col).alias("at"), (F.col("tf") * 1024 + F.col("field_mask")).alias("code"))
+    lists = postings.groupBy("token", F.floor(F.col(id_col) / span).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("own"), F.max(id_col).alias("last"))
+    lists = settled(lists, "postings")
+    before = lists.select("token", "block", F.coalesce(F.lag("last").over(Window.partitionBy("token").orderBy("block")), F.lit(0)).alias("before"))
+    pairs = F.transform("own", lambda x, i: F.struct((x["at"] - F.when(i == 0, F.col("before")).otherwise(F.get(F.col("own"), i - 1)["at"])).alias("gap"), x["code"].alias("code")))
+    return lists.join(before, ["token", "block"]).select("token", "block", pairs.alias("postings"))
