@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null
+from ..functions.text import array_or_empty, blank_to_null
 from ..sources.catalog import part_number, parts_by_slug
+from ..sources.shared import settled
+from .facets import facet_counts
 
 SAFE_ID = (1 << 53) - 1
 
@@ -23,8 +25,17 @@ def _count(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
 
 
-def verify(df: DataFrame, details: DataFrame, flat: DataFrame, min_stars: int = 500, min_rows: int = 1, target: int = 12_000) -> DataFrame:
-    """check, failures for a catalog (id, owner, name, stars, hook, domain, domain_margin, ...), its details (id, slug, part) and flat index (id)."""
+def verify(
+    df: DataFrame, details: DataFrame, flat: DataFrame, min_stars: int = 500, min_rows: int = 1, target: int = 12_000,
+    manifest: DataFrame | None = None, labels: dict[str, DataFrame] | None = None, max_part_bytes: int | None = None,
+) -> DataFrame:
+    """check, failures for a catalog (id, owner, name, stars, hook, domain, domain_margin, ...), its details (id, slug, part) and flat index (id).
+
+    ``manifest`` (slug, parts) is the stated fan-out: each slug must be that of a domain, its parts a power of two of 2 or
+    more, and details are routed by it. ``labels`` has a table (code) for a column ``<name>_code`` of the catalog: a code
+    that its table lacks dangles. Array columns must hold no null. Rows of the details are held against ``max_part_bytes``
+    by part if they have a column ``bytes``.
+    """
     have = set(df.columns)
     checks = {
         "id_out_of_range": ~((F.col("id") > 0) & (F.col("id") < SAFE_ID)) | F.col("id").isNull(),
@@ -38,28 +49,69 @@ def verify(df: DataFrame, details: DataFrame, flat: DataFrame, min_stars: int =
     for label in ("domain", "subsystem", "language", "artifact"):
         if label in have:
             checks[f"missing_{label}"] = blank_to_null(F.col(label)).isNull()
+    for tail in ("topics", "compatibility"):
+        if tail in have:
+            checks[f"malformed_{tail}"] = F.col(tail).isNull() | F.exists(tail, lambda x: x.isNull())
     out = [_rows(df, checks)]
     out.append(df.agg(F.when(F.count("*") < min_rows, 1).otherwise(0).cast("long").alias("failures")).select(F.lit("too_few_rows").alias("check"), "failures"))
+    # the ids and routes that the other checks need, written once
+    df = settled(df.select("id", "domain", *[f"{c}_code" for c in labels or {}]), "verify")
+    ids, deep = df.select("id").distinct(), settled(details.select("id", "slug", "part", *(["bytes"] if "bytes" in details.columns else [])), "verify-details")
     out.append(_count("duplicate_id", df.groupBy("id").count().where("count > 1")))
-    for name, a, b in (("flat_missing", df, flat), ("flat_stray", flat, df), ("details_missing", df, details), ("details_stray", details, df)):
+    for name, a, b in (("flat_missing", ids, flat), ("flat_stray", flat, ids), ("details_missing", ids, deep), ("details_stray", deep, ids)):
         out.append(_count(name, a.select("id").distinct().join(b.select("id").distinct(), "id", "left_anti")))
-    routed = part_number(df, parts_by_slug(df, target)).select("id", F.col("slug").alias("s"), F.col("part").alias("p"))
-    out.append(_count("details_misplaced", details.join(routed, "id").where("slug <> s or part <> p")))
+    own = parts_by_slug(df, target)
+    stated = own.select("slug", "parts") if manifest is None else manifest.select("slug", "parts")
+    routed = settled(part_number(df, stated).select("id", F.col("slug").alias("s"), F.col("part").alias("p")), "verify-routes")
+    out.append(_count("details_misplaced", deep.join(routed, "id").where("slug <> s or part <> p")))
+    places = routed.select(F.col("s").alias("slug"), F.col("p").alias("part")).distinct()
+    there = deep.select("slug", "part").distinct()
+    out.append(_count("part_missing", places.join(there, ["slug", "part"], "left_anti")))
+    out.append(_count("part_orphan", there.join(places, ["slug", "part"], "left_anti")))
+    if manifest is not None:
+        power = (F.col("parts") >= 2) & (F.col("parts").bitwiseAND(F.col("parts") - 1) == 0)
+        out.append(_count("fanout_malformed", manifest.where(~power | F.col("parts").isNull())))
+        out.append(_count("fanout_of_no_domain", manifest.join(own, "slug", "left_anti")))
+        wrong = own.join(manifest.select("slug", F.col("parts").alias("stated")), "slug", "left")
+        out.append(_count("fanout_differs", wrong.where("parts <> coalesce(stated, 1)")))
+    for c, table in (labels or {}).items():
+        code = F.col(f"{c}_code")
+        out.append(_count(f"{c}_dangling", df.select(code.alias("code")).where("code is not null").join(table.select("code"), "code", "left_anti")))
+    if max_part_bytes is not None:
+        sizes = deep.groupBy("slug", "part").agg(F.sum("bytes").alias("bytes"))
+        out.append(_count("part_too_large", sizes.where(F.col("bytes") > max_part_bytes)))
     return reduce(DataFrame.unionByName, out)
 
 
-def verify_artifacts(df: DataFrame, postings: DataFrame, terms: DataFrame, edges: DataFrame, snapshot: DataFrame | None = None, k: int = 8, ord_col: str = "ord") -> DataFrame:
-    """check, failures for the catalog order, the index, the edges and the newest snapshot."""
+def verify_artifacts(
+    df: DataFrame, postings: DataFrame, terms: DataFrame, edges: DataFrame, snapshot: DataFrame | None = None, k: int = 8, ord_col: str = "ord",
+    facets: DataFrame | None = None, exported: DataFrame | None = None,
+) -> DataFrame:
+    """check, failures for the catalog order, the index, the edges, the newest snapshot, facet counts and exported postings.
+
+    ``facets`` (dimension, name, count) must equal a recount of single-valued columns and topics. ``exported`` (token,
+    postings of (gap, code)) must have a row for each term, as many pairs as its df, and gaps that only go forward.
+    """
     n = df.agg(F.count("*").alias("n"))
     after = df.alias("a").join(df.select((F.col(ord_col) - 1).alias("o"), F.col("stars").alias("next")), F.col(f"a.{ord_col}") == F.col("o"))
     out = [_count("order_not_by_stars", after.where("stars < next"))]
     held = postings.groupBy("token").agg(F.count("*").alias("rows"))
     out.append(_count("index_df_differs", terms.join(held, "token", "full_outer").where("not (df <=> rows)")))
+    if exported is not None:
+        ragged = F.exists("postings", lambda x: x["gap"].isNull() | x["code"].isNull() | (x["gap"] < 0))
+        pairs = exported.select("token", F.size("postings").alias("k"), ragged.alias("ragged"))
+        pairs = pairs.groupBy("token").agg(F.sum("k").alias("pairs"), F.max("ragged").alias("ragged"))
+        out.append(_count("postings_ragged", terms.join(pairs, "token", "full_outer").where("not (df <=> pairs) or ragged")))
     out.append(_count("edge_to_itself", edges.where("src = dst")))
     out.append(_count("edge_twice", edges.groupBy("src", "dst").count().where("count > 1")))
     out.append(_count("edge_weight_out_of_range", edges.where("not (weight > 0 and weight <= 1)")))
     degree = df.select(F.col(ord_col).alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("d")), "src", "left").crossJoin(F.broadcast(n))
     out.append(_count("degree_differs", degree.where(F.coalesce("d", F.lit(0)) != F.least(F.lit(k), F.col("n") - 1))))
+    if facets is not None:
+        again = facet_counts(df, limits={}, ord_col=ord_col).where("dimension <> 'subsystem'").select("dimension", "name", F.col("count").alias("recount"))
+        stated = facets.where("dimension <> 'subsystem'").select("dimension", "name", "count")
+        # facets may be cut to the commonest names, so a name that they lack is no failure
+        out.append(_count("facet_differs", stated.join(again, ["dimension", "name"], "left").where("not (count <=> recount)")))
     domains = {"activity_status": ("active", "idle", "archived"), "license_tier": ("permissive", "copyleft", "source-available", "unknown")}
     for c, values in domains.items():
         if c in df.columns:
@@ -77,8 +129,16 @@ def gate(report: DataFrame, max_churn_pct: float = 20.0, allow: bool = False) ->
         raise ValueError(f"{pct} % of labels changed; the limit is {max_churn_pct} %")
 
 
-def coverage_gate(df: DataFrame, min_topics_pct: float = 0.0) -> None:
-    pct = df.agg(100.0 * F.count_if(F.size("topics") > 0) / F.greatest(F.count("*"), F.lit(1))).first()[0]
+def coverage(df: DataFrame, min_stars: int = 0) -> DataFrame:
+    """One row: rows of the star floor, those with topics, and their per cent (0 without rows)."""
+    there = df.where(F.coalesce("stars", F.lit(0)) >= min_stars) if min_stars else df
+    tagged = F.count_if(F.size(array_or_empty(F.col("topics"))) > 0)
+    return there.agg(F.count("*").alias("rows"), tagged.alias("with_topics"), (100.0 * tagged / F.greatest(F.count("*"), F.lit(1))).alias("pct"))
+
+
+def coverage_gate(df: DataFrame, min_topics_pct: float = 0.0, min_stars: int = 0) -> None:
+    """Raise if too few rows have topics."""
+    pct = coverage(df, min_stars).first().pct
     if pct < min_topics_pct:
         raise ValueError(f"{pct:.2f} % of rows have topics; the least is {min_topics_pct} %")
 
@@ -92,27 +152,41 @@ def pattern_scan(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str
     return lines.withColumn("rule", rule).where("rule is not null").select("id", (F.col("at") + 1).alias("line"), "rule", F.substring(F.trim("text"), 1, snippet).alias("snippet"))
 
 
+def _halves(v: Column, lo: int, hi: int) -> Column:
+    """The ranges that hold a value as lo to hi is halved down to it: an array of (lo, hi), the largest first."""
+    whole = F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"))
+
+    def half(path: Column, _: Column) -> Column:
+        last = F.element_at(path, -1)
+        mid = F.floor((last["lo"] + last["hi"]) / 2).cast("long")
+        upper = v > mid
+        inner = F.struct(F.when(upper, mid + 1).otherwise(last["lo"]).alias("lo"), F.when(upper, last["hi"]).otherwise(mid).alias("hi"))
+        return F.when(last["lo"] < last["hi"], F.concat(path, F.array(inner))).otherwise(path)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, hi - lo).bit_length())), F.array(whole), half)
+
+
 def plan_windows(df: DataFrame, col: str, second_col: str, lo: int, hi: int, cap: int = 1000) -> DataFrame:
     """lo, hi, second_lo, second_hi, rows, truncated: ranges of two columns that hold at most ``cap`` rows each.
 
-    Ranges are halved level by level until they fit; a single value is halved once on the second column. Each level is a
-    DataFrame of the open ranges, joined to the histogram of values, so neither is gathered on the driver.
+    The midpoints are fixed by lo and hi, so every value knows the ranges that would hold it. Their rows are summed per
+    range, with sums per task before the one shuffle, so the range of all values is one row per task. A range is a window
+    if it fits and the one that it is half of doesn't; a single value that doesn't fit is halved once on the second column.
     """
     counts = df.where(F.col(col).between(lo, hi)).groupBy(F.col(col).cast("long").alias("v")).agg(F.count("*").alias("n"))
-    # every value carries its range; halving is arithmetic on the value's own range, so no range join is needed
-    state = counts.withColumns({"lo": F.lit(lo).cast("long"), "hi": F.lit(hi).cast("long")})
-    for _ in range(max(1, hi - lo).bit_length() + 1):
-        total = F.sum("n").over(Window.partitionBy("lo", "hi"))
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2)
-        split = (F.col("rows") > cap) & (F.col("lo") < F.col("hi"))
-        state = state.withColumn("rows", total).select(
-            "v", "n", F.when(split & (F.col("v") > mid), mid + 1).otherwise(F.col("lo")).alias("lo"), F.when(split & (F.col("v") <= mid), mid).otherwise(F.col("hi")).alias("hi")
-        )
-    windows = state.groupBy("lo", "hi").agg(F.sum("n").alias("rows"))
+    path = counts.select("n", F.posexplode(_halves(F.col("v"), lo, hi)).alias("level", "at"))
+    nodes = path.select("level", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "n").groupBy("level", "lo", "hi").agg(F.sum("n").alias("rows"))
+    nodes = settled(nodes, "windows")
+    # halves of ranges that don't fit; the first range is half of nothing
+    split = nodes.where((F.col("rows") > cap) & (F.col("lo") < F.col("hi")))
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long")
+    halves = split.select((F.col("level") + 1).alias("level"), F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))).alias("h"))
+    halves = halves.select("level", "h.lo", "h.hi")
+    windows = nodes.where("level = 0").unionByName(nodes.join(halves, ["level", "lo", "hi"]).select(*nodes.columns)).drop("level")
     no = F.lit(None).cast("long")
     fits = windows.where(F.col("rows") <= cap).select("lo", "hi", no.alias("second_lo"), no.alias("second_hi"), "rows", F.lit(False).alias("truncated"))
     # a single value that is still too large: once on the second column
-    atoms = windows.where(F.col("rows") > cap).select(F.col("lo").alias("v"), F.greatest(F.lit(1000), F.floor(F.col("rows") / 900) * 2).alias("edge"))
+    atoms = windows.where((F.col("rows") > cap) & (F.col("lo") == F.col("hi"))).select(F.col("lo").alias("v"), F.greatest(F.lit(1000), F.floor(F.col("rows") / 900) * 2).alias("edge"))
     second = df.select(F.col(col).cast("long").alias("v"), F.col(second_col).cast("long").alias("w")).join(atoms, "v")
     upper = F.col("w") > F.col("edge")
     second = second.groupBy("v", "edge", upper.alias("upper")).agg(F.count("*").alias("rows"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ("id", "name", "owner", "full_name", "stars", "forks", "language", "license", "domain", "subsystem", "artifact", "hook", "topics", "primitives", "compatibility")
@@ -25,6 +25,17 @@ def repos_view(df: DataFrame, name: str | None = "repos") -> DataFrame:
     return view
 
 
+def read_only(statement: Column) -> Column:
+    """The shape of a single SELECT or WITH query, as an expression: for tables of statements.
+
+    Text literals and comments don't count. ``is_read_only`` also has Spark parse the statement.
+    """
+    bare = F.regexp_replace(F.coalesce(statement, F.lit("")), r"'(?:[^']|'')*'|--[^\n]*|(?s:/\*.*?\*/)", " x ")
+    bare = F.regexp_replace(F.trim(bare), r"(?:\s|;|\bx\s*$)*$", " ")
+    command = r"(?i)(?:^|\)|;)\s*(?:insert|update|delete|merge|drop|alter|create|truncate|replace)\b"
+    return bare.rlike(r"(?i)^\s*(?:x\s+)*(?:select|with)\b") & ~F.contains(bare, F.lit(";")) & ~bare.rlike(command)
+
+
 def is_read_only(spark: SparkSession, sql: str) -> bool:
     """True for a single SELECT or WITH that plans a query and no command."""
     text = _COMMENT.sub(" ", sql).strip().rstrip(";").strip()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 
-#: Labels of rows without one; rows that a part of the details is meant to hold; characters of a hook.
+#: Labels of rows without one; rows that a part of the details is meant to hold, and bytes that it may; characters of a hook.
 DEFAULTS = {"language": "Other", "domain": "Other / General", "subsystem": "General Components", "artifact": "Application / Service", "license": "Unknown"}
 TARGET_ROWS = 12_000
+MAX_PART_BYTES = 48 * 1024 * 1024
 HOOK = 90
 SNAPSHOT = "full_name STRING, stars LONG, snapshot_date STRING"
 
@@ -51,9 +52,27 @@ def part_number(df: DataFrame, parts: DataFrame) -> DataFrame:
     return df.withColumn("slug", slugify(F.col("domain"))).join(parts.select("slug", "parts"), "slug", "left").withColumn("part", F.pmod("id", F.coalesce("parts", F.lit(1)))).drop("parts")
 
 
-def write_details(df: DataFrame, path: str, target: int = TARGET_ROWS, max_rows: int = 2_000_000) -> None:
-    """Details by slug and part; what earlier runs left is replaced."""
+def details_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's details as one JSON line."""
+    return (F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c not in ("slug", "part")]))) + 1).cast("long")
+
+
+def part_bytes(routed: DataFrame) -> DataFrame:
+    """slug, part, rows, bytes (as JSON lines) of details that have a slug and part."""
+    sized = routed.withColumn("__bytes", details_bytes(routed))
+    return sized.groupBy("slug", "part").agg(F.count("*").alias("rows"), F.sum("__bytes").alias("bytes"))
+
+
+def write_details(df: DataFrame, path: str, target: int = TARGET_ROWS, max_rows: int = 2_000_000, max_bytes: int | None = MAX_PART_BYTES) -> None:
+    """Details by slug and part; what earlier runs left is replaced.
+
+    A part above ``max_bytes`` as JSON lines is an error, raised before anything is written (None: no such limit).
+    """
     routed = part_number(df, parts_by_slug(df, target))
+    if max_bytes is not None:
+        large = part_bytes(routed).where(F.col("bytes") > max_bytes).orderBy(F.col("bytes").desc()).limit(3).collect()
+        if large:
+            raise ValueError(f"parts above {max_bytes} bytes: " + ", ".join(f"{r.slug}/{r.part} ({r.bytes})" for r in large))
     routed.repartition("slug", "part").write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("slug", "part").parquet(path)
 
 

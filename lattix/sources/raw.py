@@ -31,7 +31,7 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
 
 
 def scan_json_array(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
-    """Records of files that each hold one JSON array."""
+    """Records of files that each hold one JSON array. A file is parsed by one task; large sets come as many files or as lines."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     incomplete = blank_to_null(F.col("owner")).isNull() | blank_to_null(F.col("name")).isNull()
     return rows.withColumn("state", F.when(incomplete, "incomplete").otherwise("good"))
