@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import classify, graph, merge, quality, recommend, score, search, sql, trend
+from ..operators import classify, facets, graph, merge, quality, recommend, score, search, sql, trend
 from ..sources import catalog as files
 from ..sources.shared import settled
-from .queries_core import RULES, C, _domain_sql, cat
+from .queries_core import _PARTS, RULES, C, _domain_sql, cat
 from .registry import register
 from .views import oracle, table, view
 
@@ -98,14 +98,19 @@ register("op_93_array_sets", lambda s, d: cat(s, d).select("id", F.array("t1", "
 
 
 def rekeyed(spark, d):
-    """Invariants of re-keyed ids: rows, distinct ids, ids out of range, ids kept."""
+    """Every row: whether it was re-keyed, the id it kept, and whether its id is in range and its own."""
     c = C(spark, d).select("full_name", "stars", F.when(F.col("id") % 9 == 0, F.col("id") + 1).when(F.col("id") % 17 == 0, F.lit(1 << 53) + F.col("id")).otherwise(F.col("id")).alias("id"))
-    return merge.stable_ids(c).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(~F.col("id").between(1, (1 << 53) - 1)).alias("out_of_range"), F.count_if("rekeyed").alias("rekeyed"))
+    out = settled(merge.stable_ids(c), "rekeyed")
+    own = out.groupBy("id").agg(F.count("*").alias("n"))
+    fresh = F.col("id").between(merge.SYNTHETIC_ID, 2 * merge.SYNTHETIC_ID)
+    sound = (F.col("n") == 1) & F.when(F.col("rekeyed"), fresh).otherwise((F.col("id") > 0) & (F.col("id") < merge.SAFE_ID))
+    return out.join(own, "id").select("full_name", "rekeyed", F.when(~F.col("rekeyed"), F.col("id")).alias("kept_id"), sound.alias("sound"))
 
 
 register("op_30_stable_ids", rekeyed, oracle(
-    """, x AS (SELECT CASE WHEN id % 9 = 0 THEN id + 1 WHEN id % 17 = 0 THEN 9007199254740992 + id ELSE id END AS id, row_number() OVER (PARTITION BY CASE WHEN id % 9 = 0 THEN id + 1 WHEN id % 17 = 0 THEN 9007199254740992 + id ELSE id END ORDER BY stars DESC, full_name) AS n FROM C)
-    SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS out_of_range, count(*) FILTER (n > 1 OR id <= 0 OR id >= 9007199254740991) AS rekeyed FROM x"""))
+    """, x AS (SELECT full_name, stars, CASE WHEN id % 9 = 0 THEN id + 1 WHEN id % 17 = 0 THEN 9007199254740992 + id ELSE id END AS id FROM C),
+    y AS (SELECT full_name, id, row_number() OVER (PARTITION BY id ORDER BY stars DESC, full_name) > 1 OR id <= 0 OR id >= 9007199254740991 AS rekeyed FROM x)
+    SELECT full_name, rekeyed, CASE WHEN NOT rekeyed THEN id END AS kept_id, true AS sound FROM y"""))
 
 # Trends.
 
@@ -141,8 +146,17 @@ register("op_69_mover_series", lambda s, d: trend.mover_series(*moved(s, d)), or
 register("op_70_movers", lambda s, d: moved(s, d)[0].drop("k"), oracle(_DIFF + " SELECT mv.*, language, domain FROM mv LEFT JOIN l USING (full_name)", "S"))
 register("op_70_consecutive_changes", lambda s, d: trend.consecutive_changes(view(s, d, "S")).select("full_name", "snapshot_date", "delta"),
          oracle("SELECT * FROM (SELECT full_name, snapshot_date, stars - lag(stars) OVER (PARTITION BY full_name ORDER BY snapshot_date) AS delta FROM S) x WHERE delta IS NOT NULL", "S"))
-register("op_84_rising", lambda s, d: trend.rising(moved(s, d)[0], _labels(s, d).where("language <> 'click'")).select("full_name", "delta"),
-         oracle(_DIFF + " SELECT full_name, delta FROM mv WHERE delta > 0 AND full_name IN (SELECT full_name FROM l WHERE language <> 'click') ORDER BY abs(delta) DESC, full_name LIMIT 10", "S"))
+
+
+def buyers(spark, d):
+    """A catalog that some names have left: users with at least as many purchases as errors."""
+    per = table(spark, d, "events").groupBy(F.concat(F.lit("user/"), F.col("user_id")).alias("full_name"))
+    return per.agg(F.count_if(F.col("event_type") == "purchase").alias("p"), F.count_if(F.col("event_type") == "error").alias("e")).where("p >= e").select("full_name")
+
+
+register("op_84_rising", lambda s, d: trend.rising(moved(s, d)[0], buyers(s, d)).select("full_name", "delta"), oracle(
+    _DIFF + """, c AS (SELECT concat('user/', user_id) AS full_name FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase') >= count(*) FILTER (event_type = 'error'))
+  SELECT full_name, delta FROM mv WHERE delta > 0 AND full_name IN (SELECT full_name FROM c) ORDER BY abs(delta) DESC, full_name LIMIT 10""", "S"))
 register("op_90_added_removed", lambda s, d: trend.by_stars(diff(s, d).where("change <> 'both'").select("change", "full_name", F.coalesce("new_stars", "old_stars").alias("stars"))),
          oracle(_DIFF + " SELECT change, full_name, coalesce(new_stars, old_stars) AS stars FROM f WHERE change <> 'both'", "S"))
 
@@ -163,9 +177,9 @@ def _index_sql(names: str = "D") -> str:
 
 _WEIGHT = " + ".join(f"CASE WHEN field_mask & {1 << i} <> 0 THEN {w} ELSE 0 END" for i, w in enumerate(search.WEIGHTS))
 register("op_72_index_build", lambda s, d: search.build_index(_docs(s, d))[0].select("ord", "token", "tf", "field_mask"), oracle(_index_sql() + " SELECT ord, token, tf, field_mask FROM po", "D"))
-register("op_71_export_postings", lambda s, d: search.export_postings(search.build_index(_docs(s, d))[0]).select("token", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x["gap"], x["code"])), ",").alias("postings")), oracle(
+register("op_71_export_postings", lambda s, d: search.export_postings(search.build_index(_docs(s, d))[0]).select("token", "block", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x["gap"], x["code"])), ",").alias("postings")), oracle(
     _index_sql() + """, g AS (SELECT token, ord, concat(ord - coalesce(lag(ord) OVER (PARTITION BY token ORDER BY ord), 0), ':', tf * 1024 + field_mask) AS pair FROM po)
-    SELECT token, string_agg(pair, ',' ORDER BY ord) AS postings FROM g GROUP BY 1""", "D"))
+    SELECT token, ord // 1048576 AS block, string_agg(pair, ',' ORDER BY ord) AS postings FROM g GROUP BY 1, 2""", "D"))
 
 
 def searched(spark, d):
@@ -179,49 +193,54 @@ register("op_73_ranked_search", searched, oracle(_index_sql() + f""", qt AS (SEL
   r AS (SELECT qid, ord, matched, s * (1.0 + 0.5 * (matched - 1)) AS score, D.stars FROM h JOIN D ON D.id = ord), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matched DESC, round_even(score, 9) DESC, stars DESC, ord) AS rank FROM r)
   SELECT qid, ord, matched, round_even(score, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""", "D", "Q"))
 
-# Graphs. The cap on common values is set so that at sf 0.01 tags and artifacts pass it.
+# Graphs. Tags are the words of the name, and two finer ones that grow in number with the table, so that evidence stays rare enough for candidates.
 
 
 def _nodes(spark, d):
-    return score.global_ordinal(cat(spark, d).select("id", "full_name", "stars", "topics", "primitives", "subsystem", "language", "artifact"), F.col("stars").desc(), F.col("full_name"))
+    c = cat(spark, d).withColumn("topics", F.array("t1", "t2", F.concat_ws("-", "t1", "owner"), F.concat_ws("-", "t2", F.floor(F.col("id") / 40))))
+    return score.global_ordinal(c.select("id", "full_name", "stars", "topics", "primitives", "subsystem", "language", "artifact"), F.col("stars").desc(), F.col("full_name"))
 
 
-_EDGES = """, nd AS (SELECT row_number() OVER (ORDER BY stars DESC, full_name) - 1 AS ord, id, t1, t2, t3, subsystem, language, artifact, CASE WHEN t1 = t3 OR t2 = t3 THEN [t1, t2] ELSE [t1, t2, t3] END AS topics FROM C),
+_KNN = """, nd AS (SELECT row_number() OVER (ORDER BY stars DESC, full_name) - 1 AS ord, id, t1, t2, concat_ws('-', t1, owner) AS t3, concat_ws('-', t2, id // 40) AS t4, subsystem, language, artifact, [t1, t2, concat_ws('-', t1, owner), concat_ws('-', t2, id // 40)] AS topics FROM C),
   ft AS (SELECT ord, concat('t:', unnest(topics)) AS f FROM nd UNION ALL SELECT ord, concat('p:', t1) FROM nd UNION ALL SELECT ord, concat('s:', subsystem) FROM nd WHERE NOT starts_with(subsystem, 'General') UNION ALL SELECT ord, concat('l:', language) FROM nd UNION ALL SELECT ord, concat('a:', artifact) FROM nd),
-  rf AS (SELECT ft.* FROM ft SEMI JOIN (SELECT f FROM ft GROUP BY 1 HAVING count(*) BETWEEN 2 AND 255) k USING (f)),
+  rf AS (SELECT ft.* FROM ft SEMI JOIN (SELECT f FROM ft GROUP BY 1 HAVING count(*) BETWEEN 2 AND 1500) k USING (f)),
   sh AS (SELECT a.ord AS src, b.ord AS dst, count(*) AS n FROM rf a JOIN rf b USING (f) WHERE a.ord <> b.ord GROUP BY 1, 2),
   cd AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM sh) x WHERE k <= 64),
   sc AS (SELECT src, dst, a.topics AS ta, b.topics AS tb, len(list_intersect(a.topics, b.topics)) AS it, CAST(a.t1 = b.t1 AS INT) AS ip, NOT starts_with(a.subsystem, 'General') AND NOT starts_with(b.subsystem, 'General') AS gs, CAST(a.subsystem = b.subsystem AS INT) AS es,
     CAST(a.language = b.language AS INT) AS el, CAST(a.artifact = b.artifact AS INT) AS ea FROM cd JOIN nd a ON a.ord = src JOIN nd b ON b.ord = dst),
   ss AS (SELECT src, dst, (3.0 * it + 2.0 * ip + CASE WHEN gs THEN 1.5 * es ELSE 0 END + el + ea) / (3.0 * (len(ta) + len(tb) - it) + 2.0 * (2 - ip) + CASE WHEN gs THEN 1.5 * (2 - es) ELSE 0 END + (2 - el) + (2 - ea)) AS score FROM sc),
-  kn AS (SELECT src, dst, round_even(score, 2) AS weight, CAST(k AS INT) AS rank, false AS is_fallback FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM ss WHERE score > 0) x WHERE k <= 8 AND score >= 0.05),
+  kn AS (SELECT src, dst, round_even(score, 2) AS weight, CAST(k AS INT) AS rank, false AS is_fallback FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM ss WHERE score > 0) x WHERE k <= 8 AND score >= 0.05)"""
+_FILL = """,
   dg AS (SELECT ord AS src, count(kn.src) AS degree FROM nd LEFT JOIN kn ON kn.src = nd.ord GROUP BY 1),
   nr AS (SELECT dg.src, nd.ord AS dst, degree, row_number() OVER (PARTITION BY dg.src ORDER BY nd.ord) AS k FROM dg JOIN nd ON nd.ord BETWEEN dg.src - 8 AND dg.src + 8 AND nd.ord <> dg.src LEFT JOIN kn ON kn.src = dg.src AND kn.dst = nd.ord WHERE degree < 8 AND kn.src IS NULL),
   ed AS (SELECT * FROM kn UNION ALL SELECT src, dst, 0.1, CAST(degree + k AS INT), true FROM nr WHERE degree + k <= 8)"""
-MAX_DF = 255
+_EDGES = _KNN + _FILL
 
 
 def edges(spark, d):
     n = settled(_nodes(spark, d), "nodes")
-    return n, settled(graph.window_fill(settled(graph.knn_edges(n, max_df=MAX_DF), "knn"), n), "edges")
+    return n, settled(graph.window_fill(settled(graph.knn_edges(n), "knn"), n), "edges")
 
 
 _TYPED = lambda df: df.withColumn("rank", F.col("rank").cast("int"))
-register("op_74_knn_edges", lambda s, d: _TYPED(graph.knn_edges(_nodes(s, d), max_df=MAX_DF)), oracle(_EDGES + " SELECT * FROM kn"))
+register("op_74_knn_edges", lambda s, d: _TYPED(graph.knn_edges(settled(_nodes(s, d), "nodes"))), oracle(_EDGES + " SELECT * FROM kn"))
 
 
 def thin_edges(spark, d):
-    """Rows with few neighbours: candidates by rare values only."""
-    n = settled(_nodes(spark, d), "nodes")
-    return _TYPED(graph.window_fill(settled(graph.knn_edges(n, max_df=235), "knn"), n))
+    """Rows whose only evidence is a tag that a handful of rows share, so that most of their neighbours are fallbacks."""
+    c = C(spark, d).select("id", "full_name", "stars", F.array(F.concat_ws("-", "owner", F.floor(F.col("id") / 100))).alias("topics"))
+    n = settled(score.global_ordinal(c, F.col("stars").desc(), F.col("full_name")), "nodes")
+    return _TYPED(graph.window_fill(settled(graph.knn_edges(n), "knn"), n))
 
 
-register("op_75_window_fill", thin_edges, oracle(_EDGES.replace("BETWEEN 2 AND 255", "BETWEEN 2 AND 235") + " SELECT src, dst, CAST(weight AS DOUBLE) AS weight, rank, is_fallback FROM ed"))
+register("op_75_window_fill", thin_edges, oracle(""", nd AS (SELECT row_number() OVER (ORDER BY stars DESC, full_name) - 1 AS ord, concat_ws('-', owner, id // 100) AS t FROM C),
+  kn AS (SELECT * FROM (SELECT a.ord AS src, b.ord AS dst, 1.0 AS weight, CAST(row_number() OVER (PARTITION BY a.ord ORDER BY b.ord) AS INT) AS rank, false AS is_fallback FROM nd a JOIN nd b USING (t) WHERE a.ord <> b.ord) x WHERE rank <= 8)"""
+  + _FILL + " SELECT src, dst, CAST(weight AS DOUBLE) AS weight, rank, is_fallback FROM ed"))
 register("op_76_edge_report", lambda s, d: graph.edge_report(*edges(s, d)[::-1]), oracle(_EDGES + """, tp AS (SELECT subsystem, count(*) AS k FROM ed JOIN nd ON nd.ord = dst GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
   SELECT (SELECT count(*) FROM nd) AS n, 0::BIGINT AS rows_no_evidence, count(*) AS total_edges, count(*) FILTER (is_fallback) AS fallback_edges, (SELECT min(c) FROM (SELECT count(*) AS c FROM ed GROUP BY src) x) AS min_degree,
   (SELECT subsystem FROM tp) AS top_subsystem, (SELECT k FROM tp) AS top_edges, round_even(100.0 * count(*) FILTER (is_fallback) / count(*), 2) AS fallback_pct, round_even(100.0 * (SELECT k FROM tp) / count(*), 2) AS top_pct FROM ed"""))
 _WHY = """CASE WHEN a.subsystem = b.subsystem AND NOT starts_with(a.subsystem, 'General') THEN concat('Shared Subsystem (', a.subsystem, ')') WHEN a.t1 = b.t1 THEN concat('Shared Primitive (', a.t1, ')')
-  WHEN list_contains(b.topics, a.t1) THEN concat('Shared Topic (', a.t1, ')') WHEN list_contains(b.topics, a.t2) THEN concat('Shared Topic (', a.t2, ')') WHEN list_contains(b.topics, a.t3) THEN concat('Shared Topic (', a.t3, ')')
+  WHEN list_contains(b.topics, a.t1) THEN concat('Shared Topic (', a.t1, ')') WHEN list_contains(b.topics, a.t2) THEN concat('Shared Topic (', a.t2, ')') WHEN list_contains(b.topics, a.t3) THEN concat('Shared Topic (', a.t3, ')') WHEN list_contains(b.topics, a.t4) THEN concat('Shared Topic (', a.t4, ')')
   WHEN a.language = b.language THEN concat('Same Language (', a.language, ')') ELSE 'Nearby catalog entry (no shared signals)' END"""
 register("op_36_similarity_reason", lambda s, d: graph.with_reasons(*edges(s, d)).select("src", "dst", "reason"), oracle(_EDGES + f" SELECT src, dst, {_WHY} AS reason FROM ed JOIN nd a ON a.ord = src JOIN nd b ON b.ord = dst"))
 register("op_78_similar", lambda s, d: _TYPED(graph.similar(*edges(s, d), k=5)).select("src", "dst", "rank", "reason"), oracle(_EDGES + f" SELECT src, dst, rank, {_WHY} AS reason FROM ed JOIN nd a ON a.ord = src JOIN nd b ON b.ord = dst WHERE rank <= 5"))
@@ -229,18 +248,18 @@ register("op_77_cooccurrence", lambda s, d: _TYPED(graph.cooccurrence(view(s, d,
     """, k AS (SELECT topic, count(*) AS count FROM T GROUP BY 1 HAVING count(*) >= 25), pr AS (SELECT a.topic AS x, b.topic AS y, count(*) AS n FROM T a JOIN T b USING (id) WHERE a.topic <> b.topic AND a.topic IN (SELECT topic FROM k) AND b.topic IN (SELECT topic FROM k) GROUP BY 1, 2 HAVING count(*) >= 10),
     r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rank FROM pr) SELECT topic, count, y AS other, n AS pair_count, CAST(rank AS INT) AS rank FROM k LEFT JOIN r ON x = topic AND rank <= 10""", "T"))
 register("op_77_pairs_considered", lambda s, d: graph.pairs_considered(view(s, d, "T")), oracle("SELECT count(*) AS pairs FROM (SELECT DISTINCT a.topic, b.topic FROM T a JOIN T b USING (id) WHERE a.topic < b.topic) x", "T"))
-_SAMPLE = _EDGES + """, ins AS (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY src, rank) AS k FROM ed WHERE src < 400 AND dst < 400), lk AS (SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM ins WHERE k = 1),
-  lo AS (SELECT ord FROM nd WHERE ord < 400 AND ord NOT IN (SELECT src FROM lk) AND ord NOT IN (SELECT dst FROM lk)), ti AS (SELECT DISTINCT least(ord, CASE WHEN ord = 0 THEN 1 ELSE ord - 1 END) AS a, greatest(ord, CASE WHEN ord = 0 THEN 1 ELSE ord - 1 END) AS b, max(ord) AS src FROM lo GROUP BY 1, 2),
+_SAMPLE = _EDGES + """, ins AS (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY src, rank) AS k FROM ed WHERE src < 1600 AND dst < 1600), lk AS (SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM ins WHERE k = 1),
+  lo AS (SELECT ord FROM nd WHERE ord < 1600 AND ord NOT IN (SELECT src FROM lk) AND ord NOT IN (SELECT dst FROM lk)), ti AS (SELECT DISTINCT least(ord, CASE WHEN ord = 0 THEN 1 ELSE ord - 1 END) AS a, greatest(ord, CASE WHEN ord = 0 THEN 1 ELSE ord - 1 END) AS b, max(ord) AS src FROM lo GROUP BY 1, 2),
   sg AS (SELECT * FROM lk UNION ALL SELECT ord, CASE WHEN ord = 0 THEN 1 ELSE ord - 1 END, 0.1 FROM lo WHERE NOT (ord = 1 AND 0 IN (SELECT ord FROM lo)))"""
-register("op_79_sample_graph", lambda s, d: graph.sample_graph(*edges(s, d), limit=400), oracle(_SAMPLE + " SELECT * FROM sg"))
+register("op_79_sample_graph", lambda s, d: graph.sample_graph(*edges(s, d)), oracle(_SAMPLE + " SELECT * FROM sg"))
 
 
 def hops(spark, d):
-    links = settled(graph.sample_graph(*edges(spark, d), limit=400), "links")
-    return graph.k_hop(links, links.where("src % 40 = 0").select(F.col("src").alias("start")).distinct(), 2).select("start", "node", F.col("hop").cast("int").alias("hop"))
+    links = settled(graph.sample_graph(*edges(spark, d)), "links")
+    return graph.k_hop(links, links.select(F.col("src").alias("start")).distinct(), 2).select("start", "node", F.col("hop").cast("int").alias("hop"))
 
 
-register("op_79_k_hop", hops, oracle(_SAMPLE + """, bo AS (SELECT src AS a, dst AS b FROM sg UNION SELECT dst, src FROM sg), st AS (SELECT DISTINCT src AS s FROM sg WHERE src % 40 = 0), h1 AS (SELECT s, b FROM st JOIN bo ON a = s), h2 AS (SELECT s, bo.b FROM h1 JOIN bo ON bo.a = h1.b)
+register("op_79_k_hop", hops, oracle(_SAMPLE + """, bo AS (SELECT src AS a, dst AS b FROM sg UNION SELECT dst, src FROM sg), st AS (SELECT DISTINCT src AS s FROM sg), h1 AS (SELECT s, b FROM st JOIN bo ON a = s), h2 AS (SELECT s, bo.b FROM h1 JOIN bo ON bo.a = h1.b)
   SELECT s AS start, n AS node, CAST(min(h) AS INT) AS hop FROM (SELECT s, s AS n, 0 AS h FROM st UNION ALL SELECT s, b, 1 FROM h1 UNION ALL SELECT s, b, 2 FROM h2) x GROUP BY 1, 2"""))
 
 # Recommendations.
@@ -305,7 +324,22 @@ def blueprints(spark, d):
     return recommend.complete_blueprints(c.withColumn("category", F.col("language")), roles, recommend.choose_blueprints(prints, asked)).withColumn("pos", F.col("pos").cast("int"))
 
 
-register("op_83_complete_blueprints", blueprints)
+register("op_83_complete_blueprints", blueprints, oracle(
+    """, bp AS (SELECT concat('bp-', id) AS blueprint_id, CASE WHEN id % 2 = 0 THEN 'data' ELSE 'web' END AS goal, id AS pos FROM C WHERE id < 6),
+  ro AS (SELECT concat('bp-', id % 6) AS blueprint_id, CAST(id // 6 AS INT) AS pos, concat('role-', id) AS role, CASE WHEN id % 7 = 6 THEN 'none' ELSE language END AS category, CASE WHEN id % 3 <> 0 THEN subsystem END AS want, CASE WHEN id % 5 = 0 THEN key END AS seed_key FROM C WHERE id < 24),
+  ow AS (SELECT DISTINCT owner, CASE WHEN length(owner) = 7 THEN 'data' ELSE 'any' END AS goal FROM C),
+  sd AS (SELECT owner, goal, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(owner, ''), lambda x: ord(x)::HUGEINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS seed FROM ow), """
+    + _DRAW.replace("owner, seed,", "owner, goal, seed,").format(p="f", k=1) + """,
+  po AS (SELECT goal, list(blueprint_id ORDER BY pos, blueprint_id) AS own FROM bp GROUP BY 1), al AS (SELECT list(blueprint_id ORDER BY pos, blueprint_id) AS every FROM bp),
+  ch AS (SELECT f.owner, f.seed, coalesce(own, every)[1 + CAST(floor(v * len(coalesce(own, every))) AS INT)] AS blueprint_id FROM f CROSS JOIN al LEFT JOIN po ON po.goal = f.goal),
+  cd AS (SELECT ro.blueprint_id, ro.pos, C.id, C.name, C.stars, 1 AS tier FROM ro JOIN C ON C.key = ro.seed_key
+    UNION ALL SELECT ro.blueprint_id, ro.pos, C.id, C.name, C.stars, CASE WHEN want IS NOT NULL AND C.subsystem = want THEN 2 ELSE 3 END FROM ro JOIN C ON C.language = ro.category),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY blueprint_id, pos ORDER BY tier, stars DESC, name, id) AS n, min(tier) OVER (PARTITION BY blueprint_id, pos) AS best FROM cd),
+  tp AS (SELECT blueprint_id, pos, best AS tier, list(id ORDER BY n) AS c FROM rk WHERE n <= 3 AND tier = best GROUP BY 1, 2, 3),
+  ev AS (SELECT ch.owner, ch.seed, ch.blueprint_id, ro.pos, ro.role, tier, c, count(c) OVER (PARTITION BY ch.owner ORDER BY ro.pos) AS turn FROM ch JOIN ro USING (blueprint_id) LEFT JOIN tp USING (blueprint_id, pos)),
+  e0 AS (SELECT *, (seed + (turn + 1)::HUGEINT * 1831565813) % 4294967296 AS a FROM ev), e1 AS (SELECT *, (xor(a, a >> 15) * (a | 1)) % 4294967296 AS t FROM e0),
+  e2 AS (SELECT *, xor((t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296, t) AS u FROM e1), e3 AS (SELECT *, CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0 AS v FROM e2)
+  SELECT owner AS request, blueprint_id, pos, role, CASE WHEN c IS NULL THEN 'missing' WHEN tier = 1 THEN 'seed' WHEN tier = 2 THEN 'subsystem' ELSE 'category' END AS via, c[1 + CAST(floor(v * len(c)) AS INT)] AS id FROM e3"""))
 
 # Reclassification, gates, scans, windows and SQL.
 
@@ -347,31 +381,65 @@ def gated(spark, d):
     return report.where("section = 'changed'").select("n", F.lit(passes(10.0)).alias("at_10"), F.lit(passes(50.0)).alias("at_50"))
 
 
+def covered(spark, d):
+    """Topic coverage above a star floor, where every fourth row has none, and whether the gate lets it pass at 50 and 90 per cent."""
+    c = cat(spark, d).withColumn("topics", F.when(F.col("id") % 4 != 0, F.col("topics")))
+
+    def passes(least: float) -> bool:
+        try:
+            quality.coverage_gate(c, least, 400)
+        except ValueError:
+            return False
+        return True
+
+    return quality.coverage(c, 400).select("rows", "with_topics", F.bround("pct", 6).alias("pct"), F.lit(passes(50.0)).alias("at_50"), F.lit(passes(90.0)).alias("at_90"))
+
+
+register("op_95_coverage_gate", covered, oracle(""", x AS (SELECT count(*) AS rows, count(*) FILTER (id % 4 <> 0) AS with_topics FROM C WHERE stars >= 400)
+  SELECT rows, with_topics, round_even(100.0 * with_topics / greatest(rows, 1), 6) AS pct, 100.0 * with_topics / greatest(rows, 1) >= 50 AS at_50, 100.0 * with_topics / greatest(rows, 1) >= 90 AS at_90 FROM x"""))
 register("op_95_churn_gate", gated, oracle(_CHURN + " SELECT n, pct <= 10 AS at_10, pct <= 50 AS at_50 FROM rp WHERE section = 'changed'"))
 
 
 def verified(spark, d):
+    """A catalog with planted faults of every kind that the gate looks for."""
     c = C(spark, d).withColumn("hook", F.when(F.col("id") % 40 == 0, F.repeat("description", 9)).otherwise(F.col("description"))).withColumn("domain_margin", F.when(F.col("id") % 90 == 1, 11).otherwise(3)).withColumn("owner", F.when(F.col("id") % 70 == 2, "").otherwise(F.col("owner")))
-    details = files.part_number(c, files.parts_by_slug(c, 100)).select("id", "slug", F.when(F.col("id") % 60 == 5, F.col("part") + 1).otherwise(F.col("part")).alias("part")).where("id % 33 <> 4")
-    return quality.verify(c, details, c.where("id % 44 <> 6").select("id"), 300, 100_000, 100)
+    c = c.withColumn("topics", F.when(F.col("id") % 50 == 3, F.array("t1", F.lit(None).cast("string"))).when(F.col("id") % 110 != 7, F.array("t1", "t2")))
+    codes = files.label_codes(c.withColumn("ord", F.col("id")), "language")
+    c = settled(c.join(codes.select(F.col("label").alias("language"), F.col("code").alias("language_code")), "language", "left"), "catalog")
+    own = files.parts_by_slug(c, 100)
+    details = files.part_number(c, own).select("id", "slug", F.when(F.col("id") % 60 == 5, F.col("part") + 1).otherwise(F.col("part")).alias("part"), F.octet_length("description").alias("bytes")).where("id % 33 <> 4")
+    stated = own.select("slug", F.when(F.col("slug") == "domain-3", 3).otherwise(F.col("parts")).cast("long").alias("parts")).where("parts >= 2")
+    stated = stated.unionByName(own.where("slug = 'domain-1'").select(F.lit("no-such").alias("slug"), F.lit(4).cast("long").alias("parts")))
+    return quality.verify(c, details, c.where("id % 44 <> 6").select("id"), 300, 100_000, 100, stated, {"language": codes.where("code <> 2")}, 2000)
 
 
 register("op_94_catalog_verify", verified, oracle(
-    """, v(k, n) AS (VALUES ('id_out_of_range', (SELECT count(*) FROM C WHERE id <= 0)), ('missing_owner_or_name', (SELECT count(*) FROM C WHERE id % 70 = 2)), ('below_floor', (SELECT count(*) FROM C WHERE stars < 300)), ('hook_too_long', (SELECT count(*) FROM C WHERE id % 40 = 0 AND length(description) * 9 > 90)),
+    _PARTS + """, x AS (SELECT id, lower(domain) AS slug, language, description FROM C), st AS (SELECT slug, CASE WHEN slug = 'domain-3' THEN 3 ELSE parts END AS parts FROM p WHERE parts >= 2 OR slug = 'domain-3' UNION ALL SELECT 'no-such', 4 FROM p WHERE slug = 'domain-1'),
+    rt AS (SELECT x.id, x.slug, x.id % coalesce(st.parts, 1) AS part FROM x LEFT JOIN st USING (slug)), dt AS (SELECT x.id, x.slug, x.id % p.parts + CASE WHEN x.id % 60 = 5 THEN 1 ELSE 0 END AS part, length(description) AS bytes FROM x JOIN p USING (slug) WHERE x.id % 33 <> 4),
+    pl AS (SELECT DISTINCT slug, part FROM rt), th AS (SELECT DISTINCT slug, part FROM dt), co AS (SELECT language, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM C GROUP BY 1),
+    v(k, n) AS (VALUES ('id_out_of_range', (SELECT count(*) FROM C WHERE id <= 0)), ('missing_owner_or_name', (SELECT count(*) FROM C WHERE id % 70 = 2)), ('below_floor', (SELECT count(*) FROM C WHERE stars < 300)), ('hook_too_long', (SELECT count(*) FROM C WHERE id % 40 = 0 AND length(description) * 9 > 90)),
     ('margin_out_of_range', (SELECT count(*) FROM C WHERE id % 90 = 1)), ('missing_domain', 0), ('missing_subsystem', 0), ('missing_language', 0), ('missing_artifact', 0), ('too_few_rows', 1), ('duplicate_id', 0), ('flat_missing', (SELECT count(*) FROM C WHERE id % 44 = 6)), ('flat_stray', 0),
-    ('details_missing', (SELECT count(*) FROM C WHERE id % 33 = 4)), ('details_stray', 0), ('details_misplaced', (SELECT count(*) FROM C WHERE id % 60 = 5 AND id % 33 <> 4))) SELECT k AS "check", n AS failures FROM v"""))
+    ('malformed_topics', (SELECT count(*) FROM C WHERE id % 50 = 3 OR id % 110 = 7)), ('part_missing', (SELECT count(*) FROM pl ANTI JOIN th USING (slug, part))), ('part_orphan', (SELECT count(*) FROM th ANTI JOIN pl USING (slug, part))),
+    ('fanout_malformed', (SELECT count(*) FROM st WHERE parts = 3)), ('fanout_of_no_domain', (SELECT count(*) FROM st WHERE slug = 'no-such')), ('fanout_differs', (SELECT count(*) FROM p LEFT JOIN st USING (slug) WHERE p.parts <> coalesce(st.parts, 1))), ('language_dangling', (SELECT count(*) FROM C JOIN co USING (language) WHERE code = 2)),
+    ('part_too_large', (SELECT count(*) FROM (SELECT sum(bytes) AS b FROM dt GROUP BY slug, part) z WHERE b > 2000)),
+    ('details_missing', (SELECT count(*) FROM C WHERE id % 33 = 4)), ('details_stray', 0), ('details_misplaced', (SELECT count(*) FROM dt JOIN rt USING (id) WHERE dt.slug <> rt.slug OR dt.part <> rt.part))) SELECT k AS "check", n AS failures FROM v""", "C"))
 
 
 def artifacts(spark, d):
+    """Order, index, edges, snapshot, facets and exported postings with planted faults."""
     n, e = edges(spark, d)
     n = n.withColumn("activity_status", F.when(F.col("id") % 100 == 1, "odd").otherwise("idle"))
-    postings, terms = search.build_index(n.withColumn("name", F.split("full_name", "/")[1]).select("ord", "name"))
+    postings, terms = (settled(t, "index") for t in search.build_index(n.withColumn("name", F.split("full_name", "/")[1]).select("ord", "name")))
     e = e.unionByName(e.where("rank = 1 and src % 50 = 0").withColumn("dst", F.col("src")))
-    return quality.verify_artifacts(n, postings, terms, e, n.where("id % 30 <> 3").select("full_name", "stars"))
+    counts = facets.facet_counts(n, {}).withColumn("count", F.col("count") + (F.col("name") == "ring").cast("int"))
+    exported = search.export_postings(postings).withColumn("postings", F.when(F.col("token").endswith("9"), F.slice("postings", 1, F.size("postings") - 1)).otherwise(F.col("postings")))
+    return quality.verify_artifacts(n, postings, terms, e, n.where("id % 30 <> 3").select("full_name", "stars"), facets=counts, exported=exported)
 
 
 register("op_96_artifact_invariants", artifacts, oracle(
-    """, v(k, n) AS (VALUES ('order_not_by_stars', 0), ('index_df_differs', 0), ('edge_to_itself', (SELECT (count(*) + 49) // 50 FROM C)), ('edge_twice', 0), ('edge_weight_out_of_range', 0), ('degree_differs', (SELECT (count(*) + 49) // 50 FROM C)),
+    """, tk AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM C), tm AS (SELECT token FROM tk GROUP BY 1 HAVING count(*) <= greatest(1, (SELECT count(*) FROM C) // 10)),
+    v(k, n) AS (VALUES ('order_not_by_stars', 0), ('index_df_differs', 0), ('edge_to_itself', (SELECT (count(*) + 49) // 50 FROM C)), ('edge_twice', 0), ('edge_weight_out_of_range', 0), ('degree_differs', (SELECT (count(*) + 49) // 50 FROM C)),
+    ('postings_ragged', (SELECT count(*) FROM tm WHERE token LIKE '%9')), ('facet_differs', (SELECT count(DISTINCT artifact) FROM C WHERE artifact = 'ring') + (SELECT count(*) FROM (SELECT 1 FROM C WHERE t1 = 'ring' OR t2 = 'ring' LIMIT 1) y) + (SELECT count(*) FROM (SELECT 1 FROM C WHERE t1 = 'ring' LIMIT 1) z)),
     ('activity_status_unknown', (SELECT count(*) FROM C WHERE id % 100 = 1)), ('snapshot_differs', (SELECT count(*) FROM C WHERE id % 30 = 3))) SELECT k AS "check", n AS failures FROM v"""))
 _SCAN = {"email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+", "license": r"(?i)licen[sc]e"}
 register("op_49_pattern_scan", lambda s, d: quality.pattern_scan(table(s, d, "documents"), "doc_id", "text", _SCAN).select("id", "line", "rule"), """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -379,19 +447,16 @@ register("op_49_pattern_scan", lambda s, d: quality.pattern_scan(table(s, d, "do
 
 
 def windows(spark, d):
+    """Windows of orders by customer key, from the least to the largest key there is."""
     o = table(spark, d, "orders").withColumn("second", F.col("o_orderkey") % 1000)
     lo, hi = o.agg(F.min("o_custkey"), F.max("o_custkey")).first()
-    # the SQL halves 0 to 20,000: twice that range as often as the keys need, so that halving comes down to it
-    top = 20_001
-    while top <= (hi or 0):
-        top *= 2
-    w = quality.plan_windows(o, "o_custkey", "second", min(0, lo or 0), top - 1, 200)
-    return w.agg(F.sum("rows").alias("rows"), F.max("rows").alias("largest"), F.count_if(F.col("lo") > F.col("hi")).alias("wrong"), F.count_if("truncated").alias("truncated"))
+    return quality.plan_windows(o, "o_custkey", "second", lo or 0, hi or 0).select("lo", "hi", "second_lo", "second_hi", "rows", "truncated")
 
 
-register("op_97_range_windows", windows, """SELECT count(*) AS rows, (SELECT max(k) FROM (WITH RECURSIVE w(lo, hi) AS (SELECT 0, 20000 UNION ALL
-    SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END FROM w, (VALUES (0), (1)) h(s) WHERE lo < hi AND (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) > 200)
-    SELECT (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) AS k FROM w) x WHERE k <= 200) AS largest, 0::BIGINT AS wrong, 0::BIGINT AS truncated FROM orders""")
+register("op_97_range_windows", windows, """WITH RECURSIVE w(lo, hi) AS (SELECT min(o_custkey)::BIGINT, max(o_custkey)::BIGINT FROM orders UNION ALL
+    SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END FROM w, (VALUES (0), (1)) h(s) WHERE lo < hi AND (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) > 1000),
+    k AS (SELECT lo, hi, (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) AS rows FROM w)
+    SELECT lo, hi, NULL::BIGINT AS second_lo, NULL::BIGINT AS second_hi, rows, false AS truncated FROM k WHERE rows BETWEEN 1 AND 1000""")
 _CONSOLE = "WITH x AS (SELECT language, count(*) AS n, sum(stars) AS stars FROM repos WHERE stars >= 400 GROUP BY language) SELECT language, n, stars FROM x ORDER BY stars DESC"
 
 
