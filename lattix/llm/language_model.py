@@ -1,21 +1,24 @@
 """A word bigram model with Katz backoff, trained and evaluated as Spark jobs.
 
-Counts of words and word pairs are discounted by Good-Turing (counts up to ``K``; a pair seen once counts as unseen), and
-what that frees is given to the unseen: for words to one unknown word, for a context in proportion to the words' own
+Counts of words and word pairs are discounted by Good-Turing (counts up to ``K``; pairs seen once are kept like all others),
+and what that frees is given to the unseen: for words to one unknown word, for a context in proportion to the words' own
 probabilities, with the weight that makes each context's probabilities sum to one exactly:
 
     P(w) = d(c) c / N,  P(unknown) = what is left
-    P(w | v) = d(c) c / C(v) if the pair was kept, else alpha(v) P(w)
-    alpha(v) = (1 - sum of kept P(w | v)) / (1 - sum of P(w) over the kept)
+    P(w | v) = d(c) c / C(v) if the pair was seen, else alpha(v) P(w)
+    alpha(v) = (1 - sum of seen P(w | v)) / (1 - sum of P(w) over the seen)
 
 Evaluation follows the recursion for each token. As log P(w | v) is either the pair's entry or log alpha(v) + log P(w), a
-text's score is the sum of log P(w) + log alpha(w) over its words, plus for each kept pair what its entry differs by.
+text's score is the sum of log P(w) + log alpha(v) over its tokens, plus for each seen pair what its entry differs by.
 
-How it scales: tables are keyed by a 64-bit word code and hashed over partitions. The ``HEAD`` most frequent words get small
-numbers as codes and travel with their values as arrays of fixed size; so do up to ``PAIRS`` of the most frequent pairs, in
-a table of fixed size. They serve most tokens inside the task that reads the text. Every other word and pair is looked
-up by an equi-join on its code, so no word or pair is left out, and no key of that join is a frequent one. Counts are
-summed per task before they are shuffled. The driver sees counts of counts and the two bounded heads.
+How it scales: the model is a table of buckets. A pair lies in the bucket of its context's hash, so a context's sums are
+made in one place; a context with more than ``HOT`` occurrences is spread over several buckets by the next word, and its
+sums are added up. Buckets hold about ``BUCKET`` occurrences however large the corpus is: their number grows with it. Pairs,
+and later the occurrences to be scored, move as packed arrays, one per bucket and flush of a task, counted before they
+move; occurrences meet their bucket by an equi-join of groups, in ``SLICES`` passes whose shuffle files are freed in
+between, and send back one sum per document and bucket. The ``HEAD`` most frequent words get small numbers as codes and
+travel as arrays of fixed size with their values; all others are looked up in buckets by their hash. Nothing is left out.
+The driver sees counts of counts and the head, both bounded.
 
 Results for odd inputs: a null or blank text is its end alone; repeated rows are rows of their own; a null id is a
 training row; without training rows every word is unknown (score and base come from N = 0); an empty table gives an
@@ -24,25 +27,30 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import discard, stage
+from .staging import discard, release, stage
 from .words import CACHE_WORDS, SEED, fold, mix, small
 
 #: Good-Turing discounts apply up to this count.
 K = 5
 HEAD = 1 << 18
-PAIRS = 1 << 20
-SLOTS = 1 << 21
-#: Tokens that a task counts before it hands the sums on.
+#: Occurrences of a bucket, least number of buckets, occurrences beyond which a context is spread, passes of the evaluation.
+BUCKET = 500_000
+LEAST_BUCKETS = 256
+HOT = 1_000_000
+SLICES = 2
+#: Tokens that a task gathers before it hands them on.
 FLUSH = 1_500_000
 #: Codes that no word has: the start of a text (a context only) and its end (a token).
 START, END = 0, 1
@@ -106,26 +114,78 @@ def _count_words(batches):
     yield flush()
 
 
-def _count_pairs(head):
+def _floor(counts: dict[int, int], most: int) -> int:
+    """The least count such that no more than ``most`` entries have it or a larger one."""
+    total, floor = 0, max(counts, default=0) + 1
+    for c in sorted(counts, reverse=True):
+        total += counts[c]
+        if total > most:
+            break
+        floor = c
+    return floor
+
+
+def _by_count(df: DataFrame) -> dict[int, int]:
+    """count -> entries; large counts together by their binary logarithm's lower bound, so that the driver sees few rows."""
+    step = F.when(F.col("c") <= 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("long"))
+    return {c: n for c, n in df.groupBy(step.alias("c")).agg(F.count("*").alias("n")).collect()}
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, compressed."""
+    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
+
+
+def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=n * sum(np.dtype(t).itemsize for t in types) or 1), [], 0
+    for t in types:
+        out.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
+def _together(parts: list[list[np.ndarray]], *types: str) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, dtype=t) for t in types]
+
+
+class Plan:
+    """Where pairs and words lie: ``n`` buckets for pairs, as many for words, and the parts of common contexts."""
+
+    def __init__(self, n: int, parts: np.ndarray):
+        self.n, self.parts = n, parts
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        parts = np.where(a < len(self.parts), self.parts[np.where(a < len(self.parts), a, 0).astype(np.int64)], 1).astype(np.uint64)
+        return (mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b) % parts) % np.uint64(self.n)).astype(np.int32)
+
+
+def _by_bucket(buckets: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(buckets, kind="stable")
+    buckets, arrays = buckets[order], [a[order] for a in arrays]
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(buckets))):
+        yield int(buckets[a]), [x[a:b] for x in arrays]
+
+
+def _count_pairs(numbers, plan):
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
     def run(batches):
-        codes, parts, size = Codes(head.value), [], 0
+        codes, place, parts, size = Codes(numbers.value), plan.value, [], 0
 
         def flush():
-            pairs = np.concatenate(parts) if parts else np.empty((0, 2), dtype=np.uint64)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            new = np.ones(len(pairs), dtype=bool)
-            new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(pairs)))
-            a, b = (np.ascontiguousarray(pairs[at, k]).view(np.int64) for k in (0, 1))
-            return pa.record_batch([pa.array(a), pa.array(b), pa.array(n, pa.int64())], names=["a", "b", "c"])
+            a, b = _together(parts, "<u8", "<u8")
+            _, at, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+            a, b = a[at], b[at]
+            found = [(k, pack(x, y, c)) for k, (x, y, c) in _by_bucket(place.pairs(a, b), a, b, n.astype("<u4"))]
+            return pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], schema=schema)
 
         for batch in small(batches):
             stream = np.frombuffer(b"".join([_START + codes.text(t) for t in batch.column(0).to_pylist()]), dtype="<u8")
             inside = stream[1:] != START
-            parts.append(np.stack([stream[:-1][inside], stream[1:][inside]], 1))
-            size += len(parts[-1])
+            parts.append([stream[:-1][inside], stream[1:][inside]])
+            size += len(parts[-1][0])
             if size > FLUSH:
                 yield flush()
                 parts, size = [], 0
@@ -134,181 +194,302 @@ def _count_pairs(head):
     return run
 
 
-def _keyed(batches):
-    for batch in small(batches):
-        a, b = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(a, b).view(np.int64)), batch.column(2), batch.column(3)], names=["key", "c", "value"])
+MERGED = "bucket int, data binary, " + ", ".join(f"n{r} long" for r in range(1, K + 2))
+_MERGED = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), *((f"n{r}", pa.int64()) for r in range(1, K + 2))])
 
 
-def _discount(c: Column, d: list[float]) -> Column:
-    return F.when(c <= len(d), F.element_at(F.array(*map(F.lit, d)), F.least(c, F.lit(len(d))).cast("int"))).otherwise(F.lit(1.0))
+def _merge(table: pa.Table) -> pa.Table:
+    """One row for a bucket: its pairs in the order of context and word, with their counts, and counts of counts."""
+    a, b, c = _together([unpack(d.as_py(), "<u8", "<u8", "<u4") for d in table.column("data")])
+    order = np.lexsort((b, a))
+    a, b, c = a[order], b[order], c[order].astype("<i8")
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    c = np.add.reduceat(c, at)
+    tally = [int((c == r).sum()) for r in range(1, K + 2)]
+    return pa.table([pa.array([x], f.type) for x, f in zip((table.column("bucket")[0].as_py(), pack(a[at], b[at], c), *tally), _MERGED)], schema=_MERGED)
 
 
-def _floor(counts: dict[int, int], most: int) -> int:
-    """The least count such that no more than ``most`` entries have it or a larger one."""
-    total, floor = 0, max(counts, default=0) + 1
-    for c in sorted(counts, reverse=True):
-        total += counts[c]
-        if total > most:
-            break
-        floor = c
-    return floor
+def _rare_words(batches):
+    """bucket, code: the words outside the head that a bucket's pairs end in."""
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            b = np.unique(unpack(data.as_py(), "<u8", "<u8", "<i8")[1])
+            b = b[b >= np.uint64(_TAIL)]
+            yield pa.record_batch([pa.array(np.full(len(b), bucket, dtype=np.int32)), pa.array(b.view(np.int64))], names=["bucket", "code"])
 
 
-def _by_count(df: DataFrame) -> dict[int, int]:
-    """count -> entries; large counts together by their binary logarithm's lower bound, so that the driver sees few rows."""
-    step = F.when(F.col("c") <= 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("long"))
-    return {c: n for c, n in df.groupBy(step.alias("c")).agg(F.count("*").alias("n")).collect()}
+def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.asarray([1.0, *d, 1.0])[np.minimum(c, len(d) + 1)] * c
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+BUCKETS = "bucket int, pairs binary, words binary, contexts binary, head array<long>, mass array<double>, lower array<double>, whole array<long>"
+_BUCKETS = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("words", pa.binary()), ("contexts", pa.binary()), ("head", pa.list_(pa.int64())), ("mass", pa.list_(pa.float64())), ("lower", pa.list_(pa.float64())), ("whole", pa.list_(pa.int64()))])
+
+
+def log_alpha(mass: np.ndarray, lower: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of contexts (half a one more where no discount freed anything) and the logarithms of their weights."""
+    whole = np.where(mass < whole, whole, whole + 0.5)
+    return whole, np.log10((1 - mass / whole) / (1 - lower))
+
+
+def _finish(d1: list[float], d2: list[float], total: float, head):
+    """Sums of the contexts of a bucket; weights of those outside the head, which are whole there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _BUCKETS.empty_table()
+        a, b, c = unpack(left.column("data")[0].as_py(), "<u8", "<u8", "<i8")
+        code, n = (right.column(k).to_numpy() for k in ("code", "c"))
+        order = np.argsort(code.view(np.uint64))
+        code, n = code.view(np.uint64)[order], n[order]
+        p = np.where(b < HEAD, head.value[np.where(b < HEAD, b, 0).astype(np.int64)], 0.0)
+        rare = np.flatnonzero(b >= np.uint64(_TAIL))
+        p[rare] = _discounted(n[np.searchsorted(code, b[rare])], d1) / total
+        at = np.flatnonzero(np.diff(a, prepend=a[0] ^ np.uint64(1)) != 0)
+        sums = [np.add.reduceat(x, at) for x in (_discounted(c, d2), p, c)]
+        own = a[at]
+        tail = own >= np.uint64(_TAIL)
+        whole, alpha = log_alpha(*(x[tail] for x in sums))
+        row = (left.column("bucket")[0].as_py(), pack(a, b, c), pack(code, n), pack(own[tail], whole, alpha), own[~tail].view(np.int64), *(x[~tail] for x in sums))
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, _BUCKETS)], schema=_BUCKETS)
+
+    return run
+
+
+def _placed(n: int):
+    def run(batches):
+        for batch in batches:
+            buckets = _word_buckets(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(0), batch.column(1)], names=["bucket", "code", "c"])
+
+    return run
+
+
+def _pack_words(table: pa.Table) -> pa.Table:
+    code, c = (table.column(k).to_numpy() for k in ("code", "c"))
+    order = np.argsort(code.view(np.uint64))
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "words": pa.array([pack(code[order].view(np.uint64), c[order])], pa.binary())})
 
 
 class Model:
-    """Tables and bounded heads of a trained model."""
+    """A trained model: ``buckets`` (pairs and weights of contexts) and ``rare`` (words outside the head), both tables, and the head.
+
+    The tables lie in the shared folder; ``bucket`` is what evaluation joins them by.
+    """
 
     def __init__(self, train: DataFrame, text_col: str = "text"):
         spark = self.spark = train.sparkSession
+        send = spark.sparkContext.broadcast
         texts = train.select(F.col(text_col).cast("string").alias("text"))
         words = texts.mapInArrow(_count_words, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
         words = stage(words, "lm-words")
         ends = words.where(F.col("code") == END).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
         self.n, self.v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         by_count = _by_count(words)
-        d = discounts(by_count)
-        freed = sum(by_count.get(r, 0) * r * (1 - d[r - 1]) for r in range(1, K + 1))
-        total = self.n if freed > 0 else self.n + 0.5
-        self.unknown = math.log10((freed or 0.5) / total)
+        self.d1 = discounts(by_count)
+        freed = sum(by_count.get(r, 0) * r * (1 - self.d1[r - 1]) for r in range(1, K + 1))
+        self.total = float(self.n if freed > 0 else self.n + 0.5)
+        self.unknown = math.log10((freed or 0.5) / self.total)
         # Numbers for the head: no more than HEAD words, however large the corpus.
         floor = _floor(by_count, HEAD - 2)
-        top = [r for r in words.where((F.col("c") >= floor) & (F.col("code") != END)).collect()]
+        top = words.where((F.col("c") >= floor) & (F.col("code") != END)).collect()
         top.sort(key=lambda r: (-r[1], r[0]))
-        numbers = {r[0] + (1 << 64): i for i, r in enumerate(top, 2)}
-        self.numbers = spark.sparkContext.broadcast(numbers)
-        named = spark.createDataFrame([(r[0], i) for i, r in enumerate(top, 2)] or [(0, 0)], "code long, number long")
-        prob = F.log10(_discount(F.col("c"), d) * F.col("c") / F.lit(float(total or 1)))
-        counted = words
-        words = words.join(F.broadcast(named), "code", "left")  # at most HEAD rows
-        words = stage(words.select(F.coalesce("number", "code").alias("code"), "c", prob.alias("p")), "lm-vocabulary")
-        discard(counted)
-
-        seen = Observation()
-        pairs = texts.mapInArrow(_count_pairs(self.numbers), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-        tally = [F.count(F.when(F.col("c") == r, 1)).alias(f"n{r}") for r in range(1, K + 2)]
-        pairs = stage(pairs.observe(seen, *tally).where("c > 1"), "lm-pairs")
-        d = discounts({r: seen.get[f"n{r}"] for r in range(1, K + 2)})
-        del texts
-        counted = pairs
-        _release(spark)
-
-        starts = spark.createDataFrame([(START, int(ends), None)], "code long, c long, p double")
-        pairs = self._attach(pairs, words, "b", F.col("p").alias("pb"))
-        pairs = self._attach(pairs, words.unionByName(starts), "a", F.col("c").alias("whole"))
-        pairs = pairs.withColumn("dc", _discount(F.col("c"), d) * F.col("c"))
-        context = pairs.groupBy("a").agg(F.sum("dc").alias("mass"), F.sum(F.pow(F.lit(10.0), "pb")).alias("lower"), F.max("whole").alias("whole"))
-        whole = F.when(F.col("mass") < F.col("whole"), F.col("whole")).otherwise(F.col("whole") + 0.5)
-        context = stage(context.select("a", whole.alias("whole"), F.log10((1 - F.col("mass") / whole) / (1 - F.col("lower"))).alias("alpha")), "lm-contexts")
-        # pairs: entry less the value by backoff
-        entry = self._attach(pairs.drop("whole"), context.withColumnRenamed("a", "code"), "a", F.col("whole"), F.col("alpha"))
-        entry = entry.select("a", "b", "c", (F.log10(F.col("dc") / F.col("whole")) - F.col("alpha") - F.col("pb")).alias("value"))
-        self.pairs = stage(entry.mapInArrow(_keyed, "key long, c long, value double"), "lm-entries")
-        discard(counted)
-        values = words.join(context.select(F.col("a").alias("code"), "alpha"), "code", "left")
-        self.words = stage(values.select("code", "c", (F.col("p") + F.coalesce("alpha", F.lit(0.0))).alias("value")), "lm-values")
-
-        # Heads as arrays of fixed size.
-        self.counts, self.values = np.zeros(HEAD, dtype=np.int64), np.zeros(HEAD)
-        for code, c, value in self.words.where("code >= 0").collect():
-            self.counts[code], self.values[code] = c, value
-        first = context.where(F.col("a") == START).select("alpha").first()
-        self.values[START] = first[0] if first else 0.0
-        discard(context)
+        self.counts = np.zeros(HEAD, dtype=np.int64)
+        self.counts[END] = ends
+        self.counts[2 : len(top) + 2] = [r[1] for r in top]
+        self.numbers = send({r[0] + (1 << 64): i for i, r in enumerate(top, 2)})
+        prob = _discounted(self.counts, self.d1) / self.total
+        rare = words.where((F.col("c") < floor) & (F.col("code") != END))
+
+        # Buckets of pairs.
+        contexts = self.counts.copy()
+        contexts[START] = ends
+        self.place = Plan(max(LEAST_BUCKETS, -(-self.n // BUCKET)), np.where(contexts > HOT, -(-contexts // BUCKET), 1))
+        self.plan = send(self.place)
+        n = self.place.n
+        pairs = texts.mapInArrow(_count_pairs(self.numbers, self.plan), "bucket int, data binary")
+        pairs = stage(pairs.groupBy("bucket").applyInArrow(_merge, MERGED), "lm-pairs")
+        release(spark)
+        tally = pairs.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 2)]).first()
+        self.d2 = discounts(dict(enumerate(tally, 1)))
+        asked = pairs.select("bucket", "data").mapInArrow(_rare_words, "bucket int, code long")
+        known = asked.join(rare, "code").select("bucket", "code", "c")
+        both = pairs.groupBy("bucket").cogroup(known.groupBy("bucket"))
+        self.buckets = stage(both.applyInArrow(_finish(self.d1, self.d2, self.total, send(prob)), BUCKETS), "lm-buckets")
+        discard(pairs)
+        placed = rare.mapInArrow(_placed(n), "bucket int, code long, c long")
+        self.rare = stage(placed.groupBy("bucket").applyInArrow(_pack_words, "bucket int, words binary"), "lm-rare")
+        release(spark)
+
+        # The head's weights: sums of the parts of each context, at most HEAD rows.
+        sums = self.buckets.select(F.inline(F.arrays_zip("head", "mass", "lower", "whole"))).groupBy("head").agg(F.sum("mass"), F.sum("lower"), F.sum("whole")).collect()
+        self.whole, self.alpha = np.ones(HEAD), np.zeros(HEAD)
+        if sums:
+            code, mass, lower, whole = (np.array(x) for x in zip(*sums))
+            self.whole[code], self.alpha[code] = log_alpha(mass, lower, whole)
+        with np.errstate(divide="ignore"):
+            self.logs = np.where(self.counts > 0, np.log10(prob), self.unknown)
         discard(words)
-        floor = _floor(_by_count(self.pairs), PAIRS)
-        table = self.pairs.where(F.col("c") >= floor).select("key", "c", "value").toArrow()
-        order = np.argsort(table.column("c").to_numpy(), kind="stable")  # where two pairs meet in a slot, the commoner one stays
-        keys = table.column("key").to_numpy().view(np.uint64)[order]
-        self.slots, self.entries = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS)
-        place = keys & np.uint64(SLOTS - 1)
-        self.slots[place], self.entries[place] = keys, table.column("value").to_numpy()[order]
-        _release(spark)
-
-    @staticmethod
-    def _attach(pairs: DataFrame, words: DataFrame, col: str, *values: Column) -> DataFrame:
-        """Join values of the words in a column: head words by a broadcast of at most HEAD rows, the others by a shuffle."""
-        side = words.select(F.col("code").alias(col), *values)
-        head = pairs.where(F.col(col) >= 0).join(F.broadcast(side.where(F.col(col) >= 0)), col)
-        return head.unionByName(pairs.where(F.col(col) < 0).join(side.where(F.col(col) < 0), col))
-
-    def table(self) -> DataFrame:
-        """key, c, value of all words and pairs that the heads don't hold; pairs that lost their slot are among them."""
-        words = self.words.where("code < 0").select(F.col("code").alias("key"), "c", "value")
-        return words.unionByName(self.pairs.select("key", F.lit(None).cast("long").alias("c"), "value"))
-
-
-def _look_up(model: dict):
-    m = model
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("stats", pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
+
+    def sent(self) -> dict:
+        """What tasks need, of fixed size."""
+        return {"counts": self.counts, "logs": self.logs, "alpha": self.alpha, "whole": self.whole, "d1": self.d1, "d2": self.d2, "total": self.total, "unknown": self.unknown, "den": self.n + 0.5 * (self.v + 1)}
+
+
+_OCCURRENCES = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("data", pa.binary())])
+
+
+def _occurrences(numbers, plan, sent, step: int, steps: int):
+    """bucket, flush, data: pairs and rare words of all documents of a flush, by bucket, and what the head says of them.
+
+    Documents are told apart by their place in the flush. Buckets are dealt to the ``steps`` passes by their number.
+    """
 
     def run(batches):
-        codes = Codes(m["numbers"].value)
-        counts, values, slots, entries = m["arrays"].value
-        base = np.log10((counts + 0.5) / m["den"])
-        first = TaskContext.get().partitionId() << 40
+        codes, place, m = Codes(numbers.value), plan.value, sent.value
+        base = np.log10((m["counts"] + 0.5) / m["den"])
+        flush, parts, ids, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def close():
+            a, b, doc = _together(parts, "<u8", "<u8", "<u4")
+            found = []
+            if step == 0:
+                head, context = b < HEAD, a < HEAD
+                number = np.where(head, b, 0).astype(np.int64)
+                known, plain = np.where(head, m["counts"][number] > 0, 0), np.where(head, base[number], 0.0)
+                score = np.where(head, m["logs"][number], 0.0) + np.where(context, m["alpha"][np.where(context, a, 0).astype(np.int64)], 0.0)
+                sums = [np.bincount(doc, weights=x, minlength=len(ids)) for x in (np.ones(len(doc)), known, plain, score)]
+                missing = np.array([i is None for i in ids], dtype="<u1")
+                found.append((2 * place.n + flush % place.n, pack(np.array([i or 0 for i in ids], dtype="<i8"), missing, *sums)))
+                rare = np.flatnonzero(~head)
+                found += [(k, pack(x, y)) for k, (x, y) in _by_bucket(_word_buckets(b[rare], place.n), b[rare], doc[rare])]
+            buckets = place.pairs(a, b)
+            mine = np.flatnonzero(buckets % steps == step)
+            found += [(k, pack(x, y, z)) for k, (x, y, z) in _by_bucket(buckets[mine], a[mine], b[mine], doc[mine])]
+            return pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([flush] * len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())], schema=_OCCURRENCES)
+
         for batch in small(batches):
-            ids = batch.column(0).to_pylist()
             texts = [codes.text(t) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(t) // 8 for t in texts], dtype=np.int64)
-            stream = np.frombuffer(_START + _START.join(texts) if texts else b"", dtype="<u8")
-            row = np.repeat(np.arange(len(ids)), sizes + 1)
-            token, head = stream != START, stream < HEAD
-            number = np.where(head, stream, 0).astype(np.int64)
-            score, known = np.where(head, values[number], 0.0), head & token & (counts[number] > 0)
-            plain = np.where(head & token, base[number], 0.0)
-            pair = np.zeros(len(stream), dtype=np.uint64)
-            if len(stream):
-                pair[1:] = pair_keys(stream[:-1], stream[1:])
-            place = pair & np.uint64(SLOTS - 1)
-            hit = token & (slots[place] == pair)
-            score = score + np.where(hit, entries[place], 0.0)
-            ask = (~head, token & ~hit)
-            rows = first + np.concatenate([row[ask[0]], row[ask[1]]])
-            keys = np.concatenate([stream[ask[0]], pair[ask[1]]]).view(np.int64)
-            yield pa.record_batch([pa.array(rows), pa.array(keys), pa.nulls(len(rows), schema.field("stats").type)], schema=schema)
-            if ids:
-                sums = [np.bincount(row, weights=x, minlength=len(ids)) for x in (known, plain, score)]
-                own = first + np.arange(len(ids))
-                stats = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(schema.field("stats").type))
-                yield pa.record_batch([pa.array(own), pa.array((mix(own.view(np.uint64)) >> np.uint64(1)).view(np.int64)), stats], schema=schema)
-            first += len(ids)
+            stream = np.frombuffer(b"".join([_START + t for t in texts]), dtype="<u8")
+            doc = np.repeat(np.arange(len(ids), len(ids) + len(texts), dtype="<u4"), [len(t) // 8 for t in texts])
+            inside = stream[1:] != START
+            parts.append([stream[:-1][inside], stream[1:][inside], doc])
+            ids += batch.column(0).to_pylist()
+            size += len(doc)
+            if size > FLUSH:
+                yield close()
+                flush, parts, ids, size = flush + 1, [], [], 0
+        if ids:
+            yield close()
+
+    return run
+
+
+def _word_buckets(codes: np.ndarray, n: int) -> np.ndarray:
+    return (mix(codes) % np.uint64(n)).astype(np.int32) + np.int32(n)
+
+
+_SUMS = pa.schema([("flush", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
+SUMS = "flush long, whole boolean, data binary"
+
+
+def _evaluate(sent, n: int):
+    """Sums by document of the occurrences of a bucket."""
+
+    def pairs(m: dict, row: dict | None):
+        if row is None:
+            return lambda a, b: (np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a)))
+        a, b, c = unpack(row["pairs"], "<u8", "<u8", "<i8")
+        code, count = unpack(row["words"], "<u8", "<i8")
+        own, whole, alpha = unpack(row["contexts"], "<u8", "<f8", "<f8")
+        rare, tail = b >= np.uint64(_TAIL), a >= np.uint64(_TAIL)
+        word = m["logs"][np.where(rare, 0, b).astype(np.int64)]
+        word[rare] = np.log10(_discounted(count[np.searchsorted(code, b[rare])], m["d1"]) / m["total"])
+        number, at = np.where(tail, 0, a).astype(np.int64), np.searchsorted(own, a[tail])
+        wholes, alphas = m["whole"][number], m["alpha"][number]
+        wholes[tail], alphas[tail] = whole[at], alpha[at]
+        value = np.log10(_discounted(c, m["d2"]) / wholes) - alphas - word
+        keys = pair_keys(a, b)
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
+
+        def found(x: np.ndarray, y: np.ndarray):
+            key = pair_keys(x, y)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            score = np.where(keys[place] == key, value[place], 0.0)
+            if len(own):
+                place = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                score += np.where(own[place] == x, alpha[place], 0.0)
+            return np.zeros(len(x)), np.zeros(len(x)), score
+
+        return found
+
+    def words(m: dict, row: dict | None):
+        code, count = unpack(row["words"], "<u8", "<i8") if row else (np.empty(0, dtype="<u8"), np.empty(0, dtype="<i8"))
+
+        def found(x: np.ndarray):
+            c = np.zeros(len(x), dtype=np.int64)
+            if len(code):
+                place = np.minimum(np.searchsorted(code, x), len(code) - 1)
+                c = np.where(code[place] == x, count[place], 0)
+            with np.errstate(divide="ignore"):
+                score = np.where(c > 0, np.log10(_discounted(c, m["d1"]) / m["total"]), m["unknown"])
+            return (c > 0).astype(np.float64), np.log10((c + 0.5) / m["den"]), score
+
+        return found
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _SUMS.empty_table()
+        bucket = left.column("bucket")[0].as_py()
+        if bucket >= 2 * n:
+            return pa.table([left.column("flush"), pa.array([True] * left.num_rows), left.column("data")], schema=_SUMS)
+        row = right.to_pylist()[0] if right.num_rows else None
+        look, types = (pairs, ("<u8", "<u8", "<u4")) if bucket < n else (words, ("<u8", "<u4"))
+        found, out = look(sent.value, row), []
+        for data in left.column("data"):
+            *keys, doc = unpack(data.as_py(), *types)
+            docs, at = np.unique(doc, return_inverse=True)
+            out.append(pack(docs, *(np.bincount(at, weights=x) for x in found(*keys))))
+        return pa.table([left.column("flush"), pa.array([False] * len(out)), pa.array(out, pa.binary())], schema=_SUMS)
 
     return run
 
 
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """One row for each document of a flush."""
+    whole = [d.as_py() for d, w in zip(table.column("data"), table.column("whole").to_pylist()) if w]
+    ids, missing, tokens, *sums = (x.copy() for x in unpack(whole[0], "<i8", "<u1", "<f8", "<f8", "<f8", "<f8"))
+    for data, w in zip(table.column("data"), table.column("whole").to_pylist()):
+        if not w:
+            docs, *parts = unpack(data.as_py(), "<u4", "<f8", "<f8", "<f8")
+            for x, y in zip(sums, parts):
+                x[docs] += y
+    return pa.table([pa.array(ids, mask=missing.astype(bool)), pa.array(tokens.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=_SCORES)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    den = model.n + 0.5 * (model.v + 1)
-    sent = {"numbers": model.numbers, "arrays": spark.sparkContext.broadcast((model.counts, model.values, model.slots, model.entries)), "den": den}
-    stats = "struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>"
-    asked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_look_up(sent), f"row long, key long, stats {stats}")
-    known = model.table()
-    found = asked.join(known, "key", "left").where("stats is not null or key < 0 or value is not null")
-    word = (F.col("key") < 0) & F.col("stats").isNull()
-    count = F.coalesce("c", F.lit(0))
-    parts = found.select(
-        "row", "stats",
-        F.when(word, (count > 0).cast("long")).otherwise(F.coalesce("stats.n_known", F.lit(0))).alias("n_known"),
-        F.when(word, F.log10((count + 0.5) / F.lit(den))).otherwise(F.coalesce("stats.base", F.lit(0.0))).alias("base"),
-        F.when(word, F.coalesce("value", F.lit(model.unknown))).otherwise(F.coalesce("stats.score", "value")).alias("score"),
-    )
-    summed = parts.groupBy("row").agg(
-        F.max("stats.doc_id").alias("doc_id"), F.max("stats.n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
-    )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    sent, none = spark.sparkContext.broadcast(model.sent()), F.lit(None).cast("binary")
+    sums = []
+    for step in range(SLICES):
+        table = model.buckets.where(F.col("bucket") % SLICES == step).select("bucket", "pairs", "words", "contexts")
+        if step == 0:
+            table = table.unionByName(model.rare.select("bucket", none.alias("pairs"), "words", none.alias("contexts")))
+        asked = rows.mapInArrow(_occurrences(model.numbers, model.plan, sent, step, SLICES), "bucket int, flush long, data binary")
+        found = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_evaluate(sent, model.place.n), SUMS)
+        sums.append(stage(found, "lm-sums"))
+        release(spark)
+    total = reduce(DataFrame.unionByName, sums).groupBy("flush").applyInArrow(_add_up, SCORES)
+    return total.select("doc_id", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def fold_of(id_col: str = "doc_id") -> Column:
