@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,90 @@ def test_ordinals_are_gapless(spark):
     assert [r.ord for r in out] == list(range(40)) and [(-r.stars, r.full_name) for r in out] == sorted((-r.stars, r.full_name) for r in out)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordinals_of_many_wide_rows(spark, adaptive):
+    """Sampled bounds and joined partitions differ from run to run; positions must not."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.range(0, 600_000, 1, 9).select((F.xxhash64("id") % 5000).alias("stars"), F.concat(F.lit("name-"), "id").alias("full_name"), F.repeat(F.lit("wide "), 20).alias("text"))
+        out = score.global_ordinal(df, F.col("stars").desc(), F.col("full_name"))
+        for _ in range(2):
+            r = out.agg(F.count("*").alias("n"), F.countDistinct("ord").alias("d"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).first()
+            assert (r.n, r.d, r.lo, r.hi) == (600_000, 600_000, 0, 599_999)
+        after = out.select("ord", "stars").alias("a").join(out.select((F.col("ord") - 1).alias("o"), F.col("stars").alias("next")), F.col("a.ord") == F.col("o"))
+        assert after.where("stars < next").isEmpty()
+        ranked = score.percentile_rank_avg(df, F.col("stars"), "p").agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("mean")).first()
+        assert ranked.n == 600_000 and ranked["mean"] == round((600_000 + 1) / 2 / 600_000, 9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_ranks_within_a_value(spark):
+    df = spark.range(3000).select((F.col("id") % 3).cast("string").alias("g"), F.xxhash64("id").alias("v")).unionByName(spark.createDataFrame([(None, 5), (None, 7)], "g string, v long"))
+    got = defaultdict(list)
+    for r in score.ranked_within(df, "g", F.col("v").desc()).collect():
+        got[r.g].append((r["rank"], r.v))
+    for rows in got.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and [v for _, v in rows] == sorted((v for _, v in rows), reverse=True)
+    assert len(got) == 4
+
+
+def test_exported_postings_in_blocks(spark):
+    rows = [("a", i, 1 + i % 3, 8) for i in range(0, 100, 3)] + [("b", 50, 2, 1)]
+    out = search.export_postings(spark.createDataFrame(rows, "token string, ord long, tf int, field_mask int"), span=10).orderBy("token", "block").collect()
+    assert all(len(r.postings) <= 4 for r in out)
+    at, decoded = 0, []
+    for r in out:
+        if r.token == "a":
+            for gap, code in r.postings:
+                at += gap
+                decoded.append((at, code // 1024, code % 1024))
+    assert decoded == [(o, tf, m) for t, o, tf, m in rows if t == "a"] and [tuple(p) for p in out[-1].postings] == [(50, 2049)]
+
+
+def test_parts_above_their_budget_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, "D", "x" * 100) for i in range(40)], "id long, domain string, description string")
+    with pytest.raises(ValueError, match="d/0"):
+        files.write_details(df, str(tmp_path / "a"), target=20, max_bytes=2000)
+    assert not (tmp_path / "a").exists()
+    files.write_details(df, str(tmp_path / "a"), target=20, max_bytes=4000)
+    sizes = files.part_bytes(spark.read.schema("id LONG, domain STRING, description STRING, slug STRING, part LONG").parquet(str(tmp_path / "a"))).collect()
+    assert {(r.slug, r.part, r["rows"]) for r in sizes} == {("d", 0, 20), ("d", 1, 20)}
+    assert sum(r.bytes for r in sizes) == sum(len(json.dumps({"id": i, "domain": "D", "description": "x" * 100}, separators=(",", ":"))) + 1 for i in range(40))
+
+
+def test_coverage_gate(spark):
+    df = spark.createDataFrame([(1, 900, ["a"]), (2, 900, []), (3, 900, None), (4, 100, ["b"])], "id long, stars long, topics array<string>")
+    assert tuple(quality.coverage(df, 500).first()) == (3, 1, pytest.approx(100 / 3))
+    quality.coverage_gate(df, 30, 500)
+    with pytest.raises(ValueError):
+        quality.coverage_gate(df, 40, 500)
+    assert quality.coverage(df.limit(0)).first().pct == 0
+
+
+def test_slots_of_any_number(spark):
+    df = spark.createDataFrame([(i, f"n{i}", f"o/n{i}", "o", "Go", f"D{i % 3}", "S", 100 + i, []) for i in range(30)], "id long, name string, full_name string, owner string, language string, domain string, subsystem string, stars long, primitives array<string>")
+    slots = spark.range(1200).select(F.col("id").alias("slot"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("D"), F.col("id") % 3)).alias("domain"), F.lit(None).cast("string").alias("subsystem"))
+    picks = spark.createDataFrame([], "slot long, id long")
+    got = recommend.slot_candidates(df, slots, picks, k=2).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.slot, r["rank"])):
+        by[r.slot].append(r.id)
+    assert len(by) == 1200 and all(ids == ([29, 28] if s % 4 == 0 else [27 + s % 3, 24 + s % 3]) for s, ids in by.items())
+
+
+@pytest.mark.parametrize(
+    "statement, ok",
+    [("select 1", True), ("SELECT ';' AS a, 'drop table t' AS b;", True), ("-- c; d\nWITH x AS (SELECT 1) SELECT * FROM x ;", True), ("/* a; */ select 1", True), ("select 1; select 2", False), ("drop table t", False),
+     ("with x as (select 1) insert into t select * from x", False), ("", False), (None, False), ("'x'", False), ("selection", False)],
+)
+def test_guard_as_an_expression(spark, statement, ok):
+    assert spark.createDataFrame([(statement,)], "q string").select(sql.read_only(F.col("q"))).first()[0] is ok
+
+
 def test_index_keeps_and_drops(spark):
     rows = [(i, "alpha" if i == 0 else f"n{i}", "body word" if i < 2 else "rare" if i == 3 else "spread" if i < 9 else "x") for i in range(30)]
     df = spark.createDataFrame(rows, "ord long, name string, description string")
@@ -253,6 +338,15 @@ def test_windows_cover_without_gaps(spark):
     plain = sorted((r.lo, r.hi) for r in w if r.second_lo is None)
     assert all(a[1] < b[0] for a, b in zip(plain, plain[1:]))
 
+    def halve(lo, hi):
+        n = sum(lo <= a <= hi for a, _ in rows)
+        if n <= 100 or lo == hi:
+            return {(lo, hi, n)} if 0 < n <= 100 else set()
+        mid = (lo + hi) // 2
+        return halve(lo, mid) | halve(mid + 1, hi)
+
+    assert {(r.lo, r.hi, r["rows"]) for r in w if r.second_lo is None} == halve(0, 100)
+
 
 @pytest.mark.parametrize(
     "statement, ok",
@@ -309,4 +403,4 @@ def test_range_windows_hold_keys_of_any_size(spark, tmp_path):
 
     keys = [-3, 5, 20_000, 20_001, 40_003, 150_000]
     spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    assert windows(spark, str(tmp_path)).first().rows == len(keys)
+    assert sum(r["rows"] for r in windows(spark, str(tmp_path)).collect()) == len(keys)
