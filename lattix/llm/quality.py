@@ -10,7 +10,7 @@ all rows sends one partial row per task), one-row statistics for the prior, and
 are joined back; they are broadcast only if they are counted to be few.
 
 Results for odd inputs: a null or blank text has no words, so it fails; a null host is a host of its own; copies are
-rows of their own; an empty table gives an empty result; other columns are not read.
+rows of their own; an empty table gives an empty result; other columns are not read, or kept as they are (``keep``).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import spare, stage
 from .words import WordHashes, small, windows
 
 MIN_WORDS = 20
@@ -130,12 +130,13 @@ def _passing(text_col: str):
 def keep(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns. Texts are read twice rather than shuffled or stored."""
     rates = host_rates(measures(docs, id_col, host_col, text_col).select("host", "base_failed"))
-    bad = stage(rates.where("rejected").select(F.col("host").alias("__bad")), "hosts")
+    name = spare(docs, "__bad")
+    bad = stage(rates.where("rejected").select(F.col("host").alias(name)), "hosts")
     n = bad.count()
     passed = docs.mapInArrow(_passing(text_col), docs.schema)
     if n == 0:
         return passed
-    return passed.join(F.broadcast(bad) if n <= BROADCAST_HOSTS else bad, F.col(host_col).eqNullSafe(F.col("__bad")), "left_anti")
+    return passed.join(F.broadcast(bad) if n <= BROADCAST_HOSTS else bad, F.col(host_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
