@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import stage
-from .words import SEED, WordHashes, fold, mix, rows, windows
+from .staging import discard, few, release, spare, stage, told_apart
+from .words import SEED, WordHashes, fold, mix, rows, small, windows
 
 BITS = 2
 SHINGLE = 3
@@ -133,8 +133,10 @@ SIMILARITY = 0.8
 #: A text's least shingles under BANDS x ROWS hashes, ROWS at a time, are its keys. Two texts alike in 0.8 share no key
 #: with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million, whatever their length.
 BANDS, ROWS = 24, 4
-_ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
-_SALT = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))[:, None]
+#: Keys for the texts of common keys: of FINE hashes, so many draws of so many. Texts alike in 0.8 share none with a
+#: chance of a few in 1,000 (in 0.82 and more: about none); those alike in 0.6 share one with a chance of 2 in 100.
+FINE, FINE_BANDS, FINE_ROWS = 1024, 600, 20
+_DRAWS = np.argsort(mix(np.arange(5000, 5000 + FINE * FINE_BANDS, dtype=np.uint64)).reshape(FINE_BANDS, FINE), 1)[:, :FINE_ROWS]
 
 
 def shingle_hashes(words: list[bytes], cache: WordHashes, width: int) -> np.ndarray:
@@ -142,63 +144,83 @@ def shingle_hashes(words: list[bytes], cache: WordHashes, width: int) -> np.ndar
     return np.unique(windows(cache.array(words), min(width, len(words)))) if words else np.zeros(1, dtype=np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a text from its distinct shingles."""
-    least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(shingles), 4096):
-        least = np.minimum(least, (mix(shingles[k : k + 4096] ^ _SALT[:1]) * _ODD ^ _SALT).min(1, keepdims=True))
-    rows = least.reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
+def _least(shingles: np.ndarray, n: int, first: int) -> np.ndarray:
+    """The least of a text's distinct shingles under each of ``n`` hashes, those from ``first`` on."""
+    odd = (mix(np.arange(first, first + n, dtype=np.uint64)) | np.uint64(1))[:, None]
+    salt = mix(np.arange(first + 1_000_000, first + 1_000_000 + n, dtype=np.uint64))[:, None]
+    least = np.full((n, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(shingles), 1024):
+        least = np.minimum(least, (mix(shingles[k : k + 1024] ^ salt[:1]) * odd ^ salt).min(1, keepdims=True))
+    return least[:, 0]
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """One key for each row of hashes."""
+    keys = np.arange(len(rows), dtype=np.uint64)
+    for r in range(rows.shape[1]):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
     return keys.view(np.int64)
 
 
-def _sketch(width: int):
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a text from its distinct shingles."""
+    return _joined(_least(shingles, BANDS * ROWS, 1).reshape(BANDS, ROWS))
+
+
+def fine_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys that only texts with much in common share."""
+    return _joined(_least(shingles, FINE, 10_000)[_DRAWS])
+
+
+def _sketch(width: int, keys_of=band_keys):
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
         for ids, texts in rows(batches):
             found = [shingle_hashes(fold(t), cache, width) for t in texts]
-            keys = pa.array([band_keys(s) for s in found], schema.field("keys").type)
+            keys = pa.array([keys_of(s) for s in found], schema.field("keys").type)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), keys], schema=schema)
 
     return run
 
 
+SKETCH = "doc_id long, shingles long, keys array<long>"
+
+
 def _alike(width: int, similarity: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])  # rows are b, a and their texts, in the order of b
 
     def shingles(text):
         w = fold(text)
         return {b" ".join(w)} if len(w) <= width else {b" ".join(t) for t in zip(*(w[k:] for k in range(width)))}
 
     def run(batches):
-        for batch in batches:
-            a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
+        for batch in small(batches):
+            one, other, text, others = (batch.column(k).to_pylist() for k in range(4))
             out, last, seen = [], object(), set()
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, seen = a[i], shingles(left[i])
-                other = shingles(right[i])
-                both = len(seen & other)
-                if both >= similarity * (len(seen) + len(other) - both) - 1e-9:
+            for i in range(len(one)):
+                if one[i] != last:
+                    last, seen = one[i], shingles(text[i])
+                found = shingles(others[i])
+                both = len(seen & found)
+                if both >= similarity * (len(seen) + len(found) - both) - 1e-9:
                     out.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array([x[i] for i in out], pa.int64()) for x in (other, one)], schema=schema)
 
     return run
 
 
 def _verified(found: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The candidates a, b whose shingles are alike."""
-    # Texts move once by id; then only those of candidates move, to meet their partners.
-    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    ends = stage(ends.join(base, "doc_id"), "near-texts")
-    left = ends.where("doc_id = a").select("a", "b", F.col("text").alias("left"))
-    right = ends.where("doc_id = b").select("a", "b", F.col("text").alias("right"))
-    both = left.join(right, ["a", "b"]).select("a", "b", "left", "right")
-    return stage(both.mapInArrow(_alike(width, similarity), "a long, b long"), "near-links")
+    """The candidates a, b whose shingles are alike. Only the texts of candidates move, to meet their partners."""
+    asked = stage(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-asked")
+    texts = stage(base.join(few(asked), "doc_id", "left_semi"), "near-texts")
+    left = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")).hint("merge"), "b").select("b", "a", "right", "left")
+    links = stage(both.mapInArrow(_alike(width, similarity), "a long, b long"), "near-links")
+    discard(texts)
+    release(found.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,13 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates: texts that share a key (``BANDS``). Copies count once, with their number. A key of up to ``SMALL`` texts
     yields their pairs. The texts of a commoner one are first held against two of them: the one whose keys are shared
     most, as those of a family's origin are, and one picked by a hash. Whatever is not linked by then is held against all
-    texts of its key: only the texts of the key's largest class need not meet each other. So every two texts that share a
-    key meet or are known to be of one class. Ids are taken to be unique; rows with a null id are left out.
+    texts that have much in common with it (see ``_apart``): only the texts of the largest class there need not meet. Rows of one id (or none) are told apart by ``first_of_each``; here such rows
+    with equal texts share their class, and rows with a null id are left out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    keyed = stage(base.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same")), "near-keys")
+    keyed = stage(base.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("same")), "near-keys")
     same = stage(keyed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-copies")
-    sketch = base.mapInArrow(_sketch(width), "doc_id long, shingles long, keys array<long>")
+    sketch = base.mapInArrow(_sketch(width), SKETCH)
     sketch = stage(sketch.join(same.select(F.col("rep").alias("doc_id")), "doc_id"), "near-sketch")
 
     tall = sketch.select("doc_id", "shingles", F.explode("keys").alias("key"))
@@ -235,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(found, "near-candidates")
     sure = _verified(found, base, width, similarity)
 
-    rest = _apart(large, sure, alike)
+    rest = _apart(large, sure, base, width, alike)
     if rest is not None:
         rest = stage(rest.join(found, ["a", "b"], "left_anti"), "near-candidates")
         sure = sure.unionByName(_verified(rest, base, width, similarity))
@@ -244,16 +266,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(classed, "same").select("doc_id", "component_id")
 
 
-def _apart(large: DataFrame, sure: DataFrame, alike) -> DataFrame | None:
-    """a, b: pairs that share a key of ``large`` and that the links so far leave in two classes; None without any."""
+def _apart(large: DataFrame, sure: DataFrame, base: DataFrame, width: int, alike) -> DataFrame | None:
+    """a, b: pairs of texts of common keys that the links so far leave in two classes; None without any.
+
+    What common keys stand for is mostly a passage; so these texts get keys that need much more in common, and only texts
+    of two classes that share such a key are paired.
+    """
     if large.isEmpty():
         return None
     linked = components(sure).select(F.col("node").alias("doc_id"), "component")
     named = large.join(linked, "doc_id", "left").select("key", "doc_id", "shingles", F.coalesce("component", "doc_id").alias("class"))
-    named = stage(named, "near-named")
-    counts = named.groupBy("key", "class").agg(F.count("*").alias("k"))
-    most = counts.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class"))["class"].alias("most")).where("classes > 1")
-    open_ = stage(named.join(stage(most, "near-open"), "key"), "near-apart")
+    # texts alike share several keys: with one alone, about 6 in 100,000
+    open_ = _divided(stage(named, "near-named"), "key").groupBy("doc_id", "class").agg(F.count("*").alias("k")).where("k > 1")
+    open_ = stage(open_.select("doc_id", "class"), "near-mixed")
+    fine = base.join(few(open_.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sketch(width, fine_keys), SKETCH)
+    fine = stage(fine.join(open_, "doc_id").select(F.explode("keys").alias("key"), "doc_id", "shingles", "class"), "near-fine")
+    open_ = stage(_divided(fine, "key"), "near-apart")
     if open_.isEmpty():
         return None
     x = open_.where("class <> most").select("key", F.col("doc_id").alias("x"), F.col("shingles").alias("sx"), F.col("class").alias("cx"))
@@ -262,8 +290,21 @@ def _apart(large: DataFrame, sure: DataFrame, alike) -> DataFrame | None:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _divided(named: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that have texts of several classes, with the class that most of them have."""
+    counts = named.groupBy(key, "class").agg(F.count("*").alias("k"))
+    most = counts.groupBy(key).agg(F.count("*").alias("classes"), F.max(F.struct("k", "class"))["class"].alias("most")).where("classes > 1")
+    return named.join(stage(most.select(key, "most"), "near-open"), key)
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates of a smaller id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")), "near-drop")
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    """One document of each class: the one with the smallest id.
+
+    Rows are told apart even where ids repeat or are null: of equal rows one stays, and a null id comes after all others.
+    """
+    docs, row = told_apart(docs, id_col)
+    found = near_duplicates(docs, row, text_col)
+    gone = spare(docs, "__gone")
+    drop = few(stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)), "near-drop"))
+    left = docs.join(drop, F.col(row) == F.col(gone), "left_anti")
+    return left if row == id_col else left.drop(row)
