@@ -1,20 +1,27 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into pieces: after . ! ? … with white space behind, at line ends, and everywhere where the words themselves
-say so: of any ``REACH`` pairs of words in a row, the one with the least hash makes a cut. So a copied passage is cut the
-same way wherever it stands, but for its first and last ``REACH`` words. Every shortest run of consecutive pieces with
-``SPAN`` words or more is hashed, from each piece on and up to each piece. A run that occurs more than once in the corpus
-keeps its first occurrence, by (doc_id, place); pieces covered by any other are removed. A passage of 50 words has a cut
-common to all copies after 10 words or fewer, and the first cut SPAN words or more behind that is at most 8 words further
-and still common to them: so one of 50 words or more that repeats always goes wherever it isn't first, but for up to 10
-words at its ends, while single common sentences stay.
-
-How it scales: one row per run goes through two shuffles by hash: the first sums up per task before it is shuffled, so
-a passage that a third of all rows hold is one partial row per task; the second is a plain join of staged tables that
-adaptive execution splits where a hash is hot. Ranges to remove are gathered per document, bounded by its own length.
-
-Results for odd inputs: null and blank texts have no sentences and stay as they are; equal rows (ids and texts) lose
-their repeats too, as a row number within the id tells them apart (up to 8 million rows an id); ids may be null; an empty table gives an empty result.
+A text is cut into pieces: after . ! ? … with white space behind, at line ends, and everywhere where the words
+themselves say so: of any ``REACH`` pairs of words in a row, the one with the least hash makes a cut. So a copied passage
+is cut the same way wherever it stands, but for its first and last ``REACH`` words. From each cut, the shortest run of
+consecutive pieces with ``SPAN`` words or more is hashed. A run that occurs more than once in the corpus keeps its first
+occurrence, by (doc_id, place); pieces covered by any other are removed.
+
+A passage of n words has a cut common to all copies after 10 words or fewer, and the first cut SPAN words or more behind
+it lies at most 8 words further. So every repeated passage of 50 words or more loses a run of at least ``SPAN`` words
+wherever it isn't first, punctuated or not; what stays of it is less than 10 words at its beginning and 18 at its end. A
+single sentence of fewer than ``SPAN`` words stays, however common it is; a longer one counts as a passage.
+
+Matches are by 96 bits: a polynomial of the words' hashes modulo 2 ** 64 and 32 bits of one with other coefficients.
+A corpus of 10 ** 13 runs has about one chance in a hundred of a single false match.
+
+How it scales: one row per run. Runs are counted by hash with sums per task before the shuffle, so a passage that a third
+of all rows hold is one partial row per task; the repeated ones are joined back, a join of staged tables that adaptive
+execution splits where a hash is hot; only those look for their first occurrence. What is to be removed is gathered per
+document, bounded by its own length, and the texts move once, by id, to meet it.
+
+Results for odd inputs: null and blank texts have no pieces and stay as they are; equal rows lose their repeats too, also
+where they share an id or have none (see ``staging.told_apart``; a null id comes after all others); an empty table gives
+an empty result; other columns are not read, or kept as they are (``shortened``).
 """
 
 from __future__ import annotations
@@ -28,11 +35,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
-from .words import WordHashes, small, windows
+from .staging import discard, release, spare, stage, told_apart
+from .words import WordHashes, mix, small, windows
 
 #: Least words of a run that counts as repeated.
-SPAN = 24
+SPAN = 32
 #: Of so many pairs of words in a row, the one with the least hash makes a cut, so pieces have at most as many words.
 REACH = 9
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|\n")
@@ -95,129 +102,166 @@ def sentences(text: str, cache: WordHashes) -> tuple[list[int], list[list[bytes]
     return ends, words
 
 
-def _spans(sums: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """first and last of the shortest runs with ``least`` words, from and up to each piece, from the words before each cut."""
-    n = len(sums) - 1
+def spans(sums: np.ndarray, least: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """first and last piece of the shortest run with ``least`` words from each piece on, from the words before each cut."""
     after = np.searchsorted(sums, sums[:-1] + least, "left")
-    first = np.flatnonzero(after <= n)
-    before = np.searchsorted(sums, sums[1:] - least, "right") - 1
-    last = np.flatnonzero(before >= 0)
-    key = np.unique(np.concatenate([first * (n + 1) + after[first] - 1, before[last] * (n + 1) + last]))
-    return key // (n + 1), key % (n + 1)
+    first = np.flatnonzero(after < len(sums))
+    return first, after[first] - 1
 
 
-def spans(counts: list[int], least: int = SPAN) -> set[tuple[int, int]]:
-    """(first, last) of the shortest runs of pieces with ``least`` words, from and up to each piece."""
-    return set(zip(*(k.tolist() for k in _spans(np.array([0, *accumulate(counts)]), least))))
+_TABLE = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    if len(_TABLE[0]) < n + 1:
+        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
+            _TABLE[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n + 1, factor, dtype=np.uint64)]), dtype=np.uint64)
+    return _TABLE[0][:n], _TABLE[1]
+
+
+def run_hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits for the words from ``begin`` up to ``end``, wherever in a text they stand."""
+    powers, inverse = _powers(len(h))
+    out = []
+    for values in (h ^ (h >> np.uint64(31)), mix(h)):
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(values * powers)])
+        out.append(mix((prefix[end] - prefix[begin]) * inverse[begin]))
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_RUNS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("hash", pa.int64()), ("check", pa.int32())])
 
 
 def _runs(least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("hash", pa.int64())])
+    """A row for each run, and one for each text with its number of pieces as the hash and -1 as the first piece."""
 
     def run(batches):
         cache = WordHashes()
         for batch in small(batches):
-            texts, names, places, hashes = batch.column(2), [], [], []
-            for i, (doc_id, nth) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            texts, ids, parts = batch.column(1), [], []
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 text = texts[i].as_py()
                 if not text:
                     continue
                 h, at = _cuts(_parts(text)[1], cache)
-                a, b = _spans(at, least)
-                if not len(a):
-                    continue
-                # a polynomial of the words in a run, from prefix sums
-                powers, inverse = _powers(len(h))
-                prefix = np.concatenate([[np.uint64(0)], np.cumsum((h ^ (h >> np.uint64(31))) * powers)])
-                hashes.append((prefix[at[b + 1]] - prefix[at[a]]) * inverse[at[a]])
-                names += [doc_id] * len(a)
-                places.append((nth << 40) + (a << 16) + b - a)
-            joined = np.concatenate(hashes or [np.empty(0, dtype=np.uint64)]).view(np.int64)
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(np.concatenate(places or [np.empty(0, dtype=np.int64)])), pa.array(joined)], schema=schema)
+                first, last = spans(at, least)
+                ids.append(np.full(len(first) + 1, doc_id, dtype=np.int64))
+                size = np.array([-1], dtype=np.int32), np.array([len(at) - 1]), np.zeros(1, dtype=np.int32)
+                runs = (first.astype(np.int32), *run_hashes(h, at[first], at[last + 1]))
+                parts.append([np.concatenate(x) for x in zip(size, runs)])
+            columns = [np.concatenate(ids), *(np.concatenate(c) for c in zip(*parts))] if parts else [[]] * 4
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _RUNS)], schema=_RUNS)
 
     return run
 
 
-_TABLE = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
+def cut(text: str, firsts: list[int], cache: WordHashes, least: int = SPAN) -> tuple[int, int, str]:
+    """Pieces of a text, how many go, and what is left, given the pieces from which repeated runs start."""
+    ends, words = sentences(text, cache)
+    first, last = spans(np.array([0, *accumulate(map(len, words))]), least)
+    upto = dict(zip(first.tolist(), last.tolist()))
+    gone = np.zeros(len(ends) + 1, dtype=np.int64)
+    for f in firsts:
+        gone[f] += 1
+        gone[upto[f] + 1] -= 1
+    gone = (np.cumsum(gone[:-1]) > 0).tolist()
+    out, last = [], 0
+    for a, b, g in zip([0, *ends], ends, gone):
+        if not g:
+            if a > last and out and not text[a].isspace() and not out[-1][-1].isspace():
+                out.append(text[a - 1])  # the line end of the piece before, so that two words stay two
+            out.append(text[a:b])
+            last = b
+    return len(ends), sum(gone), "".join(out)
+
+
+def _digest(least: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    base = 0x9E3779B97F4A7C15
-    if len(_TABLE[0]) < n + 1:
-        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
-            _TABLE[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n + 1, factor, dtype=np.uint64)]), dtype=np.uint64)
-    return _TABLE[0][:n], _TABLE[1]
+    def run(batches):
+        cache = WordHashes()
+        for batch in small(batches):
+            out, texts = [], batch.column(1)
+            for i, (n, firsts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                text = texts[i].as_py()
+                out.append(cut(text, firsts, cache, least) if firsts else (n or 0, 0, text))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
+    return run
 
-def _cut(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
-    cache = WordHashes()
-    for batch in small(batches):
-        out = []
-        texts = batch.column(2)
-        for i, ranges in enumerate(batch.column(3).to_pylist()):
-            text = texts[i].as_py()
-            if not ranges:
-                out.append((len(_cuts(_parts(text)[1], cache)[1]) - 1 if text else 0, 0, text))
-                continue
-            ends, _ = sentences(text, cache)
-            gone = np.zeros(len(ends) + 1, dtype=np.int64)
-            for r in ranges:
-                gone[r["first"]] += 1
-                gone[r["last"] + 1] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
-            if gone.any():
-                text = "".join(text[a:b] for a, b, g in zip([0, *ends], ends, gone) if not g)
-            out.append((len(ends), int(gone.sum()), text))
-        cols = list(zip(*out)) or [[]] * 3
-        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
 
+def _shorten(text_col: str, length_col: str | None, least: int):
+    """Batches with the pieces in their last column cut out of the text; texts of which nothing is left go."""
 
-def removals(rows: DataFrame, least: int = SPAN) -> DataFrame:
-    """doc_id, nth, ranges: runs of sentences (first, last) of each row that repeat an earlier one."""
-    found = stage(rows.mapInArrow(_runs(least), "doc_id long, place long, hash long"), "spans")
-    here = F.struct("doc_id", "place")
-    again = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(here).alias("origin")).where("n > 1").select("hash", "origin")
-    repeats = found.join(stage(again, "spans-repeated"), "hash").where(~here.eqNullSafe(F.col("origin")))
-    first = F.shiftright("place", 16).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    run = F.struct(first.alias("first"), (first + F.col("place").bitwiseAND(F.lit((1 << 16) - 1)).cast("int")).alias("last"))
-    return repeats.select("doc_id", F.shiftright("place", 40).cast("int").alias("nth"), run.alias("run")).groupBy("doc_id", "nth").agg(F.collect_list("run").alias("ranges"))
+    def run(batches):
+        cache = WordHashes()
+        for batch in small(batches):
+            names, firsts = batch.schema.names[:-1], batch.column(batch.num_columns - 1).to_pylist()
+            columns = {n: batch.column(k) for k, n in enumerate(names)}
+            hit = [i for i, f in enumerate(firsts) if f]
+            if hit:
+                texts = columns[text_col]
+                new = {i: cut(texts[i].as_py(), firsts[i], cache, least)[2] for i in hit}
+                columns[text_col] = pa.array([new.get(i, texts[i].as_py()) for i in range(len(texts))], pa.string())
+                if length_col:
+                    lengths = columns[length_col].to_pylist()
+                    columns[length_col] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(lengths)], columns[length_col].type)
+                stays = pa.array([i not in new or bool(new[i].encode().split()) for i in range(len(texts))], pa.bool_())
+                yield pa.record_batch(list(columns.values()), names=names).filter(stays)
+            else:
+                yield pa.record_batch(list(columns.values()), names=names)
 
+    return run
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SPAN) -> DataFrame:
-    """doc_id, nth, n_sentences, n_removed and the text that is left of every row; nth tells rows with equal ids apart."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("nth"), F.col(text_col).cast("string").alias("text"))
-    rows = _numbered(rows)
-    gone = stage(removals(rows, least), "spans-removed")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["nth"] == gone["nth"]), "left")
-    joined = joined.select(rows["doc_id"], rows["nth"], rows["text"], "ranges")
-    return joined.mapInArrow(_cut, "doc_id long, nth int, n_sentences long, n_removed long, text string")
 
+def removals(rows: DataFrame, least: int = SPAN) -> DataFrame:
+    """doc_id, n_sentences, firsts: the number of pieces of each row (doc_id, text) with any, and those from which a run
+    starts that repeats an earlier one (null: none)."""
+    every = stage(rows.mapInArrow(_runs(least), "doc_id long, first int, hash long, check int"), "spans")
+    found = every.where("first >= 0")
+    counts = found.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
+    repeats = stage(found.join(stage(counts, "spans-repeated"), ["hash", "check"]), "spans-repeats")
+    sizes = stage(every.where("first < 0").select("doc_id", F.col("hash").alias("n_sentences")), "spans-sizes")
+    discard(every)
+    release(rows.sparkSession)
+    here = F.struct("doc_id", "first")
+    # written, so that the sums per task come before a shuffle of their own, and the join can split a hot run
+    origin = stage(repeats.groupBy("hash", "check").agg(F.min(here).alias("origin")), "spans-origins")
+    again = repeats.join(origin, ["hash", "check"]).where(here != F.col("origin"))
+    gone = again.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"))
+    gone = stage(sizes.join(gone, "doc_id", "left").select("doc_id", "n_sentences", "firsts"), "spans-removed")
+    release(rows.sparkSession)
+    return gone
+
+
+def _met(docs: DataFrame, gone: DataFrame, row: str, *columns: str) -> DataFrame:
+    """Columns of the rows, followed by those of ``gone`` (null where it has none), by one shuffle of the rows."""
+    names = [spare(docs, f"__{c}") for c in gone.columns]
+    # what is to be removed has no bound that is known before, so it is never broadcast
+    return docs.join(gone.toDF(*names).hint("merge"), F.col(row).cast("long") == F.col(names[0]), "left").select(*columns, *names[1:])
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Give rows that share an id a number of their own; usually none do, and nothing moves."""
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if counts.isEmpty():
-        return rows
-    from pyspark.sql import Window
 
-    nth = (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")) - 1).cast("int")
-    return stage(rows.withColumn("nth", nth), "spans-numbered")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SPAN) -> DataFrame:
+    """doc_id, n_sentences, n_removed and the text that is left of every row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs, row = told_apart(docs, "doc_id")
+    gone = removals(docs.select(F.col(row).alias("doc_id"), "text"), least)
+    return _met(docs, gone, row, "doc_id", "text").mapInArrow(_digest(least), "doc_id long, n_sentences long, n_removed long, text string")
 
 
-def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, least: int = SPAN) -> DataFrame:
     """The documents with repeated passages removed, all columns kept; those of which nothing is left go.
 
-    Ids are taken to be unique. Rows whose text was null or blank before stay as they are.
+    ``length_col`` gets the new number of characters where a text changes. Texts that were null or blank stay.
     """
-    found = stage(dedup(docs, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")), "spans-texts")
-    out = docs.join(found, F.col(id_col) == F.col("__id"), "left")
-    out = out.where(F.col("__text").isNull() | (F.trim(F.regexp_replace("__text", r"\s+", " ")) != ""))
-    out = out.withColumn(text_col, F.coalesce("__text", text_col))
-    if length_col:
-        out = out.withColumn(length_col, F.when(F.col("__text").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return out.drop("__id", "__text")
+    kept, schema = docs.columns, docs.schema
+    docs, row = told_apart(docs, id_col)
+    gone = removals(docs.select(F.col(row).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), least)
+    gone = gone.where("firsts is not null").select("doc_id", "firsts")
+    return _met(docs, gone, row, *kept).mapInArrow(_shorten(text_col, length_col, least), schema)
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
