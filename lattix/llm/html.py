@@ -30,7 +30,7 @@ from .words import small
 
 #: Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -39,7 +39,7 @@ BLOCK = frozenset(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that never belong to the text.
-DROPPED = frozenset("head script style noscript template iframe object embed svg audio video form button input select textarea nav aside footer menu dialog search title noembed noframes datalist".split())
+DROPPED = frozenset("head script style template iframe object embed svg audio video form button input select textarea nav aside footer menu dialog search title noembed noframes datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status".split())
 #: Words in class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and readers' comments.
 _FURNITURE = re.compile(
