@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattix.llm.queries import QUERIES
@@ -56,3 +57,35 @@ def test_run_covers_what_is_left(spark, planted):
 
 def test_all_queries_are_there():
     assert {n: sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)} == dict.fromkeys(range(1, 11), 1)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def walk(spark, docs, folder):
+    for _, work in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(work(spark, docs, folder), "test")
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    return docs, corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+
+
+def test_stages_of_nothing(spark, planted):
+    folder, _, _ = planted
+    docs, packed = walk(spark, spark.createDataFrame([], SCHEMA), folder)
+    assert docs.count() == packed.count() == 0
+
+
+def test_stages_tell_rows_apart(spark, planted):
+    """Repeated and null ids, equal rows, one very long text, and further columns with names that the stages use inside."""
+    folder, _, _ = planted
+    rng = np.random.default_rng(1)
+    prose = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**7, n))
+    one, two, long = prose(100), prose(120), prose(150_000)
+    rows = [(5, one), (5, one), (5, two), (None, prose(90)), (None, one), (7, long), (8, long + " tail"), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t)) for i, t in rows], SCHEMA)
+    for clash in ("__bad", "__gone", "__row", "__key", "__firsts", "a", "b", "n"):
+        docs = docs.withColumn(clash, F.lit(1))
+    kept, packed = walk(spark, docs, folder)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(5, one), (5, two), (None, rows[3][1]), (7, long)], key=str)
+    assert packed.agg(F.countDistinct("doc_tokens")).first()[0] >= 3 and packed.where("doc_id is null").count() >= 1

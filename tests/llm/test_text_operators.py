@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lattix.llm import components, decontamination, html, language_model, packing, quality, sharding, simhash, substrings, token_counts, token_files, tokens
 from lattix.llm.queries import ORACLES, QUERIES
-from lattix.llm.words import WordHashes
+from lattix.llm.words import WordHashes, windows
 
 #: Nulls, blanks, ties, repeated rows, one very long text, and texts of other scripts.
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -127,6 +130,15 @@ def test_near_duplicates_by_similarity(spark, sf, odd):
     assert {5, 8} <= kept and not {6, 7, 9} & kept
 
 
+def test_first_of_each_tells_rows_apart(spark, empty):
+    rows = [(3, LONG), (1, LONG), (1, LONG), (1, "another text of the same id, with words of its own"), (None, LONG), (None, "a text without an id"), (2, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("__gone", "__row", "a", "key")})
+    got = simhash.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, LONG), rows[3], rows[5], (2, None)], key=str)
+    assert simhash.first_of_each(empty).count() == 0
+
+
 def test_family_whose_origin_is_in_the_middle(spark):
     rng = np.random.default_rng(6)
     origin = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
@@ -169,7 +181,7 @@ def test_pairs_of_every_length_share_a_key(size):
             other[int(rng.integers(5, size - 5))] = b"too"
         x, y = (simhash.shingle_hashes(w, cache, 5) for w in (words, other))
         if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
-            missed += not (simhash.band_keys(x) == simhash.band_keys(y)).any()
+            missed += not (simhash.band_keys(x) == simhash.band_keys(y)).any() or not (simhash.fine_keys(x) == simhash.fine_keys(y)).any()
     assert missed == 0
 
 
@@ -202,9 +214,66 @@ def test_token_counts(spark, odd, empty):
     assert [small.count(t) for _, t in ODD[:7]] == [trie.count(t) for _, t in ODD[:7]]
 
 
+def test_token_counts_of_tables(spark, sf):
+    """The query against the recurrence over every start of a piece, without a trie."""
+    scores = token_counts.piece_scores()
+    floor, longest = -math.log(len(scores) + 2), max(map(len, scores))
+
+    @functools.cache
+    def best(word):
+        token, at = token_counts.MARK + word, [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            size = len(token[end - 1].encode())
+            options = [(at[-1][0] + size * floor, -at[-1][1] - size)]
+            options += [(at[s][0] + scores[token[s:end]], -at[s][1] - 1) for s in range(max(0, end - longest), end) if token[s:end] in scores]
+            top = max(options)
+            at.append((top[0], -top[1]))
+        return at[-1]
+
+    texts = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op2_token_counts"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        parts = [best(w) for w in texts[r.doc_id]]
+        assert (r.n_pretokens, r.n_tokens) == (len(parts), sum(p[1] for p in parts)) and r.score == pytest.approx(sum(p[0] for p in parts), rel=1e-9)
+
+
+def test_trie_is_bounded_inside_a_text():
+    trie = token_counts.Trie(token_counts.piece_scores(), nodes=20_000)
+    words = [f"x{i * 7919 % 1_000_003}y{i}" for i in range(60_000)]
+    most = 0
+    find = trie.find
+
+    def watched(word):
+        nonlocal most
+        out = find(word)
+        most = max(most, trie.size)
+        return out
+
+    trie.find = watched
+    got = trie.count(" ".join(words))
+    assert most <= 20_000 + 40 and got[0] == len(words)
+    whole = token_counts.Trie(token_counts.piece_scores())
+    assert whole.count(" ".join(words))[:2] == got[:2]
+    huge = "ab日" * 40_000
+    kept = token_counts.Trie(token_counts.piece_scores(), nodes=10**7)
+    assert trie.long(huge)[1:] == kept.insert(huge)[1:] and trie.size <= 20_040
+
+
 # 3
 
 
+def turing(counts):
+    """Discounts of counts 1 to 5 as the textbook has them; counts less a half where they are no proper ones."""
+    n = Counter(counts)
+    if all(n[r] for r in range(1, 7)):
+        top = 6 * n[6] / n[1]
+        found = {r: ((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top) if top != 1 else -1 for r in range(1, 6)}
+        if all(0 < d <= 1 for d in found.values()):
+            return lambda c: c * found.get(c, 1.0)
+    return lambda c: c - 0.5 if c <= 5 else c
+
+
 def katz(texts_train, texts):
     """A plain dictionary version: score by text, and the sum of a context's probabilities."""
     cut = lambda t: (t or "").encode().lower().split() + [b"\0end"]
@@ -212,19 +281,21 @@ def katz(texts_train, texts):
     words = Counter(w for t in train for w in t)
     pairs = Counter(p for t in train for p in zip([b"\0start"] + t, t))
     n = sum(words.values())
-    d1, d2 = (language_model.discounts(Counter(c.values())) for c in (words, pairs))
-    take = lambda c, d: c * (d[c - 1] if c <= len(d) else 1.0)
-    p = {w: take(c, d1) / n for w, c in words.items()}
+    word, pair = turing(words.values()), turing(pairs.values())
+    p = {w: word(c) / n for w, c in words.items()}
     unknown = 1 - sum(p.values())
-    kept = {k: take(c, d2) for k, c in pairs.items() if c > 1}
-    whole, mass, lower = Counter(words), defaultdict(float), defaultdict(float)
-    whole[b"\0start"] = len(train)
+    kept = {k: pair(c) for k, c in pairs.items()}
+    whole, mass, lower = Counter(), defaultdict(float), defaultdict(float)
     for (a, b), v in kept.items():
+        whole[a] += pairs[a, b]
         mass[a] += v
         lower[a] += p[b]
     whole = {a: whole[a] if mass[a] < whole[a] else whole[a] + 0.5 for a in mass}
     alpha = {a: (1 - mass[a] / whole[a]) / (1 - lower[a]) for a in mass}
-    prob = lambda a, b: kept[a, b] / whole[a] if (a, b) in kept else alpha.get(a, 1.0) * p.get(b, unknown)
+
+    def prob(a, b):
+        return kept[a, b] / whole[a] if (a, b) in kept else alpha.get(a, 1.0) * p.get(b, unknown)
+
     for a in list(mass)[:20]:
         assert sum(prob(a, b) for b in p) + alpha[a] * unknown == pytest.approx(1.0)
     out = {}
@@ -234,11 +305,13 @@ def katz(texts_train, texts):
     return n, out
 
 
-@pytest.mark.parametrize("head", [1 << 18, 200])
-def test_language_model_by_brute_force(spark, sf, monkeypatch, head):
+@pytest.mark.parametrize("head, small", [(1 << 18, False), (200, True)])
+def test_language_model_by_brute_force(spark, sf, monkeypatch, head, small):
+    """Also with a head of few words, contexts spread over buckets, and many flushes of a task."""
     monkeypatch.setattr(language_model, "HEAD", head)
-    monkeypatch.setattr(language_model, "PAIRS", head)
-    monkeypatch.setattr(language_model, "SLOTS", min(1 << 21, 2 * head if head > 1000 else 512))
+    if small:
+        for name, value in (("BUCKET", 300), ("LEAST_BUCKETS", 7), ("HOT", 500), ("FLUSH", 5000), ("SLICES", 3)):
+            monkeypatch.setattr(language_model, name, value)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     n, want = katz([t for i, t in texts.items() if not held[i]], texts)
@@ -301,6 +374,93 @@ def test_packing(spark, sf, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def packed(examples, length, segments, pool, gap):
+    """A plain version of the packing of (key, tokens) that may be cut: (key, start, tokens, sequence, offset)."""
+    out, waiting, sequences = [], [], itertools.count()
+
+    def close(pieces):
+        number, at = next(sequences), 0
+        for key, start, n in pieces:
+            out.append((key, start, n, number, at))
+            at += n
+
+    def powers(pieces):
+        total = sum(p[2] for p in pieces)
+        queue = list(pieces)
+        while total:
+            room, part = 1 << (total.bit_length() - 1), []
+            total -= room
+            while room:
+                key, start, n = queue.pop(0)
+                m = min(n, room)
+                part.append((key, start, m))
+                room -= m
+                if m < n:
+                    queue.insert(0, (key, start + m, n - m))
+            close(part)
+
+    def fill():
+        left = [length, segments, length]
+        asked = [sum(e[2] for e in waiting) / length, len(waiting) / segments, sum(e[2] for e in waiting) / length]
+        weight = [a / sum(asked) / m**2 for a, m in zip(asked, (length, segments, length))]
+        pieces = []
+        while waiting and left[0] > 0:
+            best, which = -1.0, None
+            for i, (_, _, n) in enumerate(waiting):
+                value = sum(w * x * y for w, x, y in zip(weight, left, (n, 1, n)))
+                if n <= left[0] and left[1] >= 1 and value > best:
+                    best, which = value, i
+            if which is None:
+                break
+            pieces.append(take(which))
+            left = [left[0] - pieces[-1][2], left[1] - 1, left[2] - pieces[-1][2]]
+        if waiting and left[0] >= gap and left[1] >= 1:
+            key, start, n = take(max(range(len(waiting)), key=lambda i: waiting[i][2]))
+            pieces.append((key, start, left[0]))
+            waiting.append((key, start + left[0], n - left[0]))
+            left[0] = 0
+        (powers if left[0] >= gap else close)(pieces)
+
+    def take(i):
+        waiting[i], waiting[-1] = waiting[-1], waiting[i]
+        return waiting.pop()
+
+    for key, n in examples:
+        start = 0
+        while n >= length:
+            close([(key, start, length)])
+            start, n = start + length, n - length
+        if n:
+            waiting.append((key, start, n))
+        while len(waiting) > pool:
+            fill()
+    while waiting:
+        fill()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    length, segments, pool = 256, int(rng.integers(3, 30)), int(rng.integers(4, 40))
+    examples = [(i, int(n)) for i, n in enumerate(rng.integers(0, 700 if seed % 2 else 120, 300))]
+    got = []
+    packer = packing.Packer(lambda *piece: got.append(piece), length, segments, length, cut=True, pool=pool)
+    for key, n in examples:
+        packer.add(key, n, n)
+    packer.close()
+    assert got == packed(examples, length, segments, pool, packing.GAP)
+
+
+def test_waiting_tails_hold_no_whole_documents():
+    held = []
+    packer = packing.Packer(lambda *_: None, cut=True, rest=lambda key, start: (key[0], key[1][start - key[2] :], start))
+    for i in range(1000):
+        packer.add((i, bytes(100_003), 0), 100_003, 100_003)
+        held.append(sum(len(k[1]) for k in packer.keys))
+    assert max(held) <= packing.LENGTH * len(packer.keys)
+
+
 def test_packing_under_three_limits(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(t), int(t * rng.random())) for i, t in enumerate(rng.integers(1, 600, 500))] + [(900, 2000, 5), (901, 10, 2000), (902, 0, 0), (903, None, None)]
@@ -351,7 +511,10 @@ def test_leaks_anywhere_and_in_blocks(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 5)
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, queries).collect()} == want
-    kept = {r.doc_id for r in decontamination.clean(frame, queries).collect()}
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 200)
+    again = [(r.doc_id, r.item_id) for r in decontamination.leaks(frame, queries.unionAll(queries)).collect()]
+    assert set(again) == want and len(again) == 2 * len(want)
+    kept = {r.doc_id for r in decontamination.clean(frame, queries.unionAll(queries)).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert decontamination.leaks(frame, queries.limit(0)).count() == 0 and decontamination.leaks(frame.limit(0), queries).count() == 0
 
@@ -375,6 +538,18 @@ def test_quality_odd(odd, empty, spark):
     assert {r.doc_id for r in quality.keep(docs).collect()} == set(range(200)) | {2000} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
 
 
+def test_hosts_are_held_against_the_mean(spark):
+    """A host far above the others goes though most of its documents pass; one of the same rate in few documents stays."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(h, "x" if i % 20 == 0 else text) for h in ("a", "b", "c", "d") for i in range(1000)]
+    rows += [("worse", "x" if i % 10 < 4 else text) for i in range(1000)] + [("few", "x" if i < 1 else text) for i in range(2)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, text string")
+    got = {r.host: r for r in quality.host_rates(quality.measures(docs)).collect()}
+    assert {h for h, r in got.items() if r.rejected} == {"worse"} and got["few"].rate < 0.4
+    kept = quality.judge(docs).where("kept").groupBy("host").count().collect()
+    assert {r.host: r["count"] for r in kept} == {"a": 950, "b": 950, "c": 950, "d": 950, "few": 1}
+
+
 def test_repeated_words():
     cache = WordHashes()
     for text in ("a b c d e f g h " * 2, "a " * 9, "a " * 8, "a b c d e f g h i", ""):
@@ -415,6 +590,42 @@ def test_extraction_of_pages(spark, sf):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+def test_extraction_without_article_tags(spark, sf):
+    """The same text is found where nothing but scores tells the article from the rest."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        assert html.main_text(bare) == html.main_text(r.html)
+
+
+def test_text_inside_the_article_stays():
+    para = "A paragraph of the article, which is long enough, and has commas. "
+    inside = "".join(f'<div class="{c}">words of {c}</div>' for c in ("tags", "related", "legal", "copyright", "share", "social"))
+    page = f"<body><article><p>{para}</p>{inside}<math>x = 1</math><p>{para}<label>a label</label></p><fieldset>set</fieldset><noscript><p>no script</p></noscript></article><div class='sidebar'>{para}</div></body>"
+    got = html.main_text(page).split("\n")
+    assert got[0] == para.strip() and [f"words of {c}" for c in ("tags", "related", "legal", "copyright", "share", "social")] == got[1:7]
+    assert "x = 1" in got[7] and "a label" in got[8] + got[7] and got[-2:] == ["set", "no script"]
+
+
+PARA = "some words, with a comma, that are long enough to count as one paragraph here. "
+HOSTILE = {
+    "nested": ("<div>" * 20_000 + PARA + "</div>" * 20_000) * 3, "texts": ("<div>" + PARA) * 12_000, "quotes": '<a b="' * 160_000, "mixed": "<a b='x\" " * 90_000 + PARA,
+    "last": "<a <a <a " * 100_000 + "' > " + PARA, "inline": "<i><b>" * 100_000 + PARA + "</u>" * 100_000, "script": "<script>" * 120_000, "inner": ("<p>" + "<i>" * 600 + PARA) * 500,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    page = HOSTILE[name]
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 20 * len(page) / 1e6
+
+
+def test_long_page():
+    page = "<article>" + f"<p>{PARA}</p>" * 120_000 + "</article>"
+    assert len(page) > 10_000_000 and html.main_text(page) == "\n".join([PARA.strip()] * 120_000)
+
+
 # 8
 
 
@@ -432,6 +643,27 @@ def test_codes(n):
         assert (token_files.decode(payload, checkpoints, size, *token_files.table(bits)) == ids).all()
 
 
+def test_codes_of_a_wide_vocabulary():
+    rng = np.random.default_rng(8)
+    counts = np.zeros(300_000, dtype=np.int64)
+    counts[rng.choice(300_000, 200_000, replace=False)] = (rng.pareto(0.7, 200_000) + 1).clip(1, 1e9).astype(np.int64)
+    bits = token_files.code_lengths(counts)
+    used = np.flatnonzero(bits)
+    assert len(used) == 200_000 and 16 < bits.max() <= 19
+    ids = rng.choice(used, 5000).astype(np.uint32)
+    payload, checkpoints = token_files.encode(ids, bits, token_files.canonical(bits))
+    assert (token_files.decode(payload, checkpoints, 5000, *token_files.table(bits)) == ids).all()
+
+
+def test_token_files_of_wide_ids(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    token_files.write(docs, str(tmp_path / "short"))
+    monkeypatch.setattr(token_files, "id_width", lambda vocab, end_id: "<u4")
+    token_files.write(docs, str(tmp_path / "wide"), end_id=70_000)
+    short, wide = ({r.doc_id: bytes(r.ids) for r in token_files.read(spark, str(tmp_path / n)).collect()} for n in ("short", "wide"))
+    assert {i: x[:-4] for i, x in short.items()} == {i: x[:-4] for i, x in wide.items()} and all(x.endswith((70_000).to_bytes(4, "little")) for x in wide.values())
+
+
 def test_token_files_round_trip(spark, sf, odd, empty, tmp_path):
     ids = whole_ids()
     want, at = {}, 0
@@ -461,18 +693,61 @@ def test_cached_ids_are_the_library_s():
 # 9
 
 
+def pieces(text, cache):
+    """Words of the pieces of a text, cut word by word: after sentence and line ends and the least of 9 word pairs."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    low = [m.group().encode().lower() for m in found]
+    pairs = [int(windows(cache.array(low[i : i + 2]), 2)[0]) for i in range(len(low) - 1)]
+    marks = set()
+    for i in range(len(pairs) - 8):
+        least = min(pairs[i : i + 9])
+        marks.add(max(k for k in range(i, i + 9) if pairs[k] == least) + 2)
+    out, last = [], 0
+    for i, m in enumerate(found):
+        after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)]
+        ended = after and re.search(r"[.!?…]+[\"'”’»)\]]*$", m.group())
+        if ended or "\n" in after or i + 1 in marks or i + 1 == len(found):
+            out.append(low[last : i + 1])
+            last = i + 1
+    return out
+
+
 def test_substrings_by_brute_force(spark, sf):
-    cache, seen, want = WordHashes(), {}, {}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
-        ends, words = substrings.sentences(r.text or "", cache)
-        gone = set()
-        for a, b in sorted(substrings.spans([len(w) for w in words])):
-            key = b" ".join(x for s in words[a : b + 1] for x in s)
-            if seen.setdefault(key, (r.doc_id, a)) != (r.doc_id, a):
-                gone.update(range(a, b + 1))
-        cuts = [0, *ends]
-        want[r.doc_id] = len(ends), len(gone), "".join(r.text[cuts[i] : cuts[i + 1]] for i in range(len(ends)) if i not in gone) if gone else r.text
-    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in QUERIES["op9_substrings"](spark, sf).collect()} == want
+    cache, seen, want = WordHashes(), set(), {}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()}
+    for i, text in texts.items():
+        own, gone = pieces(text or "", cache), set()
+        for a in range(len(own)):
+            n = b = 0
+            while n < substrings.SPAN and a + b < len(own):
+                n, b = n + len(own[a + b]), b + 1
+            if n >= substrings.SPAN:
+                key = tuple(x for s in own[a : a + b] for x in s)
+                gone.update(range(a, a + b) if key in seen else ())
+                seen.add(key)
+        want[i] = len(own), len(gone), [x for k, s in enumerate(own) if k not in gone for x in s]
+    got = QUERIES["op9_substrings"](spark, sf).collect()
+    assert {r.doc_id: (r.n_sentences, r.n_removed, (r.text or "").encode().lower().split()) for r in got} == want
+    assert all(r.text == texts[r.doc_id] for r in got if not r.n_removed)
+
+
+def test_substrings_against_plain_windows(spark, sf):
+    """Only words of repeated windows of SPAN words go, and of every repeated window of 50 words SPAN or more go."""
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()}
+    got = {r.doc_id: (r.text or "").encode().lower().split() for r in QUERIES["op9_substrings"](spark, sf).collect()}
+    first, hits = {}, 0
+    for width in (substrings.SPAN, 50):
+        for i, words in texts.items():
+            for k in range(len(words) - width + 1):
+                first.setdefault(tuple(words[k : k + width]), (i, k))
+    for i, words in texts.items():
+        again = {w: [k for k in range(len(words) - w + 1) if first[tuple(words[k : k + w])] != (i, k)] for w in (substrings.SPAN, 50)}
+        may = Counter(words[j] for j in {j for k in again[substrings.SPAN] for j in range(k, k + substrings.SPAN)})
+        lost = Counter(words) - Counter(got[i])
+        assert not lost - may
+        hits += bool(again[50])
+        assert len(words) - len(got[i]) >= (substrings.SPAN if again[50] else 0)
+    assert hits > 5
 
 
 def test_passages_go_and_the_rest_stays(spark):
@@ -515,11 +790,26 @@ def test_short_passages_in_mid_sentence(spark, size):
 def test_substrings_odd(odd, empty, spark):
     got = {r.doc_id: r for r in substrings.dedup(odd).collect()}
     assert len(got) == len(ODD) and got[1].text is None and got[8].text == LONG and got[9].text == "" and got[8].n_removed == 0
-    assert substrings.dedup(empty).count() == 0
+    assert substrings.dedup(empty).count() == 0 and substrings.shortened(empty).count() == 0
     kept = {r.doc_id: r for r in substrings.shortened(odd, length_col="n_chars").collect()}
     assert set(kept) == {i for i, _ in ODD} - {9} and kept[1].text is None and kept[8].n_chars == len(LONG)
-    twice = spark.createDataFrame([(1, LONG), (1, LONG), (None, LONG), (None, "short")], "doc_id long, text string")
-    assert sorted(r.n_removed > 0 for r in substrings.dedup(twice).collect()) == [False, False, True, True]
+    twice = spark.createDataFrame([(1, LONG), (1, LONG), (2, LONG + " tail"), (None, LONG), (None, "short"), (None, None)], "doc_id long, text string")
+    for clash in ("__row", "__key", "__firsts", "first", "n"):
+        twice = twice.withColumn(clash, F.lit(7))
+    assert sorted(r.n_removed > 0 for r in substrings.dedup(twice).collect()) == [False] * 3 + [True] * 3
+    left = substrings.shortened(twice)
+    assert left.columns == twice.columns
+    kept = left.collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 2] and {r.text for r in kept if r.doc_id == 1} == {LONG}
+    assert {r.text for r in kept if r.doc_id is None} == {None, "short"} and all(len(r.text) < 200 for r in kept if r.doc_id == 2)
+
+
+def test_single_sentences_stay(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    common = words(29)
+    rows = [(i, f"{words(40)}. {common}. {words(33)}.") for i in range(6)]
+    assert all(r.n_removed == 0 for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 # 10
@@ -560,6 +850,70 @@ def test_sharding_of_hot_links(spark, hot):
     assert parts <= math.ceil(8 * hot) + 2
 
 
+def propagated(rows, hashes, shards, capacity, rounds):
+    """A plain version of the propagation: row -> label. rows: (row, size, link, label); hashes: Spark's, by their arguments."""
+    label = {r: at for r, _, _, at in rows}
+    size, link = {r: n for r, n, _, _ in rows}, {r: x for r, _, x, _ in rows}
+    for step in range(rounds):
+        load = Counter()
+        for r in label:
+            load[label[r]] += size[r]
+        room = {s: max(0.0, capacity - load[s]) for s in range(shards)}
+        order = sorted(range(shards), key=lambda s: (room[s], s), reverse=True)
+        asked, wish, band = Counter(), {}, {}
+        for x in set(link.values()):
+            own = [r for r in label if link[r] == x]
+            total = sum(size[r] for r in own)
+            k = min(shards, max(1, math.ceil(total / capacity)))
+            n, held = Counter(label[r] for r in own), Counter()
+            for r in own:
+                held[label[r]] += size[r]
+            mine = sorted(n, key=lambda s: (n[s], hashes[x, s], s), reverse=True)
+            fit = [s for s in mine if room[s] + held[s] >= total / k]
+            free = [s for s in order if room[s] >= total / k]
+            turn = hashes[x, step, "turn"] % max(1, len(free))
+            targets = list(dict.fromkeys(fit + free[turn:] + free[:turn] + mine))[:k]
+            for r in own:
+                wish[r] = label[r] if label[r] in targets else targets[hashes[r, step, "row"] % len(targets)]
+                band[r] = (hashes[x, step, "link band"] if k == 1 else hashes[r, step, "row band"]) % sharding.BANDS
+                if wish[r] != label[r]:
+                    asked[wish[r], band[r]] += size[r]
+        if not asked:
+            break
+        granted, upto = set(), Counter()
+        for s, b in sorted(asked):
+            upto[s] += asked[s, b]
+            if upto[s] <= room[s]:
+                granted.add((s, b))
+        label = {r: wish[r] if (wish[r], band[r]) in granted else label[r] for r in label}
+    return label
+
+
+@pytest.mark.parametrize("seed, capacity", [(1, 900.0), (2, 500.0), (3, 420.0)])
+def test_propagation_by_brute_force(spark, seed, capacity):
+    rng = np.random.default_rng(seed)
+    rows, shards, rounds = [], 5, 4
+    for x, members in enumerate([2, 2, 3, 2, 5, 40, 2, 3, 8, 2]):
+        n = int(rng.integers(10, 60))
+        rows += [(len(rows) + k, n, x, int(rng.integers(0, shards))) for k in range(members)]
+    frame = spark.createDataFrame([(r, r, n, 0, bytes([x]), at) for r, n, x, at in rows], "doc_id long, row long, size long, text_crc32 long, link binary, label int")
+    hashes, steps = {}, spark.range(rounds).select(F.col("id").cast("int").alias("step"))
+    spread = sharding._spread
+    for q in frame.select("link").distinct().crossJoin(steps).select(F.ascii(F.col("link").cast("string")).alias("x"), "step", spread("link", F.col("step")).alias("a"), spread("link", F.col("step"), F.lit("band")).alias("b")).collect():
+        hashes[q.x, q.step, "turn"], hashes[q.x, q.step, "link band"] = q.a, q.b
+    for q in frame.crossJoin(steps).select("row", "step", spread("row", F.col("step")).alias("a"), spread("row", F.col("step"), F.lit("band")).alias("b")).collect():
+        hashes[q.row, q.step, "row"], hashes[q.row, q.step, "row band"] = q.a, q.b
+    for q in frame.select("link").distinct().crossJoin(spark.range(shards).select(F.col("id").cast("int").alias("label"))).select(F.ascii(F.col("link").cast("string")).alias("x"), "label", spread("link", "label").alias("a")).collect():
+        hashes[q.x, q.label] = q.a
+    got = {r.row: r.label for r in sharding.propagate(frame, shards, capacity, rounds).collect()}
+    assert got == propagated(rows, hashes, shards, capacity, rounds)
+    parts = defaultdict(set)
+    for r, _, x, _ in rows:
+        parts[x].add(got[r])
+    if capacity > 800:  # room for all: only the links that need more than one shard are cut
+        assert all(len(p) <= max(1, math.ceil(sum(n for _, n, y, _ in rows if y == x) / capacity)) for x, p in parts.items())
+
+
 def test_sharding_odd(odd, empty):
     got = {r.doc_id: r for r in sharding.assign(odd, 3).collect()}
     assert len(got) == len(ODD) and got[1].size == 8 and got[1].text_crc32 == 0
