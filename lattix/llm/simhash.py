@@ -6,8 +6,9 @@ segments of 32 bits, so one of them differs in at most one bit. Each segment is
 bits left out (33 variants); fingerprints that agree on a variant are joined and held against the whole distance.
 
 How it scales: only distinct fingerprints are indexed, so a group of copies of any size counts once. Variants are counted
-inside their partitions, and most of them occur once and go no further. A variant of up to ``SMALL`` fingerprints yields
-their pairs. Beyond that no pairs are made: its fingerprints are joined on their 65 points at a distance of 0 or 1; two
+with sums per task before the shuffle, and most occur once and go no further; one that two fingerprints share is their pair
+(its least and greatest); the members of the others are joined back, a join that adaptive execution splits where a
+variant is hot. A variant of up to ``SMALL`` fingerprints yields their pairs. Beyond that no pairs are made: its fingerprints are joined on their 65 points at a distance of 0 or 1; two
 fingerprints share such a point exactly if they differ in 2 bits or fewer, so linking all that share a point to the
 smallest of them loses nothing. Components are found on fingerprints and joined back to the rows.
 
@@ -27,7 +28,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -92,18 +93,23 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """a, b for distinct fingerprints: enough pairs within ``bits`` to connect all that are so linked."""
     if not 0 <= bits <= BITS:
         raise ValueError("two segments find up to 2 differing bits")
-    per = Window.partitionBy("variant")
-    shared = variants(fps).withColumn("n", F.count("*").over(per)).where("n > 1")
-    shared = stage(shared, "simhash-shared")
-    few = shared.where(F.col("n") <= SMALL)
-    x, y = few.select("variant", F.col("fp").alias("a"), F.col("side").alias("x")), few.select("variant", F.col("fp").alias("b"), F.col("side").alias("y"))
+    marks = variants(fps)
+    held = marks.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    held = stage(held, "simhash-held")
+    twos = held.where("n = 2").select("a", "b")
+    crowded = few(stage(held.where("n > 2").select("variant", "n"), "simhash-crowded"))
+    shared = stage(marks.join(crowded, "variant"), "simhash-shared")
+    some = shared.where(F.col("n") <= SMALL)
+    x, y = some.select("variant", F.col("fp").alias("a"), F.col("side").alias("x")), some.select("variant", F.col("fp").alias("b"), F.col("side").alias("y"))
     # a gap pairs the two sides of its bit only: equal segments meet in the variant without a gap
     pairs = x.join(y, "variant").where("(x is null and a < b) or x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.unionByName(twos)
     crowd = shared.where(F.col("n") > SMALL).select("fp").distinct()
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     points = crowd.select("fp", F.explode(points).alias("point"))
-    first = F.min("fp").over(Window.partitionBy("point"))
-    stars = points.select(F.col("fp").alias("b"), first.alias("a")).where("a < b").select("a", "b")
+    points = stage(points, "simhash-points")
+    first = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("k")).where("k > 1").select("point", "a")
+    stars = points.join(first, "point").select("a", F.col("fp").alias("b")).where("a < b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     return pairs.unionByName(stars).where(near).distinct()
 
