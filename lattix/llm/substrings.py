@@ -8,7 +8,7 @@ occurrence, by (doc_id, place); pieces covered by any other are removed.
 
 A passage of n words has a cut common to all copies after 10 words or fewer, and the first cut SPAN words or more behind
 it lies at most 8 words further. So every repeated passage of 50 words or more loses a run of at least ``SPAN`` words
-wherever it isn't first, punctuated or not; what stays of it is less than 10 words at its beginning and 18 at its end. A
+wherever it isn't first, punctuated or not; what stays of it is up to 10 words at its beginning and 18 at its end. A
 single sentence of fewer than ``SPAN`` words stays, however common it is; a longer one counts as a passage.
 
 Matches are by 96 bits: a polynomial of the words' hashes modulo 2 ** 64 and 32 bits of one with other coefficients.
