@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, language_model, packing, quality, sharding, simhash, substrings, token_counts, token_files
+from . import decontamination, html, language_model, lexical, packing, quality, sharding, simhash, substrings, token_counts, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_substrings": substrings.op9_substrings,
     "op10_sharding": sharding.op10_sharding,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 #: DuckDB SQL for those that SQL can express.
-ORACLES = {"op6_quality": quality.ORACLE}
+ORACLES = {"op6_quality": quality.ORACLE, "op13_ranked_search": lexical.ORACLE}
