@@ -130,14 +130,35 @@ def domains(df: DataFrame, rules: list[dict], id_col: str = "id") -> DataFrame:
     )
 
 
+#: The sentences and lists of the cards.
+CARD = {
+    "alternatives": ("Standard library solutions", "Cloud managed services", "Alternative open source engines"),
+    "key_superpowers": ("High throughput", "Low resource overhead", "Battle-tested community stability"),
+}
+DEFAULT_CARD = {
+    "why_it_matters": "A notable open source project with significant community adoption.",
+    "when_to_use": "Use when building systems that require high performance in ",
+    "alternatives": ("Standard library solutions", "Cloud managed services"),
+    "key_superpowers": ("High performance", "Active community", "Open architecture"),
+}
+
+
+def default_card(hook: Column, subsystem: Column) -> Column:
+    """The card that is written for a record without one."""
+    return F.struct(
+        hook.alias("what_it_does"), F.lit(DEFAULT_CARD["why_it_matters"]).alias("why_it_matters"),
+        F.concat(F.lit(DEFAULT_CARD["when_to_use"]), F.coalesce(blank_to_null(subsystem), F.lit("its domain")), F.lit(".")).alias("when_to_use"),
+        *[F.array(*map(F.lit, DEFAULT_CARD[c])).alias(c) for c in ("alternatives", "key_superpowers")],
+    )
+
+
 def context_card(domain: Column, subsystem: Column, language: Column) -> Column:
     low = F.lower(subsystem)
     return F.struct(
         F.concat(F.lit("A foundational "), language, F.lit(" project in the "), domain, F.lit(" ecosystem specialized for "), subsystem, F.lit(".")).alias("what_it_does"),
         F.concat(F.lit("It solves complex "), low, F.lit(" challenges without requiring teams to reinvent low-level primitives.")).alias("why_it_matters"),
         F.concat(F.lit("Use when your application demands reliable, high-performance "), low, F.lit(" with active community support.")).alias("when_to_use"),
-        F.array(*map(F.lit, ("Standard library solutions", "Cloud managed services", "Alternative open source engines"))).alias("alternatives"),
-        F.array(*map(F.lit, ("High throughput", "Low resource overhead", "Battle-tested community stability"))).alias("key_superpowers"),
+        *[F.array(*map(F.lit, CARD[c])).alias(c) for c in ("alternatives", "key_superpowers")],
     )
 
 
@@ -163,7 +184,8 @@ def enrich(df: DataFrame, rules: list[dict], as_of: int, id_col: str = "id") ->
 
 
 def reclassify(df: DataFrame, rules: list[dict], id_col: str = "id") -> DataFrame:
-    """New labels next to old_domain, old_subsystem, old_artifact; keywords follow; a card that is the template is renewed."""
+    """New labels next to old_domain, old_subsystem, old_artifact; keywords follow; a card that is the template, or the
+    default card of the row's hook where the table has hooks, is renewed."""
     lang = F.coalesce(blank_to_null(F.col("language")), F.lit("Other"))
     old = df.withColumns({
         "old_domain": F.coalesce("domain", F.lit(NO_DOMAIN)), "old_subsystem": F.coalesce("subsystem", F.lit(NO_SUBSYSTEM)), "old_artifact": F.coalesce("artifact", F.lit(ARTIFACTS[-1])),
@@ -177,7 +199,12 @@ def reclassify(df: DataFrame, rules: list[dict], id_col: str = "id") -> DataFram
         new = new.withColumn("keywords", F.when(same & (F.col("artifact") == F.col("old_artifact")), F.col("keywords")).otherwise(renewed))
     if "beginner_intel" in df.columns:
         template = F.col("beginner_intel").eqNullSafe(context_card(F.col("old_domain"), F.col("old_subsystem"), lang))
-        new = new.withColumn("beginner_intel", F.when(~same & template, context_card(F.col("domain"), F.col("subsystem"), lang)).otherwise(F.col("beginner_intel")))
+        card = F.when(~same & template, context_card(F.col("domain"), F.col("subsystem"), lang))
+        if "hook" in df.columns:
+            hook = F.substring(F.coalesce(F.when(F.col("hook") != "", F.col("hook")), F.col("description"), F.lit("")), 1, 90)
+            written = F.col("beginner_intel").eqNullSafe(default_card(hook, F.col("old_subsystem")))
+            card = card.when(~same & written, context_card(F.col("domain"), F.col("subsystem"), lang))
+        new = new.withColumn("beginner_intel", card.otherwise(F.col("beginner_intel")))
     return new
 
 

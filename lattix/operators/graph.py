@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import array_or_empty
+from ..sources.shared import settled
 
 #: Weights of the evidence groups.
 GROUPS = {"topics": 3.0, "primitives": 2.0, "compatibility": 1.0, "subsystem": 1.5, "language": 1.0, "artifact": 1.0}
@@ -190,3 +191,20 @@ def k_hop(links: DataFrame, starts: DataFrame, hops: int = 1) -> DataFrame:
         step = seen.where(F.col("hop") == h - 1).join(both, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(h).alias("hop"))
         seen = seen.unionByName(step).groupBy("start", "node").agg(F.min("hop").alias("hop"))
     return seen
+
+
+def topic_map(companions: DataFrame, nodes: int = 48, links: int = 5) -> DataFrame:
+    """place, topic, count, other, pair_count: the ``nodes`` commonest topics of ``cooccurrence`` and the links among them.
+
+    A topic's ``links`` strongest companions count, those outside the sample included; of these the ones inside are links,
+    each once: at the topic of the smaller place that has it. A topic without a link of its own has one row without other.
+    Both ranks are limits of the view, so whatever joins here has at most nodes x links rows.
+    """
+    topics = companions.select("topic", "count").distinct()
+    picked = topics.orderBy(F.col("count").desc(), "topic").limit(nodes)
+    sample = settled(picked.withColumn("place", F.row_number().over(Window.orderBy(F.col("count").desc(), "topic"))), "topics")
+    strong = companions.where(F.col("rank") <= links).select("topic", "other", "pair_count").where("other is not null")
+    inside = strong.join(sample.select("topic", "place"), "topic").join(sample.select(F.col("topic").alias("other")), "other", "left_semi")
+    first = F.row_number().over(Window.partitionBy(F.least("topic", "other"), F.greatest("topic", "other")).orderBy("place"))
+    once = inside.withColumn("__n", first).where("__n = 1").select("topic", "other", "pair_count")
+    return sample.join(once, "topic", "left").select("place", "topic", "count", "other", "pair_count")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_license
 from ..functions.text import array_or_empty, blank_to_null
+from ..sources.catalog import part_number
+from ..sources.raw import keyed
 from ..sources.shared import settled
+from .classify import context_card
 
 DEEP = ("primitives", "compatibility", "usecases", "keywords", "quickstart_code", "maturity", "beginner_intel")
 SAFE_ID = (1 << 53) - 1
@@ -144,6 +148,67 @@ def apply_patch(df: DataFrame, patch: DataFrame) -> DataFrame:
     return out.withColumns({"stars": F.coalesce("__stars", "stars"), "key": F.coalesce("__to", "key")}).drop("__to", "__stars", "__clash")
 
 
+#: Counters of a written merge, in the order in which things happen.
+COUNTERS = ("bad_lines", "incomplete", "new", "refreshed", "dropped", "updated", "collisions", "hook_synthesized", "final")
+
+
+def _with_fates(rows: DataFrame, patch: DataFrame) -> DataFrame:
+    """The rows with ``__fate`` (keep, drop, update, collision), moved to their new key where they get one.
+
+    As in ``apply_patch`` a row that is to move goes if a row has that key already, and of several that are to move to one
+    key the first by its old key does. The table is used once: a moving row stands for its old key, too, while keys meet.
+    """
+    fates = patch.where("action in ('drop', 'update')").groupBy("key").agg(F.max_by(F.struct("action", F.col("current").alias("to"), "stars"), F.struct("action", "current")).alias("__p"))
+    out = rows.join(fates, "key", "left").withColumn("__moves", F.coalesce((F.col("__p.action") == "update") & (F.col("__p.to") != F.col("key")), F.lit(False)))
+    places = F.when(F.col("__moves"), F.array(F.struct(F.col("__p.to").alias("at"), F.lit(False).alias("old")), F.struct(F.col("key").alias("at"), F.lit(True).alias("old"))))
+    dropped = F.coalesce(F.col("__p.action") == "drop", F.lit(False))
+    places = F.coalesce(places, F.array(F.struct(F.col("key").alias("at"), F.lit(False).alias("old"))))
+    out = out.withColumn("__e", F.explode(places))
+    at = Window.partitionBy("__e.at")
+    held = F.max((F.col("__e.old") | ~F.col("__moves")) & ~dropped).over(at)
+    turn = F.row_number().over(at.orderBy(F.col("__e.old") | ~F.col("__moves"), "key"))
+    out = out.withColumns({"__held": held, "__turn": turn}).where("not __e.old")
+    clash = F.col("__moves") & (F.col("__held") | (F.col("__turn") > 1))
+    fate = F.when(dropped, "drop").when(clash, "collision").when(F.col("__p.action") == "update", "update").otherwise("keep")
+    return out.withColumns({"__fate": fate, "key": F.when(dropped, F.col("key")).otherwise(F.col("__e.at")), "stars": F.coalesce("__p.stars", "stars")}).drop("__p", "__moves", "__e", "__held", "__turn")
+
+
+def write_merged(df: DataFrame, records: DataFrame, path: str, patch: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """Merge parsed records (with ``state``) and a patch into a catalog, write it to ``path``, and yield counter, n for all ``COUNTERS``.
+
+    The counters are observed while the table is written, so nothing is read twice for them: lines that are bad or
+    incomplete, rows that are new or refreshed (a key that the records repeat is refreshed by each repetition), rows that the
+    patch drops, updates, or drops as the key they would move to is taken, hooks made up for rows without hook and
+    description, and rows in the end. Hooks of new and refreshed rows follow their description.
+    """
+    spark, seen, merged, fated, done = df.sparkSession, *[Observation(f"merge-{uuid.uuid4().hex}") for _ in range(4)]
+    states = {c: F.count_if(F.col("state") == s).alias(c) for c, s in (("bad_lines", "bad"), ("incomplete", "incomplete"))}
+    fresh = keyed(records.observe(seen, *states.values()).where("state = 'good'")).drop("value", "state")
+    fresh = fresh.withColumn("full_name", F.concat_ws("/", "owner", "name"))
+    new = F.count_if(F.col("change") == "new")
+    rows = upsert(df, fresh, order).observe(merged, new.alias("new"), (F.coalesce(F.sum("repeats"), F.lit(0)) - new).alias("refreshed"))
+    if "hook" in df.columns:
+        rows = rows.withColumn("hook", F.when(F.col("change") != "kept", F.substring("description", 1, 90)).otherwise(F.col("hook")))
+    rows = rows.drop("change", "repeats")
+    if patch is not None:
+        fate = {c: F.count_if(F.col("__fate") == f).alias(c) for c, f in (("dropped", "drop"), ("updated", "update"), ("collisions", "collision"))}
+        rows = _with_fates(rows, patch).observe(fated, *fate.values()).where("__fate in ('keep', 'update')").drop("__fate")
+    made = F.lit(False)
+    if "hook" in df.columns:
+        made = blank_to_null(F.col("hook")).isNull() & blank_to_null(F.col("description")).isNull()
+        label = lambda c, other: F.coalesce(blank_to_null(F.col(c)), F.lit(other)) if c in df.columns else F.lit(other)
+        card = context_card(label("domain", "General"), label("subsystem", "General Components"), label("language", "Other"))
+        rows = rows.withColumn("__made", made).withColumn("hook", F.when(F.col("__made"), card["what_it_does"]).otherwise(F.col("hook")))
+        made = F.col("__made")
+    rows.observe(done, F.count_if(made).alias("hook_synthesized"), F.count("*").alias("final")).drop("__made").write.mode("overwrite").parquet(path)
+    counts = dict.fromkeys(COUNTERS, 0)
+    for told in (seen, merged, *([fated] if patch is not None else []), done):
+        counts |= told.get
+    if not seen.get:  # Spark leaves a side out of the final plan that turns out to be empty, and its counts with it
+        counts |= records.agg(*states.values()).first().asDict()
+    return spark.createDataFrame([(c, int(counts[c] or 0)) for c in COUNTERS], "counter STRING, n LONG")
+
+
 def overlay_curated(df: DataFrame, curated: DataFrame, fields: tuple[str, ...] = ("beginner_intel", "quickstart_code"), require_all: bool = False) -> tuple[DataFrame, DataFrame]:
     """(table with the curated fields, status of each curated row: in_sync, updated or missing)."""
     c, s = curated.alias("s"), df.select("key", *fields).alias("c")
@@ -160,15 +225,69 @@ def overlay_curated(df: DataFrame, curated: DataFrame, fields: tuple[str, ...] =
     return out.drop("__hit", *[f"__{f}" for f in fields]), status
 
 
-def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame) -> DataFrame:
-    """For each wanted name: the row with that owner/name, else the first row (by stars) with that bare name, and its details."""
-    n = names.select(F.col("name").alias("wanted"), F.lower("name").alias("__k"))
+#: The card, licence terms and command of a looked-up row that has none.
+LOOKUP_CARD = {
+    "why_it_matters": "A prominent open-source system solving core scalability and reliability requirements in its domain.",
+    "when_to_use": "Best suited for production applications requiring high performance in ",
+    "alternatives": ("Standard libraries", "Cloud services", "Alternative open source engines"),
+    "key_superpowers": ("High throughput", "Low resource overhead", "Battle-tested community stability"),
+}
+LOOKUP_LICENSE = {"tier": "Standard Open Source", "commercial": "Commercially Permissive", "desc": "Check repository license file for explicit terms."}
+#: Wanted rows that are broadcast to the details, so that their folders are known before these are read; more of them are shuffled.
+WANTED = 200_000
+
+
+def wanted_rows(df: DataFrame, names: DataFrame) -> DataFrame:
+    """For each wanted name: the row with that owner/name, else the first row (by stars) with that bare name."""
+    n = names.select(F.col("name").alias("wanted"), F.lower("name").alias("__k")).distinct()
     exact = n.join(df, F.col("__k") == F.col("key")).withColumn("__p", F.lit(0))
     bare = n.join(df, F.col("__k") == F.lower(df["name"])).withColumn("__p", F.lit(1))
     best = F.row_number().over(Window.partitionBy("wanted").orderBy("__p", F.col("stars").desc(), "full_name"))
-    found = exact.unionByName(bare).withColumn("__n", best).where("__n = 1").drop("__n", "__p", "__k")
-    extra = [c for c in details.columns if c not in found.columns]
-    return found.join(details.select("id", *extra), "id", "left")
+    return exact.unionByName(bare).withColumn("__n", best).where("__n = 1").drop("__n", "__p", "__k")
+
+
+def lookup_defaults(df: DataFrame) -> dict[str, Column]:
+    """What a looked-up row shows where neither its details nor itself have it, for the columns that can be made."""
+    out = {}
+    if {"hook", "description", "subsystem"} <= set(df.columns):
+        out["beginner_intel"] = F.struct(
+            F.coalesce(blank_to_null(F.col("hook")), F.col("description")).alias("what_it_does"), F.lit(LOOKUP_CARD["why_it_matters"]).alias("why_it_matters"),
+            F.concat(F.lit(LOOKUP_CARD["when_to_use"]), F.coalesce("subsystem", F.lit("")), F.lit(".")).alias("when_to_use"),
+            *[F.array(*map(F.lit, LOOKUP_CARD[c])).alias(c) for c in ("alternatives", "key_superpowers")],
+        )
+    out["license_intel"] = F.struct(*[F.lit(v).alias(k) for k, v in LOOKUP_LICENSE.items()])
+    if "url" in df.columns:
+        out["quickstart_code"] = F.concat(F.lit("git clone "), F.col("url"), F.lit(".git"))
+    return out
+
+
+def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """The wanted rows (see ``wanted_rows``) with the details of their id, a filled field of which counts before the row's own.
+
+    With ``parts`` (slug, parts: the fan-out that the details were written by) a wanted row knows the folder of its details,
+    and details (with slug and part) are joined by both: up to ``WANTED`` rows are broadcast, and Spark then reads their
+    folders only. Cards, licence terms and commands that are missing on both sides get defaults (see ``lookup_defaults``).
+    """
+    found = wanted_rows(df, names)
+    deep = [c for c in details.columns if c not in ("id", "slug", "part")]
+    if parts is None:
+        hits = details.select("id", *deep)
+    else:
+        found = settled(part_number(found, parts), "wanted")
+        near = found.where("id >= 0 or id < 0").select("id", F.col("slug").alias("__slug"), F.col("part").alias("__part")).distinct()
+        near = F.broadcast(near) if found.count() <= WANTED else near
+        hits = details.join(near.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.col("slug") == F.col("__slug")) & (F.col("part") == F.col("__part")))
+        hits, found = hits.select("id", *deep), found.drop("slug", "part")
+    kinds = {c: details.schema[c].dataType.typeName() for c in deep}
+    filled = [(blank_to_null(F.col(c)) if kinds[c] == "string" else F.when(F.size(c) > 0, F.col(c)) if kinds[c] == "array" else F.col(c)).alias(f"__d_{c}") for c in deep]
+    out = found.join(hits.dropDuplicates(["id"]).select("id", *filled), "id", "left")
+    defaults = lookup_defaults(found)
+    for c in deep:
+        own = [F.col(c)] if c in found.columns else []
+        if own and kinds[c] == "string":
+            own = [blank_to_null(F.col(c))]
+        out = out.withColumn(c, F.coalesce(F.col(f"__d_{c}"), *own, *([defaults[c]] if c in defaults else []))).drop(f"__d_{c}")
+    return out
 
 
 def stable_ids(df: DataFrame) -> DataFrame:

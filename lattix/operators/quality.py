@@ -1,42 +1,64 @@
-"""Gates that yield (check, failures), pattern scans and range windows."""
+"""Gates that yield (check, failures, detail), pattern scans and range windows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import array_or_empty, blank_to_null
 from ..sources.catalog import part_number, parts_by_slug
 from ..sources.shared import settled
 from .facets import facet_counts
+from .score import global_ordinal
 
 SAFE_ID = (1 << 53) - 1
 
 
-def _rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """One pass over a table: how many rows fail each check."""
-    counts = df.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("failures")) for k in checks])))
+#: Offending keys that a check names.
+LEAST = 5
 
 
-def _count(name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
+def _failing(df: DataFrame, checks: dict[str, Column], key: Column, number: Column | None = None) -> DataFrame:
+    """check, number, key for every check that a row fails: one pass over the table. Keys go by number, then as text."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
+    return df.select(F.explode(names).alias("check"), (F.lit(0) if number is None else number).cast("long").alias("number"), key.cast("string").alias("key"))
+
+
+def _report(checks: list[str], failing: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """check, failures, detail: how many rows fail each check, and the least ``LEAST`` of their keys.
+
+    The failing keys are written once; counts are summed per task, and each task hands on no more than the least keys of a
+    check, so nothing that is held grows with the failures.
+    """
+    rows = settled(reduce(DataFrame.unionByName, failing), "failing")
+    counts = rows.groupBy("check").agg(F.count("*").alias("failures"))
+    nth = F.row_number().over(Window.partitionBy("check").orderBy(F.col("number").asc_nulls_last(), F.col("key").asc_nulls_last()))
+    first = rows.withColumn("n", nth).where(F.col("n") <= LEAST).groupBy("check").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("key", F.lit("null")).alias("key")))).alias("keys"))
+    detail = F.array_join(F.transform("keys", lambda x: x["key"]), ", ")
+    every = spark.createDataFrame([(c,) for c in checks], "check STRING")
+    out = every.join(F.broadcast(counts), "check", "left").join(F.broadcast(first), "check", "left")  # a row for each check
+    return out.select("check", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.coalesce(detail, F.lit("")).alias("detail"))
+
+
+def _place(slug: str = "slug", part: str = "part") -> Column:
+    return F.concat_ws("/", F.col(slug), F.col(part).cast("string"))
 
 
 def verify(
     df: DataFrame, details: DataFrame, flat: DataFrame, min_stars: int = 500, min_rows: int = 1, target: int = 12_000,
     manifest: DataFrame | None = None, labels: dict[str, DataFrame] | None = None, max_part_bytes: int | None = None,
 ) -> DataFrame:
-    """check, failures for a catalog (id, owner, name, stars, hook, domain, domain_margin, ...), its details (id, slug, part) and flat index (id).
+    """check, failures, detail for a catalog (id, owner, name, stars, hook, domain, domain_margin, ...), its details (id, slug, part) and flat index (id).
 
     ``manifest`` (slug, parts) is the stated fan-out: each slug must be that of a domain, its parts a power of two of 2 or
     more, and details are routed by it. ``labels`` has a table (code) for a column ``<name>_code`` of the catalog: a code
     that its table lacks dangles. Array columns must hold no null. Rows of the details are held against ``max_part_bytes``
-    by part if they have a column ``bytes``.
+    by part if they have a column ``bytes``. ``detail`` names the least keys that fail: ids, parts (slug/part) or slugs.
+    The catalog is read once; ids of all three tables meet in one sum per id.
     """
-    have = set(df.columns)
+    have, spark = set(df.columns), df.sparkSession
     checks = {
         "id_out_of_range": ~((F.col("id") > 0) & (F.col("id") < SAFE_ID)) | F.col("id").isNull(),
         "missing_owner_or_name": blank_to_null(F.col("owner")).isNull() | blank_to_null(F.col("name")).isNull(),
@@ -52,74 +74,164 @@ def verify(
     for tail in ("topics", "compatibility"):
         if tail in have:
             checks[f"malformed_{tail}"] = F.col(tail).isNull() | F.exists(tail, lambda x: x.isNull())
-    out = [_rows(df, checks)]
-    out.append(df.agg(F.when(F.count("*") < min_rows, 1).otherwise(0).cast("long").alias("failures")).select(F.lit("too_few_rows").alias("check"), "failures"))
-    # the ids and routes that the other checks need, written once
-    df = settled(df.select("id", "domain", *[f"{c}_code" for c in labels or {}]), "verify")
-    ids, deep = df.select("id").distinct(), settled(details.select("id", "slug", "part", *(["bytes"] if "bytes" in details.columns else [])), "verify-details")
-    out.append(_count("duplicate_id", df.groupBy("id").count().where("count > 1")))
-    for name, a, b in (("flat_missing", ids, flat), ("flat_stray", flat, ids), ("details_missing", ids, deep), ("details_stray", deep, ids)):
-        out.append(_count(name, a.select("id").distinct().join(b.select("id").distinct(), "id", "left_anti")))
+    names = [*checks, "too_few_rows"]
+    faults = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
+    # what every check needs of the catalog, written in its one pass
+    df = settled(df.select("id", "domain", faults.alias("faults"), *[f"{c}_code" for c in labels or {}]), "verify")
+    deep = settled(details.select("id", "slug", "part", *(["bytes"] if "bytes" in details.columns else [])), "verify-details")
+    out = [df.select(F.explode("faults").alias("check"), F.col("id").alias("number"), F.col("id").cast("string").alias("key"))]
+    few = df.agg(F.count("*").alias("n")).where(F.col("n") < min_rows)
+    out.append(_failing(few, {"too_few_rows": F.lit(True)}, F.col("n")))
+    sides = [t.select("id", F.lit(k).alias("side")) for k, t in (("c", df), ("f", flat), ("d", deep))]
+    per = reduce(DataFrame.unionByName, sides).groupBy("id").agg(*[F.count_if(F.col("side") == k).alias(k) for k in "cfd"])
+    c, f, d = (F.col(k) > 0 for k in "cfd")
+    parity = {"duplicate_id": F.col("c") > 1, "flat_missing": c & ~f, "flat_stray": f & ~c, "details_missing": c & ~d, "details_stray": d & ~c}
+    names += list(parity)
+    out.append(_failing(per, parity, F.col("id"), F.col("id")))
     own = parts_by_slug(df, target)
     stated = own.select("slug", "parts") if manifest is None else manifest.select("slug", "parts")
-    routed = settled(part_number(df, stated).select("id", F.col("slug").alias("s"), F.col("part").alias("p")), "verify-routes")
-    out.append(_count("details_misplaced", deep.join(routed, "id").where("slug <> s or part <> p")))
-    places = routed.select(F.col("s").alias("slug"), F.col("p").alias("part")).distinct()
-    there = deep.select("slug", "part").distinct()
-    out.append(_count("part_missing", places.join(there, ["slug", "part"], "left_anti")))
-    out.append(_count("part_orphan", there.join(places, ["slug", "part"], "left_anti")))
+    routed = part_number(df, stated).select("id", F.col("slug").alias("s"), F.col("part").alias("p"))
+    misplaced = {"details_misplaced": (F.col("slug") != F.col("s")) | (F.col("part") != F.col("p"))}
+    out.append(_failing(deep.join(routed, "id"), misplaced, F.col("id"), F.col("id")))
+    size = F.sum("bytes") if "bytes" in deep.columns else F.lit(0)
+    there = deep.groupBy("slug", "part").agg(size.alias("bytes")).withColumn("there", F.lit(True))
+    meant = routed.groupBy(F.col("s").alias("slug"), F.col("p").alias("part")).agg(F.lit(True).alias("meant"))
+    folders = {"part_missing": F.col("there").isNull(), "part_orphan": F.col("meant").isNull()}
+    if max_part_bytes is not None:
+        folders["part_too_large"] = F.col("bytes") > max_part_bytes
+    names += ["details_misplaced", *folders]
+    out.append(_failing(meant.join(there, ["slug", "part"], "full_outer"), folders, _place()))
     if manifest is not None:
-        power = (F.col("parts") >= 2) & (F.col("parts").bitwiseAND(F.col("parts") - 1) == 0)
-        out.append(_count("fanout_malformed", manifest.where(~power | F.col("parts").isNull())))
-        out.append(_count("fanout_of_no_domain", manifest.join(own, "slug", "left_anti")))
-        wrong = own.join(manifest.select("slug", F.col("parts").alias("stated")), "slug", "left")
-        out.append(_count("fanout_differs", wrong.where("parts <> coalesce(stated, 1)")))
+        power = (F.col("stated") >= 2) & (F.col("stated").bitwiseAND(F.col("stated") - 1) == 0)
+        both = own.withColumn("own", F.lit(True)).join(manifest.select("slug", F.col("parts").alias("stated"), F.lit(True).alias("told")), "slug", "full_outer")
+        fan = {
+            "fanout_malformed": F.col("told").isNotNull() & ~F.coalesce(power, F.lit(False)), "fanout_of_no_domain": F.col("own").isNull(),
+            "fanout_differs": F.col("own").isNotNull() & (F.col("parts") != F.coalesce("stated", F.lit(1))),
+        }
+        names += list(fan)
+        out.append(_failing(both, fan, F.col("slug")))
     for c, table in (labels or {}).items():
         code = F.col(f"{c}_code")
-        out.append(_count(f"{c}_dangling", df.select(code.alias("code")).where("code is not null").join(table.select("code"), "code", "left_anti")))
-    if max_part_bytes is not None:
-        sizes = deep.groupBy("slug", "part").agg(F.sum("bytes").alias("bytes"))
-        out.append(_count("part_too_large", sizes.where(F.col("bytes") > max_part_bytes)))
-    return reduce(DataFrame.unionByName, out)
+        lost = df.select("id", code.alias("code")).where("code is not null").join(table.select("code"), "code", "left_anti")
+        names.append(f"{c}_dangling")
+        out.append(_failing(lost, {f"{c}_dangling": F.lit(True)}, F.col("id"), F.col("id")))
+    return _report(names, out, spark)
 
 
 def verify_artifacts(
     df: DataFrame, postings: DataFrame, terms: DataFrame, edges: DataFrame, snapshot: DataFrame | None = None, k: int = 8, ord_col: str = "ord",
     facets: DataFrame | None = None, exported: DataFrame | None = None,
 ) -> DataFrame:
-    """check, failures for the catalog order, the index, the edges, the newest snapshot, facet counts and exported postings.
+    """check, failures, detail for the catalog order, the index, the edges, the newest snapshot, facet counts and exported postings.
 
     ``facets`` (dimension, name, count) must equal a recount of single-valued columns and topics. ``exported`` (token,
     postings of (gap, code)) must have a row for each term, as many pairs as its df, and gaps that only go forward.
+    ``detail`` names the least positions, tokens, links (src-dst), facets (dimension/name) or keys that fail.
     """
+    out, names = [], []
+
+    def add(rows: DataFrame, checks: dict[str, Column], key: Column, number: Column | None = None) -> None:
+        names.extend(checks)
+        out.append(_failing(rows, checks, key, number))
+
     n = df.agg(F.count("*").alias("n"))
-    after = df.alias("a").join(df.select((F.col(ord_col) - 1).alias("o"), F.col("stars").alias("next")), F.col(f"a.{ord_col}") == F.col("o"))
-    out = [_count("order_not_by_stars", after.where("stars < next"))]
+    at = F.col(ord_col)
+    after = df.select(ord_col, "stars").join(df.select((at - 1).alias("o"), F.col("stars").alias("next")), at == F.col("o"))
+    add(after, {"order_not_by_stars": F.col("stars") < F.col("next")}, at, at)
     held = postings.groupBy("token").agg(F.count("*").alias("rows"))
-    out.append(_count("index_df_differs", terms.join(held, "token", "full_outer").where("not (df <=> rows)")))
+    add(terms.join(held, "token", "full_outer"), {"index_df_differs": ~F.col("df").eqNullSafe(F.col("rows"))}, F.col("token"))
     if exported is not None:
         ragged = F.exists("postings", lambda x: x["gap"].isNull() | x["code"].isNull() | (x["gap"] < 0))
         pairs = exported.select("token", F.size("postings").alias("k"), ragged.alias("ragged"))
         pairs = pairs.groupBy("token").agg(F.sum("k").alias("pairs"), F.max("ragged").alias("ragged"))
-        out.append(_count("postings_ragged", terms.join(pairs, "token", "full_outer").where("not (df <=> pairs) or ragged")))
-    out.append(_count("edge_to_itself", edges.where("src = dst")))
-    out.append(_count("edge_twice", edges.groupBy("src", "dst").count().where("count > 1")))
-    out.append(_count("edge_weight_out_of_range", edges.where("not (weight > 0 and weight <= 1)")))
-    degree = df.select(F.col(ord_col).alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("d")), "src", "left").crossJoin(F.broadcast(n))
-    out.append(_count("degree_differs", degree.where(F.coalesce("d", F.lit(0)) != F.least(F.lit(k), F.col("n") - 1))))
+        add(terms.join(pairs, "token", "full_outer"), {"postings_ragged": ~F.col("df").eqNullSafe(F.col("pairs")) | F.coalesce("ragged", F.lit(False))}, F.col("token"))
+    link = F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"))
+    weight = F.col("weight")
+    add(edges, {"edge_to_itself": F.col("src") == F.col("dst"), "edge_weight_out_of_range": ~F.coalesce((weight > 0) & (weight <= 1), F.lit(False))}, link, F.col("src"))
+    add(edges.groupBy("src", "dst").agg(F.count("*").alias("c")), {"edge_twice": F.col("c") > 1}, link, F.col("src"))
+    degree = df.select(at.alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("d")), "src", "left").crossJoin(F.broadcast(n))  # n: one row
+    add(degree, {"degree_differs": F.coalesce("d", F.lit(0)) != F.least(F.lit(k), F.col("n") - 1)}, F.col("src"), F.col("src"))
     if facets is not None:
         again = facet_counts(df, limits={}, ord_col=ord_col).where("dimension <> 'subsystem'").select("dimension", "name", F.col("count").alias("recount"))
         stated = facets.where("dimension <> 'subsystem'").select("dimension", "name", "count")
         # facets may be cut to the commonest names, so a name that they lack is no failure
-        out.append(_count("facet_differs", stated.join(again, ["dimension", "name"], "left").where("not (count <=> recount)")))
+        add(stated.join(again, ["dimension", "name"], "left"), {"facet_differs": ~F.col("count").eqNullSafe(F.col("recount"))}, F.concat_ws("/", "dimension", "name"))
     domains = {"activity_status": ("active", "idle", "archived"), "license_tier": ("permissive", "copyleft", "source-available", "unknown")}
-    for c, values in domains.items():
-        if c in df.columns:
-            out.append(_count(f"{c}_unknown", df.where(F.col(c).isNotNull() & ~F.col(c).isin(*values))))
+    known = {f"{c}_unknown": F.col(c).isNotNull() & ~F.col(c).isin(*values) for c, values in domains.items() if c in df.columns}
+    if known:
+        add(df, known, at, at)
     if snapshot is not None:
         both = df.select(F.lower("full_name").alias("k"), "stars").join(snapshot.select(F.lower("full_name").alias("k"), F.col("stars").alias("s")), "k", "full_outer")
-        out.append(_count("snapshot_differs", both.where("not (stars <=> s)")))
-    return reduce(DataFrame.unionByName, out)
+        add(both, {"snapshot_differs": ~F.col("stars").eqNullSafe(F.col("s"))}, F.col("k"))
+    return _report(names, out, df.sparkSession)
+
+
+def verify_topics(companions: DataFrame, min_count: int = 25, min_pair: int = 10, top: int = 10) -> DataFrame:
+    """check, failures, detail for a co-occurrence map (topic, count, other, pair_count, rank) as ``graph.cooccurrence`` makes it.
+
+    A link leads to a topic of the map, counts no more rows than the rarer of its topics, keeps the floors, ranks by falling
+    count and is there from both sides, unless the other side's ``top`` links are all as strong or stronger.
+    """
+    topics = companions.groupBy("topic").agg(F.max("count").alias("count"), F.count_if(F.col("other").isNotNull()).alias("links"), F.min("pair_count").alias("weakest"))
+    links = companions.where("other is not null").select("topic", "count", "other", "pair_count", "rank")
+    name = F.concat_ws(">", "topic", "other")
+    to = topics.select(F.col("topic").alias("other"), F.col("count").alias("other_count"), F.col("links").alias("other_links"), F.col("weakest").alias("other_weakest"))
+    back = links.select(F.col("topic").alias("other"), F.col("other").alias("topic"), F.col("pair_count").alias("back"))
+    both = links.join(to, "other", "left").join(back, ["topic", "other"], "left")
+    cut = (F.col("other_links") >= top) & (F.col("other_weakest") >= F.col("pair_count"))
+    checks = {
+        "topic_link_to_nothing": F.col("other_count").isNull(), "topic_link_above_topic": F.col("pair_count") > F.least("count", "other_count"), "topic_link_below_floor": F.col("pair_count") < min_pair,
+        "topic_link_one_sided": F.col("other_count").isNotNull() & F.col("back").isNull() & ~cut, "topic_link_differs": F.col("back") != F.col("pair_count"),
+    }
+    each = {"topic_below_floor": F.col("count") < min_count, "topic_links_too_many": F.col("links") > top}
+    after = links.select("topic", "other", "pair_count", "rank").join(links.select("topic", (F.col("rank") - 1).alias("rank"), F.col("pair_count").alias("next")), ["topic", "rank"])
+    order = {"topic_links_out_of_order": F.col("pair_count") < F.col("next")}
+    return _report([*checks, *each, *order], [_failing(both, checks, name), _failing(topics, each, F.col("topic")), _failing(after, order, name)], companions.sparkSession)
+
+
+def verify_blueprints(blueprints: DataFrame, roles: DataFrame, links: DataFrame, df: DataFrame, categories: tuple[str, ...], min_per_goal: int = 2) -> DataFrame:
+    """check, failures, detail for the references of a blueprint library into a catalog (key, subsystem).
+
+    blueprints: (blueprint_id, goal); roles: (blueprint_id, role, category, subsystem, seeds ARRAY); links: (blueprint_id, src, dst) between
+    role labels. Every seed, required subsystem and category exists (keys in lower case), every goal has ``min_per_goal``
+    blueprints or more, no id and no label inside a blueprint comes twice, and links join labels of their blueprint.
+    Seeds are looked up by an equi-join of the exploded arrays, so libraries and catalogs of any size can be held together.
+    """
+    role = F.concat_ws("/", "blueprint_id", "role")
+    seeds = roles.select("blueprint_id", "role", F.explode("seeds").alias("seed")).withColumn("key", F.lower("seed")).join(df.select("key").distinct(), "key", "left_anti")
+    wanted = roles.where(blank_to_null(F.col("subsystem")).isNotNull()).join(df.select("subsystem").distinct(), "subsystem", "left_anti")
+    labels = roles.select("blueprint_id", F.col("role").alias("label")).distinct()
+    lost = links.withColumn("label", F.explode(F.array("src", "dst"))).join(labels, ["blueprint_id", "label"], "left_anti")
+    always = F.lit(True)
+    parts = [
+        (seeds, {"seed_missing": always}, F.concat_ws("/", "blueprint_id", "role", "seed")),
+        (wanted, {"subsystem_unknown": always}, role),
+        (roles, {"category_unknown": ~F.coalesce(F.col("category").isin(*categories), F.lit(False))}, role),
+        (lost, {"link_to_no_role": always}, F.concat_ws("/", "blueprint_id", "label")),
+        (blueprints.groupBy("goal").agg(F.countDistinct("blueprint_id").alias("n")), {"goal_too_few": F.col("n") < min_per_goal}, F.col("goal")),
+        (blueprints.groupBy("blueprint_id").agg(F.count("*").alias("n")), {"blueprint_twice": F.col("n") > 1}, F.col("blueprint_id")),
+        (roles.groupBy("blueprint_id", "role").agg(F.count("*").alias("n")), {"role_twice": F.col("n") > 1}, role),
+    ]
+    return _report([c for _, checks, _ in parts for c in checks], [_failing(*p) for p in parts], df.sparkSession)
+
+
+def churn_check(report: DataFrame, max_churn_pct: float = 20.0) -> DataFrame:
+    """check, failures, detail: the changed rows of a churn report if their share is above the limit, else 0."""
+    pct = F.coalesce("pct", F.lit(0.0))
+    over = pct > max_churn_pct
+    return report.where("section = 'changed'").select(
+        F.lit("churn").alias("check"), F.when(over, F.col("n")).otherwise(0).cast("long").alias("failures"),
+        F.when(over, F.format_string("%.2f %% of %s labels changed; the limit is %.2f %%", pct, F.col("name"), F.lit(float(max_churn_pct)))).otherwise("").alias("detail"),
+    )
+
+
+def coverage_check(df: DataFrame, min_topics_pct: float = 0.0, min_stars: int = 0) -> DataFrame:
+    """check, failures, detail: the rows without topics if too few rows have any, else 0."""
+    under = F.col("pct") < min_topics_pct
+    return coverage(df, min_stars).select(
+        F.lit("topic_coverage").alias("check"), F.when(under, F.col("rows") - F.col("with_topics")).otherwise(0).cast("long").alias("failures"),
+        F.when(under, F.format_string("%.2f %% of rows have topics; the least is %.2f %%", F.col("pct"), F.lit(float(min_topics_pct)))).otherwise("").alias("detail"),
+    )
 
 
 def gate(report: DataFrame, max_churn_pct: float = 20.0, allow: bool = False) -> None:
@@ -166,6 +278,35 @@ def _halves(v: Column, lo: int, hi: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, hi - lo).bit_length())), F.array(whole), half)
 
 
+def _nodes(counts: DataFrame, lo: int, hi: int) -> DataFrame:
+    """v, level, lo, hi, n: every value with each range that holds it."""
+    path = counts.select("v", "n", F.posexplode(_halves(F.col("v"), lo, hi)).alias("level", "at"))
+    return path.select("v", "level", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "n")
+
+
+def _edge(rows: Column) -> Column:
+    """Where a value of too many rows is cut on the second column."""
+    return F.greatest(F.lit(1000), F.floor(rows / 900) * 2).cast("long")
+
+
+def _upper(second: Column, edge: Column) -> Column:
+    """Whether a row lies above the edge; a row without a second value lies below."""
+    return F.coalesce(second > edge, F.lit(False))
+
+
+def _cut(values: DataFrame, lo: int, hi: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The ranges (level, lo, hi, rows) of all values ``v`` with ``n`` rows each that are no longer halved, and the values' paths to them."""
+    path = _nodes(values, lo, hi)
+    nodes = settled(path.groupBy("level", "lo", "hi").agg(F.sum("n").alias("rows")), "windows")
+    # halves of ranges that don't fit; the first range is half of nothing
+    split = nodes.where((F.col("rows") > cap) & (F.col("lo") < F.col("hi")))
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long")
+    halves = split.select((F.col("level") + 1).alias("level"), F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))).alias("h"))
+    halves = halves.select("level", "h.lo", "h.hi")
+    ends = nodes.where("level = 0").unionByName(nodes.join(halves, ["level", "lo", "hi"]).select(*nodes.columns))
+    return ends.where((F.col("rows") <= cap) | (F.col("lo") == F.col("hi"))), path
+
+
 def plan_windows(df: DataFrame, col: str, second_col: str, lo: int, hi: int, cap: int = 1000) -> DataFrame:
     """lo, hi, second_lo, second_hi, rows, truncated: ranges of two columns that hold at most ``cap`` rows each.
 
@@ -174,24 +315,45 @@ def plan_windows(df: DataFrame, col: str, second_col: str, lo: int, hi: int, cap
     if it fits and the one that it is half of doesn't; a single value that doesn't fit is halved once on the second column.
     """
     counts = df.where(F.col(col).between(lo, hi)).groupBy(F.col(col).cast("long").alias("v")).agg(F.count("*").alias("n"))
-    path = counts.select("n", F.posexplode(_halves(F.col("v"), lo, hi)).alias("level", "at"))
-    nodes = path.select("level", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "n").groupBy("level", "lo", "hi").agg(F.sum("n").alias("rows"))
-    nodes = settled(nodes, "windows")
-    # halves of ranges that don't fit; the first range is half of nothing
-    split = nodes.where((F.col("rows") > cap) & (F.col("lo") < F.col("hi")))
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long")
-    halves = split.select((F.col("level") + 1).alias("level"), F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))).alias("h"))
-    halves = halves.select("level", "h.lo", "h.hi")
-    windows = nodes.where("level = 0").unionByName(nodes.join(halves, ["level", "lo", "hi"]).select(*nodes.columns)).drop("level")
+    ends, _ = _cut(counts, lo, hi, cap)
     no = F.lit(None).cast("long")
-    fits = windows.where(F.col("rows") <= cap).select("lo", "hi", no.alias("second_lo"), no.alias("second_hi"), "rows", F.lit(False).alias("truncated"))
+    fits = ends.where(F.col("rows") <= cap).select("lo", "hi", no.alias("second_lo"), no.alias("second_hi"), "rows", F.lit(False).alias("truncated"))
     # a single value that is still too large: once on the second column
-    atoms = windows.where((F.col("rows") > cap) & (F.col("lo") == F.col("hi"))).select(F.col("lo").alias("v"), F.greatest(F.lit(1000), F.floor(F.col("rows") / 900) * 2).alias("edge"))
+    atoms = ends.where(F.col("rows") > cap).select(F.col("lo").alias("v"), _edge(F.col("rows")).alias("edge"))
     second = df.select(F.col(col).cast("long").alias("v"), F.col(second_col).cast("long").alias("w")).join(atoms, "v")
-    upper = F.col("w") > F.col("edge")
-    second = second.groupBy("v", "edge", upper.alias("upper")).agg(F.count("*").alias("rows"))
+    second = second.groupBy("v", "edge", _upper(F.col("w"), F.col("edge")).alias("upper")).agg(F.count("*").alias("rows"))
     cut = second.select(
         F.col("v").alias("lo"), F.col("v").alias("hi"), F.when(F.col("upper"), F.col("edge") + 1).otherwise(F.lit(0)).cast("long").alias("second_lo"),
         F.when(~F.col("upper"), F.col("edge")).cast("long").alias("second_hi"), "rows", (F.col("rows") > cap).alias("truncated"),
     )
     return fits.unionByName(cut)
+
+
+def numbered_windows(windows: DataFrame) -> DataFrame:
+    """The windows with ``window``, their number from 0 by falling lo and, of one value, falling second_lo."""
+    return global_ordinal(windows, F.col("lo").desc(), F.col("second_lo").desc(), name="window")
+
+
+def by_window(df: DataFrame, col: str, second_col: str, lo: int, hi: int, cap: int = 1000, windows: DataFrame | None = None) -> DataFrame:
+    """The rows with ``window``, the number of the window that holds them (null outside lo to hi), dealt out by window.
+
+    ``windows`` are those of ``numbered_windows`` for the same table and limits; they are planned here where none are given. A
+    range join as an equality: each distinct value knows the ranges that hold it and meets its window by lo and hi, then the
+    rows meet their value; a value that was cut on the second column has two windows, told apart by the side of the edge.
+    All rows of a window lie in one partition, at most ``cap`` but for truncated windows; rows outside are spread.
+    """
+    values = df.where(F.col(col).between(lo, hi)).groupBy(F.col(col).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    if windows is None:
+        windows = numbered_windows(plan_windows(df, col, second_col, lo, hi, cap))
+    windows = settled(windows.select("window", "lo", "hi", "second_lo", "second_hi"), "numbered")
+    whole = windows.where("second_lo is null and second_hi is null").select("lo", "hi", "window")
+    of_value = _nodes(values, lo, hi).select("v", "lo", "hi").join(whole, ["lo", "hi"]).select(F.col("v").alias("__v"), F.col("window").alias("__whole"))
+    sides = windows.where("second_lo is not null").groupBy(F.col("lo").alias("__v")).agg(
+        F.max(F.when(F.col("second_lo") == 0, F.col("window"))).alias("__lower"), F.max(F.when(F.col("second_lo") > 0, F.col("window"))).alias("__upper"),
+        F.max(F.coalesce(F.col("second_hi"), F.col("second_lo") - 1)).alias("__edge"),
+    )
+    found = of_value.join(sides, "__v", "full_outer")
+    out = df.join(found, F.col(col).cast("long") == F.col("__v"), "left")
+    side = F.when(_upper(F.col(second_col).cast("long"), F.col("__edge")), F.col("__upper")).otherwise(F.col("__lower"))
+    out = out.withColumn("window", F.coalesce("__whole", side)).drop("__v", "__whole", "__lower", "__upper", "__edge")
+    return out.repartition("window", F.when(F.col("window").isNull(), F.pmod(F.hash(*df.columns), F.lit(1024))))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import classify, facets, graph, merge, quality, recommend, score, search, sql, trend
 from ..sources import catalog as files
-from ..sources.shared import settled
+from ..sources import raw
+from ..sources.shared import settled, shared_path
 from .queries_core import _PARTS, RULES, C, _domain_sql, cat
 from .registry import register
 from .views import oracle, table, view
 
+#: The least five keys of a failing check, in SQL: rows (k, num, key).
+_REPORT = """, g AS (SELECT k, count(*) AS failures, array_to_string((list(coalesce(key, 'null') ORDER BY num, key NULLS LAST))[1:5], ', ') AS detail FROM fa GROUP BY k)
+    SELECT k AS "check", coalesce(failures, 0) AS failures, coalesce(detail, '') AS detail FROM nm LEFT JOIN g USING (k)"""
+
 # Merges.
 
 
@@ -88,6 +95,60 @@ def looked_up(spark, d):
 
 register("op_57_lookup_details", looked_up, oracle("SELECT CASE WHEN id % 2 = 0 THEN upper(full_name) ELSE name END AS wanted, id, CASE WHEN id % 3 = 0 THEN description END AS detail FROM C WHERE id % 50 = 7"))
 register("op_64_merge_counts", lambda s, d: merge.merge_counts(merged(s, d)), oracle(_MERGED + " SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'refreshed') AS refreshed, count(*) AS final FROM u", "K", "H"))
+
+
+def looked_up_in_parts(spark, d):
+    """The same names looked up in details that lie by slug and part, with the defaults of rows that lack something."""
+    c = C(spark, d).withColumns({"url": F.concat(F.lit("https://host/"), "full_name"), "hook": F.when(F.col("id") % 4 != 1, F.col("name"))})
+    details = c.where("id % 3 <> 1").select("id", "domain", F.when(F.col("id") % 5 == 0, " ").otherwise(F.concat(F.lit("run "), "name")).alias("quickstart_code"), F.when(
+        F.col("id") % 2 == 0, classify.context_card(F.col("domain"), F.col("subsystem"), F.col("language"))).alias("beginner_intel"))
+    path = shared_path(spark, "details")
+    files.write_details(details, path, 20)
+    stored = spark.read.schema(details.schema.add("slug", "string").add("part", "long")).parquet(path)
+    names = c.where("id % 50 = 7").select(F.when(F.col("id") % 2 == 0, F.upper("full_name")).otherwise(F.col("name")).alias("name")).unionByName(c.where("id % 50 = 8").select(F.concat("full_name", F.lit("-x")).alias("name")))
+    out = merge.lookup_details(c.select("id", "key", "name", "full_name", "stars", "domain", "subsystem", "hook", "description", "url"), stored, names, files.parts_by_slug(details, 20))
+    return out.select("wanted", "id", "quickstart_code", "beginner_intel.what_it_does", "beginner_intel.when_to_use", F.array_join("beginner_intel.alternatives", "|").alias("alternatives"))
+
+
+register("op_57_lookup_in_parts", looked_up_in_parts, oracle(
+    """SELECT CASE WHEN id % 2 = 0 THEN upper(full_name) ELSE name END AS wanted, id, CASE WHEN id % 3 <> 1 AND id % 5 <> 0 THEN concat('run ', name) ELSE concat('git clone https://host/', full_name, '.git') END AS quickstart_code,
+    CASE WHEN id % 3 <> 1 AND id % 2 = 0 THEN concat('A foundational ', language, ' project in the ', domain, ' ecosystem specialized for ', subsystem, '.') WHEN id % 4 <> 1 THEN name ELSE description END AS what_it_does,
+    CASE WHEN id % 3 <> 1 AND id % 2 = 0 THEN concat('Use when your application demands reliable, high-performance ', lower(subsystem), ' with active community support.') ELSE concat('Best suited for production applications requiring high performance in ', subsystem, '.') END AS when_to_use,
+    CASE WHEN id % 3 <> 1 AND id % 2 = 0 THEN 'Standard library solutions|Cloud managed services|Alternative open source engines' ELSE 'Standard libraries|Cloud services|Alternative open source engines' END AS alternatives
+    FROM C WHERE id % 50 = 7"""))
+
+
+def merge_written(spark, d):
+    """The counters of a merge of JSON lines and a patch that is written once, and of what it wrote."""
+    base = C(spark, d).where("id % 10 <> 0").select(
+        "key", "id", "owner", "name", "full_name", "stars", "forks", F.when(F.col("id") % 4 != 1, F.col("description")).otherwise("").alias("description"), "language", "domain", "subsystem",
+        F.when(F.col("id") % 8 != 1, F.col("name")).otherwise("").alias("hook"))
+    h = C(spark, d).where("id % 7 <> 0")
+    rec = F.to_json(F.struct("id", "name", F.when(F.col("id") % 49 == 3, "").otherwise(F.col("owner")).alias("owner"), (F.col("stars") + F.col("id") % 5).alias("stars"), "forks", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("description")).alias("description"), "language"))
+    lines = h.select(F.when(F.col("id") % 50 == 4, F.substring(rec, 1, 10)).otherwise(rec).alias("value"))
+    lines = lines.unionByName(h.where("id % 20 = 5").select(rec.alias("value")))
+    path = shared_path(spark, "merged")
+    found = merge.write_merged(base, raw.parse_lines(lines), path, merge.reconcile_patch(view(spark, d, "K"), view(spark, d, "H"), _lookups(spark, d), 100))
+    out = spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("stars").alias("stars"), F.countDistinct("key").alias("keys"), F.sum(F.length("hook")).alias("hooks"))
+    return found.unionByName(out.select(F.inline(F.array(*[F.struct(F.lit(f"written_{k}").alias("counter"), F.col(k).alias("n")) for k in ("n", "stars", "keys", "hooks")]))))
+
+
+register("op_64_merge_written", merge_written, oracle(
+    _LOOK + """, b AS (SELECT *, CASE WHEN id % 4 <> 1 THEN description ELSE '' END AS de, CASE WHEN id % 8 <> 1 THEN name ELSE '' END AS ho FROM C WHERE id % 10 <> 0),
+    l AS (SELECT *, id % 50 = 4 AS bad, id % 49 = 3 AS inc FROM C WHERE id % 7 <> 0), g AS (SELECT *, CASE WHEN id % 20 = 5 THEN 2 ELSE 1 END AS reps FROM l WHERE NOT inc AND (NOT bad OR id % 20 = 5)),
+    u AS (SELECT coalesce(b.key, g.key) AS key, coalesce(b.id, g.id) AS id, g.key IS NOT NULL AS hit, b.key IS NULL AS new, CASE WHEN g.key IS NULL THEN b.stars ELSE g.stars + g.id % 5 END AS stars, coalesce(g.reps, 0) AS reps,
+      CASE WHEN g.key IS NULL THEN b.de WHEN g.id % 3 = 0 THEN '' ELSE g.description END AS de, CASE WHEN g.key IS NULL THEN b.ho WHEN g.id % 3 = 0 THEN '' ELSE substr(g.description, 1, 90) END AS ho,
+      CASE WHEN b.key IS NULL THEN NULL ELSE b.domain END AS domain, CASE WHEN b.key IS NULL THEN NULL ELSE b.subsystem END AS subsystem, coalesce(g.language, b.language) AS language FROM b FULL JOIN g ON b.key = g.key),
+    w AS (SELECT u.*, q.action, q.current, q.stars AS new_stars, coalesce(q.action = 'update' AND q.current <> u.key, false) AS moves FROM u LEFT JOIN q ON u.key = q.key),
+    kk AS (SELECT *, CASE WHEN action = 'drop' THEN 'drop' WHEN moves AND (current IN (SELECT key FROM w WHERE action IS DISTINCT FROM 'drop') OR row_number() OVER (PARTITION BY moves, current ORDER BY key) > 1) THEN 'collision' WHEN action = 'update' THEN 'update' ELSE 'keep' END AS fate FROM w),
+    o AS (SELECT *, trim(ho) = '' AND trim(de) = '' AS made FROM kk WHERE fate IN ('keep', 'update')), cc(counter, n) AS (
+    SELECT 'bad_lines', count(*) FILTER (bad) FROM l UNION ALL SELECT 'incomplete', count(*) FILTER (inc AND NOT bad) + count(*) FILTER (inc AND id % 20 = 5) FROM l UNION ALL SELECT 'new', count(*) FILTER (new) FROM u
+    UNION ALL SELECT 'refreshed', sum(CASE WHEN bad_one THEN reps - 1 ELSE reps END) - count(*) FILTER (new) FROM (SELECT u.*, coalesce(id % 50 = 4, false) AND hit AS bad_one FROM u) z
+    UNION ALL SELECT 'dropped', count(*) FILTER (fate = 'drop') FROM kk UNION ALL SELECT 'updated', count(*) FILTER (fate = 'update') FROM kk UNION ALL SELECT 'collisions', count(*) FILTER (fate = 'collision') FROM kk
+    UNION ALL SELECT 'hook_synthesized', count(*) FILTER (made) FROM o UNION ALL SELECT 'final', count(*) FROM o UNION ALL SELECT 'written_n', count(*) FROM o UNION ALL SELECT 'written_stars', sum(coalesce(new_stars, stars)) FROM o
+    UNION ALL SELECT 'written_keys', count(DISTINCT CASE WHEN fate = 'update' THEN current ELSE key END) FROM o
+    UNION ALL SELECT 'written_hooks', sum(length(CASE WHEN made THEN concat('A foundational ', language, ' project in the ', coalesce(domain, 'General'), ' ecosystem specialized for ', coalesce(subsystem, 'General Components'), '.') ELSE ho END)) FROM o)
+    SELECT counter, CAST(n AS BIGINT) AS n FROM cc""", "K", "H"))
 register("op_91_union_by_key", lambda s, d: merge.latest(view(s, d, "K").select("key", "stars").unionByName(view(s, d, "H").select("key", "stars")), "stars").select("key", "stars"),
          oracle("SELECT key, max(stars) AS stars FROM (SELECT key, stars FROM K UNION ALL SELECT key, stars FROM H) x GROUP BY key", "K", "H"))
 register("op_92_key_parity", lambda s, d: merge.id_parity(view(s, d, "K"), view(s, d, "H"), "key"), oracle(
@@ -341,6 +402,46 @@ register("op_83_complete_blueprints", blueprints, oracle(
   e2 AS (SELECT *, xor((t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296, t) AS u FROM e1), e3 AS (SELECT *, CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0 AS v FROM e2)
   SELECT owner AS request, blueprint_id, pos, role, CASE WHEN c IS NULL THEN 'missing' WHEN tier = 1 THEN 'seed' WHEN tier = 2 THEN 'subsystem' ELSE 'category' END AS via, c[1 + CAST(floor(v * len(c)) AS INT)] AS id FROM e3"""))
 
+
+def topic_view(spark, d):
+    """The topic map over five kinds of tags, more topics than the view has places for."""
+    c = C(spark, d)
+    tags = c.select("id", F.explode(F.array("t1", "t2", F.lower("owner"), F.lower("domain"), F.lower("subsystem"), F.concat(F.lit("size-"), F.col("forks") % 12))).alias("topic"))
+    return graph.topic_map(graph.cooccurrence(tags, min_count=5, min_pair=2))
+
+
+register("op_79_topic_map", topic_view, oracle(
+    """, tg AS (SELECT DISTINCT id, unnest([t1, t2, lower(owner), lower(domain), lower(subsystem), concat('size-', forks % 12)]) AS t FROM C), ct AS (SELECT t, count(*) AS n FROM tg GROUP BY t HAVING count(*) >= 5),
+    pr AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM tg a JOIN tg b ON a.id = b.id AND a.t <> b.t WHERE a.t IN (SELECT t FROM ct) AND b.t IN (SELECT t FROM ct) GROUP BY ALL HAVING count(*) >= 2),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pr), sp AS (SELECT t, n, row_number() OVER (ORDER BY n DESC, t) AS place FROM ct ORDER BY n DESC, t LIMIT 48),
+    li AS (SELECT a, b, rk.n, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY x.place) AS k FROM rk JOIN sp x ON x.t = a JOIN sp y ON y.t = b WHERE r <= 5)
+    SELECT CAST(place AS INT) AS place, sp.t AS topic, sp.n AS count, li.b AS other, li.n AS pair_count FROM sp LEFT JOIN li ON li.a = sp.t AND k = 1"""))
+
+
+def linked_topics(spark, d):
+    """The gate of topic maps on one with planted faults of every kind."""
+    m = settled(graph.cooccurrence(view(spark, d, "T"), min_count=5, min_pair=2, top=5), "topics")
+    a = F.col("topic")
+    links = m.withColumns({"pair_count": F.when((a == "ring") & (F.col("rank") == 1), F.col("count") + 9).when((a == "gear") & (F.col("rank") == 5), 1).otherwise(F.col("pair_count")), "other": F.when((a == "bolt") & (F.col("rank") == 2), "nowhere").otherwise(F.col("other"))})
+    links = links.where("not (topic = 'red' and rank = 3)")
+    links = links.unionByName(links.where("topic = 'blue'").withColumn("rank", F.col("rank") + 5)).unionByName(m.where("topic = 'ring' and rank = 1").select(F.lit("rare").alias("topic"), F.lit(1).cast("long").alias("count"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("pair_count"), F.lit(None).cast("int").alias("rank")))
+    return links
+
+
+register("op_96_topic_links", lambda s, d: quality.verify_topics(linked_topics(s, d), 5, 2, 5), oracle(
+    """, ct AS (SELECT topic AS t, count(*) AS n FROM T GROUP BY 1 HAVING count(*) >= 5),
+    pr AS (SELECT a.topic AS a, b.topic AS b, count(*) AS n FROM T a JOIN T b ON a.id = b.id AND a.topic <> b.topic WHERE a.topic IN (SELECT t FROM ct) AND b.topic IN (SELECT t FROM ct) GROUP BY ALL HAVING count(*) >= 2),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pr), l0 AS (SELECT a AS topic, ct.n AS cnt, CASE WHEN a = 'bolt' AND r = 2 THEN 'nowhere' ELSE b END AS other, CASE WHEN a = 'ring' AND r = 1 THEN ct.n + 9 WHEN a = 'gear' AND r = 5 THEN 1 ELSE rk.n END AS pn, r
+      FROM rk JOIN ct ON t = a WHERE r <= 5 AND NOT (a = 'red' AND r = 3)), lk AS (SELECT * FROM l0 UNION ALL SELECT topic, cnt, other, pn, r + 5 FROM l0 WHERE topic = 'blue'),
+    tp AS (SELECT t AS topic, n AS cnt, (SELECT count(*) FROM lk WHERE lk.topic = t) AS links, (SELECT min(pn) FROM lk WHERE lk.topic = t) AS weakest FROM ct WHERE t IN (SELECT a FROM rk) UNION ALL SELECT 'rare', 1, 0, NULL WHERE EXISTS (FROM rk WHERE a = 'ring')),
+    bo AS (SELECT lk.*, tp.cnt AS oc, tp.links AS ol, tp.weakest AS ow, bk.pn AS back FROM lk LEFT JOIN tp ON tp.topic = lk.other LEFT JOIN lk bk ON bk.topic = lk.other AND bk.other = lk.topic),
+    nm(k) AS (VALUES ('topic_link_to_nothing'), ('topic_link_above_topic'), ('topic_link_below_floor'), ('topic_link_one_sided'), ('topic_link_differs'), ('topic_below_floor'), ('topic_links_too_many'), ('topic_links_out_of_order')),
+    fa(k, num, key) AS (SELECT 'topic_link_to_nothing', 0, concat(topic, '>', other) FROM bo WHERE oc IS NULL UNION ALL SELECT 'topic_link_above_topic', 0, concat(topic, '>', other) FROM bo WHERE pn > least(cnt, oc)
+      UNION ALL SELECT 'topic_link_below_floor', 0, concat(topic, '>', other) FROM bo WHERE pn < 2 UNION ALL SELECT 'topic_link_one_sided', 0, concat(topic, '>', other) FROM bo WHERE oc IS NOT NULL AND back IS NULL AND NOT (ol >= 5 AND ow >= pn)
+      UNION ALL SELECT 'topic_link_differs', 0, concat(topic, '>', other) FROM bo WHERE back <> pn UNION ALL SELECT 'topic_below_floor', 0, topic FROM tp WHERE cnt < 5 UNION ALL SELECT 'topic_links_too_many', 0, topic FROM tp WHERE links > 5
+      UNION ALL SELECT 'topic_links_out_of_order', 0, concat(x.topic, '>', x.other) FROM lk x JOIN lk y ON y.topic = x.topic AND y.r = x.r + 1 WHERE x.pn < y.pn)""" + _REPORT, "T"))
+
+
 # Reclassification, gates, scans, windows and SQL.
 
 
@@ -400,47 +501,119 @@ register("op_95_coverage_gate", covered, oracle(""", x AS (SELECT count(*) AS ro
 register("op_95_churn_gate", gated, oracle(_CHURN + " SELECT n, pct <= 10 AS at_10, pct <= 50 AS at_50 FROM rp WHERE section = 'changed'"))
 
 
+def checked(spark, d):
+    """Both gates as checks, at limits that they pass and that they fail."""
+    report = settled(classify.churn_report(_churned(spark, d)), "churn")
+    c = cat(spark, d).withColumn("topics", F.when(F.col("id") % 4 != 0, F.col("topics")))
+    parts = [quality.churn_check(report, 10.0), quality.churn_check(report, 50.0), quality.coverage_check(c, 90.0, 400), quality.coverage_check(c, 50.0, 400)]
+    return functools.reduce(DataFrame.unionByName, [p.withColumn("at", F.lit(k)) for k, p in enumerate(parts)])
+
+
+register("op_95_checks", checked, oracle(_CHURN + """, ch AS (SELECT n, pct FROM rp WHERE section = 'changed'), cv AS (SELECT count(*) AS n, count(*) FILTER (id % 4 <> 0) AS w FROM C WHERE stars >= 400)
+  SELECT 'churn' AS "check", n AS failures, format('{:.2f} % of domain labels changed; the limit is 10.00 %', pct) AS detail, 0 AS at FROM ch UNION ALL SELECT 'churn', 0, '', 1 FROM ch
+  UNION ALL SELECT 'topic_coverage', n - w, format('{:.2f} % of rows have topics; the least is 90.00 %', 100.0 * w / greatest(n, 1)), 2 FROM cv UNION ALL SELECT 'topic_coverage', 0, '', 3 FROM cv"""))
+
+
 def verified(spark, d):
     """A catalog with planted faults of every kind that the gate looks for."""
-    c = C(spark, d).withColumn("hook", F.when(F.col("id") % 40 == 0, F.repeat("description", 9)).otherwise(F.col("description"))).withColumn("domain_margin", F.when(F.col("id") % 90 == 1, 11).otherwise(3)).withColumn("owner", F.when(F.col("id") % 70 == 2, "").otherwise(F.col("owner")))
-    c = c.withColumn("topics", F.when(F.col("id") % 50 == 3, F.array("t1", F.lit(None).cast("string"))).when(F.col("id") % 110 != 7, F.array("t1", "t2")))
-    codes = files.label_codes(c.withColumn("ord", F.col("id")), "language")
-    c = settled(c.join(codes.select(F.col("label").alias("language"), F.col("code").alias("language_code")), "language", "left"), "catalog")
+    i = F.col("id")
+    c = C(spark, d).withColumns({
+        "hook": F.when(i % 40 == 0, F.repeat("description", 9)).otherwise(F.col("description")), "domain_margin": F.when(i % 90 == 1, 11).otherwise(3), "owner": F.when(i % 70 == 2, "").otherwise(F.col("owner")),
+        "topics": F.when(i % 50 == 3, F.array("t1", F.lit(None).cast("string"))).when(i % 110 != 7, F.array("t1", "t2")), "subsystem": F.when(i % 80 == 8, " ").otherwise(F.col("subsystem")),
+        "artifact": F.when(i % 75 != 9, F.col("artifact")),
+    })
+    codes = files.label_codes(c.withColumn("ord", i), "language")
+    c = c.join(codes.select(F.col("label").alias("language"), F.col("code").alias("language_code")), "language", "left")
+    # the faults of ids, domains and languages go on top of what the codes and parts were made from
+    c = settled(c.withColumn("language", F.when(i % 85 != 10, F.col("language"))), "catalog")
     own = files.parts_by_slug(c, 100)
-    details = files.part_number(c, own).select("id", "slug", F.when(F.col("id") % 60 == 5, F.col("part") + 1).otherwise(F.col("part")).alias("part"), F.octet_length("description").alias("bytes")).where("id % 33 <> 4")
+    details = files.part_number(c, own).select("id", "slug", F.when(i % 60 == 5, F.col("part") + 1).otherwise(F.col("part")).alias("part"), F.octet_length("description").alias("bytes")).where("id % 33 <> 4")
+    details = details.unionByName(details.where("id % 65 = 11").withColumn("id", i + 3_000_000))
     stated = own.select("slug", F.when(F.col("slug") == "domain-3", 3).otherwise(F.col("parts")).cast("long").alias("parts")).where("parts >= 2")
     stated = stated.unionByName(own.where("slug = 'domain-1'").select(F.lit("no-such").alias("slug"), F.lit(4).cast("long").alias("parts")))
-    return quality.verify(c, details, c.where("id % 44 <> 6").select("id"), 300, 100_000, 100, stated, {"language": codes.where("code <> 2")}, 2000)
+    flat = c.where("id % 44 <> 6").select("id").unionByName(c.where("id % 55 = 12").select((i + 2_000_000).alias("id")))
+    c = c.unionByName(c.where("id % 95 = 13")).unionByName(c.where("id % 105 = 14").withColumn("id", -i)).withColumn("domain", F.when(~((i > 0) & (i % 120 == 15)), F.col("domain")))
+    return quality.verify(c, details, flat, 300, 100_000, 100, stated, {"language": codes.where("code <> 2")}, 2000)
 
 
 register("op_94_catalog_verify", verified, oracle(
-    _PARTS + """, x AS (SELECT id, lower(domain) AS slug, language, description FROM C), st AS (SELECT slug, CASE WHEN slug = 'domain-3' THEN 3 ELSE parts END AS parts FROM p WHERE parts >= 2 OR slug = 'domain-3' UNION ALL SELECT 'no-such', 4 FROM p WHERE slug = 'domain-1'),
-    rt AS (SELECT x.id, x.slug, x.id % coalesce(st.parts, 1) AS part FROM x LEFT JOIN st USING (slug)), dt AS (SELECT x.id, x.slug, x.id % p.parts + CASE WHEN x.id % 60 = 5 THEN 1 ELSE 0 END AS part, length(description) AS bytes FROM x JOIN p USING (slug) WHERE x.id % 33 <> 4),
-    pl AS (SELECT DISTINCT slug, part FROM rt), th AS (SELECT DISTINCT slug, part FROM dt), co AS (SELECT language, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM C GROUP BY 1),
-    v(k, n) AS (VALUES ('id_out_of_range', (SELECT count(*) FROM C WHERE id <= 0)), ('missing_owner_or_name', (SELECT count(*) FROM C WHERE id % 70 = 2)), ('below_floor', (SELECT count(*) FROM C WHERE stars < 300)), ('hook_too_long', (SELECT count(*) FROM C WHERE id % 40 = 0 AND length(description) * 9 > 90)),
-    ('margin_out_of_range', (SELECT count(*) FROM C WHERE id % 90 = 1)), ('missing_domain', 0), ('missing_subsystem', 0), ('missing_language', 0), ('missing_artifact', 0), ('too_few_rows', 1), ('duplicate_id', 0), ('flat_missing', (SELECT count(*) FROM C WHERE id % 44 = 6)), ('flat_stray', 0),
-    ('malformed_topics', (SELECT count(*) FROM C WHERE id % 50 = 3 OR id % 110 = 7)), ('part_missing', (SELECT count(*) FROM pl ANTI JOIN th USING (slug, part))), ('part_orphan', (SELECT count(*) FROM th ANTI JOIN pl USING (slug, part))),
-    ('fanout_malformed', (SELECT count(*) FROM st WHERE parts = 3)), ('fanout_of_no_domain', (SELECT count(*) FROM st WHERE slug = 'no-such')), ('fanout_differs', (SELECT count(*) FROM p LEFT JOIN st USING (slug) WHERE p.parts <> coalesce(st.parts, 1))), ('language_dangling', (SELECT count(*) FROM C JOIN co USING (language) WHERE code = 2)),
-    ('part_too_large', (SELECT count(*) FROM (SELECT sum(bytes) AS b FROM dt GROUP BY slug, part) z WHERE b > 2000)),
-    ('details_missing', (SELECT count(*) FROM C WHERE id % 33 = 4)), ('details_stray', 0), ('details_misplaced', (SELECT count(*) FROM dt JOIN rt USING (id) WHERE dt.slug <> rt.slug OR dt.part <> rt.part))) SELECT k AS "check", n AS failures FROM v""", "C"))
+    """, c0 AS (SELECT id, lower(domain) AS slug, domain, language, description, stars FROM C), p AS (SELECT slug, count(*) AS rows, CAST(power(2, CASE WHEN (count(*) - 1) // 100 = 0 THEN 0 ELSE length(bin((count(*) - 1) // 100)) END) AS BIGINT) AS parts FROM c0 GROUP BY 1),
+    st AS (SELECT slug, CASE WHEN slug = 'domain-3' THEN 3 ELSE parts END AS parts FROM p WHERE parts >= 2 OR slug = 'domain-3' UNION ALL SELECT 'no-such', 4 FROM p WHERE slug = 'domain-1'),
+    x AS (SELECT id, id AS base, CASE WHEN id % 120 <> 15 THEN slug END AS slug, language, description, stars FROM c0 UNION ALL SELECT id, id, CASE WHEN id % 120 <> 15 THEN slug END, language, description, stars FROM c0 WHERE id % 95 = 13
+      UNION ALL SELECT -id, id, slug, language, description, stars FROM c0 WHERE id % 105 = 14),
+    ow AS (SELECT s AS slug, CAST(power(2, CASE WHEN (count(*) - 1) // 100 = 0 THEN 0 ELSE length(bin((count(*) - 1) // 100)) END) AS BIGINT) AS parts FROM (SELECT coalesce(slug, 'other-general') AS s FROM x) z GROUP BY 1),
+    rt AS (SELECT x.id, coalesce(x.slug, 'other-general') AS slug, ((x.id % coalesce(st.parts, 1)) + coalesce(st.parts, 1)) % coalesce(st.parts, 1) AS part FROM x LEFT JOIN st ON st.slug = coalesce(x.slug, 'other-general')),
+    d0 AS (SELECT c0.id, c0.slug, c0.id % p.parts + CASE WHEN c0.id % 60 = 5 THEN 1 ELSE 0 END AS part, length(description) AS bytes FROM c0 JOIN p USING (slug) WHERE c0.id % 33 <> 4),
+    dt AS (SELECT * FROM d0 UNION ALL SELECT id + 3000000, slug, part, bytes FROM d0 WHERE id % 65 = 11), fl AS (SELECT id FROM C WHERE id % 44 <> 6 UNION ALL SELECT id + 2000000 FROM C WHERE id % 55 = 12),
+    pl AS (SELECT DISTINCT slug, part FROM rt), th AS (SELECT slug, part, sum(bytes) AS bytes FROM dt GROUP BY ALL), co AS (SELECT language, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM C GROUP BY 1),
+    nm(k) AS (VALUES ('id_out_of_range'), ('missing_owner_or_name'), ('below_floor'), ('hook_too_long'), ('margin_out_of_range'), ('missing_domain'), ('missing_subsystem'), ('missing_language'), ('missing_artifact'), ('malformed_topics'), ('too_few_rows'), ('duplicate_id'),
+      ('flat_missing'), ('flat_stray'), ('details_missing'), ('details_stray'), ('details_misplaced'), ('part_missing'), ('part_orphan'), ('part_too_large'), ('fanout_malformed'), ('fanout_of_no_domain'), ('fanout_differs'), ('language_dangling')),
+    rw AS (SELECT id, unnest(list_filter([CASE WHEN id <= 0 THEN 'id_out_of_range' END, CASE WHEN base % 70 = 2 THEN 'missing_owner_or_name' END, CASE WHEN stars < 300 THEN 'below_floor' END, CASE WHEN base % 40 = 0 AND length(description) * 9 > 90 THEN 'hook_too_long' END,
+      CASE WHEN base % 90 = 1 THEN 'margin_out_of_range' END, CASE WHEN slug IS NULL THEN 'missing_domain' END, CASE WHEN base % 80 = 8 THEN 'missing_subsystem' END, CASE WHEN base % 85 = 10 THEN 'missing_language' END, CASE WHEN base % 75 = 9 THEN 'missing_artifact' END,
+      CASE WHEN base % 50 = 3 OR base % 110 = 7 THEN 'malformed_topics' END], lambda v: v IS NOT NULL)) AS k FROM x),
+    ids AS (SELECT id, count(*) FILTER (s = 'c') AS c, count(*) FILTER (s = 'f') AS f, count(*) FILTER (s = 'd') AS d FROM (SELECT id, 'c' AS s FROM x UNION ALL SELECT id, 'f' FROM fl UNION ALL SELECT id, 'd' FROM dt) u GROUP BY id),
+    fa(k, num, key) AS (SELECT k, id, CAST(id AS VARCHAR) FROM rw UNION ALL SELECT 'too_few_rows', 0, CAST(count(*) AS VARCHAR) FROM x UNION ALL SELECT 'duplicate_id', id, CAST(id AS VARCHAR) FROM ids WHERE c > 1
+      UNION ALL SELECT 'flat_missing', id, CAST(id AS VARCHAR) FROM ids WHERE c > 0 AND f = 0 UNION ALL SELECT 'flat_stray', id, CAST(id AS VARCHAR) FROM ids WHERE f > 0 AND c = 0
+      UNION ALL SELECT 'details_missing', id, CAST(id AS VARCHAR) FROM ids WHERE c > 0 AND d = 0 UNION ALL SELECT 'details_stray', id, CAST(id AS VARCHAR) FROM ids WHERE d > 0 AND c = 0
+      UNION ALL SELECT 'details_misplaced', id, CAST(id AS VARCHAR) FROM dt JOIN rt USING (id) WHERE dt.slug <> rt.slug OR dt.part <> rt.part
+      UNION ALL SELECT 'part_missing', 0, concat(slug, '/', part) FROM pl ANTI JOIN th USING (slug, part) UNION ALL SELECT 'part_orphan', 0, concat(slug, '/', part) FROM th ANTI JOIN pl USING (slug, part)
+      UNION ALL SELECT 'part_too_large', 0, concat(slug, '/', part) FROM th WHERE bytes > 2000 UNION ALL SELECT 'fanout_malformed', 0, slug FROM st WHERE parts = 3 UNION ALL SELECT 'fanout_of_no_domain', 0, slug FROM st WHERE slug NOT IN (SELECT slug FROM ow)
+      UNION ALL SELECT 'fanout_differs', 0, slug FROM ow LEFT JOIN st USING (slug) WHERE ow.parts <> coalesce(st.parts, 1) UNION ALL SELECT 'language_dangling', id, CAST(id AS VARCHAR) FROM x JOIN co USING (language) WHERE code = 2)""" + _REPORT, "C"))
 
 
 def artifacts(spark, d):
-    """Order, index, edges, snapshot, facets and exported postings with planted faults."""
+    """Order, index, edges, snapshot, facets and exported postings with planted faults of every kind."""
     n, e = edges(spark, d)
-    n = n.withColumn("activity_status", F.when(F.col("id") % 100 == 1, "odd").otherwise("idle"))
+    n = n.withColumns({"activity_status": F.when(F.col("id") % 100 == 1, "odd").otherwise("idle"), "license_tier": F.when(F.col("id") % 130 == 2, "odd").otherwise("unknown")})
     postings, terms = (settled(t, "index") for t in search.build_index(n.withColumn("name", F.split("full_name", "/")[1]).select("ord", "name")))
-    e = e.unionByName(e.where("rank = 1 and src % 50 = 0").withColumn("dst", F.col("src")))
+    own = e.where("rank = 1 and src % 50 = 0").withColumns({"dst": F.col("src"), "weight": F.when(F.col("src") % 150 == 0, 1.5).otherwise(F.col("weight"))})
+    e = e.unionByName(own).unionByName(own.where("src % 100 = 0"))
     counts = facets.facet_counts(n, {}).withColumn("count", F.col("count") + (F.col("name") == "ring").cast("int"))
     exported = search.export_postings(postings).withColumn("postings", F.when(F.col("token").endswith("9"), F.slice("postings", 1, F.size("postings") - 1)).otherwise(F.col("postings")))
-    return quality.verify_artifacts(n, postings, terms, e, n.where("id % 30 <> 3").select("full_name", "stars"), facets=counts, exported=exported)
+    terms = terms.withColumn("df", F.col("df") + F.col("token").endswith("77").cast("int"))
+    snapshot = n.where("id % 30 <> 3").select("full_name", "stars")
+    n = n.withColumn("stars", F.when(F.col("ord") % 60 == 7, F.col("stars") - 1_000_000).otherwise(F.col("stars")))
+    return quality.verify_artifacts(n, postings, terms, e, snapshot, facets=counts, exported=exported)
 
 
 register("op_96_artifact_invariants", artifacts, oracle(
-    """, tk AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM C), tm AS (SELECT token FROM tk GROUP BY 1 HAVING count(*) <= greatest(1, (SELECT count(*) FROM C) // 10)),
-    v(k, n) AS (VALUES ('order_not_by_stars', 0), ('index_df_differs', 0), ('edge_to_itself', (SELECT (count(*) + 49) // 50 FROM C)), ('edge_twice', 0), ('edge_weight_out_of_range', 0), ('degree_differs', (SELECT (count(*) + 49) // 50 FROM C)),
-    ('postings_ragged', (SELECT count(*) FROM tm WHERE token LIKE '%9')), ('facet_differs', (SELECT count(DISTINCT artifact) FROM C WHERE artifact = 'ring') + (SELECT count(*) FROM (SELECT 1 FROM C WHERE t1 = 'ring' OR t2 = 'ring' LIMIT 1) y) + (SELECT count(*) FROM (SELECT 1 FROM C WHERE t1 = 'ring' LIMIT 1) z)),
-    ('activity_status_unknown', (SELECT count(*) FROM C WHERE id % 100 = 1)), ('snapshot_differs', (SELECT count(*) FROM C WHERE id % 30 = 3))) SELECT k AS "check", n AS failures FROM v"""))
+    """, n AS (SELECT *, row_number() OVER (ORDER BY stars DESC, full_name) - 1 AS ord FROM C), tk AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM C),
+    tm AS (SELECT token FROM tk GROUP BY 1 HAVING count(*) <= greatest(1, (SELECT count(*) FROM C) // 10)),
+    oe AS (SELECT ord FROM n WHERE ord % 50 = 0 UNION ALL SELECT ord FROM n WHERE ord % 100 = 0), nm(k) AS (VALUES ('order_not_by_stars'), ('index_df_differs'), ('postings_ragged'), ('edge_to_itself'), ('edge_weight_out_of_range'), ('edge_twice'), ('degree_differs'), ('facet_differs'), ('activity_status_unknown'), ('license_tier_unknown'), ('snapshot_differs')),
+    fa(k, num, key) AS (SELECT 'order_not_by_stars', ord, CAST(ord AS VARCHAR) FROM n WHERE ord % 60 = 7 AND ord + 1 < (SELECT count(*) FROM n)
+      UNION ALL SELECT 'index_df_differs', 0, token FROM tm WHERE token LIKE '%77' UNION ALL SELECT 'postings_ragged', 0, token FROM tm WHERE token LIKE '%9' OR token LIKE '%77'
+      UNION ALL SELECT 'edge_to_itself', ord, concat(ord, '-', ord) FROM oe UNION ALL SELECT 'edge_twice', ord, concat(ord, '-', ord) FROM n WHERE ord % 100 = 0
+      UNION ALL SELECT 'edge_weight_out_of_range', ord, concat(ord, '-', ord) FROM oe WHERE ord % 150 = 0 UNION ALL SELECT 'degree_differs', ord, CAST(ord AS VARCHAR) FROM n WHERE ord % 50 = 0
+      UNION ALL SELECT 'activity_status_unknown', ord, CAST(ord AS VARCHAR) FROM n WHERE id % 100 = 1 UNION ALL SELECT 'license_tier_unknown', ord, CAST(ord AS VARCHAR) FROM n WHERE id % 130 = 2
+      UNION ALL SELECT 'snapshot_differs', 0, key FROM n WHERE id % 30 = 3 OR ord % 60 = 7
+      UNION ALL SELECT 'facet_differs', 0, f FROM (SELECT DISTINCT 'artifact/ring' AS f FROM C WHERE artifact = 'ring' UNION SELECT 'primitive/ring' FROM C WHERE t1 = 'ring' UNION SELECT 'topic/ring' FROM C WHERE t1 = 'ring' OR t2 = 'ring') y)""" + _REPORT))
+
+
+def references(spark, d):
+    """A library of blueprints, one for each brand and size, with planted faults of every kind."""
+    c = C(spark, d)
+    own = F.concat_ws("-", F.col("owner"), F.floor(F.col("id") / 40).cast("string"))
+    prints = c.groupBy(own.alias("blueprint_id")).agg(F.min("id").alias("i"), F.min("domain").alias("goal"))
+    prints = prints.withColumn("goal", F.when(F.col("i") % 23 == 5, F.concat(F.lit("only-"), "blueprint_id")).otherwise(F.col("goal")))
+    prints = prints.unionByName(prints.where("i % 31 = 4")).unionByName(prints.where("i % 31 = 4")).select("blueprint_id", "goal")
+    i = F.col("id")
+    roles = c.select(own.alias("blueprint_id"), F.concat(F.lit("role-"), F.when(i % 61 == 6, i - i % 61).otherwise(i)).alias("role"), F.when(i % 47 == 7, "odd").otherwise(F.col("language")).alias("category"),
+                     F.when(i % 53 == 8, "Nowhere").when(i % 2 == 0, F.col("subsystem")).alias("subsystem"), F.array(F.upper("full_name"), F.when(i % 59 == 9, F.concat("full_name", F.lit("-gone"))).otherwise(F.col("full_name"))).alias("seeds"))
+    roles = roles.unionByName(roles.where(F.substring("role", 6, 20).cast("long") % 71 == 10))
+    links = c.select(own.alias("blueprint_id"), F.concat(F.lit("role-"), i).alias("src"), F.concat(F.lit("role-"), F.when(i % 67 == 11, -i).otherwise(i)).alias("dst")).where("cast(substring(src, 6, 20) as long) % 61 <> 6")
+    return quality.verify_blueprints(prints, roles, links, c, ("PROMO", "ECONOMY", "STANDARD", "MEDIUM", "LARGE", "SMALL"))
+
+
+register("op_96_blueprint_references", references, oracle(
+    """, x AS (SELECT *, concat(owner, '-', id // 40) AS bp FROM C), p0 AS (SELECT bp, min(id) AS i, min(domain) AS goal FROM x GROUP BY bp), pr AS (SELECT bp, i, CASE WHEN i % 23 = 5 THEN concat('only-', bp) ELSE goal END AS goal FROM p0),
+    ps AS (SELECT bp, goal FROM pr UNION ALL SELECT bp, goal FROM pr WHERE i % 31 = 4 UNION ALL SELECT bp, goal FROM pr WHERE i % 31 = 4), r0 AS (SELECT id, bp, CASE WHEN id % 61 = 6 THEN id - id % 61 ELSE id END AS n, language, subsystem, full_name FROM x),
+    ro AS (SELECT *, concat(bp, '/role-', n) AS rn FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r0 WHERE n % 71 = 10) z), lb AS (SELECT DISTINCT rn FROM ro),
+    nm(k) AS (VALUES ('seed_missing'), ('subsystem_unknown'), ('category_unknown'), ('link_to_no_role'), ('goal_too_few'), ('blueprint_twice'), ('role_twice')),
+    fa(k, num, key) AS (SELECT 'seed_missing', 0, concat(rn, '/', full_name, '-gone') FROM ro WHERE id % 59 = 9 UNION ALL SELECT 'subsystem_unknown', 0, rn FROM ro WHERE id % 53 = 8
+      UNION ALL SELECT 'category_unknown', 0, rn FROM ro WHERE id % 47 = 7 OR language NOT IN ('PROMO', 'ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'SMALL') UNION ALL SELECT 'link_to_no_role', 0, concat(bp, '/role-', l) FROM (SELECT bp, unnest([id, CASE WHEN id % 67 = 11 THEN -id ELSE id END]) AS l FROM x WHERE id % 61 <> 6) y WHERE concat(bp, '/role-', l) NOT IN (SELECT rn FROM lb)
+      UNION ALL SELECT 'goal_too_few', 0, goal FROM ps GROUP BY goal HAVING count(DISTINCT bp) < 2 UNION ALL SELECT 'blueprint_twice', 0, bp FROM ps GROUP BY bp HAVING count(*) > 1 UNION ALL SELECT 'role_twice', 0, rn FROM ro GROUP BY rn HAVING count(*) > 1)""" + _REPORT))
+
+
 _SCAN = {"email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+", "license": r"(?i)licen[sc]e"}
 register("op_49_pattern_scan", lambda s, d: quality.pattern_scan(table(s, d, "documents"), "doc_id", "text", _SCAN).select("id", "line", "rule"), """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
   m AS (SELECT id, CAST(i AS INT) AS line, CASE WHEN regexp_matches(t, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[a-z]+') THEN 'email' WHEN regexp_matches(t, '(?i)licen[sc]e') THEN 'license' END AS rule FROM l) SELECT * FROM m WHERE rule IS NOT NULL""")
@@ -457,6 +630,40 @@ register("op_97_range_windows", windows, """WITH RECURSIVE w(lo, hi) AS (SELECT
     SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END FROM w, (VALUES (0), (1)) h(s) WHERE lo < hi AND (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) > 1000),
     k AS (SELECT lo, hi, (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) AS rows FROM w)
     SELECT lo, hi, NULL::BIGINT AS second_lo, NULL::BIGINT AS second_hi, rows, false AS truncated FROM k WHERE rows BETWEEN 1 AND 1000""")
+
+
+def windowed(df, col, second):
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    lo, hi = int(lo or 0), int(hi or 0)
+    windows = settled(quality.numbered_windows(quality.plan_windows(df, col, second, lo, hi)), "windows")
+    return quality.by_window(df, col, second, lo, hi, windows=windows), windows
+
+
+def rows_by_window(spark, d):
+    """Every line item with its window: few quantities, so that values are cut on the second column."""
+    rows, windows = windowed(table(spark, d, "lineitem"), "l_quantity", "l_orderkey")
+    rows = rows.withColumn("task", F.spark_partition_id()).groupBy("window").agg(F.count("*").alias("held"), F.countDistinct("task").alias("tasks"), F.sum(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rows_sum"))
+    return rows.join(windows, "window", "full_outer").select("window", "lo", "hi", "second_lo", "second_hi", "rows", "truncated", "held", "tasks", "rows_sum")
+
+
+_BISECTED = """WITH RECURSIVE t AS (SELECT %s AS v, %s AS w, %s AS x FROM %s), w(lo, hi) AS (SELECT min(v)::BIGINT, max(v)::BIGINT FROM t UNION ALL
+    SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END FROM w, (VALUES (0), (1)) h(s) WHERE lo < hi AND (SELECT count(*) FROM t WHERE v BETWEEN lo AND hi) > 1000),
+    k AS (SELECT lo, hi, (SELECT count(*) FROM t WHERE v BETWEEN lo AND hi) AS n FROM w), e AS (SELECT lo, greatest(1000, n // 900 * 2) AS edge FROM k WHERE lo = hi AND n > 1000),
+    a AS (SELECT lo, hi, NULL::BIGINT AS second_lo, NULL::BIGINT AS second_hi FROM k WHERE n BETWEEN 1 AND 1000 UNION ALL SELECT lo, lo, 0, edge FROM e UNION ALL SELECT lo, lo, edge + 1, NULL FROM e),
+    g AS (SELECT a.*, (SELECT count(*) FROM t WHERE v BETWEEN lo AND hi AND w BETWEEN coalesce(second_lo, w) AND coalesce(second_hi, w)) AS n, (SELECT sum(x) FROM t WHERE v BETWEEN lo AND hi AND w BETWEEN coalesce(second_lo, w) AND coalesce(second_hi, w)) AS x FROM a)
+    SELECT row_number() OVER (ORDER BY lo DESC, second_lo DESC) - 1 AS "window", lo, hi, second_lo, second_hi, n AS rows, n > 1000 AS truncated, n AS held, 1 AS tasks, CAST(x AS BIGINT) AS rows_sum FROM g WHERE n > 0"""
+register("op_97_rows_by_window", rows_by_window, _BISECTED % ("CAST(l_quantity AS BIGINT)", "l_orderkey", "l_orderkey * 10 + l_linenumber", "lineitem"))
+
+
+def orders_by_window(spark, d):
+    """Every order with the number of its window by customer key."""
+    return windowed(table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 1000).alias("second")), "o_custkey", "second")[0].select("o_orderkey", "window")
+
+
+register("op_97_orders_by_window", orders_by_window, """WITH RECURSIVE w(lo, hi) AS (SELECT min(o_custkey)::BIGINT, max(o_custkey)::BIGINT FROM orders UNION ALL
+    SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END FROM w, (VALUES (0), (1)) h(s) WHERE lo < hi AND (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) > 1000),
+    k AS (SELECT lo, hi, row_number() OVER (ORDER BY lo DESC) - 1 AS n FROM w WHERE (SELECT count(*) FROM orders WHERE o_custkey BETWEEN lo AND hi) BETWEEN 1 AND 1000)
+    SELECT o_orderkey, n AS "window" FROM orders JOIN k ON o_custkey BETWEEN lo AND hi""")
 _CONSOLE = "WITH x AS (SELECT language, count(*) AS n, sum(stars) AS stars FROM repos WHERE stars >= 400 GROUP BY language) SELECT language, n, stars FROM x ORDER BY stars DESC"
 
 
