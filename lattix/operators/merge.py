@@ -14,6 +14,7 @@ from ..sources.catalog import part_number
 from ..sources.raw import keyed
 from ..sources.shared import settled
 from .classify import context_card
+from .score import ranked_within
 
 DEEP = ("primitives", "compatibility", "usecases", "keywords", "quickstart_code", "maturity", "beginner_intel")
 SAFE_ID = (1 << 53) - 1
@@ -51,7 +52,7 @@ def attach_details(df: DataFrame, details: DataFrame, order: tuple[str, ...] = (
     return joined.select(*out, *[F.col(f"d.{c}") for c in DEEP if c in details.columns and c not in df.columns], F.coalesce("d.__there", F.lit(False)).alias("attached"))
 
 
-VOLATILE = ("full_name", "stars", "forks", "description", "topics", "language", "license")
+VOLATILE = ("owner", "name", "full_name", "stars", "forks", "description", "topics", "language", "license")
 IF_PRESENT = ("pushed_at", "created_at", "is_archived")
 
 
@@ -274,7 +275,8 @@ def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame, parts: D
         hits = details.select("id", *deep)
     else:
         found = settled(part_number(found, parts), "wanted")
-        near = found.where("id >= 0 or id < 0").select("id", F.col("slug").alias("__slug"), F.col("part").alias("__part")).distinct()
+        # a comparison tells Spark that the folders of these rows are worth looking up first
+        near = found.where(F.col("id") > -(1 << 63)).select("id", F.col("slug").alias("__slug"), F.col("part").alias("__part")).distinct()
         near = F.broadcast(near) if found.count() <= WANTED else near
         hits = details.join(near.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.col("slug") == F.col("__slug")) & (F.col("part") == F.col("__part")))
         hits, found = hits.select("id", *deep), found.drop("slug", "part")
@@ -293,23 +295,28 @@ def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame, parts: D
 def stable_ids(df: DataFrame) -> DataFrame:
     """Keep ids in (0, 2^53) of their first claimant in catalog order; give the others a hashed id from 2^40 on.
 
-    Collisions are moved on by one until none is left. Each round is written, so its plan stays as short as the first, and
-    only rows that still collide are held against the ids taken so far; every round settles at least one row of each id.
+    The n-th of several rows that hash to one id takes the n-th id from there on, so rows of one name are settled in one
+    round however many there are. Only rows whose new id is taken, or is another's new id, go on, to the id after it; each
+    round is written, so its plan stays as short as the first. Claimants are ranked by range partitions, so no task
+    holds all claimants of an id.
     """
-    valid = (F.col("id") > 0) & (F.col("id") < SAFE_ID)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("stars").desc(), "full_name"))
-    # ids that can't be kept anyway are ranked by nothing, so that no window holds all rows without an id
-    sound = df.where(valid).withColumn("__keep", nth == 1)
-    marked = settled(sound.unionByName(df.where(~F.coalesce(valid, F.lit(False))).withColumn("__keep", F.lit(False))), "ids")
+    valid = F.coalesce((F.col("id") > 0) & (F.col("id") < SAFE_ID), F.lit(False))
+    order = (F.col("stars").desc(), F.col("full_name"))
+    sound = ranked_within(df.where(valid), "id", *order, name="__nth").withColumn("__keep", F.col("__nth") == 1).drop("__nth")
+    # ids that can't be kept anyway are ranked by nothing
+    marked = settled(sound.unionByName(df.where(~valid).withColumn("__keep", F.lit(False))), "ids")
     kept = marked.where("__keep").drop("__keep").withColumn("rekeyed", F.lit(False))
     losers = marked.where("not __keep").drop("__keep").withColumn("id", F.lit(SYNTHETIC_ID) + F.pmod(F.xxhash64(F.lower("full_name")), F.lit(SYNTHETIC_ID)))
     taken, done = kept.select("id"), [kept]
     while not losers.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("id").orderBy("full_name"))
         held = taken.select("id", F.lit(True).alias("__taken"))
-        probe = losers.withColumn("__n", turn).join(held, "id", "left")
+        moved = ranked_within(losers, "id", F.col("full_name"), name="__nth").withColumn("__first", F.col("__nth") == 1)
+        moved = moved.withColumn("id", F.col("id") + F.col("__nth") - 1).drop("__nth")
+        # rows of several hashes on one new id: the one that hashed to it is before those that moved there
+        turn = F.row_number().over(Window.partitionBy("id").orderBy(F.col("__first").desc(), "full_name"))
+        probe = moved.withColumn("__n", turn).join(held, "id", "left")
         clash = F.coalesce("__taken", F.lit(False)) | (F.col("__n") > 1)
-        probe = settled(probe.withColumn("__clash", clash).drop("__taken", "__n"), "ids-probed")
+        probe = settled(probe.withColumn("__clash", clash).drop("__taken", "__n", "__first"), "ids-probed")
         placed = probe.where("not __clash").drop("__clash")
         done.append(placed.withColumn("rekeyed", F.lit(True)))
         taken = taken.unionByName(placed.select("id"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import COMPATIBILITY, PROTOCOL_CLIENTS
 from ..functions.scalars import pick_index, text_seed
 from ..functions.text import array_or_empty, lexicon_tags, search_corpus
+from .score import global_ordinal, ranked_within
 
 #: Points of a pair.
 BASE, SAME, SIBLING, FFI, APART, PRIMITIVE, PROTOCOL, PROTOCOL_CAP, ASYMMETRY = 50, 18, 15, 12, -5, 18, 10, 20, -15
@@ -72,6 +75,10 @@ def pool_synergy(pair_scores: DataFrame, pools: DataFrame | None = None) -> Data
     return mean.withColumn("grade", grade).withColumn("score", F.coalesce("score", F.lit(50)))
 
 
+#: Slots and picks that are broadcast, as one plan has; larger tables are shuffled.
+MOST_PICKS = 1000
+
+
 def slot_candidates(df: DataFrame, slots: DataFrame, picks: DataFrame, k: int = 45, query: str = "") -> DataFrame:
     """slot, id, score, rank: the best ``k`` rows for each slot (slot, domain or null, subsystem or null).
 
@@ -106,9 +113,6 @@ def slot_candidates(df: DataFrame, slots: DataFrame, picks: DataFrame, k: int =
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(*order))).where(F.col("rank") <= k)
 
 
-MOST_PICKS = 1000
-
-
 def role_categories(df: DataFrame, categories: dict[str, Column]) -> DataFrame:
     """One row per row and category whose condition holds; a row may be in several."""
     hits = F.array(*[F.when(cond, F.lit(name)) for name, cond in categories.items()])
@@ -118,14 +122,25 @@ def role_categories(df: DataFrame, categories: dict[str, Column]) -> DataFrame:
 def choose_blueprints(blueprints: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (request, seed, goal): the blueprint at the first draw among those of the goal, or of all.
 
-    ``blueprints`` (blueprint_id, goal, pos) are a library of at most ``MOST_PICKS``, so each goal's list is an array.
+    ``blueprints`` (blueprint_id, goal, pos) are numbered within their goal and among all by range partitions, so a library
+    of any size, and a goal that most of it shares, will do; a request then meets its blueprint by goal and number.
     """
-    if blueprints.limit(MOST_PICKS + 1).count() > MOST_PICKS:
-        raise ValueError(f"a library of more than {MOST_PICKS} blueprints")
-    of_goal = blueprints.groupBy("goal").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "blueprint_id"))), lambda x: x["blueprint_id"]).alias("own"))
-    every = blueprints.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "blueprint_id"))), lambda x: x["blueprint_id"]).alias("every"))
-    r = requests.join(F.broadcast(of_goal), "goal", "left").crossJoin(F.broadcast(every)).withColumn("pool", F.coalesce("own", "every"))
-    return r.select("request", "seed", "goal", F.get("pool", pick_index(text_seed(F.col("seed")), F.lit(0), F.size("pool"))).alias("blueprint_id"))
+    library = blueprints.select("blueprint_id", "goal", "pos")
+    every = global_ordinal(library, F.col("pos"), F.col("blueprint_id"), name="k").select("k", "blueprint_id")
+    own = ranked_within(library, "goal", F.col("pos"), F.col("blueprint_id"), name="nth").select("goal", (F.col("nth") - 1).alias("k"), "blueprint_id")
+    sizes = library.groupBy("goal").agg(F.count("*").alias("n"))
+    total = library.agg(F.count("*").alias("total"))  # one row
+    r = requests.join(sizes, "goal", "left").crossJoin(F.broadcast(total))
+    r = r.withColumn("k", pick_index(text_seed(F.col("seed")), F.lit(0), F.coalesce("n", "total")).cast("long"))
+    of_goal = r.where("n is not null").join(own, ["goal", "k"])
+    of_all = r.where("n is null").join(every, "k", "left")
+    return of_goal.select("request", "seed", "goal", "blueprint_id").unionByName(of_all.select("request", "seed", "goal", "blueprint_id"))
+
+
+def _first_three(rows: DataFrame, *by: str) -> DataFrame:
+    """The three rows with most stars of each group; each task hands on no more than three of a group."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("stars").desc(), "name", "id"))
+    return rows.withColumn("n", nth).where("n <= 3").drop("n")
 
 
 def complete_blueprints(df: DataFrame, roles: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -134,17 +149,20 @@ def complete_blueprints(df: DataFrame, roles: DataFrame, chosen: DataFrame) -> D
     roles: (blueprint_id, pos, role, category, subsystem, seeds). Seeds in the catalog come before rows of the category
     with the required subsystem, those before the rest of the category. One of the three with most stars is drawn; only
     filled roles use a draw, the first draw having chosen the blueprint. ``df`` has id, key, name, stars, subsystem, category.
+    The first three of each category, and of each subsystem in it, are found once for all roles.
     """
     rows = df.select("id", "key", "name", "stars", "subsystem", "category")
     seeds = roles.select("blueprint_id", "pos", F.explode("seeds").alias("key")).withColumn("key", F.lower("key"))
     by_seed = seeds.join(rows.dropDuplicates(["id"]).drop("subsystem", "category"), "key").select("blueprint_id", "pos", "id", "name", "stars", F.lit(1).alias("tier"))
-    pool = roles.select("blueprint_id", "pos", "category", F.col("subsystem").alias("want")).join(rows, "category")
-    tier = F.when(F.col("want").isNotNull() & (F.col("subsystem") == F.col("want")), 2).otherwise(3)
-    found = by_seed.unionByName(pool.select("blueprint_id", "pos", "id", "name", "stars", tier.alias("tier")))
+    asked = roles.select("blueprint_id", "pos", "category", F.col("subsystem").alias("want"))
+    same = asked.where("want is not null").join(_first_three(rows, "category", "subsystem").withColumnRenamed("subsystem", "want"), ["category", "want"])
+    # a row of the wanted subsystem is here a second time, but then the tier before has it
+    rest = asked.join(_first_three(rows, "category").drop("subsystem"), "category")
+    found = reduce(DataFrame.unionByName, [by_seed, *[t.select("blueprint_id", "pos", "id", "name", "stars", F.lit(k).alias("tier")) for k, t in ((2, same), (3, rest))]])
+    best = F.min("tier").over(Window.partitionBy("blueprint_id", "pos"))
     nth = F.row_number().over(Window.partitionBy("blueprint_id", "pos").orderBy("tier", F.col("stars").desc(), "name", "id"))
-    top = found.withColumn("n", nth).where("n <= 3")
-    top = top.groupBy("blueprint_id", "pos").agg(F.min("tier").alias("tier"), F.sort_array(F.collect_list(F.struct("tier", "n", "id"))).alias("c"))
-    top = top.withColumn("c", F.filter("c", lambda x: x["tier"] == F.col("tier")))
+    top = found.withColumns({"best": best, "n": nth}).where("n <= 3 and tier = best")
+    top = top.groupBy("blueprint_id", "pos").agg(F.min("tier").alias("tier"), F.sort_array(F.collect_list(F.struct("n", "id"))).alias("c"))
     every = chosen.join(roles.select("blueprint_id", "pos", "role"), "blueprint_id").join(top, ["blueprint_id", "pos"], "left")
     turn = F.count("c").over(Window.partitionBy("request").orderBy("pos"))
     at = pick_index(text_seed(F.col("seed")), turn, F.size("c"))

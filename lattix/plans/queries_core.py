@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.lexicons import ARTIFACT_EVIDENCE, ARTIFACTS
 from ..operators import classify, facets, filters, score, sql
 from ..sources import catalog as files
-from ..sources import raw
+from ..sources import raw, variants
 from ..sources.shared import shared_path
+from ..streaming import upsert as upserts
 from ..streaming.ingest import ingest, read_target
 from .registry import register
 from .views import AS_OF, oracle, table, view
@@ -51,12 +54,35 @@ def raw_scan(spark, d):
     c = C(spark, d)
     rec = F.to_json(F.struct("id", "name", F.when(F.col("id") % 49 == 0, "").otherwise(F.col("owner")).alias("owner"), "stars"))
     lines = c.select(F.when(F.col("id") % 50 == 0, F.substring(rec, 1, 10)).otherwise(rec).alias("value"))
-    return raw.parse_lines(lines).groupBy("state").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("state") != "bad", F.col("stars"))), F.lit(0)).alias("stars"))
+    return raw.parse_lines(lines).select("id", "name", "stars", "state")
 
 
 register("op_01_raw_scan", raw_scan, oracle(
-    """, x AS (SELECT *, CASE WHEN id % 50 = 0 THEN 'bad' WHEN id % 49 = 0 THEN 'incomplete' ELSE 'good' END AS state FROM C)
-    SELECT state, count(*) AS n, CAST(sum(CASE WHEN state = 'bad' THEN 0 ELSE stars END) AS BIGINT) AS stars FROM x GROUP BY state"""))
+    """SELECT CASE WHEN id % 50 <> 0 THEN id END AS id, CASE WHEN id % 50 <> 0 THEN name END AS name, CASE WHEN id % 50 <> 0 THEN stars END AS stars,
+    CASE WHEN id % 50 = 0 THEN 'bad' WHEN id % 49 = 0 THEN 'incomplete' ELSE 'good' END AS state FROM C"""))
+
+
+def records_scan(spark, d):
+    """A folder of JSON lines, arrays by line, arrays in one line and nested arrays, with bad lines, blanks and incomplete records."""
+    path = shared_path(spark, "records")
+    c = C(spark, d)
+    rec = F.to_json(F.struct("id", "name", F.when(F.col("id") % 49 == 0, "").otherwise(F.col("owner")).alias("owner"), "stars"))
+    row = F.when(F.col("id") % 50 == 1, F.substring(rec, 1, 10)).otherwise(rec)
+    c.where("id % 4 = 0").select(F.explode(F.array(row, F.lit("  "))).alias("value")).write.text(f"{path}/lines")
+    # a file for each 100 ids: brackets on lines of their own or beside a record, commas at the ends
+    few = c.where("id % 4 = 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    few.select(F.concat(F.when(F.col("f") % 2 == 0, "[\n").otherwise("["), F.array_join("r", ",\n\n"), F.lit("\n]\n")).alias("value"), "f").write.partitionBy("f").text(f"{path}/arrays")
+    whole = c.where("id % 4 = 2 and id % 50 <> 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.collect_list(rec).alias("r"))
+    whole.select(F.concat(F.lit("[ "), F.array_join("r", ", "), F.lit("]")).alias("value"), "f").write.partitionBy("f").text(f"{path}/one-line")
+    nested = c.where("id % 4 = 3 and id % 50 <> 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.collect_list(F.regexp_replace(rec, ",", ",\n")).alias("r"))
+    nested.select(F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("\n]")).alias("value"), "f").write.partitionBy("f").text(f"{path}/nested")
+    spark_paths = [f"{path}/{k}" for k in ("lines", "arrays/*", "one-line/*", "nested/*")]
+    return functools.reduce(DataFrame.unionByName, [raw.scan_records(spark, p) for p in spark_paths]).select("id", "name", "stars", "state")
+
+
+register("op_01_records_scan", records_scan, oracle(
+    """SELECT CASE WHEN id % 50 <> 1 OR id % 4 > 1 THEN id END AS id, CASE WHEN id % 50 <> 1 OR id % 4 > 1 THEN name END AS name, CASE WHEN id % 50 <> 1 OR id % 4 > 1 THEN stars END AS stars,
+    CASE WHEN id % 50 = 1 THEN 'bad' WHEN id % 49 = 0 THEN 'incomplete' ELSE 'good' END AS state FROM C WHERE id % 4 < 2 OR id % 50 <> 1"""))
 
 
 def decoded(spark, d):
@@ -135,8 +161,8 @@ def _snapshots(spark, d):
 
 
 _S = ", m AS (SELECT snapshot_date, full_name, stars + CAST(snapshot_date = (SELECT max(snapshot_date) FROM S) AS INT) AS stars FROM S)"
-register("op_10_snapshot_sink", lambda s, d: _snapshots(s, d).groupBy("snapshot_date").agg(F.count("*").alias("n"), F.sum("stars").alias("stars")),
-         oracle(_S + " SELECT snapshot_date, count(*) AS n, CAST(sum(stars) AS BIGINT) AS stars FROM m GROUP BY 1", "S"))
+register("op_10_snapshot_sink", lambda s, d: _snapshots(s, d).select("snapshot_date", "full_name", "stars", F.count("*").over(Window.partitionBy("snapshot_date")).alias("of_day")),
+         oracle(_S + " SELECT snapshot_date, full_name, CAST(stars AS BIGINT) AS stars, count(*) OVER (PARTITION BY snapshot_date) AS of_day FROM m", "S"))
 register("op_11_snapshot_scan", lambda s, d: _snapshots(s, d).select("snapshot_date", "full_name", "stars"), oracle(_S + " SELECT snapshot_date, full_name, CAST(stars AS BIGINT) AS stars FROM m", "S"))
 
 
@@ -156,13 +182,31 @@ def incremental(spark, d):
 register("op_12_incremental_ingest", incremental, oracle("SELECT key, stars, id % 2 <> 0 AS later FROM C"))
 
 
+def streamed_upserts(spark, d):
+    """Three drops of files: some rows, all with refreshed counts, and a repetition with blank descriptions for some."""
+    source, target, state = (shared_path(spark, n) for n in ("drops", "catalog", "state"))
+    c = C(spark, d).select("id", "name", "owner", "stars", "forks", "description", "license", "language")
+    broken = c.where("id % 100 = 1").select(F.lit('{"name": ').alias("value"))
+    third = c.where("id % 3 = 0").withColumns({"id": F.col("id") + 5_000_000, "stars": F.col("stars") + 100, "description": F.when(F.col("id") % 2 == 0, "").otherwise(F.col("description"))})
+    for drop in (c.where("id % 2 = 0"), c.withColumn("stars", F.col("stars") + F.col("id") % 5), third.unionByName(third.withColumn("stars", F.col("stars") - 1))):
+        drop.select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.mode("append").text(source)
+        upserts.ingest_upserts(spark, source, target, state, buckets=8, order="stars")
+    upserts.ingest_upserts(spark, source, target, state, buckets=8, order="stars")
+    return upserts.read_catalog(spark, target).select("key", "id", "stars", "forks", "description", "license", "language")
+
+
+register("op_12_streaming_upsert", streamed_upserts, oracle(
+    """SELECT key, id, stars + CASE WHEN id % 3 = 0 THEN 100 ELSE id % 5 END AS stars, forks, CASE WHEN id % 6 = 0 THEN '' ELSE description END AS description,
+    CASE WHEN license = 'NOASSERTION' THEN 'Unknown' ELSE license END AS license, language FROM C"""))
+
+
 def json_lines(spark, d):
     path = shared_path(spark, "json")
     files.write_json_lines(C(spark, d).select("id", "name", "owner", "stars"), path)
-    return raw.scan_jsonl(spark, path).groupBy("state").agg(F.count("*").alias("n"), F.sum("stars").alias("stars"))
+    return raw.scan_jsonl(spark, path).select("id", "name", "owner", "stars", "state")
 
 
-register("op_13_json_lines", json_lines, oracle("SELECT 'good' AS state, count(*) AS n, CAST(sum(stars) AS BIGINT) AS stars FROM C"))
+register("op_13_json_lines", json_lines, oracle("SELECT id, name, owner, stars, 'good' AS state FROM C"))
 
 # Scalar functions.
 
@@ -181,9 +225,11 @@ def tags(spark, d):
 register("op_16_normalise_tags", tags, oracle("SELECT id, topic FROM T", "T"))
 register("op_17_normalize_license", lambda s, d: C(s, d).select("id", scalars.normalize_license(F.col("license")).alias("license")),
          oracle("SELECT id, CASE WHEN license = 'NOASSERTION' THEN 'Unknown' ELSE license END AS license FROM C"))
-register("op_18_license_terms", lambda s, d: C(s, d).select("id", scalars.license_terms(F.col("license")).alias("t")).select("id", "t.tier", "t.commercial"), oracle(
+register("op_18_license_terms", lambda s, d: C(s, d).select("id", scalars.license_terms(F.col("license")).alias("t")).select("id", "t.tier", "t.commercial", "t.desc"), oracle(
     """SELECT id, CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Permissive' WHEN license = 'GPL-3.0' THEN 'Copyleft' WHEN license = 'SSPL-1.0' THEN 'Fair-Core / Source-Available' ELSE 'Unknown / Unspecified' END AS tier,
-    CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Commercially Friendly' WHEN license = 'GPL-3.0' THEN 'Source-Reciprocal (Caution)' WHEN license = 'SSPL-1.0' THEN 'Cloud Restriction' ELSE 'Custom Terms' END AS commercial FROM C"""))
+    CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Commercially Friendly' WHEN license = 'GPL-3.0' THEN 'Source-Reciprocal (Caution)' WHEN license = 'SSPL-1.0' THEN 'Cloud Restriction' ELSE 'Custom Terms' END AS commercial,
+    CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Permissive license allowing proprietary commercial usage and modification without source redistribution.' WHEN license = 'GPL-3.0' THEN 'Copyleft license requiring derivative works or hosted modifications to make source available.'
+    WHEN license = 'SSPL-1.0' THEN 'Source-available license restricting competitive hosted cloud-service offerings.' ELSE 'Custom or unspecified license. Review the repository LICENSE file for explicit commercial terms.' END AS "desc" FROM C"""))
 register("op_19_license_tier", lambda s, d: C(s, d).select("id", scalars.license_tier(F.col("license")).alias("tier")), oracle(f"SELECT id, {TIER} AS tier FROM C"))
 register("op_20_parse_epoch", lambda s, d: table(s, d, "events").select("event_id", scalars.parse_epoch(F.when(F.col("event_id") % 7 == 0, "no date").otherwise(F.col("ts").cast("string"))).alias("epoch")),
          "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS epoch FROM events")
@@ -196,8 +242,8 @@ register("op_23_maturity", lambda s, d: C(s, d).select("id", scalars.maturity(F.
     SELECT id, CASE WHEN old THEN concat('Dormant Legacy (last push ', y, ')') WHEN s >= 50000 THEN 'Hyper-Scale / Industry Standard' WHEN s >= 20000 AND f >= 1000 THEN 'Production Battle-Tested'
       WHEN s >= 20000 THEN 'High Adoption / Low Fork Traction' WHEN s >= 5000 THEN 'Rapid Growth / Emerging Core' ELSE 'Promising / Specialized' END AS rating,
     CASE WHEN old THEN 'tier-4' WHEN s >= 50000 THEN 'tier-1' WHEN s >= 20000 AND f >= 1000 THEN 'tier-2' WHEN s >= 5000 THEN 'tier-3' ELSE 'tier-4' END AS level FROM x"""))
-register("op_24_tokenize", lambda s, d: view(s, d, "D").select("id", text.tokens(F.col("description")).alias("t")).select("id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens")), oracle(
-    ", x AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(description, '')), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM D) SELECT id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_tokens FROM x", "D"))
+register("op_24_tokenize", lambda s, d: view(s, d, "D").select("id", text.tokens(F.col("description")).alias("t")).select("id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("in_order")), oracle(
+    ", x AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(description, '')), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM D) SELECT id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_tokens, md5(array_to_string(t, ' ')) AS in_order FROM x", "D"))
 _WORDS = ("the", "tion", "key-value", "que")
 register("op_25_keyword_match", lambda s, d: view(s, d, "D").select("id", *[text.has_keyword(F.lower("description"), w).alias(f"k{i}") for i, w in enumerate(_WORDS)]), oracle(
     "SELECT id, " + ", ".join(f"regexp_matches(lower(description), '{text.keyword_pattern(w)}') AS k{i}" for i, w in enumerate(_WORDS)) + " FROM D", "D"))
@@ -259,9 +305,20 @@ def _domain_sql() -> str:
 
 
 register("op_28_domain_classifier", labelled, oracle(_domain_sql() + " SELECT * FROM lab"))
-register("op_29_context_card", lambda s, d: C(s, d).select("id", classify.context_card(F.col("domain"), F.col("subsystem"), F.col("language")).alias("c")).select("id", "c.what_it_does", "c.when_to_use"), oracle(
-    """SELECT id, concat('A foundational ', language, ' project in the ', domain, ' ecosystem specialized for ', subsystem, '.') AS what_it_does,
-    concat('Use when your application demands reliable, high-performance ', lower(subsystem), ' with active community support.') AS when_to_use FROM C"""))
+_CARD = ("what_it_does", "why_it_matters", "when_to_use", "alternatives", "key_superpowers")
+
+
+def _fields(card: str):
+    return [F.array_join(f"{card}.{f}", "|").alias(f) if f in _CARD[3:] else F.col(f"{card}.{f}") for f in _CARD]
+
+
+register("op_29_context_card", lambda s, d: C(s, d).select("id", classify.context_card(F.col("domain"), F.col("subsystem"), F.col("language")).alias("c")).select("id", *_fields("c")), oracle(
+    """SELECT id, concat('A foundational ', language, ' project in the ', domain, ' ecosystem specialized for ', subsystem, '.') AS what_it_does, concat('It solves complex ', lower(subsystem), ' challenges without requiring teams to reinvent low-level primitives.') AS why_it_matters,
+    concat('Use when your application demands reliable, high-performance ', lower(subsystem), ' with active community support.') AS when_to_use, 'Standard library solutions|Cloud managed services|Alternative open source engines' AS alternatives,
+    'High throughput|Low resource overhead|Battle-tested community stability' AS key_superpowers FROM C"""))
+register("op_29_default_card", lambda s, d: C(s, d).select("id", classify.default_card(text.hook(F.col("description")), F.when(F.col("id") % 5 != 0, F.col("subsystem"))).alias("c")).select("id", *_fields("c")), oracle(
+    """SELECT id, description AS what_it_does, 'A notable open source project with significant community adoption.' AS why_it_matters, concat('Use when building systems that require high performance in ', CASE WHEN id % 5 = 0 THEN 'its domain' ELSE subsystem END, '.') AS when_to_use,
+    'Standard library solutions|Cloud managed services' AS alternatives, 'High performance|Active community|Open architecture' AS key_superpowers FROM C"""))
 register("op_31_hook", lambda s, d: C(s, d).select("id", text.hook(F.when(F.col("id") % 4 == 0, " ").otherwise(F.repeat("description", 6)), None, F.concat(F.lit("card "), F.col("name"))).alias("hook")),
          oracle("SELECT id, CASE WHEN id % 4 = 0 THEN concat('card ', name) ELSE substr(repeat(description, 6), 1, 90) END AS hook FROM C"))
 register("op_32_keyword_list", lambda s, d: C(s, d).select("id", F.array_join(text.keyword_list(F.col("subsystem"), F.col("artifact"), F.col("domain"), F.array("t1"), topics=F.array("t1", "t2", "t3")), "|").alias("keywords")),
@@ -279,6 +336,27 @@ def enriched(spark, d):
 register("op_34_enrich", enriched, oracle(_domain_sql() + """ SELECT id, l.domain, l.subsystem, domain_margin,
     CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Permissive' WHEN license = 'GPL-3.0' THEN 'Copyleft' WHEN license = 'SSPL-1.0' THEN 'Fair-Core / Source-Available' ELSE 'Unknown / Unspecified' END AS tier, 'tier-4' AS level,
     concat_ws('|', l.subsystem, 'Application / Service', l.domain, t1, t2, CASE WHEN t1 <> t3 THEN t3 END) AS keywords, concat('https://github.com/', full_name) AS url FROM C JOIN lab l USING (id)"""))
+
+
+def enriched_variants(spark, d):
+    """Records of four shapes in one VARIANT column, brought to plain columns and enriched."""
+    c = cat(spark, d)
+    i = F.col("id")
+    common = [i, F.col("name"), F.col("description"), F.col("topics"), F.col("language")]
+    at = F.date_format(F.timestamp_seconds("pushed_epoch"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    plain = F.struct(*common, "owner", "license", "stars", "forks", at.alias("pushed_at"))
+    nested = F.struct(*common, F.struct(F.col("owner").alias("login"), i.alias("id")).alias("owner"), F.struct(F.lit("x").alias("name"), F.col("license").alias("spdx_id")).alias("license"), F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"), at.alias("updated_at"))
+    named = F.struct(*common, F.struct(F.col("owner").alias("login")).alias("owner"), F.struct(F.col("license").alias("name")).alias("license"), F.lit(0).alias("stargazers_count"), "stars", F.lit(0).alias("forks_count"), "forks", F.lit("").alias("pushed_at"), at.alias("updated_at"))
+    loose = F.struct(*common, "owner", "license", F.col("stars").cast("string").alias("stargazers_count"), F.col("forks").cast("double").alias("forks"), at.alias("pushed_at"), F.lit("2001-01-01").alias("updated_at"))
+    record = F.when(i % 4 == 0, F.to_json(plain)).when(i % 4 == 1, F.to_json(nested)).when(i % 4 == 2, F.to_json(named)).otherwise(F.to_json(loose))
+    rows = variants.from_variants(c.select(F.parse_json(record).alias("record"))).drop("record")
+    e = classify.enrich(rows, RULES, AS_OF)
+    return e.select("id", "full_name", "stars", "forks", "license", "pushed_epoch", "domain", "subsystem", F.col("license_intel.tier").alias("tier"), F.array_join("keywords", "|").alias("keywords"), "quickstart_code")
+
+
+register("op_34_variant_shapes", enriched_variants, oracle(_domain_sql() + """ SELECT id, full_name, stars, forks, license, CASE WHEN id % 4 = 3 THEN coalesce(pushed_epoch, 978307200) ELSE pushed_epoch END AS pushed_epoch, l.domain, l.subsystem,
+    CASE WHEN license IN ('MIT', 'Apache-2.0') THEN 'Permissive' WHEN license = 'GPL-3.0' THEN 'Copyleft' WHEN license = 'SSPL-1.0' THEN 'Fair-Core / Source-Available' ELSE 'Unknown / Unspecified' END AS tier,
+    concat_ws('|', l.subsystem, 'Application / Service', l.domain, t1, t2, CASE WHEN t1 <> t3 THEN t3 END) AS keywords, concat('git clone https://github.com/', full_name, '.git') AS quickstart_code FROM C JOIN lab l USING (id)"""))
 register("op_35_search_corpus", lambda s, d: C(s, d).select("id", text.search_corpus(F.col("name"), F.col("owner"), F.col("description"), F.array("t1", "t2")).alias("corpus")),
          oracle("SELECT id, lower(concat_ws(' ', name, owner, description, t1, t2)) AS corpus FROM C"))
 register("op_39_sql_projection", lambda s, d: sql.repos_view(cat(s, d), None).select("id", "full_name", "topics", "compatibility", "hook"),

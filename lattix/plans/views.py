@@ -31,8 +31,7 @@ _VIEWS = {
   FROM (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM {events} GROUP BY user_id, CAST(ts AS DATE)) e""",
     "D": "SELECT doc_id AS id, concat('doc-', CAST(doc_id AS STRING)) AS name, source AS owner, lang AS language, n_chars AS stars, text AS description FROM {documents}",
     "Q": "SELECT item_id AS qid, concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ', split_part(text, ' ', 4)) AS q FROM {benchmark}",
-    "P": """SELECT DISTINCT l_orderkey AS pool, l_partkey AS id FROM {lineitem}
-    WHERE l_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) BETWEEN 2 AND 6)""",
+    "P": "SELECT DISTINCT l_orderkey AS pool, l_partkey AS id FROM {lineitem}",
 }
 _NEEDS = {"T": ("C",), "K": ("C",), "H": ("C",)}
 _TABLES = ("part", "lineitem", "events", "documents", "benchmark")

@@ -23,7 +23,8 @@ def parse_lines(lines: DataFrame, schema: str = RAW) -> DataFrame:
     bad = F.col("r").isNull() | F.col("r.__bad").isNotNull() | ~F.trim("value").startswith("{") | ~F.trim("value").endswith("}")
     incomplete = blank_to_null(F.col("r.owner")).isNull() | blank_to_null(F.col("r.name")).isNull()
     state = F.when(bad, "bad").when(incomplete, "incomplete").otherwise("good")
-    return rows.select("value", state.alias("state"), "r.*").drop("__bad")
+    # a line that is no record has no fields, even where a parser would take some
+    return rows.select("value", state.alias("state"), F.when(~bad, F.col("r")).alias("r")).select("value", "state", "r.*").drop("__bad")
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
