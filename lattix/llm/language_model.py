@@ -13,10 +13,12 @@ text's score is the sum of log P(w) + log alpha(v) over its tokens, plus for eac
 
 How it scales: the model is a table of buckets. A pair lies in the bucket of its context's hash, so a context's sums are
 made in one place; a context with more than ``HOT`` occurrences is spread over several buckets by the next word, and its
-sums are added up. Buckets hold about ``BUCKET`` occurrences however large the corpus is: their number grows with it. Pairs,
+sums are added up. Buckets hold about ``BUCKET`` occurrences: their number grows with the corpus. Pairs,
 and later the occurrences to be scored, move as packed arrays, one per bucket and flush of a task, counted before they
 move; occurrences meet their bucket by an equi-join of groups, in ``SLICES`` passes whose shuffle files are freed in
-between, and send back one sum per document and bucket. The ``HEAD`` most frequent words get small numbers as codes and
+between, and send back one sum per document and bucket. A pair with more than 1 / ``COMMON_PAIRS`` of all occurrences never
+moves: there are fewer than that of them, and their values travel with the head. So no pair, however common, brings more
+than that share to its bucket. The ``HEAD`` most frequent words get small numbers as codes and
 travel as arrays of fixed size with their values; all others are looked up in buckets by their hash. Nothing is left out.
 The driver sees counts of counts and the head, both bounded.
 
@@ -27,6 +29,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -45,6 +48,8 @@ from .words import CACHE_WORDS, SEED, fold, mix, small
 #: Good-Turing discounts apply up to this count.
 K = 5
 HEAD = 1 << 18
+#: The pairs above this share of all occurrences (so less than so many) are scored where they occur.
+COMMON_PAIRS = 1 << 20
 #: Occurrences of a bucket, least number of buckets, occurrences beyond which a context is spread, passes of the evaluation.
 BUCKET = 500_000
 LEAST_BUCKETS = 256
@@ -131,14 +136,20 @@ def _by_count(df: DataFrame) -> dict[int, int]:
     return {c: n for c, n in df.groupBy(step.alias("c")).agg(F.count("*").alias("n")).collect()}
 
 
+@functools.cache
+def _codec() -> tuple:
+    """A worker's compressor and decompressor."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, compressed."""
-    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
+    return len(arrays[0]).to_bytes(8, "little") + _codec()[0].compress(b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    raw, out, at = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=n * sum(np.dtype(t).itemsize for t in types) or 1), [], 0
+    raw, out, at = _codec()[1].decompress(data[8:], max_output_size=n * sum(np.dtype(t).itemsize for t in types) or 1), [], 0
     for t in types:
         out.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
         at += n * np.dtype(t).itemsize
@@ -332,10 +343,16 @@ class Model:
         with np.errstate(divide="ignore"):
             self.logs = np.where(self.counts > 0, np.log10(prob), self.unknown)
         discard(words)
+        # the values of common pairs: fewer than COMMON_PAIRS, as their occurrences are no more than all
+        self.common, self.common_values = np.empty(0, dtype=np.uint64), np.empty(0)
+        parts = self.buckets.select("pairs", "words", "contexts").mapInArrow(_common(send(self.sent()), self.n // COMMON_PAIRS + 1), "key long, value double").toArrow()
+        keys, values = parts.column("key").to_numpy().view(np.uint64), parts.column("value").to_numpy()
+        order = np.argsort(keys)
+        self.common, self.common_values = keys[order], values[order]
 
     def sent(self) -> dict:
         """What tasks need, of fixed size."""
-        return {"counts": self.counts, "logs": self.logs, "alpha": self.alpha, "whole": self.whole, "d1": self.d1, "d2": self.d2, "total": self.total, "unknown": self.unknown, "den": self.n + 0.5 * (self.v + 1)}
+        return {"counts": self.counts, "logs": self.logs, "alpha": self.alpha, "whole": self.whole, "d1": self.d1, "d2": self.d2, "total": self.total, "unknown": self.unknown, "common": self.common, "common_values": self.common_values, "den": self.n + 0.5 * (self.v + 1)}
 
 
 _OCCURRENCES = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("data", pa.binary())])
@@ -360,6 +377,7 @@ def _occurrences(numbers, plan, sent, step: int, steps: int):
                 number = np.where(head, b, 0).astype(np.int64)
                 known, plain = np.where(head, m["counts"][number] > 0, 0), np.where(head, base[number], 0.0)
                 score = np.where(head, m["logs"][number], 0.0) + np.where(context, m["alpha"][np.where(context, a, 0).astype(np.int64)], 0.0)
+                score += _found(m["common"], m["common_values"], a, b)[1]
                 sums = [np.bincount(doc, weights=x, minlength=len(ids)) for x in (np.ones(len(doc)), known, plain, score)]
                 missing = np.array([i is None for i in ids], dtype="<u1")
                 found.append((2 * place.n + flush % place.n, pack(np.array([i or 0 for i in ids], dtype="<i8"), missing, *sums)))
@@ -367,6 +385,7 @@ def _occurrences(numbers, plan, sent, step: int, steps: int):
                 found += [(k, pack(x, y)) for k, (x, y) in _by_bucket(_word_buckets(b[rare], place.n), b[rare], doc[rare])]
             buckets = place.pairs(a, b)
             mine = np.flatnonzero(buckets % steps == step)
+            mine = mine[~_found(m["common"], m["common_values"], a[mine], b[mine])[0]]
             found += [(k, pack(x, y, z)) for k, (x, y, z) in _by_bucket(buckets[mine], a[mine], b[mine], doc[mine])]
             return pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([flush] * len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())], schema=_OCCURRENCES)
 
@@ -391,6 +410,43 @@ def _word_buckets(codes: np.ndarray, n: int) -> np.ndarray:
     return (mix(codes) % np.uint64(n)).astype(np.int32) + np.int32(n)
 
 
+def _values(m: dict, row: dict) -> tuple[np.ndarray, ...]:
+    """context, word, count, value and rest of a bucket's pairs: the entry less log alpha(v) + log P(w); log alpha(v) where v is not in the head."""
+    a, b, c = unpack(row["pairs"], "<u8", "<u8", "<i8")
+    code, count = unpack(row["words"], "<u8", "<i8")
+    own, whole, alpha = unpack(row["contexts"], "<u8", "<f8", "<f8")
+    rare, tail = b >= np.uint64(_TAIL), a >= np.uint64(_TAIL)
+    word = m["logs"][np.where(rare, 0, b).astype(np.int64)]
+    word[rare] = np.log10(_discounted(count[np.searchsorted(code, b[rare])], m["d1"]) / m["total"])
+    number, at = np.where(tail, 0, a).astype(np.int64), np.searchsorted(own, a[tail])
+    wholes, alphas = m["whole"][number], m["alpha"][number]
+    wholes[tail], alphas[tail] = whole[at], alpha[at]
+    return a, b, c, np.log10(_discounted(c, m["d2"]) / wholes) - alphas - word, np.where(tail, alphas, 0.0)
+
+
+def _common(sent, least: int):
+    """key, value of the pairs with more than ``least`` occurrences."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b, c, value, rest = _values(sent.value, row)
+                hot = c > least
+                yield pa.record_batch([pa.array(pair_keys(a[hot], b[hot]).view(np.int64)), pa.array((value + rest)[hot])], names=["key", "value"])
+
+    return run
+
+
+def _found(keys: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are among the sorted keys, and the values of all (0 for the others)."""
+    key = pair_keys(a, b)
+    if not len(keys):
+        return np.zeros(len(key), dtype=bool), np.zeros(len(key))
+    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = keys[place] == key
+    return hit, np.where(hit, values[place], 0.0)
+
+
 _SUMS = pa.schema([("flush", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
 SUMS = "flush long, whole boolean, data binary"
 
@@ -401,16 +457,8 @@ def _evaluate(sent, n: int):
     def pairs(m: dict, row: dict | None):
         if row is None:
             return lambda a, b: (np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a)))
-        a, b, c = unpack(row["pairs"], "<u8", "<u8", "<i8")
-        code, count = unpack(row["words"], "<u8", "<i8")
-        own, whole, alpha = unpack(row["contexts"], "<u8", "<f8", "<f8")
-        rare, tail = b >= np.uint64(_TAIL), a >= np.uint64(_TAIL)
-        word = m["logs"][np.where(rare, 0, b).astype(np.int64)]
-        word[rare] = np.log10(_discounted(count[np.searchsorted(code, b[rare])], m["d1"]) / m["total"])
-        number, at = np.where(tail, 0, a).astype(np.int64), np.searchsorted(own, a[tail])
-        wholes, alphas = m["whole"][number], m["alpha"][number]
-        wholes[tail], alphas[tail] = whole[at], alpha[at]
-        value = np.log10(_discounted(c, m["d2"]) / wholes) - alphas - word
+        a, b, _, value, _ = _values(m, row)
+        own, _, alpha = unpack(row["contexts"], "<u8", "<f8", "<f8")
         keys = pair_keys(a, b)
         order = np.argsort(keys)
         keys, value = keys[order], value[order]

@@ -12,7 +12,7 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from lattix.llm import lexical, toxicity, whitening
+from lattix.llm import language_model, lexical, toxicity, whitening
 from lattix.llm.queries import ORACLES, QUERIES
 
 # 11
@@ -262,3 +262,27 @@ def test_search_odd(spark):
     assert lexical.search(docs.limit(0), items).collect() == []
     assert lexical.search(docs, items.limit(0)).collect() == []
     assert lexical.search(docs.where("doc_id > 5"), items).collect() == []
+
+
+# 3
+
+
+@pytest.mark.parametrize("share", [1 << 20, 64, 4])
+def test_common_pairs_are_scored_where_they_occur(spark, monkeypatch, share):
+    """One pair is a third of all tokens; scores don't depend on what is scored where, and the pair brings nothing to its bucket."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(["hot pair"] * 6 + [f"w{k}" for k in rng.integers(0, 60, 6)]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(language_model, "COMMON_PAIRS", 1)
+    plain = {r["doc_id"]: r["score"] for r in language_model.score(docs, language_model.Model(docs)).collect()}
+    monkeypatch.setattr(language_model, "COMMON_PAIRS", share)
+    model = language_model.Model(docs)
+    assert len(model.common) < share + 1
+    found = {r["doc_id"]: r["score"] for r in language_model.score(docs, model).collect()}
+    assert all(math.isclose(found[i], plain[i], rel_tol=1e-12) for i in plain) and len(found) == 400
+    if share > 4:
+        sent = spark.sparkContext.broadcast(model.sent())
+        rows = docs.select("doc_id", "text").mapInArrow(language_model._occurrences(model.numbers, model.plan, sent, 0, 1), "bucket int, flush long, data binary").where(F.col("bucket") < model.place.n).collect()
+        moved = [language_model.unpack(r["data"], "<u8", "<u8", "<u4") for r in rows]
+        assert sum(len(a) for a, _, _ in moved) <= (1 - 1 / 3) * model.n
+        assert max((len(a) for a, _, _ in moved), default=0) <= max(2 * model.n / share, 400)
