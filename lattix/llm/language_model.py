@@ -16,9 +16,9 @@ made in one place; a context with more than ``HOT`` occurrences is spread over s
 sums are added up. Buckets hold about ``BUCKET`` occurrences: their number grows with the corpus. Pairs,
 and later the occurrences to be scored, move as packed arrays, one per bucket and flush of a task, counted before they
 move; occurrences meet their bucket by an equi-join of groups, in ``SLICES`` passes whose shuffle files are freed in
-between, and send back one sum per document and bucket. A pair with more than 1 / ``COMMON_PAIRS`` of all occurrences never
-moves: there are fewer than that of them, and their values travel with the head. So no pair, however common, brings more
-than that share to its bucket. The ``HEAD`` most frequent words get small numbers as codes and
+between, and send back one sum per document and bucket. A pair with more than a quarter of a bucket's
+occurrences never moves: its value travels with the head. There are at most ``COMMON_PAIRS`` of these (beyond 1.3e11 tokens
+those with more than that share of all occurrences), so no pair, however common, brings more to its bucket. The ``HEAD`` most frequent words get small numbers as codes and
 travel as arrays of fixed size with their values; all others are looked up in buckets by their hash. Nothing is left out.
 The driver sees counts of counts and the head, both bounded.
 
@@ -48,7 +48,7 @@ from .words import CACHE_WORDS, SEED, fold, mix, small
 #: Good-Turing discounts apply up to this count.
 K = 5
 HEAD = 1 << 18
-#: The pairs above this share of all occurrences (so less than so many) are scored where they occur.
+#: Pairs with more than a quarter of a bucket's occurrences are scored where they occur, so many of them at most.
 COMMON_PAIRS = 1 << 20
 #: Occurrences of a bucket, least number of buckets, occurrences beyond which a context is spread, passes of the evaluation.
 BUCKET = 500_000
@@ -343,9 +343,9 @@ class Model:
         with np.errstate(divide="ignore"):
             self.logs = np.where(self.counts > 0, np.log10(prob), self.unknown)
         discard(words)
-        # the values of common pairs: fewer than COMMON_PAIRS, as their occurrences are no more than all
+        # the values of common pairs: no more than COMMON_PAIRS, as their occurrences are no more than all
         self.common, self.common_values = np.empty(0, dtype=np.uint64), np.empty(0)
-        parts = self.buckets.select("pairs", "words", "contexts").mapInArrow(_common(send(self.sent()), self.n // COMMON_PAIRS + 1), "key long, value double").toArrow()
+        parts = self.buckets.select("pairs", "words", "contexts").mapInArrow(_common(send(self.sent()), max(BUCKET // 4, self.n // COMMON_PAIRS)), "key long, value double").toArrow()
         keys, values = parts.column("key").to_numpy().view(np.uint64), parts.column("value").to_numpy()
         order = np.argsort(keys)
         self.common, self.common_values = keys[order], values[order]
