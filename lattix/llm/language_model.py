@@ -344,15 +344,17 @@ class Model:
             self.logs = np.where(self.counts > 0, np.log10(prob), self.unknown)
         discard(words)
         # the values of common pairs: no more than COMMON_PAIRS, as their occurrences are no more than all
-        self.common, self.common_values = np.empty(0, dtype=np.uint64), np.empty(0)
-        parts = self.buckets.select("pairs", "words", "contexts").mapInArrow(_common(send(self.sent()), max(BUCKET // 4, self.n // COMMON_PAIRS)), "key long, value double").toArrow()
-        keys, values = parts.column("key").to_numpy().view(np.uint64), parts.column("value").to_numpy()
+        self.common, self.common_values, self.common_contexts = np.empty(0, dtype=np.uint64), np.empty(0), np.zeros(HEAD + 1, dtype=bool)
+        parts = self.buckets.select("pairs", "words", "contexts").mapInArrow(_common(send(self.sent()), max(BUCKET // 4, self.n // COMMON_PAIRS)), "key long, context long, value double").toArrow()
+        keys, contexts, values = (parts.column(c).to_numpy() for c in ("key", "context", "value"))
+        keys, contexts = keys.view(np.uint64), contexts.view(np.uint64)
+        self.common_contexts[np.minimum(contexts, np.uint64(HEAD)).astype(np.int64)] = True
         order = np.argsort(keys)
         self.common, self.common_values = keys[order], values[order]
 
     def sent(self) -> dict:
         """What tasks need, of fixed size."""
-        return {"counts": self.counts, "logs": self.logs, "alpha": self.alpha, "whole": self.whole, "d1": self.d1, "d2": self.d2, "total": self.total, "unknown": self.unknown, "common": self.common, "common_values": self.common_values, "den": self.n + 0.5 * (self.v + 1)}
+        return {"counts": self.counts, "logs": self.logs, "alpha": self.alpha, "whole": self.whole, "d1": self.d1, "d2": self.d2, "total": self.total, "unknown": self.unknown, "common": self.common, "common_values": self.common_values, "common_contexts": self.common_contexts, "den": self.n + 0.5 * (self.v + 1)}
 
 
 _OCCURRENCES = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("data", pa.binary())])
@@ -372,20 +374,20 @@ def _occurrences(numbers, plan, sent, step: int, steps: int):
         def close():
             a, b, doc = _together(parts, "<u8", "<u8", "<u4")
             found = []
+            common, value = _found(m, a, b)
             if step == 0:
                 head, context = b < HEAD, a < HEAD
                 number = np.where(head, b, 0).astype(np.int64)
                 known, plain = np.where(head, m["counts"][number] > 0, 0), np.where(head, base[number], 0.0)
                 score = np.where(head, m["logs"][number], 0.0) + np.where(context, m["alpha"][np.where(context, a, 0).astype(np.int64)], 0.0)
-                score += _found(m["common"], m["common_values"], a, b)[1]
+                score += value
                 sums = [np.bincount(doc, weights=x, minlength=len(ids)) for x in (np.ones(len(doc)), known, plain, score)]
                 missing = np.array([i is None for i in ids], dtype="<u1")
                 found.append((2 * place.n + flush % place.n, pack(np.array([i or 0 for i in ids], dtype="<i8"), missing, *sums)))
                 rare = np.flatnonzero(~head)
                 found += [(k, pack(x, y)) for k, (x, y) in _by_bucket(_word_buckets(b[rare], place.n), b[rare], doc[rare])]
             buckets = place.pairs(a, b)
-            mine = np.flatnonzero(buckets % steps == step)
-            mine = mine[~_found(m["common"], m["common_values"], a[mine], b[mine])[0]]
+            mine = np.flatnonzero((buckets % steps == step) & ~common)
             found += [(k, pack(x, y, z)) for k, (x, y, z) in _by_bucket(buckets[mine], a[mine], b[mine], doc[mine])]
             return pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([flush] * len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())], schema=_OCCURRENCES)
 
@@ -425,26 +427,29 @@ def _values(m: dict, row: dict) -> tuple[np.ndarray, ...]:
 
 
 def _common(sent, least: int):
-    """key, value of the pairs with more than ``least`` occurrences."""
+    """key, context, value of the pairs with more than ``least`` occurrences."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 a, b, c, value, rest = _values(sent.value, row)
                 hot = c > least
-                yield pa.record_batch([pa.array(pair_keys(a[hot], b[hot]).view(np.int64)), pa.array((value + rest)[hot])], names=["key", "value"])
+                yield pa.record_batch([pa.array(pair_keys(a[hot], b[hot]).view(np.int64)), pa.array(a[hot].view(np.int64)), pa.array((value + rest)[hot])], names=["key", "context", "value"])
 
     return run
 
 
-def _found(keys: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are among the sorted keys, and the values of all (0 for the others)."""
-    key = pair_keys(a, b)
-    if not len(keys):
-        return np.zeros(len(key), dtype=bool), np.zeros(len(key))
-    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = keys[place] == key
-    return hit, np.where(hit, values[place], 0.0)
+def _found(m: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are common ones, and the values of all (0 for the others); contexts that no common pair has are passed over."""
+    hit, value, keys = np.zeros(len(a), dtype=bool), np.zeros(len(a)), m["common"]
+    flags = m["common_contexts"]  # one for each head word, and one for all other contexts
+    at = np.flatnonzero(flags[np.minimum(a, np.uint64(len(flags) - 1)).astype(np.int64)])
+    if len(keys) and len(at):
+        key = pair_keys(a[at], b[at])
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit[at] = keys[place] == key
+        value[at] = np.where(hit[at], m["common_values"][place], 0.0)
+    return hit, value
 
 
 _SUMS = pa.schema([("flush", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
