@@ -139,10 +139,9 @@ SIMILARITY = 0.8
 #: A text's least shingles under BANDS x ROWS hashes, ROWS at a time, are its keys. Two texts alike in 0.8 share no key
 #: with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million, whatever their length.
 BANDS, ROWS = 24, 4
-#: Keys for the texts of common keys: of FINE hashes, so many draws of so many. Texts alike in 0.8 share none with a
-#: chance of a few in 1,000 (in 0.82 and more: about none); those alike in 0.6 share one with a chance of 2 in 100.
-FINE, FINE_BANDS, FINE_ROWS = 1024, 600, 20
-_DRAWS = np.argsort(mix(np.arange(5000, 5000 + FINE * FINE_BANDS, dtype=np.uint64)).reshape(FINE_BANDS, FINE), 1)[:, :FINE_ROWS]
+#: Texts of common keys meet by their rarest shingles: 2 ** CELLS cells count shingles, and sizes within about 5 % share a band.
+CELLS = 22
+BAND = 1.05
 
 
 def shingle_hashes(words: list[bytes], cache: WordHashes, width: int) -> np.ndarray:
@@ -173,19 +172,45 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return _joined(_least(shingles, BANDS * ROWS, 1).reshape(BANDS, ROWS))
 
 
-def fine_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys that only texts with much in common share."""
-    return _joined(_least(shingles, FINE, 10_000)[_DRAWS])
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
-def _sketch(width: int, keys_of=band_keys):
+def _size_band(size) -> np.ndarray:
+    return np.floor(np.log(size) / np.log(BAND)).astype(np.int64)
+
+
+def prefix_keys(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text from its distinct shingles, and for each how many shingles are left from its place on.
+
+    Shingles stand in order from the rarest cell of ``counts`` to the commonest. Texts of sizes n and s that are alike have
+    at least ``similarity / (1 + similarity) * (n + s)`` shingles in common, and the first of these has as many left in both.
+    So a shingle is a key towards a band of sizes only if enough are left from it on, and one whose cell counts one text is
+    none. A key is a shingle with the size bands of both sides, the smaller first: texts alike always share one.
+    """
+    n, share = len(shingles), similarity / (1 + similarity)
+    held = counts[_cells(shingles)]
+    order = np.lexsort((shingles, held))
+    ranked, shared = shingles[order], held[order] > 1
+    own = int(_size_band(n))
+    keys, left = [], []
+    for band in range(int(_size_band(max(1, np.ceil(similarity * n - 1e-6)))), int(_size_band(np.floor(n / similarity + 1e-6))) + 1):
+        least = max(BAND**band * (1 - 1e-9), similarity * n)
+        places = np.flatnonzero(shared[: max(0, int(n + 1 - share * (n + least) + 1e-6))])
+        bands = mix(np.array([min(own, band) * 4096 + max(own, band)], dtype=np.uint64))
+        keys.append(mix(ranked[places] ^ bands))
+        left.append(n - places)
+    return np.concatenate(keys).view(np.int64), np.concatenate(left)
+
+
+def _sketch(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
         for ids, texts in rows(batches):
             found = [shingle_hashes(fold(t), cache, width) for t in texts]
-            keys = pa.array([keys_of(s) for s in found], schema.field("keys").type)
+            keys = pa.array([band_keys(s) for s in found], schema.field("keys").type)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), keys], schema=schema)
 
     return run
@@ -194,6 +219,37 @@ def _sketch(width: int, keys_of=band_keys):
 SKETCH = "doc_id long, shingles long, keys array<long>"
 
 
+def _counted(width: int):
+    """cell, n: how many texts of a task have a shingle in each cell (repeats of a cell in one text count)."""
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        cache, counts = WordHashes(), np.zeros(1 << CELLS, dtype=np.int32)
+        for _, texts in rows(batches):
+            for t in texts:
+                np.add.at(counts, _cells(shingle_hashes(fold(t), cache, width)), 1)
+        found = np.flatnonzero(counts)
+        for k in range(0, len(found), 100_000):
+            some = found[k : k + 100_000]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], schema=schema)
+
+    return run
+
+
+def _prefixes(width: int, similarity: float, shared):
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64())), ("left", pa.list_(pa.int64()))])
+
+    def run(batches):
+        cache, counts = WordHashes(), shared.value
+        for ids, texts in rows(batches):
+            found = [shingle_hashes(fold(t), cache, width) for t in texts]
+            both = [prefix_keys(f, counts, similarity) for f in found]
+            keys, left = (pa.array([b[k] for b in both], schema.field("keys").type) for k in (0, 1))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(f) for f in found], pa.int64()), keys, left], schema=schema)
+
+    return run
+
+
 def _alike(width: int, similarity: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])  # rows are b, a and their texts, in the order of b
 
@@ -235,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates: texts that share a key (``BANDS``). Copies count once, with their number. A key of up to ``SMALL`` texts
     yields their pairs. The texts of a commoner one are first held against two of them: the one whose keys are shared
     most, as those of a family's origin are, and one picked by a hash. Whatever is not linked by then is held against all
-    texts that have much in common with it (see ``_apart``): only the texts of the largest class there need not meet. Rows of one id (or none) are told apart by ``first_of_each``; here such rows
+    texts with which it shares one of its rarest shingles (see ``_apart``): only the texts of the largest class there need not meet. Rows of one id (or none) are told apart by ``first_of_each``; here such rows
     with equal texts share their class, and rows with a null id are left out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -263,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(found, "near-candidates")
     sure = _verified(found, base, width, similarity)
 
-    rest = _apart(large, sure, base, width, alike)
+    rest = _apart(large, sure, base, width, similarity)
     if rest is not None:
         rest = stage(rest.join(found, ["a", "b"], "left_anti"), "near-candidates")
         sure = sure.unionByName(_verified(rest, base, width, similarity))
@@ -272,27 +328,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(classed, "same").select("doc_id", "component_id")
 
 
-def _apart(large: DataFrame, sure: DataFrame, base: DataFrame, width: int, alike) -> DataFrame | None:
+def _apart(large: DataFrame, sure: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame | None:
     """a, b: pairs of texts of common keys that the links so far leave in two classes; None without any.
 
-    What common keys stand for is mostly a passage; so these texts get keys that need much more in common, and only texts
-    of two classes that share such a key are paired.
+    What common keys stand for is mostly a passage or a template; so these texts meet by their rarest shingles
+    (``prefix_keys``), which finds every pair that is alike, and only texts of two classes that share such a key are
+    paired. How rare a shingle is comes from one table of 2 ** ``CELLS`` counts, whose size doesn't depend on the texts.
     """
     if large.isEmpty():
         return None
+    spark = base.sparkSession
     linked = components(sure).select(F.col("node").alias("doc_id"), "component")
-    named = large.join(linked, "doc_id", "left").select("key", "doc_id", "shingles", F.coalesce("component", "doc_id").alias("class"))
-    # texts alike share several keys: with one alone, about 6 in 100,000
-    open_ = _divided(stage(named, "near-named"), "key").groupBy("doc_id", "class").agg(F.count("*").alias("k")).where("k > 1")
-    open_ = stage(open_.select("doc_id", "class"), "near-mixed")
-    fine = base.join(few(open_.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sketch(width, fine_keys), SKETCH)
-    fine = stage(fine.join(open_, "doc_id").select(F.explode("keys").alias("key"), "doc_id", "shingles", "class"), "near-fine")
-    open_ = stage(_divided(fine, "key"), "near-apart")
+    named = large.join(linked, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+    open_ = stage(_divided(stage(named, "near-named"), "key").select("doc_id", "class").distinct(), "near-mixed")
+    texts = stage(base.join(few(open_.select("doc_id")), "doc_id", "left_semi"), "near-open-texts")
+    cells = texts.mapInArrow(_counted(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(1 << CELLS, dtype=np.int32)
+    counts[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), np.iinfo(np.int32).max)
+    shared = spark.sparkContext.broadcast(counts)
+    keyed = texts.mapInArrow(_prefixes(width, similarity, shared), "doc_id long, shingles long, keys array<long>, left array<long>")
+    keyed = keyed.select("doc_id", "shingles", F.explode(F.arrays_zip("keys", "left")).alias("k")).select("doc_id", "shingles", F.col("k.keys").alias("key"), F.col("k.left").alias("left"))
+    keyed = stage(keyed.join(open_, "doc_id"), "near-prefixes")
+    open_ = stage(_divided(keyed, "key"), "near-apart")
     if open_.isEmpty():
         return None
-    x = open_.where("class <> most").select("key", F.col("doc_id").alias("x"), F.col("shingles").alias("sx"), F.col("class").alias("cx"))
-    y = open_.select("key", F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), F.col("class").alias("cy"))
-    pairs = x.join(y, "key").where("cx <> cy").where(alike)
+    x = open_.where("class <> most").select("key", F.col("doc_id").alias("x"), F.col("shingles").alias("sx"), F.col("left").alias("lx"), F.col("class").alias("cx"))
+    y = open_.select("key", F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), F.col("left").alias("ly"), F.col("class").alias("cy"))
+    enough = F.least("lx", "ly") >= similarity / (1 + similarity) * (F.col("sx") + F.col("sy")) - 1e-6
+    pairs = x.join(y, "key").where("cx <> cy").where(enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

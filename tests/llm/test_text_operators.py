@@ -181,10 +181,47 @@ def test_pairs_of_every_length_share_a_key(size):
             other[int(rng.integers(5, size - 5))] = b"too"
         x, y = (simhash.shingle_hashes(w, cache, 5) for w in (words, other))
         if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
-            missed += not (simhash.band_keys(x) == simhash.band_keys(y)).any() or not (simhash.fine_keys(x) == simhash.fine_keys(y)).any()
+            missed += not (simhash.band_keys(x) == simhash.band_keys(y)).any()
+            counts = np.ones(1 << simhash.CELLS, dtype=np.int32)
+            counts[simhash._cells(np.intersect1d(x, y))] = 2
+            missed += not len(np.intersect1d(simhash.prefix_keys(x, counts, 0.8)[0], simhash.prefix_keys(y, counts, 0.8)[0]))
     assert missed == 0
 
 
+def test_prefix_keys_lose_no_pair():
+    rng = np.random.default_rng(11)
+    pool, texts = rng.integers(0, 2**63, 5000, dtype=np.uint64), []
+    for _ in range(60):  # families of texts with parts of a common pool, of sizes that differ
+        base = rng.choice(pool, int(rng.integers(5, 400)), replace=False)
+        for _ in range(8):
+            own = rng.integers(0, 2**63, int(rng.integers(0, 1 + len(base) // 12)), dtype=np.uint64)
+            texts.append(np.unique(np.concatenate([rng.choice(base, max(1, int(len(base) * rng.uniform(0.88, 1))), replace=False), own])))
+    counts = np.zeros(1 << simhash.CELLS, dtype=np.int32)
+    for t in texts:
+        np.add.at(counts, simhash._cells(t), 1)
+    keys = [simhash.prefix_keys(t, counts, 0.8)[0] for t in texts]
+    near = met = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(texts[a], texts[b]))
+        if both >= 0.8 * (len(texts[a]) + len(texts[b]) - both):
+            near, met = near + 1, met + bool(len(np.intersect1d(keys[a], keys[b])))
+    assert met == near > 200
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_texts_of_a_template_make_no_candidates(spark, n, monkeypatch):
+    """Texts alike in 0.77 share most of their words, and still meet hardly any other."""
+    rng = np.random.default_rng(12)
+    common = [f"c{x}" for x in range(175)]
+    texts = [(i, " ".join([*common, *(f"own{i}x{x}" for x in rng.integers(0, 10**6, 25))])) for i in range(n)]
+    tried = []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda found, *rest: tried.append(found.count()) or verified(found, *rest))
+    got = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == n
+    assert sum(tried[1:]) == 0 and tried[0] <= 2 * simhash.BANDS * n
+
+
 # 2
 
 
