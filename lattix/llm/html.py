@@ -4,7 +4,9 @@ The page becomes a tree of elements. Every paragraph (a block with text of its o
 commas; all of them go to its container, half to the container above, and smaller parts further up. A container's score
 is discounted by its link density. The best container is kept together with those of its siblings that score well enough
 or are plain paragraphs with few links; menus, forms, adverts, notices, comments of readers and other furniture are
-taken out by tag, role and class words before and inside the container.
+taken out by tag, role and class words before and inside the container. Class words that may also name a part of an article
+(``discussion``, ``promotion``, ``alert`` and the like) count inside it only with a second sign: a form, links, other
+furniture within, or no text that reads like a part.
 
 How it scales: pages are independent; one pass, no shuffle, Arrow batches. The tree of one page is all that is held. Work
 grows with a page's length, whatever its markup: no pattern tries a place twice, elements nested deeper than ``DEPTH`` become
@@ -43,10 +45,18 @@ DROPPED = frozenset("head script style template iframe object embed svg audio vi
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status".split())
 #: Words in class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and readers' comments.
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|toolbar|skip-?link|masthead|site-?header|page-?header|footer|sidebar|side-?bar|widget\w*|"
-    r"cookies?|consent|gdpr|notice|banner|popup|modal|overlay|alert|ads?|adbox|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscribe|signup|login|"
-    r"comments?|comment-?list|discuss\w*|disqus|respond|repl(?:y|ies)|reader-?comments?|visually-hidden|sr-only)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|toolbar|skip-?link|masthead|site-?header|page-?header|footer|sidebar|side-?bar|"
+    r"cookies?|consent|gdpr|notice|popup|modal|ads?|adbox|advert\w*|adsense|newsletter|subscribe|signup|login|"
+    r"comments?|comment-?list|disqus|repl(?:y|ies)|reader-?comments?|visually-hidden|sr-only)(?:$|[\s_-])", re.I
 )
+#: Words that mark the same, but may also name a part of an article (a section "Discussion", a promoted captain).
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:widget\w*|banner|overlay|alert|sponsor\w*|promo\w*|discuss\w*|respond)(?:$|[\s_-])", re.I)
+_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|entry|post)-?(?:body|content|text)(?:$|[\s_-])", re.I)
+#: Elements that are parts of running text by themselves; others need a heading and a paragraph.
+_RUNNING = frozenset("section p pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 li dd td table".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inside an article, a part with a doubtful word goes if more of its characters than this are in links.
+LINKS = 0.1
 _CONTENT = re.compile(r"article|body|content|entry|main|post|story|text|prose|blog", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A tag ends at > outside quotes; one that meets another < before it is broken, and ends there.
@@ -61,7 +71,7 @@ DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "attributes", "score", "chars", "linked", "depth", "out")
+    __slots__ = ("tag", "parent", "items", "attributes", "score", "chars", "linked", "depth", "out", "running")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict):
         self.tag, self.parent, self.attributes = tag, parent, attributes
@@ -69,6 +79,10 @@ class Node:
         self.score, self.chars, self.linked = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent is not None else 0
         self.out: bool | None = None
+        self.running = False  # a part of an article's running text, see ``parts``
+
+    def names(self) -> str:
+        return f"{self.attributes.get('class', '')} {self.attributes.get('id', '')}"
 
     def furniture(self) -> bool:
         if self.out is None:
@@ -83,8 +97,32 @@ class Node:
             return False
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES or _HIDDEN.search(a.get("style", "")):
             return True
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        return bool(_FURNITURE.search(names)) and self.tag not in ("body", "html", "article", "main") and not (self.tag != "section" and re.search(r"(?:^|[\s_-])(?:article|main|entry|post)-?(?:body|content|text)(?:$|[\s_-])", names, re.I))
+        names = self.names()
+        if self.tag in ("body", "html", "article", "main") or self.tag != "section" and _ARTICLE.search(names):
+            return False
+        return bool(_FURNITURE.search(names)) or bool(_DOUBTFUL.search(names)) and not self.running
+
+
+def parts(nodes: list[Node]) -> None:
+    """Mark which nodes with a doubtful word are running text: inside an article, without a form and with few links, and
+    either such an element by itself or with a heading and a paragraph of its own. Two passes over the nodes."""
+    inside, facts = {}, {}
+    for node in nodes:
+        inside[id(node)] = node.parent is not None and (inside[id(node.parent)] or node.parent.tag in ("article", "main") or bool(_ARTICLE.search(node.parent.names())))
+    for node in reversed(nodes):  # children before their parents
+        chars = linked = 0
+        form, heading, paragraph = node.tag in ("form", "input", "button", "textarea"), node.tag in _HEADINGS, False
+        comments = bool(node.attributes) and bool(_FURNITURE.search(node.names()))
+        for item in node.items:
+            if isinstance(item, str):
+                chars += len(item.strip())
+            elif id(item) in facts:
+                one = facts.pop(id(item))
+                chars, linked, form, heading, paragraph, comments = chars + one[0], linked + one[1], form or one[2], heading or one[3], paragraph or one[4], comments or one[5]
+        paragraph = paragraph or node.tag == "p" and chars >= LEAST
+        facts[id(node)] = chars, chars if node.tag == "a" else linked, form, heading, paragraph, comments
+        sound = inside[id(node)] and not form and not comments and linked <= LINKS * chars
+        node.running = sound and (node.tag in _RUNNING or heading and paragraph)
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -167,6 +205,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 deep.append(tag)
     if last < len(page):
         at.items.append(page[last:])
+    if any(n.attributes and _DOUBTFUL.search(n.names()) for n in nodes):
+        parts(nodes)
     return root, nodes
 
 
@@ -229,8 +269,7 @@ def score(root: Node, nodes: list[Node]) -> list[Node]:
         while holder is not None and level < 6:
             if id(holder) not in seen:
                 seen[id(holder)] = holder
-                names = f"{holder.attributes.get('class', '')} {holder.attributes.get('id', '')}"
-                holder.score += (10 if holder.tag in ("article", "main") else 0) + (10 if _CONTENT.search(names) else 0)
+                holder.score += (10 if holder.tag in ("article", "main") else 0) + (10 if _CONTENT.search(holder.names()) else 0)
             holder.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
             holder, level = holder.parent, level + 1
     for node in reversed(nodes):  # children before their parents

@@ -643,10 +643,88 @@ def test_text_inside_the_article_stays():
     assert "x = 1" in got[7] and "a label" in got[8] + got[7] and got[-2:] == ["set", "no script"]
 
 
+@pytest.mark.parametrize("word", ["widget-text", "banner", "overlay", "alert", "sponsors", "promotion", "discussion", "respond"])
+def test_doubtful_words_need_a_second_sign(word):
+    para = "A paragraph of the article, which is long enough, and has commas."
+    stays = [f'<section class="{word}"><h2>Part</h2><p>{para}</p></section>', f'<p class="{word}">A promoted captain, or a discussion.</p>', f'<div id="{word}"><h3>Part</h3><p>{para} See <a href="x">it</a>.</p></div>']
+    goes = [
+        f'<div class="{word}">Buy now, cheap, cheap!</div>', f'<section class="{word}"><h3>Say it</h3><p>{para}</p><form><input name=q></form></section>',
+        f'<div class="{word}"><h3>More</h3><p><a href="x">{para}</a></p></div>', f'<section class="{word}"><h3>Voices</h3><div class="comment"><p>{para}</p></div></section>',
+    ]
+    for body in ("article", "div class='post-content'"):
+        for part in stays + goes:
+            got = html.main_text(f"<body><{body}><h1>Title</h1><p>{para}</p>{part}<p>{para}</p></{body.split()[0]}></body>").split("\n")
+            assert got[:2] == ["Title", para] and got[-1] == para and (len(got) > 3) == (part in stays)
+    outside = html.main_text(f"<body><article><p>{para}</p></article><section class='{word}'><h2>Part</h2><p>{para}</p></section></body>")
+    assert outside == para
+
+
+def plain_text(page: str) -> str:
+    """Tree scoring as it is described, over well-formed pages whose text all stands in paragraphs."""
+    import xml.etree.ElementTree as tree
+
+    root = tree.fromstring(page)
+    above = {child: parent for parent in root.iter() for child in parent}
+
+    def line(e):
+        return [e, *line(above[e])] if e in above else [e]
+
+    paragraphs = [p for p in root.iter("p") if not any(e.get("class") == "sidebar" for e in line(p))]
+    text = {p: " ".join("".join(p.itertext()).split()) for p in paragraphs}
+    linked = {p: min(len(text[p]), sum(len(a.text.strip()) for a in p.iter("a"))) for p in paragraphs}
+    paragraphs = [p for p in paragraphs if text[p]]
+
+    def density(e):
+        under = [p for p in paragraphs if e in line(p)]
+        return sum(linked[p] for p in under) / max(1, sum(len(text[p]) for p in under))
+
+    scores = {}
+    for p in paragraphs:
+        if len(text[p]) >= html.LEAST:
+            points = 1 + text[p].count(",") + min(3, len(text[p]) // 100)
+            for level, e in enumerate(line(above[p])[:6]):
+                scores[e] = scores.get(e, 10.0 if e.get("class") == "content" else 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+    if not scores:
+        return "\n".join(text[p] for p in paragraphs)
+    scores = {e: score * (1 - density(e)) for e, score in scores.items()}
+    best = max(scores, key=scores.get)
+    if best is root:
+        return "\n".join(text[p] for p in paragraphs)
+    bar = max(10.0, 0.2 * scores[best])
+    kept = {best}
+    for e in above[best]:
+        if scores.get(e, 0) >= bar and density(e) < 0.5 or e.tag == "p" and e in paragraphs and density(e) < 0.25:
+            kept.add(e)
+    return "\n".join(text[p] for p in paragraphs if kept & set(line(p)))
+
+
+def test_scores_by_a_plain_version():
+    rng = np.random.default_rng(17)
+
+    def paragraph():
+        words = [str(rng.choice(["word", "longer-word,", "text", "more,", "and"])) for _ in range(int(rng.integers(0, 60)))]
+        if words and rng.random() < 0.4:
+            at = int(rng.integers(0, len(words)))
+            words[at:] = ["<a>" + " ".join(words[at:]) + "</a>"]
+        return "<p>" + " ".join(words) + "</p>"
+
+    def element(depth):
+        inner = "".join(element(depth + 1) if depth < 5 and rng.random() < 0.45 else paragraph() for _ in range(int(rng.integers(1, 5))))
+        return "<div{}>{}</div>".format(rng.choice(["", "", "", ' class="content"', ' class="sidebar"']), inner)
+
+    parts = 0
+    for _ in range(400):
+        page = "<body>" + "".join(element(0) for _ in range(int(rng.integers(1, 4)))) + "</body>"
+        want = plain_text(page)
+        assert html.main_text(page) == want, page
+        parts += 0 < len(want) < sum(len(p) for p in page.split("<p>")) / 2
+    assert parts > 40
+
+
 PARA = "some words, with a comma, that are long enough to count as one paragraph here. "
 HOSTILE = {
     "nested": ("<div>" * 20_000 + PARA + "</div>" * 20_000) * 3, "texts": ("<div>" + PARA) * 12_000, "quotes": '<a b="' * 160_000, "mixed": "<a b='x\" " * 90_000 + PARA,
-    "last": "<a <a <a " * 100_000 + "' > " + PARA, "inline": "<i><b>" * 100_000 + PARA + "</u>" * 100_000, "script": "<script>" * 120_000, "inner": ("<p>" + "<i>" * 600 + PARA) * 500,
+    "last": "<a <a <a " * 100_000 + "' > " + PARA, "inline": "<i><b>" * 100_000 + PARA + "</u>" * 100_000, "script": "<script>" * 120_000, "doubtful": ("<div class=promo>" * 600 + PARA) * 40, "inner": ("<p>" + "<i>" * 600 + PARA) * 500,
 }
 
 
