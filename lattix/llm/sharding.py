@@ -3,7 +3,8 @@
 Every row has a size and may share links (hyperedges, here: equal texts) with others. Rows start on hashed shards.
 In each round the links count their rows by shard, every linked row wishes to move to the shard that holds most of
 its neighbours (a link too large for one shard: to one of the few that its bytes need), and a wish is granted while the
-target's quota lasts. Targets are picked anew each round among the shards that have room, until no row wishes to move.
+target's quota lasts. Targets are picked anew each round among the shards that have room, until no row wishes to
+move or ``ROUNDS`` are over; rows that still wish to move then stay where they are, so more links may be cut but no row is lost.
 A row that has no link fills what the linked rows leave free, so all shards end within one row of the same number of bytes.
 
 How it scales: links are joined on a 128-bit key and counted with map-side sums, so a link that holds a third of all
@@ -62,7 +63,7 @@ def _tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of label propagation over (doc_id, row, size, text_crc32, link, label), until no row wishes to move.
+    """Rounds of label propagation over (doc_id, row, size, text_crc32, link, label), until no row wishes to move or ``rounds`` are over.
 
     A link of G bytes needs k = ceil(G / capacity) shards. Its targets are the k shards with most of its rows among those
     that have room for its share there (G / k); ties go to the larger hash of link and shard. Where too few of the
