@@ -58,6 +58,7 @@ def activity(epoch: Column, archived: Column, as_of: int) -> Column:
     )
 
 
+#: Ratings, levels, sentences and bounds of maturity, inside ``maturity``.
 def maturity(stars: Column, forks: Column, epoch: Column, as_of: int) -> Column:
     """Struct of rating, level and desc. Four years (of 365.25 whole days) without a push beat every number of stars."""
     years = F.floor((F.lit(as_of) - epoch) / DAY) / 365.25

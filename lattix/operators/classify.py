@@ -52,7 +52,7 @@ def artifact(name: Column, description: Column, topics: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules: Iterable[dict]) -> DataFrame:
-    """keyword, last, digits_after, head, plural, kind (d or s), domain, subsystem, strong: a row per keyword."""
+    """A row per keyword: keyword, kind (d: of a domain, s: of a subsystem), domain, subsystem, strong, its pieces but the last (lead), the last (final), whether it has a plural."""
     rows = []
     for r in rules:
         entries = [("d", None, k, k in set(r.get("strong") or ())) for k in r["keywords"]]

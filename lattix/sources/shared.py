@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master local."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lattix-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
