@@ -7,9 +7,9 @@ which holds an item of the class whole wherever it lies. Inside a window contain
 (0.25 at t = 0.8), and one equal MinHash value among ``HASHES`` makes a candidate. Every candidate pair is verified: the share of the item's distinct shingles that the document holds.
 
 How it scales: documents are read once and not shuffled. Items are the query set; their texts are broadcast in blocks of at
-most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (an item above that is a block of its own). The driver holds one
-block at a time: it reads the items as a stream, and each block's pass over the documents is done, and its result
-written, before the next is sent. So a benchmark of any size works, however its items repeat. Windows live only inside a task.
+most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (an item above that is a block of its own). The driver holds two
+blocks at most: it reads the items as a stream, one block ahead, and each block's pass over the documents is done, and its
+result written, before the next is sent. So a benchmark of any size works, however its items repeat. Windows live only inside a task.
 
 Words are lower-cased, with ASCII punctuation taken as white space. An item of fewer than five words is one shingle of
 its own length. Results for odd inputs: items and documents that are null or have no words match nothing; repeated items

@@ -11,8 +11,10 @@ How it scales: one pass without a shuffle. Each task packs its own rows from a p
 document only the ids that still wait for a place are held (less than a sequence's length), so memory is bounded by the pool and a hot source is spread as the input files are. A task that is run again packs the same
 rows to the same sequences.
 
-Results for odd inputs: a null or empty text is its end id alone; repeated rows are packed each for itself; an example
-over a limit that can't be cut is reported with sequence_id and offset null; an empty table gives an empty result.
+Results for odd inputs: a null or empty text is its end id alone; repeated rows are packed each for itself; rows of a null
+id are packed like any other and keep it; a very long text is turned to ids whole, inside its task, and cut into as many
+sequences as it fills; an example over a limit that can't be cut is reported with sequence_id and offset null; an empty
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

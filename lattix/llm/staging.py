@@ -8,6 +8,7 @@ from the session; a folder of its own is used only where the setting is missing
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return found.rstrip("/")

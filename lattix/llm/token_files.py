@@ -12,7 +12,8 @@ partitioning on doc_id keeps the global order; the position of a block's first i
 totals (one row per part) are added up when reading.
 
 Results for odd inputs: a null or empty text is its end id alone; rows with equal ids follow each other, ordered by the
-hash and bytes of their ids; a null doc_id comes first; an empty table gives an empty file and an empty result.
+hash and bytes of their ids; a null doc_id comes first; a very long text lies whole in one block, which is as long as it needs; an empty table gives
+an empty file and an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import time
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattix.llm import components, decontamination, html, language_model, packing, quality, sharding, simhash, substrings, token_counts, token_files, tokens
+from lattix.llm import components, decontamination, html, language_model, packing, quality, sharding, simhash, staging, substrings, token_counts, token_files, tokens
 from lattix.llm.queries import ORACLES, QUERIES
 from lattix.llm.words import WordHashes, windows
 
@@ -794,6 +795,39 @@ def test_token_files_round_trip(spark, sf, odd, empty, tmp_path):
     assert token_files.read(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_packing_and_token_files_of_null_ids_and_10_mb(spark, tmp_path):
+    ids, text = whole_ids(), f"{LONG} " * (10_000_000 // len(LONG) + 1)
+    docs = [(None, "one two"), (None, None), (3, text), (3, "three")]
+    made = [(i, ids(t)) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("length", "offset", "part", "block", "payload", "sequence_id", "n_tokens", "at")})
+    want = Counter((i, zlib.crc32(x)) for i, x in made)
+    token_files.write(df, str(tmp_path / "files"))
+    read = token_files.read(spark, str(tmp_path / "files")).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in read) == want and [r.doc_id for r in read] == [None, None, 3, 3]
+    assert [r.start for r in read] == [0, *itertools.accumulate(r.n_tokens for r in read[:-1])]
+    pieces = packing.pack_documents(df).collect()
+    whole = {len(x) // 4: x for _, x in made}  # texts are told apart by their numbers of tokens
+    of = defaultdict(list)
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(whole[r.doc_tokens][4 * r.start : 4 * (r.start + r.length)])
+        of[r.doc_id, r.doc_tokens].append((r.start, r.length))
+    assert {(i, len(x) // 4) for i, x in made} == set(of)
+    for (_, n), parts in of.items():
+        parts.sort()
+        assert [s for s, _ in parts] == [0, *itertools.accumulate(k for _, k in parts[:-1])] and sum(k for _, k in parts) == n
+
+
+def test_shared_folder_of_local_masters_only():
+    def session(master):
+        return types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default: default), sparkContext=types.SimpleNamespace(master=master, applicationId=master))
+
+    for master in ("local", "local[4]", "local[*]"):
+        assert staging.shared_dir(session(master))
+    for master in ("local-cluster[3,2,3000]", "yarn", "spark://local:7077"):
+        with pytest.raises(ValueError):
+            staging.shared_dir(session(master))
+
+
 def test_cached_ids_are_the_library_s():
     ids = whole_ids()
     with open(tokens.VOCABULARY, encoding="utf-8") as f:
