@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,13 +58,37 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def has_keyword(c: Column, keyword: str) -> Column:
-    return c.rlike(keyword_pattern(keyword))
+    """Whether lower-cased text has a keyword; only texts that hold its longest piece meet the pattern."""
+    piece = max(re.split(r"[\s\-_./]+", keyword.lower()), key=len)
+    found = c.rlike(keyword_pattern(keyword))
+    return c.contains(F.lit(piece)) & found if piece else found
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def any_of(patterns: Iterable[str]) -> str:
+    """One pattern that is found, whatever the case, where any of some is; word bounds before words are tested once for all."""
+    patterns = list(patterns)
+    bound = [p[2:] for p in patterns if p.startswith(r"\b") and "|" not in p]
+    rest = [p for p in patterns if not (p.startswith(r"\b") and "|" not in p)]
+    return "(?i)" + "|".join([*([rf"\b(?:{'|'.join(bound)})"] if bound else []), *rest])
 
 
 def lexicon_tags(corpus: Column, lexicon: dict[str, list[str]], most: int = 4) -> Column:
-    """Labels, in the order of the lexicon, of which any pattern is found; the first ``most``."""
-    hits = [F.when(corpus.rlike("(?i)" + "|".join(patterns)), F.lit(label)) for label, patterns in lexicon.items()]
-    return F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, most)
+    """Labels, in the order of the lexicon, of which any pattern is found; the first ``most``.
+
+    One pattern of all labels tells the texts that have none, so that only the others are searched for each label.
+    """
+
+    def found(text: Column) -> Column:
+        hits = [F.when(text.rlike("(?i)" + "|".join(patterns)), F.lit(label)) for label, patterns in lexicon.items()]
+        some = F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, most)
+        return F.when(text.rlike(any_of(p for patterns in lexicon.values() for p in patterns)), some).otherwise(F.array().cast("array<string>"))
+
+    return once(corpus, found) if lexicon else F.array().cast("array<string>")
 
 
 def hook(description: Column, given: Column | None = None, card: Column | None = None) -> Column:

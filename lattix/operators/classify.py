@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import ARTIFACT_EVIDENCE, ARTIFACTS, COMPATIBILITY, CURATED_PATTERNS, CURATED_TAGS, PRIMITIVES, USE_CASES
 from ..functions.scalars import license_terms, maturity
-from ..functions.text import array_or_empty, blank_to_null, has_keyword, keyword_list, lexicon_tags, tokens
+from ..functions.text import any_of, array_or_empty, blank_to_null, has_keyword, keyword_list, lexicon_tags, once, tokens
 
 #: Fixed values of the domain rule: least score, least lead, cap of the margin, labels without a domain.
 LEAST, LEAD, MARGIN_CAP = 3, 2, 9
@@ -31,24 +31,32 @@ def load_rules(path: str) -> list[dict]:
 
 
 def artifact(name: Column, description: Column, topics: Column) -> Column:
-    """Curated lists first; else the label with most evidence. A keyword counts in the name or elsewhere, never twice."""
+    """Curated lists first; else the label with most evidence. A keyword counts in the name or elsewhere, never twice.
+
+    The lower-cased texts are made once a row, and patterns are tried only where their words stand.
+    """
     name, desc = F.coalesce(name, F.lit("")), F.coalesce(description, F.lit(""))
     tags = F.transform(array_or_empty(topics), F.lower)
     low = F.lower(name)
     corpus = F.concat(low, F.lit("\n"), F.lower(desc), F.lit("\n"), F.array_join(tags, "\n"))
-    curated = F.arrays_overlap(tags, F.array(*map(F.lit, CURATED_TAGS)))
-    for p in CURATED_PATTERNS:
-        curated = curated | name.rlike(f"(?i){p}") | desc.rlike(f"(?i){p}")
-    scores = {}
-    for label, rules in ARTIFACT_EVIDENCE.items():
-        total = F.lit(0)
-        for words, in_name, elsewhere in rules:
-            for word in words:
-                total = total + F.when(has_keyword(low, word), in_name).when(has_keyword(corpus, word), elsewhere).otherwise(0)
-        scores[label] = total
-    ranked = [F.struct(s.alias("score"), F.lit(-ARTIFACTS.index(label)).alias("priority"), F.lit(label).alias("label")) for label, s in scores.items()]
-    best = F.array_max(F.array(*ranked))
-    return F.when(curated, ARTIFACTS[0]).when(best["score"] <= 0, ARTIFACTS[-1]).otherwise(best["label"])
+    curated = F.arrays_overlap(tags, F.array(*map(F.lit, CURATED_TAGS))) | name.rlike(any_of(CURATED_PATTERNS)) | desc.rlike(any_of(CURATED_PATTERNS))
+
+    def best(texts: Column) -> Column:
+        scores = {}
+        for label, rules in ARTIFACT_EVIDENCE.items():
+            total = F.lit(0)
+            for words, in_name, elsewhere in rules:
+                for word in words:
+                    # the corpus begins with the name: a keyword of the name is in it, too
+                    some = F.when(has_keyword(texts["low"], word), in_name).otherwise(elsewhere)
+                    total = total + F.when(has_keyword(texts["corpus"], word), some).otherwise(0)
+            scores[label] = total
+        ranked = [F.struct(s.alias("score"), F.lit(-ARTIFACTS.index(label)).alias("priority"), F.lit(label).alias("label")) for label, s in scores.items()]
+        return F.array_max(F.array(*ranked))
+
+    found = once(F.struct(low.alias("low"), corpus.alias("corpus")), best)
+    named = once(found, lambda b: F.when(b["score"] <= 0, ARTIFACTS[-1]).otherwise(b["label"]))
+    return F.when(curated, ARTIFACTS[0]).otherwise(named)
 
 
 def rules_table(spark: SparkSession, rules: Iterable[dict]) -> DataFrame:

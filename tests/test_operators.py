@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import random
@@ -404,3 +405,18 @@ def test_range_windows_hold_keys_of_any_size(spark, tmp_path):
     keys = [-3, 5, 20_000, 20_001, 40_003, 150_000]
     spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert sum(r["rows"] for r in windows(spark, str(tmp_path)).collect()) == len(keys)
+
+
+def test_artifact_makes_its_texts_once(spark):
+    df = spark.createDataFrame([("my-cli", "An SDK", ["x"])], "name string, description string, topics array<string>")
+    out = df.select(classify.artifact(F.col("name"), F.col("description"), F.col("topics")).alias("a"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1 and out.first()[0] == "Developer Tool / CLI"
+
+
+def test_one_pattern_stands_for_all(spark):
+    patterns = [p for lexicon in (lexicons.PRIMITIVES, lexicons.USE_CASES) for ps in lexicon.values() for p in ps] + lexicons.CURATED_PATTERNS
+    samples = ["", "Zero-Copy", "xsimd", "simdx", "a RAFT.", "awesome-x", "an awesome-x", "x-awesome", "x-awesome y", "Curated  list", "curated list", "tokeniz", "tokenizer", "rag", "drag"]
+    df = spark.createDataFrame([(s,) for s in samples], "x string")
+    rows = df.select("x", F.col("x").rlike(text.any_of(patterns)).alias("one"), functools.reduce(lambda a, b: a | b, [F.col("x").rlike(f"(?i){p}") for p in patterns]).alias("each")).collect()
+    assert all(r.one == r.each for r in rows) and {r.one for r in rows} == {True, False}
+    assert one(spark, text.lexicon_tags(F.col("x"), lexicons.PRIMITIVES), x=None) == []
