@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import ARTIFACT_EVIDENCE, ARTIFACTS, COMPATIBILITY, CURATED_PATTERNS, CURATED_TAGS, PRIMITIVES, USE_CASES
 from ..functions.scalars import license_terms, maturity
 from ..functions.text import any_of, array_or_empty, blank_to_null, has_keyword, keyword_list, lexicon_tags, once, tokens
+from ..sources.shared import settled
 
 #: Fixed values of the domain rule: least score, least lead, cap of the margin, labels without a domain.
 LEAST, LEAD, MARGIN_CAP = 3, 2, 9
@@ -90,8 +91,10 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: s
     words = every.select("__id", F.inline(marked))
     token = F.col("__token")
     ends = F.filter(F.sequence(F.lit(1), F.length(token)), lambda n: (n == F.length(token)) | F.substring(token, n + 1, F.lit(1)).rlike("[0-9]"))
-    forms = F.transform(ends, lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n).alias("form"), F.lit(False).alias("cut")))
-    plural = F.transform(F.filter(ends, lambda n: F.substring(F.col("__token"), n, F.lit(1)) == "s"), lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n - 1).alias("form"), F.lit(True).alias("cut")))
+    ends = F.when(token.rlike("[0-9]"), ends).otherwise(F.array(F.length(token)))
+    forms = F.transform("__ends", lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n).alias("form"), F.lit(False).alias("cut")))
+    plural = F.transform(F.filter("__ends", lambda n: F.substring(F.col("__token"), n, F.lit(1)) == "s"), lambda n: F.struct(F.substring(F.col("__token"), F.lit(1), n - 1).alias("form"), F.lit(True).alias("cut")))
+    words = words.withColumn("__ends", ends)
     tall = words.select("__id", "__runs", F.inline(F.concat(forms, plural))).where("form <> ''")
     tall = tall.select("__id", "form", "cut", F.posexplode("__runs").alias("k", "before")).where("before is not null")
     keys = keywords.select("keyword", "plural", F.array_join("lead", " ").alias("before"), F.size("lead").alias("k"), F.col("final").alias("form")).distinct()
@@ -110,13 +113,14 @@ def domains(df: DataFrame, rules: list[dict], id_col: str = "id") -> DataFrame:
     table = rules_table(spark, rules)
     tags = F.transform(array_or_empty(F.col("topics")), F.lower)
     body = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "description")], F.array_join(array_or_empty(F.col("topics")), " "), F.coalesce("language", F.lit(""))))
-    base = df.select(F.col(id_col).alias("id"), F.array_join(tags, "\n").alias("tags"), body.alias("body"))
+    base = settled(df.select(F.col(id_col).alias("id"), F.array_join(tags, "\n").alias("tags"), body.alias("body")), "texts")
     words = table.select("keyword", "lead", "final", "plural").distinct()
     labels = table.drop("lead", "final", "plural")
     labels = F.broadcast(labels) if len(rules) <= MOST_RULES and labels.limit(20_001).count() <= 20_000 else labels
-    in_tags = keyword_hits(base.where("tags <> ''"), words, "id", "tags").withColumn("t", F.lit(1))
-    in_body = keyword_hits(base, words, "id", "body").withColumn("b", F.lit(1))
-    hits = in_tags.join(in_body, ["id", "keyword"], "full_outer").join(labels, "keyword")
+    # tags and body are looked up together: one pass, and one shuffle that brings both to their row
+    texts = base.select("id", F.inline(F.array(F.struct(F.lit(True).alias("tag"), F.col("tags").alias("text")), F.struct(F.lit(False).alias("tag"), F.col("body").alias("text")))))
+    found = keyword_hits(texts.select(F.struct("id", "tag").alias("at"), "text").where("text <> ''"), words, "at", "text")
+    hits = found.groupBy(F.col("at.id").alias("id"), "keyword").agg(F.max(F.when(F.col("at.tag"), 1)).alias("t")).join(labels, "keyword")
     d = hits.where("kind = 'd'").groupBy("id", "domain").agg(
         (6 * F.count_if(F.col("t").isNotNull() & F.col("strong")) + F.when(F.count_if(F.col("t").isNotNull() & ~F.col("strong")) > 0, 3).otherwise(0) + F.count_if(F.col("t").isNull())).alias("score"),
         F.count("t").alias("tag_hits"),

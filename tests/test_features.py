@@ -315,3 +315,17 @@ def test_references_of_an_empty_library(spark):
     prints = spark.createDataFrame([("b", "g"), ("c", "g")], "blueprint_id string, goal string")
     assert {r["failures"] for r in quality.verify_blueprints(prints, roles, links, c, ("data",)).collect()} == {0}
     assert {r["failures"] for r in quality.verify_blueprints(prints.limit(0), roles.limit(0), links.limit(0), c, ("data",)).collect()} == {0}
+
+
+# Domains.
+
+
+def test_tags_and_body_are_looked_up_in_one_pass(spark):
+    rules = [{"domain": "A", "keywords": ["red", "big ring"], "strong": ["red"], "subsystems": {"R": ["ring2x"]}}, {"domain": "B", "keywords": ["blue"], "subsystems": {}}]
+    rows = [(1, "n", "a big-rings 7", ["Red"], "en"), (2, "blue2", "reds", [], None), (3, None, None, None, None), (4, "x", "red", ["blue", "red"], "ring2"), (4, "y", "blue", [], "")]
+    df = spark.createDataFrame(rows, "id long, name string, description string, topics array<string>, language string")
+    out = classify.domains(df, rules)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__runs") and plan.count("FullOuter") == 0
+    assert sorted((r.id, r.domain, r.subsystem, r.domain_margin) for r in out.collect())[0] == (1, "A", "General A", 7)
+    assert {(r.id, r.domain) for r in out.collect()} == {(1, "A"), (2, "Other / General"), (3, "Other / General"), (4, "A")}
