@@ -12,9 +12,10 @@ variant is hot. A variant of up to ``SMALL`` fingerprints yields their pairs. Be
 fingerprints share such a point exactly if they differ in 2 bits or fewer, so linking all that share a point to the
 smallest of them loses nothing. Components are found on fingerprints and joined back to the rows.
 
-``near_duplicates`` is for texts alike in ``similarity`` of their shingles, which whole-text fingerprints at 2 bits can't
-reach (at 0.8 about 10 of 64 bits differ). Its candidates share a key of MinHashes over all 5-word shingles, and every
-candidate is verified by its exact shingles.
+``near_duplicates`` is for texts alike in ``similarity`` of their shingles. Its candidates are the links of the fingerprints
+as above and, as those at 2 bits don't reach that far (at 0.8 about 10 of 64 bits differ), texts that share a key of
+MinHashes over all 5-word shingles. Every candidate is verified by its exact shingles: texts of one template, alike in less,
+come within 2 bits of each other by chance (about 1 pair in 1,000 at 0.77), which would chain them into one class.
 
 Results for odd inputs: a null or blank text has fingerprint zero and links as any other; fewer words than a shingle has
 make one shingle; repeated rows share their class; a null id gets the class of its text; an empty table gives an empty
@@ -204,19 +205,25 @@ def prefix_keys(shingles: np.ndarray, counts: np.ndarray, similarity: float) ->
 
 
 def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), ("keys", pa.list_(pa.int64())), ("fp", pa.int64())])
 
     def run(batches):
         cache = WordHashes()
         for ids, texts in rows(batches):
-            found = [shingle_hashes(fold(t), cache, width) for t in texts]
-            keys = pa.array([band_keys(s) for s in found], schema.field("keys").type)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), keys], schema=schema)
+            sizes, keys, fps = [], [], []
+            for t in texts:
+                words = fold(t)
+                found = shingle_hashes(words, cache, width)
+                sizes.append(len(found))
+                keys.append(band_keys(found))
+                fps.append(majority(shingle_digests(words, SHINGLE)))
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, schema.field("keys").type), pa.array(fps, pa.int64())]
+            yield pa.record_batch(columns, schema=schema)
 
     return run
 
 
-SKETCH = "doc_id long, shingles long, keys array<long>"
+SKETCH = "doc_id long, shingles long, keys array<long>, fp long"
 
 
 def _counted(width: int):
@@ -273,6 +280,19 @@ def _alike(width: int, similarity: float):
     return run
 
 
+def _by_fingerprint(sketch: DataFrame) -> DataFrame:
+    """x, sx, y, sy: texts whose fingerprints link, with their numbers of shingles.
+
+    Texts of one fingerprint meet the first of them, and the first texts of linked fingerprints meet.
+    """
+    firsts = stage(sketch.groupBy("fp").agg(F.min(F.struct("doc_id", "shingles")).alias("first")), "near-fingerprints")
+    first = firsts.select("fp", F.col("first.doc_id").alias("x"), F.col("first.shingles").alias("sx"))
+    one = sketch.select("fp", F.col("doc_id").alias("y"), F.col("shingles").alias("sy")).join(first, "fp").where("x <> y").drop("fp")
+    linked = stage(links(firsts.select("fp")), "near-linked")
+    other = first.toDF("b", "y", "sy")
+    return one.select("x", "sx", "y", "sy").unionByName(linked.join(first.withColumnRenamed("fp", "a"), "a").join(other, "b").select("x", "sx", "y", "sy"))
+
+
 def _verified(found: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
     """The candidates a, b whose shingles are alike. Only the texts of candidates move, to meet their partners."""
     asked = stage(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-asked")
@@ -288,8 +308,8 @@ def _verified(found: DataFrame, base: DataFrame, width: int, similarity: float)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: classes of rows with equal texts or linked by ``similarity`` of their shingles or more.
 
-    Candidates: texts that share a key (``BANDS``). Copies count once, with their number. A key of up to ``SMALL`` texts
-    yields their pairs. The texts of a commoner one are first held against two of them: the one whose keys are shared
+    Candidates: texts whose fingerprints link (see ``links``), and texts that share a key (``BANDS``). Copies count once, with
+    their number. A key of up to ``SMALL`` texts yields their pairs. The texts of a commoner one are first held against two of them: the one whose keys are shared
     most, as those of a family's origin are, and one picked by a hash. Whatever is not linked by then is held against all
     texts with which it shares one of its rarest shingles (see ``_apart``): only the texts of the largest class there need not meet. Rows of one id (or none) are told apart by ``first_of_each``; here such rows
     with equal texts share their class, and rows with a null id are left out.
@@ -315,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hub = F.explode(F.array(*[F.struct(F.col(h)["id"].alias("id"), F.col(h)["shingles"].alias("s")) for h in ("top", "any")]))
     stars = large.join(hubs, "key").select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy"), hub.alias("o"))
     stars = stars.select((-F.col("o.id")).alias("x"), F.col("o.s").alias("sx"), "y", "sy").where("x <> y").where(alike).select("x", "y")
-    found = pairs.unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    close = _by_fingerprint(sketch).where(alike).select("x", "y")
+    found = pairs.unionByName(stars).unionByName(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = stage(found, "near-candidates")
     sure = _verified(found, base, width, similarity)
 

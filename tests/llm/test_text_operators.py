@@ -1068,3 +1068,14 @@ def test_sharding_odd(odd, empty):
     assert len(got) == len(ODD) and got[1].size == 8 and got[1].text_crc32 == 0
     check_shards(got.values(), sum(len((t or "").encode()) + 8 for _, t in ODD), 3)
     assert sharding.assign(empty, 3).count() == 0
+
+
+def test_near_duplicates_meet_by_fingerprints_and_are_verified(spark, monkeypatch):
+    """Two texts of one much repeated passage have one fingerprint but few shingles in common: a candidate that the exact check refuses."""
+    passage = " ".join(f"p{x}" for x in range(7))
+    texts = [(i, " ".join([passage] * 60 + [f"own{i}x{x}" for x in range(8)])) for i in range(2)]
+    tried = []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda found, *rest: tried.extend((r.a, r.b) for r in found.collect()) or verified(found, *rest))
+    got = simhash.first_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert tried == [(0, 1)] and len(got) == 2
