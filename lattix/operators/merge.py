@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_license
 from ..functions.text import array_or_empty, blank_to_null
-from ..sources.catalog import part_number
+from ..sources.catalog import lot, part_number
 from ..sources.raw import keyed
 from ..sources.shared import settled
 from .classify import context_card
@@ -270,15 +270,16 @@ def lookup_details(df: DataFrame, details: DataFrame, names: DataFrame, parts: D
     folders only. Cards, licence terms and commands that are missing on both sides get defaults (see ``lookup_defaults``).
     """
     found = wanted_rows(df, names)
-    deep = [c for c in details.columns if c not in ("id", "slug", "part")]
+    deep = [c for c in details.columns if c not in ("id", "slug", "part", "lot")]
     if parts is None:
         hits = details.select("id", *deep)
     else:
         found = settled(part_number(found, parts), "wanted")
         # a comparison tells Spark that the folders of these rows are worth looking up first
-        near = found.where(F.col("id") > -(1 << 63)).select("id", F.col("slug").alias("__slug"), F.col("part").alias("__part")).distinct()
+        near = found.where(F.col("id") > -(1 << 63)).select(F.col("id").alias("__id"), F.col("slug").alias("__slug"), F.col("part").alias("__part"), lot(F.col("part")).alias("__lot")).distinct()
         near = F.broadcast(near) if found.count() <= WANTED else near
-        hits = details.join(near.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.col("slug") == F.col("__slug")) & (F.col("part") == F.col("__part")))
+        there = ["id", "slug", "part", *(["lot"] if "lot" in details.columns else [])]
+        hits = details.join(near, reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in there]))
         hits, found = hits.select("id", *deep), found.drop("slug", "part")
     kinds = {c: details.schema[c].dataType.typeName() for c in deep}
     filled = [(blank_to_null(F.col(c)) if kinds[c] == "string" else F.when(F.size(c) > 0, F.col(c)) if kinds[c] == "array" else F.col(c)).alias(f"__d_{c}") for c in deep]

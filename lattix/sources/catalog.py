@@ -11,6 +11,8 @@ from ..functions.text import slugify
 DEFAULTS = {"language": "Other", "domain": "Other / General", "subsystem": "General Components", "artifact": "Application / Service", "license": "Unknown"}
 TARGET_ROWS = 12_000
 MAX_PART_BYTES = 48 * 1024 * 1024
+#: Parts of a table up to which each has a folder of its own; with more, LOTS folders a slug hold them.
+MOST_FOLDERS, LOTS = 1_000, 16
 HOOK = 90
 SNAPSHOT = "full_name STRING, stars LONG, snapshot_date STRING"
 
@@ -54,7 +56,7 @@ def part_number(df: DataFrame, parts: DataFrame) -> DataFrame:
 
 def details_bytes(df: DataFrame) -> Column:
     """Bytes of a row's details as one JSON line."""
-    return (F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c not in ("slug", "part")]))) + 1).cast("long")
+    return (F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c not in ("slug", "part", "lot")]))) + 1).cast("long")
 
 
 def part_bytes(routed: DataFrame) -> DataFrame:
@@ -66,26 +68,42 @@ def part_bytes(routed: DataFrame) -> DataFrame:
 def write_details(df: DataFrame, path: str, target: int = TARGET_ROWS, max_rows: int = 2_000_000, max_bytes: int | None = MAX_PART_BYTES) -> None:
     """Details by slug and part; what earlier runs left is replaced.
 
+    Each part has its folder, ``slug=.../part=...``. A table of more than ``MOST_FOLDERS`` parts has folders
+    ``slug=.../lot=...`` instead, lot being part modulo ``LOTS``, and its parts lie in these in order, with ``part`` as a column:
+    small parts then don't make as many files, and a part is found by its lot and the bounds in the files.
+
     A part above ``max_bytes`` as JSON lines is an error, raised before anything is written (None: no such limit).
     """
-    routed = part_number(df, parts_by_slug(df, target))
+    parts = parts_by_slug(df, target)
+    routed = part_number(df, parts)
     if max_bytes is not None:
         large = part_bytes(routed).where(F.col("bytes") > max_bytes).orderBy(F.col("bytes").desc()).limit(3).collect()
         if large:
             raise ValueError(f"parts above {max_bytes} bytes: " + ", ".join(f"{r.slug}/{r.part} ({r.bytes})" for r in large))
-    routed.repartition("slug", "part").write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("slug", "part").parquet(path)
+    folder = "part"
+    if (parts.agg(F.sum("parts")).first()[0] or 0) > MOST_FOLDERS:
+        routed, folder = routed.withColumn("lot", lot(F.col("part"))), "lot"
+    routed = routed.repartition("slug", folder)
+    routed = routed.sortWithinPartitions("slug", "lot", "part") if folder == "lot" else routed
+    routed.write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("slug", folder).parquet(path)
+
+
+def lot(part: Column) -> Column:
+    """The folder of a part in a table of many parts."""
+    return F.pmod(part, F.lit(LOTS)).cast("long")
 
 
 def read_details(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Details by id; if several files hold an id, the last by slug and part counts."""
     rows = spark.read.schema(f"{schema}, slug STRING, part LONG").parquet(path)
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.col("slug").desc(), F.col("part").desc()))
-    return rows.withColumn("__n", last).where("__n = 1").drop("__n")
+    return rows.withColumn("__n", last).where("__n = 1").drop("__n", "lot")
 
 
 def read_details_of(spark: SparkSession, path: str, schema: str, slug: str, part: int) -> DataFrame:
     """One partition only: the filter prunes the others."""
-    return spark.read.schema(f"{schema}, slug STRING, part LONG").parquet(path).where((F.col("slug") == slug) & (F.col("part") == part))
+    rows = spark.read.schema(f"{schema}, slug STRING, part LONG").parquet(path).where((F.col("slug") == slug) & (F.col("part") == part))
+    return rows.where(F.col("lot") == part % LOTS).drop("lot") if "lot" in rows.columns else rows
 
 
 def flat_rows(df: DataFrame) -> DataFrame:

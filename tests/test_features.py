@@ -329,3 +329,24 @@ def test_tags_and_body_are_looked_up_in_one_pass(spark):
     assert plan.count("__runs") and plan.count("FullOuter") == 0
     assert sorted((r.id, r.domain, r.subsystem, r.domain_margin) for r in out.collect())[0] == (1, "A", "General A", 7)
     assert {(r.id, r.domain) for r in out.collect()} == {(1, "A"), (2, "Other / General"), (3, "Other / General"), (4, "A")}
+
+
+def test_many_small_parts_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_FOLDERS", 30)
+    df = spark.range(2000).select("id", F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("k"), "id").alias("full_name"), F.col("id").alias("stars"), F.concat(F.lit("Domain "), (F.col("id") % 3).cast("string")).alias("domain"))
+    details = df.select("id", "domain", F.concat(F.lit("run "), "name").alias("quickstart_code"))
+    path = f"{tmp_path}/details"
+    files.write_details(details, path, 10)
+    folders = [f"{s}/{f}" for s in os.listdir(path) if s.startswith("slug=") for f in os.listdir(f"{path}/{s}") if "=" in f]
+    assert len(folders) == 3 * files.LOTS
+    back = files.read_details(spark, path, "id LONG, domain STRING, quickstart_code STRING")
+    assert set(back.columns) == {"id", "domain", "quickstart_code", "slug", "part"} and back.count() == 2000
+    want = files.part_number(details, files.parts_by_slug(details, 10)).select("id", "slug", "part")
+    assert want.exceptAll(back.select("id", "slug", "part")).isEmpty()
+    assert {r.id for r in files.read_details_of(spark, path, "id LONG", "domain-1", 37).collect()} == {r.id for r in want.where("slug = 'domain-1' and part = 37").collect()} != set()
+    stored = spark.read.schema("id LONG, quickstart_code STRING, slug STRING, part LONG").parquet(path)
+    rows = files.part_bytes(spark.read.schema("id LONG, domain STRING, quickstart_code STRING, slug STRING, part LONG").parquet(path))
+    assert rows.agg(F.sum("rows")).first()[0] == 2000 and rows.count() == want.select("slug", "part").distinct().count()
+    found = merge.lookup_details(df, stored, spark.createDataFrame([("N4",), ("k15",), ("gone",)], "name string"), files.parts_by_slug(details, 10))
+    assert "lot" not in found.columns and "dynamicpruning" in found._jdf.queryExecution().toString().lower()
+    assert {r["wanted"]: r["quickstart_code"] for r in found.collect()} == {"N4": "run n4", "k15": "run n15"}
