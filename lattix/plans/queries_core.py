@@ -62,6 +62,11 @@ register("op_01_raw_scan", raw_scan, oracle(
     CASE WHEN id % 50 = 0 THEN 'bad' WHEN id % 49 = 0 THEN 'incomplete' ELSE 'good' END AS state FROM C"""))
 
 
+def record_files(rows: int) -> int:
+    """Files of a layout of arrays: 64, and one more for each 50,000 rows."""
+    return 64 + rows // 50_000
+
+
 def records_scan(spark, d):
     """A folder of JSON lines, arrays by line, arrays in one line and nested arrays, with bad lines, blanks and incomplete records."""
     path = shared_path(spark, "records")
@@ -69,12 +74,14 @@ def records_scan(spark, d):
     rec = F.to_json(F.struct("id", "name", F.when(F.col("id") % 49 == 0, "").otherwise(F.col("owner")).alias("owner"), "stars"))
     row = F.when(F.col("id") % 50 == 1, F.substring(rec, 1, 10)).otherwise(rec)
     c.where("id % 4 = 0").select(F.explode(F.array(row, F.lit("  "))).alias("value")).write.text(f"{path}/lines")
-    # a file for each 100 ids: brackets on lines of their own or beside a record, commas at the ends
-    few = c.where("id % 4 = 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    # runs of 100 ids dealt to files, so that a large table gets files of some 50,000 ids and not one for each run
+    file = F.pmod(F.floor(F.col("id") / 100), F.lit(record_files(table(spark, d, "part").count()))).alias("f")
+    # brackets on lines of their own or beside a record, commas at the ends
+    few = c.where("id % 4 = 1").groupBy(file).agg(F.sort_array(F.collect_list(row)).alias("r"))
     few.select(F.concat(F.when(F.col("f") % 2 == 0, "[\n").otherwise("["), F.array_join("r", ",\n\n"), F.lit("\n]\n")).alias("value"), "f").write.partitionBy("f").text(f"{path}/arrays")
-    whole = c.where("id % 4 = 2 and id % 50 <> 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.collect_list(rec).alias("r"))
+    whole = c.where("id % 4 = 2 and id % 50 <> 1").groupBy(file).agg(F.collect_list(rec).alias("r"))
     whole.select(F.concat(F.lit("[ "), F.array_join("r", ", "), F.lit("]")).alias("value"), "f").write.partitionBy("f").text(f"{path}/one-line")
-    nested = c.where("id % 4 = 3 and id % 50 <> 1").groupBy(F.floor(F.col("id") / 100).alias("f")).agg(F.collect_list(F.regexp_replace(rec, ",", ",\n")).alias("r"))
+    nested = c.where("id % 4 = 3 and id % 50 <> 1").groupBy(file).agg(F.collect_list(F.regexp_replace(rec, ",", ",\n")).alias("r"))
     nested.select(F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("\n]")).alias("value"), "f").write.partitionBy("f").text(f"{path}/nested")
     spark_paths = [f"{path}/{k}" for k in ("lines", "arrays/*", "one-line/*", "nested/*")]
     return functools.reduce(DataFrame.unionByName, [raw.scan_records(spark, p) for p in spark_paths]).select("id", "name", "stars", "state")

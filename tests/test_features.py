@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattix.operators import classify, graph, merge, quality, recommend
+from lattix.plans import queries_core
 from lattix.sources import catalog as files
 from lattix.sources import raw, variants
 from lattix.streaming import upsert as upserts
@@ -350,3 +351,7 @@ def test_many_small_parts_share_folders(spark, tmp_path, monkeypatch):
     found = merge.lookup_details(df, stored, spark.createDataFrame([("N4",), ("k15",), ("gone",)], "name string"), files.parts_by_slug(details, 10))
     assert "lot" not in found.columns and "dynamicpruning" in found._jdf.queryExecution().toString().lower()
     assert {r["wanted"]: r["quickstart_code"] for r in found.collect()} == {"N4": "run n4", "k15": "run n15"}
+
+
+def test_record_files_grow_slower_than_runs_of_ids():
+    assert queries_core.record_files(200) == 64 and queries_core.record_files(7_200_000) == 208
