@@ -50,8 +50,8 @@ register("op_51_upsert", lambda s, d: merged(s, d).select("key", "id", "stars",
 register("op_52_unmatched", lambda s, d: merge.unmatched(view(s, d, "K"), view(s, d, "H")).select("key"), oracle("SELECT key FROM K WHERE key NOT IN (SELECT key FROM H)", "K", "H"))
 
 
-def _lookups(spark, d):
-    k = merge.unmatched(view(spark, d, "K"), view(spark, d, "H"))
+def _lookups(known, fresh):
+    k = merge.unmatched(known, fresh)
     m = F.floor(F.col("id") / 7) % 8
     return k.select(
         "key", F.when(m == 0, 404).when(m == 1, 451).when(m == 6, 409).otherwise(200).alias("status"), (m == 2).alias("private"), F.when(m == 3, F.lit(10)).otherwise(F.col("stars") + 7).alias("stars"),
@@ -66,7 +66,9 @@ _LOOK = """, m AS (SELECT id, key, stars, (id // 7) % 8 AS m FROM K WHERE key NO
 
 
 def patch(spark, d):
-    return merge.reconcile_patch(view(spark, d, "K"), view(spark, d, "H"), _lookups(spark, d), 100)
+    """The patch from both sides' keys, which are written once: every use of a view would join and group its tables again."""
+    known, fresh = settled(view(spark, d, "K").select("id", "key", "stars"), "known"), settled(view(spark, d, "H").select("key"), "fresh")
+    return merge.reconcile_patch(known, fresh, _lookups(known, fresh), 100)
 
 
 register("op_53_reconcile_patch", lambda s, d: patch(s, d).select("key", "action", "reason", "current"), oracle(_LOOK + " SELECT key, action, reason, current FROM q", "K", "H"))
@@ -128,7 +130,7 @@ def merge_written(spark, d):
     lines = h.select(F.when(F.col("id") % 50 == 4, F.substring(rec, 1, 10)).otherwise(rec).alias("value"))
     lines = lines.unionByName(h.where("id % 20 = 5").select(rec.alias("value")))
     path = shared_path(spark, "merged")
-    found = merge.write_merged(base, raw.parse_lines(lines), path, merge.reconcile_patch(view(spark, d, "K"), view(spark, d, "H"), _lookups(spark, d), 100))
+    found = merge.write_merged(base, raw.parse_lines(lines), path, patch(spark, d))
     out = spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("stars").alias("stars"), F.countDistinct("key").alias("keys"), F.sum(F.length("hook")).alias("hooks"))
     return found.unionByName(out.select(F.inline(F.array(*[F.struct(F.lit(f"written_{k}").alias("counter"), F.col(k).alias("n")) for k in ("n", "stars", "keys", "hooks")]))))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattix.operators import classify, graph, merge, quality, recommend
-from lattix.plans import queries_core
+from lattix.plans import queries_core, queries_tables
 from lattix.sources import catalog as files
 from lattix.sources import raw, variants
 from lattix.streaming import upsert as upserts
@@ -355,3 +355,8 @@ def test_many_small_parts_share_folders(spark, tmp_path, monkeypatch):
 
 def test_record_files_grow_slower_than_runs_of_ids():
     assert queries_core.record_files(200) == 64 and queries_core.record_files(7_200_000) == 208
+
+
+def test_patch_reads_its_views_once(spark, sf):
+    plan = queries_tables.patch(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
