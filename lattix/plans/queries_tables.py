@@ -122,10 +122,11 @@ register("op_57_lookup_in_parts", looked_up_in_parts, oracle(
 
 def merge_written(spark, d):
     """The counters of a merge of JSON lines and a patch that is written once, and of what it wrote."""
-    base = C(spark, d).where("id % 10 <> 0").select(
+    c = settled(C(spark, d).select("key", "id", "owner", "name", "full_name", "stars", "forks", "description", "language", "domain", "subsystem"), "catalog")
+    base = c.where("id % 10 <> 0").select(
         "key", "id", "owner", "name", "full_name", "stars", "forks", F.when(F.col("id") % 4 != 1, F.col("description")).otherwise("").alias("description"), "language", "domain", "subsystem",
         F.when(F.col("id") % 8 != 1, F.col("name")).otherwise("").alias("hook"))
-    h = C(spark, d).where("id % 7 <> 0")
+    h = c.where("id % 7 <> 0")
     rec = F.to_json(F.struct("id", "name", F.when(F.col("id") % 49 == 3, "").otherwise(F.col("owner")).alias("owner"), (F.col("stars") + F.col("id") % 5).alias("stars"), "forks", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("description")).alias("description"), "language"))
     lines = h.select(F.when(F.col("id") % 50 == 4, F.substring(rec, 1, 10)).otherwise(rec).alias("value"))
     lines = lines.unionByName(h.where("id % 20 = 5").select(rec.alias("value")))
