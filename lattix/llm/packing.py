@@ -143,7 +143,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack_texts(vocab, end_id: int, length: int, segments: int):
     def run(batches):
-        encode, base, out = encoder(vocab.value, end_id).ids, _sequence_base(), []
+        encode, base, out = encoder(vocab.value, end_id).all_ids, _sequence_base(), []
 
         # a key is (doc_id, ids, place of the first of them in the document, ids of the document)
         def emit(key, start, tokens, sequence, offset):
@@ -162,9 +162,7 @@ def _pack_texts(vocab, end_id: int, length: int, segments: int):
 
         packer = Packer(emit, length, segments, length, cut=True, rest=rest)
         for batch in small(batches):
-            texts = batch.column(1)
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encode(texts[i].as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 n = len(ids) // 4
                 packer.add((doc_id, ids, 0, n), n, n)
             yield flush()

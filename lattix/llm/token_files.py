@@ -133,10 +133,9 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, vocab, width: str, en
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        ids = encoder(vocab.value, end_id).ids
+        ids = encoder(vocab.value, end_id).all_ids
         for batch in small(batches):
-            texts = batch.column(1)
-            packed = [np.frombuffer(ids(texts[i].as_py()), dtype="<u4").astype(width).tobytes() for i in range(len(texts))]
+            packed = [np.frombuffer(x, dtype="<u4").astype(width).tobytes() for x in ids(batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")

@@ -839,6 +839,27 @@ def test_cached_ids_are_the_library_s():
         assert encoder.ids(text) == ids(text), repr(text)
 
 
+def test_ids_of_slices_are_the_library_s(monkeypatch):
+    """Distinct words of a slice are told apart first and go to the model together; special tokens keep their case."""
+    ids = whole_ids()
+    with open(tokens.VOCABULARY, encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    rng = np.random.default_rng(2)
+    alphabet = [*"aBé'σ1½.,!<|> \t\n\x1c\x85\u2003", "<|endoftext|>", "<|ENDOFTEXT|>", "Déjà ", "(the) ", "thE, ", "o'er. ", "日本 "]
+    texts = ["<|ENDOFTEXT|>", "X <|EndOfText|> Y", None, "", " ", *("".join(rng.choice(alphabet, rng.integers(0, 9))) for _ in range(3000))]
+    want = [ids(t) for t in texts]
+    assert encoder.all_ids(texts) == want and encoder.all_ids([]) == [] and encoder.all_ids([None, " \n"]) == [encoder.end] * 2
+    asked, words = [], encoder.words
+    monkeypatch.setattr(encoder, "words", lambda new: asked.append(new) or words(new))
+    new = ["Zyxwvab qponml, zyxwvab. " * 500, "qponml zyxwvab éàzyx"]
+    assert encoder.all_ids(new) == [ids(t) for t in new] and list(map(sorted, asked)) == [["qponml", "zyxwvab", "éàzyx"]]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 40)  # generations go within a few slices, and one slice holds more
+    assert [x for i in range(0, len(texts), 50) for x in encoder.all_ids(texts[i : i + 50])] == want and len(encoder.young) <= 40
+    other = tokens.Encoder(encoder.tokenizer.to_str())
+    other.closes[:] = False  # as for a vocabulary that doesn't mark the ends of words
+    assert other.all_ids(texts) == want
+
+
 # 9
 
 
