@@ -32,9 +32,8 @@ END_ID = 2
 CACHE_CHUNKS = 250_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _NOT_LATIN = re.compile("[^\x00-\u024f]")
-_NOT_PLAIN = re.compile("[\x00-\x08\x0e-\x1f'\x7f-\xbf\xd7\xf7\u0130\u0250-\U0010ffff]")
-#: Chunks whose closing punctuation stays with them; for Arrow.
-_KEPT = _NOT_PLAIN.pattern + r"|<\|"
+#: Texts that are not lower-cased before a closer look, and chunks whose closing punctuation stays with them; for Arrow.
+_KEPT = "[\x00-\x08\x0e-\x1f'\x7f-\xbf\xd7\xf7\u0130\u0250-\U0010ffff]|<[|]"
 #: The characters by which byte-level vocabularies write the bytes of letters and, here, the space.
 _BYTES = "".join(chr(b) if b < 0x7F or b >= 0xA1 and b != 0xAD else chr(0x100 + 33 + b - 0x7F if b < 0xA1 else 0x100 + 67) for b in range(0x100))
 _ENCODERS: dict[int, "Encoder"] = {}
@@ -118,10 +117,11 @@ class Encoder:
     def all_ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id."""
         ready, whole = [], {}
+        kept = pc.match_substring_regex(pa.array(texts, pa.string()), _KEPT).to_pylist()
         for i, text in enumerate(texts):
             if not text:
                 ready.append("")
-            elif not _NOT_PLAIN.search(text) and "<|" not in text:
+            elif not kept[i]:
                 ready.append(text.lower())
             elif _SEPARATORS.search(text):
                 ready.append("")
